@@ -55,7 +55,7 @@ def join_variant_annotations(variants: DataFrame, source: DataFrame, order: str,
     extra = [c for c in source.columns if c not in on]
     v = variants.select("variant_key", "gene", *on)
     both = v.join(source, list(on), "inner")
-    hit = F.array_contains(F.transform(F.split(F.upper(genes), ";"), F.trim), F.upper("gene"))
+    hit = F.array_contains(F.transform(F.split(F.upper(genes), ";"), lambda s: F.trim(s)), F.upper("gene"))
     best = both.groupBy("variant_key").agg(F.min_by(F.struct(*extra), F.struct((~hit).alias("miss"), F.col(order).alias("place"))).alias("s__"))
     return variants.join(best, "variant_key", "left").withColumn("dbnsfp_match", F.col("s__").isNotNull()).select(*variants.columns, "dbnsfp_match", *[F.col(f"s__.{c}").alias(c) for c in extra if c not in variants.columns])
 
@@ -69,7 +69,7 @@ def annotate_records(matched: DataFrame, scores: dict[str, str], blosum: DataFra
     d = matched.withColumn("t__", F.when(F.col("dbnsfp_match"), t))
     pick = lambda c: V.pick_aligned(F.col(c), F.col("t__.index"))
     d = d.select(
-        *matched.columns, pick("Ensembl_transcriptid").alias("selected_transcript"), F.col("t__.reason").alias("transcript_selection"),
+        *[c for c in matched.columns if c.lower() not in {n.lower() for n in (*scores, *scores.values())}], pick("Ensembl_transcriptid").alias("selected_transcript"), F.col("t__.reason").alias("transcript_selection"),
         V.grantham_distance(F.col("aaref"), F.col("aaalt")).alias("grantham_distance"),
         F.when(pick("Interpro_domain").isNotNull(), "overlap").otherwise("no_overlap").alias("interpro_domain_status"),
         *[V.parse_number(pick(raw)).alias(name) for raw, name in scores.items()],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def none_of(kind: str = NO_STRINGS) -> Column:
 
 def unique(c: Column) -> Column:
     """Trimmed, non-empty, distinct, in order."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(c, none_of()), F.trim), lambda s: s.isNotNull() & (s != "")))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(c, none_of()), lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != "")))
 
 
 def normalize_clinvar(docs: DataFrame) -> DataFrame:
@@ -102,6 +104,10 @@ def pubmed_term(c: Column) -> Column:
     return F.concat(F.lit('"'), F.trim(F.replace(c, F.lit('"'), F.lit(" "))), F.lit('"[Title/Abstract]'))
 
 
+def exact_candidate(candidate, strategy: str, query, identifier: Column) -> Column:
+    return candidate(strategy, query(identifier), identifier, "exact_variant_identifier")
+
+
 def build_search_plans(ids: DataFrame, max_queries: int = 4, context: bool = True, key: str = "variant_key") -> DataFrame:
     """key, place, strategy, query, identifier, specificity: exact identifiers first, then one context query.
 
@@ -113,7 +119,8 @@ def build_search_plans(ids: DataFrame, max_queries: int = 4, context: bool = Tru
     for strategy, column in (("rsid_exact", "rsids"), ("hgvs_exact", "hgvs"), ("protein_change_exact", "protein_changes"), ("spdi_exact", "canonical_spdi")):
         alone = strategy in ("rsid_exact", "spdi_exact")
         query = (lambda i: pubmed_term(i)) if alone else (lambda i: F.concat_ws(" AND ", pubmed_term(i), gene))
-        parts.append(F.transform(F.coalesce(F.col(column), none_of()), lambda i, q=query, s=strategy: candidate(s, q(i), i, "exact_variant_identifier")))
+        make = partial(exact_candidate, candidate, strategy, query)
+        parts.append(F.transform(F.coalesce(F.col(column), none_of()), lambda i: make(i)))
     if context:
         tail = F.lit("(variant[Title/Abstract] OR mutation[Title/Abstract])")
         trait = F.get("traits", F.lit(0))

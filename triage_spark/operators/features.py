@@ -36,7 +36,7 @@ def assign_group_splits(df: DataFrame, group: str = "gene", label: str = "label"
         return pd.DataFrame({group: pdf[group].to_numpy(), "split": out})
 
     kind = df.schema[group].dataType.simpleString()
-    chosen = totals.groupBy(F.lit(1)).applyInPandas(greedy, f"{group} {kind}, split string")
+    chosen = totals.withColumn("one__", F.lit(0)).groupBy("one__").applyInPandas(greedy, f"{group} {kind}, split string")
     return df.join(chosen, group)
 
 

@@ -280,7 +280,7 @@ def prepare_requests(scores: DataFrame, variants: DataFrame, threshold: int, id_
     wrong = scores.filter(F.col("route") != V.apply_route(F.col("score"), threshold)).limit(1).collect()
     if wrong:
         raise ValueError(f"a recorded route is not the policy's: {wrong[0][key]}")
-    rows = scores.filter(F.col("route") == route).join(variants.select(key, V.parse_variation_id(F.col(id_column)).alias("clinvar_variation_id")), key, "left")
+    rows = scores.drop("clinvar_variation_id").filter(F.col("route") == route).join(variants.select(key, V.parse_variation_id(F.col(id_column)).alias("clinvar_variation_id")), key, "left")
     lost = rows.filter("clinvar_variation_id IS NULL").limit(5).collect()
     if lost:
         raise ValueError(f"no variation id for {[r[key] for r in lost]}")

@@ -455,13 +455,13 @@ def missingness_audit(v: Views) -> DataFrame:
 ENCODED = " , ".join(f"CAST(least(greatest(round_even(254.0::DOUBLE * CAST(coalesce({clipped(SIMPLE[k])}, (SELECT median({clipped(SIMPLE[k])}) FROM {{raw16}} WHERE split = 'train')) AS DOUBLE) - 127.0, 0), -127), 127) AS TINYINT) AS {k}" for k in ("cadd_phred", "esm1b_deleteriousness", "revel_score"))
 
 
-@query("d08_impute", "SELECT split, round(sum(coalesce(least(cadd_phred / 50.0, 1.0), (SELECT median(least(cadd_phred / 50.0, 1.0)) FROM {raw16} WHERE split = 'train'))), 3) AS cadd_phred FROM {raw16} GROUP BY split")
+@query("d08_impute", "SELECT split, round(sum(least(coalesce(cadd_phred / 50.0, (SELECT median(cadd_phred / 50.0) FROM {raw16} WHERE split = 'train')), 1.0)), 3) AS cadd_phred FROM {raw16} GROUP BY split")
 def impute(v: Views) -> DataFrame:
     m = features.fit_encoder(v.raw16, tuple(f for f in features.CONTRACT if f.id == "cadd_phred"))
     return v.raw16.select("split", F.coalesce(features.transform_feature(m.contract[0]), F.lit(m.medians["cadd_phred"])).alias("x")).groupBy("split").agg(F.round(F.sum("x"), 3).alias("cadd_phred"))
 
 
-@query("d09_encode_int8", "SELECT variant_key, CAST(least(greatest(round_even(254.0::DOUBLE * least(cadd_phred / 50.0, 1.0) - 127.0, 0), -127), 127) AS TINYINT) AS q FROM {raw16}")
+@query("d09_encode_int8", "SELECT variant_key, CASE WHEN cadd_phred IS NOT NULL THEN CAST(least(greatest(round_even(254.0::DOUBLE * least(cadd_phred / 50.0, 1.0) - 127.0, 0), -127), 127) AS TINYINT) END AS q FROM {raw16}")
 def encode_int8(v: Views) -> DataFrame:
     by = {f.id: f for f in features.CONTRACT}
     return v.raw16.select("variant_key", V.encode_int8(features.transform_feature(by["cadd_phred"])).alias("q"))

@@ -210,8 +210,8 @@ def batch_reply_summary(v: Views) -> DataFrame:
 
 
 @query("k04_completion_rate", f"""
-    WITH c AS (SELECT stream_id, sequence, min(arrival) AS at FROM ({JUDGED}) j WHERE correct GROUP BY 1, 2), p AS (SELECT stream_id, count(*) AS correct, max(at) AS last FROM c GROUP BY 1)
-    SELECT a.stream_id, requested, coalesce(p.correct, 0) AS correct, CASE WHEN p.correct = requested THEN round(last - start, 6) END AS seconds, CASE WHEN p.correct = requested THEN round(requested / (last - start), 6) END AS rows_per_second
+    WITH c AS (SELECT stream_id, sequence, min(arrival) AS first_at FROM ({JUDGED}) j WHERE correct GROUP BY 1, 2), p AS (SELECT stream_id, count(*) AS correct, max(first_at) AS last_at FROM c GROUP BY 1)
+    SELECT a.stream_id, requested, coalesce(p.correct, 0) AS correct, CASE WHEN p.correct = requested THEN round(last_at - start, 6) END AS seconds, CASE WHEN p.correct = requested THEN round(requested / (last_at - start), 6) END AS rows_per_second
     FROM (SELECT stream_id, count(*) AS requested, min(started) AS start FROM {{requests}} GROUP BY 1) a LEFT JOIN p ON a.stream_id = p.stream_id""")
 def completion_rate(v: Views) -> DataFrame:
     return replies.completion_rate(v.requests, v.replies, -276)
@@ -268,7 +268,7 @@ def stream_match_replies(v: Views) -> DataFrame:
     requests = e.withColumnRenamed("ts", "sent")
     answers = event_stream(v).filter("event_id % 13 <> 0").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("sequence"), (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("arrived"), F.when(F.col("event_id") % 19 == 0, 4).otherwise(5).alias("score"), F.lit(1).alias("classification"), F.lit(1).alias("deep_review"))
     out = drained(v, streams.stream_match_replies(requests, answers), "append", "k08")
-    last = v.events.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("t"))
+    last = v.events.agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 HOUR")).alias("t"))
     return out.join(F.broadcast(last), F.col("sent") < F.col("t")).groupBy("status").agg(F.count("*").alias("n"))
 
 
