@@ -495,14 +495,14 @@ def scoring_input(v: Views) -> DataFrame:
 
 @query("e05_balanced_sample", """
     SELECT label, count(*) AS n, min(variant_key) AS least FROM (
-      (SELECT variant_key, label FROM {unique_variants} WHERE label = 1 ORDER BY (pos * 7919) % 10007, variant_key LIMIT 250) UNION ALL
-      (SELECT variant_key, label FROM {unique_variants} WHERE label = 0 ORDER BY (pos * 7919) % 10007, variant_key LIMIT 250)) t GROUP BY label""")
+      (SELECT variant_key, label FROM {unique_variants} WHERE label = 1 ORDER BY (CAST(pos AS BIGINT) * 7919) % 10007, variant_key LIMIT 250) UNION ALL
+      (SELECT variant_key, label FROM {unique_variants} WHERE label = 0 ORDER BY (CAST(pos AS BIGINT) * 7919) % 10007, variant_key LIMIT 250)) t GROUP BY label""")
 def balanced_sample(v: Views) -> DataFrame:
     s = features.balanced_sample(v.unique_variants, 500, code=(F.col("pos").cast("bigint") * 7919) % 10007)
     return s.groupBy("label").agg(F.count("*").alias("n"), F.min("variant_key").alias("least"))
 
 
-@query("e06_seeded_sample", "SELECT variant_key FROM {unique_variants} ORDER BY (pos * 104729) % 100003, variant_key LIMIT 300")
+@query("e06_seeded_sample", "SELECT variant_key FROM {unique_variants} ORDER BY (CAST(pos AS BIGINT) * 104729) % 100003, variant_key LIMIT 300")
 def seeded_sample(v: Views) -> DataFrame:
     return features.seeded_sample(v.unique_variants, 300, code=(F.col("pos").cast("bigint") * 104729) % 100003).select("variant_key")
 

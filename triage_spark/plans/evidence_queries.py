@@ -318,9 +318,6 @@ def claim_offsets(v: Views) -> DataFrame:
     return C.with_offsets(d).select("doc_id", F.col("quote_start").cast("bigint").alias("quote_start"), F.col("quote_end").cast("bigint").alias("quote_end"))
 
 
-GROUPED = "CAST({} AS BIGINT)"
-
-
 @query("j13_group_claims", f"SELECT count(*) FILTER (WHERE doc_id % 4 < 2) AS variant_findings, count(*) FILTER (WHERE doc_id % 4 = 2) AS gene_context, count(*) FILTER (WHERE doc_id % 4 = 3) AS unresolved, CAST(0 AS BIGINT) AS database_statements FROM ({JUDGED}) j WHERE reason IS NULL")
 def group_claims(v: Views) -> DataFrame:
     g = C.group_claims(validated(v)[0])

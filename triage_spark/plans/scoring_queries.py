@@ -232,9 +232,6 @@ def cross_path_check(v: Views) -> DataFrame:
     return replies.cross_path_check(path(29, 41), path(31, 43), v.requests.select(F.col("sequence").alias("request"), "score"))
 
 
-EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-
-
 def drained(v: Views, sdf: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over the files there are, into Parquet in a shared folder, and read the result."""
     at = f"{scratch(v)}/{name}"
