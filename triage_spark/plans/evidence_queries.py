@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triage_spark.operators import claims as C
 from triage_spark.operators import evidence as E
+from triage_spark.plans.dataset_queries import scratch
 from triage_spark.plans.views import Views, query
 
 STRINGS = "array<string>"
@@ -245,8 +246,18 @@ def passages(v: Views) -> DataFrame:
     return C.passages(v.documents, "abstract", max_chars=2000).select("doc_id", "source_id", "truncated", F.char_length("text").cast("bigint").alias("chars"))
 
 
+def stored(v: Views, name: str, make) -> DataFrame:
+    """A table of the evidence run, written once for a query and read by each later step."""
+    path = v.folder("evidence", lambda: scratch(v)) + f"/{name}"
+    return v.made(name, lambda: make(v), path)
+
+
 def scoped(v: Views) -> DataFrame:
     """Passages that name their variant exactly, their gene only, or neither."""
+    return stored(v, "passages", make_scoped)
+
+
+def make_scoped(v: Views) -> DataFrame:
     i = F.col("doc_id").cast("string")
     none = F.array().cast(STRINGS)
     head = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Carriers of RS"), i, F.lit(" were seen. "))).when(F.col("doc_id") % 4 == 1, F.concat(F.col("gene"), F.lit(" c.12A>G in NM_000001.1 was seen. "))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("The gene "), F.lower("gene"), F.lit(" was looked at. "))).otherwise(F.lit("Nothing is named in this text. "))
@@ -260,6 +271,10 @@ def scope_passages(v: Views) -> DataFrame:
 
 
 def packages(v: Views) -> DataFrame:
+    return stored(v, "packages", make_packages)
+
+
+def make_packages(v: Views) -> DataFrame:
     checked = C.identity_check(subjects(v)).select("variant_key", "identity")
     return C.build_packages(checked, scoped(v).select("variant_key", "source_id", "kind", "truncated"))
 
@@ -297,10 +312,14 @@ def parse_responses(v: Views) -> DataFrame:
     return C.parse_model_responses(responses(v)).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-def validated(v: Views) -> tuple[DataFrame, DataFrame]:
+def claimed(v: Views) -> DataFrame:
     parsed = C.parse_model_responses(responses(v)).filter("reject_reason IS NULL")
-    claims = parsed.select("variant_key", "source_id", F.explode("parsed.claims").alias("c")).select("variant_key", "source_id", "c.*")
-    return C.validate_claims(claims, scoped(v), packages(v).select("variant_key", "identity"))
+    return parsed.select("variant_key", "source_id", F.explode("parsed.claims").alias("c")).select("variant_key", "source_id", "c.*")
+
+
+def validated(v: Views) -> tuple[DataFrame, DataFrame]:
+    good, bad = C.validate_claims(stored(v, "claims", claimed), scoped(v), packages(v).select("variant_key", "identity"))
+    return stored(v, "accepted", lambda _: good), stored(v, "rejected", lambda _: bad)
 
 
 JUDGED = f"""SELECT doc_id, CASE WHEN {BLOCKED} THEN 'identity_not_verified' WHEN doc_id % 11 IN (3, 4) THEN 'quote_not_verbatim' END AS reason FROM documents WHERE doc_id % 11 NOT IN (1, 2, 5)"""

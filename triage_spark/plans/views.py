@@ -72,6 +72,20 @@ class Views:
                 self._made[name] = self.sql(VIEWS[name])
         return self._made[name]
 
+    def folder(self, name: str, make) -> str:
+        key = f"folder {name}"
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
+
+    def made(self, name: str, make, path: str) -> DataFrame:
+        """make() written to path, the first time it is asked for, and read from there."""
+        key = f"stored {name}"
+        if key not in self._made:
+            make().write.parquet(path)
+            self._made[key] = self.spark.read.parquet(path)
+        return self._made[key]
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))})
 
