@@ -118,22 +118,44 @@ def apply_route(score: Column, threshold: int) -> Column:
     return F.when(score >= threshold, "deep").otherwise("light")
 
 
-# Composition, polarity and volume of the amino acids, and the weights of their distance.
-PROPERTIES = {
-    "S": (1.42, 9.2, 32), "R": (0.65, 10.5, 124), "L": (0, 4.9, 111), "P": (0.39, 8.0, 32.5), "T": (0.71, 8.6, 61),
-    "A": (0, 8.1, 31), "V": (0, 5.9, 84), "G": (0.74, 9.0, 3), "I": (0, 5.2, 111), "F": (0, 5.2, 132),
-    "Y": (0.20, 6.2, 136), "C": (2.75, 5.5, 55), "H": (0.58, 10.4, 96), "Q": (0.89, 10.5, 85), "N": (1.33, 11.6, 56),
-    "K": (0.33, 11.3, 119), "D": (1.38, 13.0, 54), "E": (0.92, 12.3, 83), "M": (0, 5.7, 105), "W": (0.13, 5.4, 170),
-}
-WEIGHTS, SCALE = (1.833, 0.1018, 0.000399), 50.723
+# Distances of each amino acid to those after it, in this order.
+AMINO_ACIDS = "ARNDCQEGHILKMFPSTWYV"
+DISTANCES = """
+112 111 126 195 91 107 60 86 94 96 106 84 113 27 99 58 148 112 64
+86 96 180 43 54 125 29 97 102 26 91 97 103 110 71 101 77 96
+23 139 46 42 80 68 149 153 94 142 158 91 46 65 174 143 133
+154 61 45 94 81 168 172 101 160 177 108 65 85 181 160 152
+154 170 159 174 198 198 202 196 205 169 112 149 215 194 192
+29 87 24 109 113 53 101 116 76 68 42 130 99 96
+98 40 134 138 56 126 140 93 80 65 152 122 121
+98 135 138 127 127 153 42 56 59 184 147 109
+94 99 32 87 100 77 89 47 115 83 84
+5 102 10 21 95 142 89 61 33 29
+107 15 22 98 145 92 61 36 32
+95 102 103 121 78 110 85 97
+28 87 135 81 67 36 21
+114 155 103 40 22 50
+74 38 147 110 68
+58 177 144 124
+128 92 69
+37 88
+55
+"""
 
 
 def grantham_distance(ref: Column, alt: Column) -> Column:
-    """The property distance of two amino acids by its formula, rounded; unknown letters give null."""
-    table = F.create_map(*[x for k, v in PROPERTIES.items() for x in (F.lit(k), F.array(*[F.lit(float(p)) for p in v]))])
-    a, b = F.try_element_at(table, F.upper(ref)), F.try_element_at(table, F.upper(alt))
-    squares = sum((F.lit(w) * F.pow(a[i] - b[i], F.lit(2.0)) for i, w in enumerate(WEIGHTS)), F.lit(0.0))
-    return F.round(F.sqrt(squares) * SCALE).cast("int")
+    """The distance of two amino acids; equal ones 0; unknown letters give null."""
+    a, b = letter_place(ref), letter_place(alt)
+    i, j, n = F.least(a, b), F.greatest(a, b), len(AMINO_ACIDS)
+    # rows of the triangle before row i hold (n - 1) + (n - 2) + ... entries
+    at = (i * (2 * n - 1 - i) / 2).cast("int") + j - i - 1
+    known = (a >= 0) & (b >= 0)
+    return F.when(known & (a == b), 0).when(known, F.get(F.array(*[F.lit(int(d)) for d in DISTANCES.split()]), at))
+
+
+def letter_place(c: Column) -> Column:
+    """0 to 19, or -1 for what is no amino acid."""
+    return F.when(F.length(F.trim(c)) == 1, F.instr(F.lit(AMINO_ACIDS), F.upper(F.trim(c))) - 1).otherwise(-1)
 
 
 def clip01(x: Column) -> Column:

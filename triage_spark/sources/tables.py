@@ -55,8 +55,8 @@ def parse_vcf(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFra
     body = lines.select(F.col(line).alias("line")).filter((F.trim("line") != "") & ~F.col("line").startswith("#"))
     split = body.withColumn("f", F.split("line", "\t"))
     good = split.filter(F.size("f") >= 8)
-    cols = [F.col("f")[i].alias(n) for i, n in enumerate(FIXED)]
-    rows = good.select(*cols, parse_info(F.col("f")[7]).alias("info")).withColumn("pos", F.col("pos").try_cast("int"))
+    cols = [F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FIXED)]
+    rows = good.select(*cols, parse_info(F.get("f", F.lit(7))).alias("info")).withColumn("pos", F.col("pos").try_cast("int"))
     return rows, split.filter(F.size("f") < 8).select("line")
 
 
