@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from triage_spark.llm.graph import connected_components
 SHINGLE = 5
 COLLECTIONS = 11  # collections of hashes; a table key is a pair of them, so 55 tables
 ROWS = 3  # minhashes of a collection, so 33 in all where 55 plain bands of 6 would take 330
+LARGE, MEMBERS, ASKS = 24, 256, 1024  # members of a table that is searched in blocks; members and asks of a block
 SLICE_BYTES = 1 << 20  # text that one vector step takes together
 
 _rng = np.random.default_rng(20240501)
@@ -145,6 +147,65 @@ def near_enough(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def stored_sets(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """node, s: the sorted shingle set, as bytes, of each of the nodes; their texts are read again."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(text_bytes(b.column(1)))], pa.binary())], names=["node", "s"])
+
+    return docs.select(key, text).join(nodes.select(F.col("node").alias(key)).distinct(), key, "left_semi").mapInArrow(build, "node bigint, s binary")
+
+
+def links_in_neighbourhoods(members: DataFrame, asks: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Links (a, b) between asks and members of one neighbourhood (node, area, component), as spanning forests.
+
+    A neighbourhood is dealt to blocks of about MEMBERS and its asks to salts of about ASKS, so a group stays small
+    however large it is; inside, an inverted index of the members' shingles counts the intersections of each
+    ask with all of them at once, and a link is written only if it joins two classes that the group had apart.
+    """
+    blocks = members.groupBy("area").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    shape = blocks.join(asks.groupBy("area").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("salts")), "area")
+    m = members.join(shape, "area").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    q = asks.join(shape, "area").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = stored_sets(members.join(shape, "area", "left_semi").select("node"), docs, key, text)
+    by = ["area", "block", "salt"]
+
+    def search(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        found, parent = [], {}
+        if len(have) and len(ask):
+            held = [np.frombuffer(s, np.uint64) for s in have.s]
+            sizes = np.array([len(s) for s in held])
+            owner = np.repeat(np.arange(len(held)), sizes)
+            shingles = np.concatenate(held)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            nodes, labels = have.node.to_numpy(), have.component.to_numpy()
+            for node, label, s in zip(ask.node__, ask.component__, ask.s__):
+                s = np.frombuffer(s, np.uint64)
+                lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(held))
+                for k in np.flatnonzero(100 * both >= percent * (len(s) + sizes - both)):
+                    x, y = root(parent, int(label)), root(parent, int(labels[k]))
+                    if x != y:
+                        parent[x] = y
+                        found.append((int(node), int(nodes[k])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    left = m.join(sets, "node").select(*by, "node", "component", "s").groupBy(*by)
+    right = q.join(sets.select(F.col("node").alias("node__"), F.col("s").alias("s__")), F.col("node") == F.col("node__"))
+    right = right.select(*[F.col(c).alias(f"{c}__") for c in (*by, "component")], "node__", "s__").groupBy(*[f"{c}__" for c in by])
+    return left.cogroup(right).applyInPandas(search, "a bigint, b bigint")
+
+
+def root(parent: dict[int, int], k: int) -> int:
+    while k in parent:
+        k = parent[k]
+    return k
+
+
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets.
 
@@ -164,11 +225,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: s
 
     both = pairs.join(mins.select(F.col("node").alias("a"), F.col("mins").alias("ma")), "a").join(mins.select(F.col("node").alias("b"), F.col("mins").alias("mb")), "b")
     pairs = checkpoint(both.select("a", "b", "ma", "mb").mapInArrow(alike, "a bigint, b bigint"))
-    needed = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(text_bytes(b.column(1)))], pa.binary())], names=["node", "s"])
+    sets = stored_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, key, text)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,8 +236,6 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: s
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    firsts = docs.select(key, text).join(needed, key, "left_semi")
-    sets = firsts.mapInArrow(build, "node bigint, s binary")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct()
 
@@ -189,9 +244,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     """key, n_shingles, component_id (smallest key reachable over links, itself included), kept.
 
     Texts with one shingle set are first joined to the smallest key among them. Then, for the different sets:
-    every table's first member is held against its others; the links found give classes; and within each
-    table all members of different classes are held against each other, so that no link between
-    classes is lost. Pairs inside a class are never built. Every link is confirmed on the full sets.
+    every table's first member is held against its others, and the links found give classes. Then, within each
+    table, members of different classes are held against each other, so that no link between classes is lost: pair by
+    pair in tables of fewer than LARGE members, else in blocks through an inverted index, of which only links come
+    out. Pairs inside a class are never built. Every link is confirmed on the full sets.
     Texts without words (or null) are linked with nothing; rows with a null key keep a null component and stay;
     rows that repeat a key count as one node (each row comes back, and equal texts are one class anyway).
     """
@@ -207,16 +263,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     links = checkpoint(verify(star, reps, docs, key, text, percent))
     found = checkpoint(connected_components(links))
     named = members.select("table_key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("table_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("table_key")
-    left = checkpoint(named.join(mixed, "table_key"))
-    # a pair that the first round refused needs no second check
-    x = left.select("table_key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component")])
-    y = left.select("table_key", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "component")])
-    across = x.join(y, "table_key").filter(f"node_x < node_y AND component_x <> component_y AND {near_enough('n_x', 'n_y', percent)}")
-    rest = across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    mixed = named.groupBy("table_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("node").alias("head")).filter("lo < hi")
+    left = checkpoint(named.join(mixed.select("table_key", "members", "head"), "table_key"))
+    # tables with many members: what they connect is a neighbourhood, searched as one; its largest class need not ask
+    area = connected_components(left.filter(f"members >= {LARGE} AND node <> head").select("node", "head").distinct(), "node", "head").withColumnRenamed("component", "area")
+    area = checkpoint(area.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    largest = area.groupBy("area", "component").agg(F.count("*").alias("n")).groupBy("area").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    asks = area.join(largest, "area").filter("component <> largest").select("node", "area", "component")
+    met = links_in_neighbourhoods(area, asks, docs, key, text, percent)
+    # all other tables have fewer than LARGE members, so their pairs stay in proportion to their rows
+    left = left.filter(f"members < {LARGE}").join(area.select("node", "area"), "node", "left")
+    x = left.select("table_key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "area")])
+    y = left.select("table_key", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "area")])
+    apart = f"node_x < node_y AND component_x <> component_y AND NOT coalesce(area_x = area_y, false) AND {near_enough('n_x', 'n_y', percent)}"
+    rest = x.join(y, "table_key").filter(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = verify(rest, reps, docs, key, text, percent)
-    found = checkpoint(connected_components(links.unionByName(more)))
-    copies = classes.filter("copies > 1 OR rep IS NOT NULL").select("h1", "h2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
+    found = checkpoint(connected_components(links.unionByName(more).unionByName(met)))
+    copies = classes.select("h1", "h2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.select("node", "n", "h1", "h2").join(copies, ["h1", "h2", "n"], "left")
     component = F.when(F.col("node").isNotNull(), F.coalesce(F.least("component", "node"), "node"))
     return out.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("node")).alias("kept"))
