@@ -354,6 +354,42 @@ def test_op10(spark, docs, edge, empty):
     assert linededup.remove_runs(empty, linededup.repeated_runs(empty)).count() == 0
 
 
+def maximal_runs(texts, min_words):
+    """Lines in a run of any length from min_words words on that stands at an earlier place."""
+    seen, gone = set(), set()
+    for k in sorted(texts):
+        lines = [x.strip() for x in (texts[k] or "").split("\n")]
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                run = tuple(lines[s:e])
+                if sum(len(x.split()) for x in run) >= min_words:
+                    if run in seen:
+                        gone |= {(k, i) for i in range(s, e)}
+                    seen.add(run)
+    return gone
+
+
+def test_op10_runs_reach_their_ends(spark):
+    words = lambda n, x: " ".join(f"{x}{i}" for i in range(n))
+    whole = "\n".join(words(n, x) for n, x in ((99, "a"), (62, "b"), (87, "c"), (2, "d")))
+    tail = "\n".join([words(31, "e"), "", words(1, "f"), "", ""])
+    texts = {0: whole, 1: whole, 2: f"own\n{whole}\nother", 3: tail, 4: f"{tail}x", 5: f"\n{tail}"}
+    rng = np.random.default_rng(4)
+    texts |= {k: "\n".join(words(x, "w") for x in rng.integers(0, 6, rng.integers(1, 14))) for k in range(6, 50)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for least in (9, 30):
+        runs = linededup.repeated_runs(d, least)
+        got = {(r["doc_id"], i) for r in runs.collect() for i in range(r["line_start"], r["line_end"])}
+        assert got == maximal_runs(texts, least)
+    assert {(1, 3), (2, 4), (4, 1), (4, 2), (4, 3)} <= got
+
+
+def test_pipeline_drops_what_line_dedup_leaves_blank(spark):
+    text = " ".join(f"a{i}" for i in range(31))
+    d = spark.createDataFrame([(0, text, "en", "s", 9), (1, f"\n\u2003\n{text}\n \t\n", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.lines(spark, d, SF).collect()] == [0]
+
+
 def test_pipeline(spark, docs, edge):
     """Each stage on what the one before kept, beside plain Python."""
     d = spark.read.parquet(f"{SF}/documents.parquet")

@@ -19,37 +19,50 @@ def row_id(key: str, text: str):
 
 
 def lines_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """sid, doc, pos, line (hash of the stripped line), need: lines from here on that hold min_words words.
+    """sid, doc, pos, line (hash of the stripped line), needs: lines of the windows that begin here.
 
-    need is null where the text ends before. Lines end at \\n; blank ones are lines of no words.
+    A window is the shortest run of min_words words from a line on, or back from a line; together they cover every
+    run of min_words words or more, both its ends too. needs is null where none begins. Lines end at \\n; blank ones
+    are lines of no words.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, doc, pos, line, need = [], [], [], [], []
+            sid, doc, pos, line, needs = [], [], [], [], []
             for s, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 parts = (t.as_py() or "").split("\n")
                 words = [len(p.split()) for p in parts]
+                own = [None] * len(parts)
                 end = have = 0
                 for k, p in enumerate(parts):
                     while have < min_words and end < len(parts):
                         have += words[end]
                         end += 1
-                    need.append(end - k if have >= min_words else None)
+                    if have >= min_words:
+                        own[k] = [end - k]
                     have -= words[k]
                     line.append(xxhash.xxh3_64_intdigest(p.strip()) - (1 << 63))
+                begin = have = 0
+                for k, n in enumerate(words):
+                    have += n
+                    while have - words[begin] >= min_words and begin < k:
+                        have -= words[begin]
+                        begin += 1
+                    if have >= min_words and own[begin][0] != k + 1 - begin:
+                        own[begin].append(k + 1 - begin)
+                needs += own
                 sid += [s] * len(parts)
                 doc += [d] * len(parts)
                 pos += range(len(parts))
             for at in range(0, len(pos), 200_000):
                 part = slice(at, at + 200_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[part], pa.int64()), pa.array(doc[part], b.schema.field(1).type), pa.array(pos[part], pa.int32()), pa.array(line[part], pa.int64()), pa.array(need[part], pa.int32())],
-                    names=["sid", "doc", "pos", "line", "need"],
+                    [pa.array(sid[part], pa.int64()), pa.array(doc[part], b.schema.field(1).type), pa.array(pos[part], pa.int32()), pa.array(line[part], pa.int64()), pa.array(needs[part], pa.list_(pa.int32()))],
+                    names=["sid", "doc", "pos", "line", "needs"],
                 )
 
     rows = docs.select(row_id(key, text).alias("sid"), F.col(key).alias("doc"), text)
-    return rows.mapInArrow(cut, f"sid bigint, doc {docs.schema[key].dataType.simpleString()}, pos int, line bigint, need int")
+    return rows.mapInArrow(cut, f"sid bigint, doc {docs.schema[key].dataType.simpleString()}, pos int, line bigint, needs array<int>")
 
 
 PLACE = ("doc", "sid", "pos")
@@ -65,9 +78,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
 
     Earlier means a smaller (key, row, line). The rank of a suffix by its first 2^k lines comes from sorting
     the pairs of ranks of its first and second 2^(k-1) lines; suffixes whose run is unique leave at once. The
-    suffixes that agree in the rank of their first 2^k lines and of the 2^k lines that end their shortest run of
-    min_words words form an interval of the suffix array whose common prefix is at least that run; all but its
-    first member are later copies. Overlapping copies of a text are merged to maximal runs.
+    suffixes that agree in the rank of their first 2^k lines and of the 2^k lines that end a window of
+    min_words words form an interval of the suffix array whose common prefix is at least that window; all but its
+    first member are later copies. Windows are taken from every line on and back from every line, so that a run is
+    covered up to both its ends; overlapping ones of a text are merged to maximal runs.
 
     Returns sid (hash of key and text), key, line_start, line_end (exclusive), first_key, first_line: a
     place where the run's beginning stood first. A run may repeat within one text. Null and
@@ -77,11 +91,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     lines = lines_of(docs, key, text, min_words)
     counts = lines.groupBy("line").agg(F.count("*").alias("members")).filter("members > 1")
     now = checkpoint(lines.join(ranks_of(counts, ["line"]), "line").drop("line").dropDuplicates(["sid", "pos"]))
-    most = now.agg(F.max("need")).first()[0] or 0
+    most = now.agg(F.max(F.array_max("needs"))).first()[0] or 0
     found, k = [], 0
     while (1 << k) <= most:
         size = 1 << k
-        due = now.filter((F.col("need") >= size) & (F.col("need") < 2 * size))
+        due = now.select("sid", "doc", "pos", "rank", F.explode(F.filter("needs", lambda n: (n >= size) & (n < 2 * size))).alias("need"))
         tail = now.select("sid", (F.col("pos") + size).alias("stop"), F.col("rank").alias("tail"))
         runs = due.withColumn("stop", F.col("pos") + F.col("need")).join(tail, ["sid", "stop"])
         interval = ["need", "rank", "tail"]
