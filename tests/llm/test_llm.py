@@ -260,6 +260,24 @@ def test_op8(spark, docs, edge, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_takes_near_copies_from_80_percent(spark):
+    assert (neardup.collections_for(85), neardup.collections_for(80)) == (11, 14)
+    assert neardup.missed(0.8, 14) <= neardup.MISS < neardup.missed(0.8, 13)
+    assert neardup.missed(0.85, 11) == pytest.approx(5.24e-4, rel=0.01)
+    rng = np.random.default_rng(8)
+    texts = {}
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(104)]
+        texts[2 * k] = " ".join(words)
+        for at in rng.choice(20, 1 + k % 4, replace=False):
+            words[4 + 5 * at] = f"e{k}y{at}"
+        texts[2 * k + 1] = " ".join(words)
+    likeness = {k: len(a & b) / len(a | b) for k in texts if k % 2 for a, b in [[{tuple(w[i : i + 5]) for i in range(100)} for w in (texts[k - 1].split(), texts[k].split())]]}
+    assert sum(0.8 <= x < 0.85 for x in likeness.values()) == 10 and min(likeness.values()) < 0.8
+    d = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()} == {k for k in texts if likeness.get(k, 0) < 0.8}
+
+
 def test_op8_large_class(spark):
     """A class of many near copies and stragglers that only some of its members link to."""
     rng = np.random.default_rng(5)

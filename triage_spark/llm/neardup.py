@@ -15,24 +15,46 @@ from triage_spark.llm.common import checkpoint
 from triage_spark.llm.graph import connected_components
 
 SHINGLE = 5
-COLLECTIONS = 11  # collections of hashes; a table key is a pair of them, so 55 tables
-ROWS = 3  # minhashes of a collection, so 33 in all where 55 plain bands of 6 would take 330
+ROWS = 3  # minhashes of a collection; a table key is a pair of collections
+MISS = 1e-3  # at most this share of the single pairs right at the threshold meets in no table
 LARGE, MEMBERS, ASKS = 24, 256, 1024  # members of a table that is searched in blocks; members and asks of a block
 SLICE_BYTES = 1 << 20  # text that one vector step takes together
 
-_rng = np.random.default_rng(20240501)
+SEED = 20240501
+_rng = np.random.default_rng(SEED)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 WORD_STEP = np.uint64(0xD6E8FEB86659FD93)
-HASH_A = _rng.integers(1, 1 << 63, COLLECTIONS * ROWS, dtype=np.uint64) | np.uint64(1)
-HASH_B = _rng.integers(0, 1 << 63, COLLECTIONS * ROWS, dtype=np.uint64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def missed(likeness: float, collections: int) -> float:
+    """The probability that a pair agrees in fewer than two collections, so that no table holds both."""
+    q = likeness**ROWS
+    return (1 - q) ** collections + collections * q * (1 - q) ** (collections - 1)
+
+
+def collections_for(percent: int) -> int:
+    """The fewest collections that miss at most MISS at the threshold: 11 (55 tables) at 85, 14 (91) at 80."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    n = 2
+    while missed(percent / 100, n) > MISS:
+        n += 1
+    return n
+
+
+def hash_functions(collections: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    rng.integers(1, 1 << 63, 256, dtype=np.uint64)  # those of BYTE_VALUES
+    a = rng.integers(1, 1 << 63, collections * ROWS, dtype=np.uint64) | np.uint64(1)
+    return a, rng.integers(0, 1 << 63, collections * ROWS, dtype=np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -99,10 +121,10 @@ def sets_of(texts: list[bytes | None]) -> Iterator[np.ndarray]:
             yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
+def minhashes(s: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The least value of each hash function over a set, folded to 32 bits."""
-    out = np.empty(len(HASH_A), dtype=np.uint32)
-    for k, (a, b) in enumerate(zip(HASH_A, HASH_B)):
+    out = np.empty(len(functions[0]), dtype=np.uint32)
+    for k, (a, b) in enumerate(zip(*functions)):
         out[k] = np.min((s * a + b) >> np.uint64(32))
     return out
 
@@ -111,8 +133,9 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, collections: int) -> DataFrame:
     """node, n (set size), set_hash (two longs of the whole set), collections (one long per collection), mins."""
+    functions = hash_functions(collections)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,9 +147,9 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     continue
                 h1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(np.bitwise_xor.reduce(mix(s * MULTIPLIER)).view(np.int64)))
-                m = minhashes(s)
-                row = np.arange(COLLECTIONS, dtype=np.uint64)
-                for part in m.reshape(COLLECTIONS, ROWS).T:
+                m = minhashes(s, functions)
+                row = np.arange(collections, dtype=np.uint64)
+                for part in m.reshape(collections, ROWS).T:
                     row = mix(row * WORD_STEP + part.astype(np.uint64))
                 keys.append(row.view(np.int64).tolist())
                 mins.append(m.tobytes())
@@ -135,10 +158,10 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("node"), text).mapInArrow(sign, "node bigint, n bigint, h1 bigint, h2 bigint, collections array<bigint>, mins binary")
 
 
-def table_keys(reps: DataFrame) -> DataFrame:
+def table_keys(reps: DataFrame, collections: int) -> DataFrame:
     """One row per node and table; tables are the pairs of collections."""
-    pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
-    keys = F.array(*[F.xxhash64(F.lit(i * COLLECTIONS + j), F.col("collections")[i], F.col("collections")[j]) for i, j in pairs])
+    pairs = [(i, j) for i in range(collections) for j in range(i + 1, collections)]
+    keys = F.array(*[F.xxhash64(F.lit(i * collections + j), F.col("collections")[i], F.col("collections")[j]) for i, j in pairs])
     return reps.select("node", "n", F.explode(keys).alias("table_key"))
 
 
@@ -213,7 +236,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: s
     only texts still in a pair are read again for their sets.
     """
     p = percent / 100
-    k = COLLECTIONS * ROWS
+    k = collections_for(percent) * ROWS
     least = int(k * p - 6 * (k * p * (1 - p)) ** 0.5)
     mins = reps.select("node", "mins")
 
@@ -251,12 +274,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     Texts without words (or null) are linked with nothing; rows with a null key keep a null component and stay;
     rows that repeat a key count as one node (each row comes back, and equal texts are one class anyway).
     """
-    signed = checkpoint(signatures(docs, key, text))
+    collections = collections_for(percent)
+    signed = checkpoint(signatures(docs, key, text, collections))
     filled = signed.filter("n > 0 AND node IS NOT NULL")
     classes = filled.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
     classes = checkpoint(classes)
     reps = checkpoint(filled.join(classes.select(F.col("rep").alias("node"), "h1", "h2", "n"), ["h1", "h2", "n", "node"]).dropDuplicates(["h1", "h2", "n", "node"]))
-    keys = table_keys(reps)
+    keys = table_keys(reps, collections)
     shared = keys.groupBy("table_key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("first")).filter("members > 1")
     members = checkpoint(keys.join(shared.select("table_key", "first"), "table_key"))
     star = members.filter(f"node <> first.node AND {near_enough('n', 'first.n', percent)}").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
