@@ -328,6 +328,17 @@ def brute_cost(value):
     return best(len(value))
 
 
+def test_op9_gate_lets_every_credential_word_through():
+    value = "Xk9#mQ2$vL"
+    for word in ("pass", "password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "credential", "credentials", "privatekey", "private_key", "auth"):
+        for name in (word, word.upper(), f"db_{word}"):
+            for text in (f"{name}: {value}", f'"{name}" = "{value}"', f"{name}={value}", f"{name} is {value}"):
+                at = text.index(value)
+                assert (at, at + len(value), "guess") in secretscan.find_spans(text), text
+    for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+        assert (0, len(word) + 9, "assign") in secretscan.find_spans(f"{word}=abcdefgh")
+
+
 def test_guess_cost():
     for v in ("xkpassword", "dragonzq", "zqvmjx"):
         assert secretscan.guess_cost(v)[0] == pytest.approx(brute_cost(v))

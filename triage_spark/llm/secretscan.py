@@ -16,7 +16,7 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
-HINTS = ("passw", "secret", "token", "api", "pwd", "passphrase", "credential", "private", "auth")
+HINTS = ("pass", "secret", "token", "api", "pwd", "credential", "private", "auth")  # each match of ASSIGN or CONTEXT holds one
 
 # Values that stand in a credential's context: what the method looks at.
 CONTEXT = re.compile(r"""(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credentials?|private_?key|auth)["']?(?:\s*[:=]\s*|\s+is\s+)["']?([^\s"'<>,;]{6,128})""")
