@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -339,6 +340,36 @@ def test_op9_gate_lets_every_credential_word_through():
         assert (0, len(word) + 9, "assign") in secretscan.find_spans(f"{word}=abcdefgh")
 
 
+def all_spans_cost(value):
+    """The least cost over every repeat, walk and brute-force span, built one by one."""
+    size, low, best = secretscan.math.log10(secretscan.alphabet(value)), value.lower(), [0.0]
+    log = secretscan.math.log10
+    for j in range(1, len(value) + 1):
+        options = []
+        for i in range(j):
+            n, costs = j - i, [(j - i) * size]
+            costs += [u * size + log(n // u) for u in (1, 2, 3, 4) if n % u == 0 and n >= max(3, 2 * u) and value[i:j] == value[i : i + u] * (n // u)]
+            if n >= 3 and all(p in secretscan.NEXT_TO for p in zip(low[i:j], low[i + 1 : j])):
+                costs.append(log(len(secretscan.ROWS) * 10 * n * 2))
+            options.append(best[i] + min(costs) + (0.3 if i else 0.0))
+        best.append(min(options))
+    return best[-1]
+
+
+def test_op9_takes_whole_values():
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefghXYZ0123456789+/_-"), 5000))
+    for word in ("auth", "pwd", "credentials", "private_key", "token"):
+        assert (len(word) + 2, len(word) + 2 + len(long), "guess") in secretscan.find_spans(f"{word}: {long} after")
+    for _ in range(300):
+        v = "".join(rng.choice([*"qwe1", "ab", "abab", "zzzz", "qwerty", "xyz" * 3, "1212"], rng.integers(1, 9)))
+        assert secretscan.guess_cost(v, {"none such": 1})[0] == pytest.approx(all_spans_cost(v))
+    for v in ("a" * 40_000, "ab" * 20_000, "qwerty" * 7_000):
+        start = time.process_time()
+        assert secretscan.guess_cost(v)[1][-1][2] == len(v)
+        assert time.process_time() - start < 20
+
+
 def test_guess_cost():
     for v in ("xkpassword", "dragonzq", "zqvmjx"):
         assert secretscan.guess_cost(v)[0] == pytest.approx(brute_cost(v))

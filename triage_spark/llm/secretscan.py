@@ -19,7 +19,7 @@ KINDS = ("assign", "access", "hex", "guess")
 HINTS = ("pass", "secret", "token", "api", "pwd", "credential", "private", "auth")  # each match of ASSIGN or CONTEXT holds one
 
 # Values that stand in a credential's context: what the method looks at.
-CONTEXT = re.compile(r"""(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credentials?|private_?key|auth)["']?(?:\s*[:=]\s*|\s+is\s+)["']?([^\s"'<>,;]{6,128})""")
+CONTEXT = re.compile(r"""(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credentials?|private_?key|auth)["']?(?:\s*[:=]\s*|\s+is\s+)["']?([^\s"'<>,;]{6,})""")
 
 # Common words of passwords, the most common first.
 COMMON = (
@@ -41,6 +41,32 @@ def alphabet(text: str) -> int:
     return n + 33 * any(not c.isalnum() for c in text) or 10
 
 
+class Run:
+    """The cheapest last span at each place that lies in a run: of one unit repeated, or of neighbouring keys.
+
+    A span (i, j) costs fixed + log10(j - i) on top of best[i]. What a start loses to an earlier one only grows
+    with j, so a start that an earlier one has beaten is dropped for good, and so is an earlier one that is not
+    cheaper by itself: few starts are held however long the run is.
+    """
+
+    def __init__(self, unit: int, least: int, fixed: float, kind: str):
+        self.unit, self.least, self.fixed, self.kind = unit, least, fixed, kind
+        self.begin, self.held = 0, [[] for _ in range(unit)]
+
+    def reach(self, j: int, goes_on: bool, best: list[tuple[float, int, str]]) -> list[tuple[float, int, str]]:
+        if not goes_on:
+            self.begin, self.held = max(0, j - self.unit), [[] for _ in range(self.unit)]
+            return []
+        held = self.held[j % self.unit]
+        if (i := j - self.least) >= self.begin:
+            held.append((best[i][0] + (0.3 if i else 0.0), i))
+        if not held:
+            return []
+        cost, at = min((own + math.log10(j - i), k) for k, (own, i) in enumerate(held))
+        held[:] = [h for h in held[:at] if h[0] < held[at][0]] + [held[at]]
+        return [(cost + self.fixed, held[-1][1], self.kind)]
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for a value, and its cheapest segmentation as (kind, start, end).
 
@@ -61,22 +87,17 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float,
             if rank:
                 varied = 2 if value[i:j] != low[i:j] or plain[i:j] != low[i:j] else 1
                 spans[j].append((i, math.log10(rank * varied + 1), "word"))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEXT_TO:
-            j += 1
-            if j - i >= 3:
-                spans[j].append((i, math.log10(len(ROWS) * 10 * (j - i) * 2), "walk"))
-        for unit in (1, 2, 3, 4):
-            j = i + unit
-            while j + unit <= n and value[j : j + unit] == value[i : i + unit]:
-                j += unit
-                if j - i >= 3:
-                    spans[j].append((i, unit * size + math.log10((j - i) // unit), "repeat"))
-    best = [(0.0, 0, "")]
+    runs = [Run(1, 3, math.log10(len(ROWS) * 10 * 2), "walk")]
+    runs += [Run(unit, 3 if unit == 1 else 2 * unit, unit * size - math.log10(unit), "repeat") for unit in (1, 2, 3, 4)]
+    best, start = [(0.0, 0, "")], (math.inf, 0)
     for j in range(1, n + 1):
         options = [(best[i][0] + cost + (0.3 if i else 0.0), i, kind) for i, cost, kind in spans[j]]
-        i = best[j - 1][1] if best[j - 1][2] == "brute" else j - 1  # a brute-force span grows by one
-        options += [(best[s][0] + (j - s) * size + (0.3 if s else 0.0), s, "brute") for s in {i, j - 1}]
+        for run in runs:
+            goes_on = j > run.unit and value[j - 1] == value[j - 1 - run.unit] if run.kind == "repeat" else j > 1 and (low[j - 2], low[j - 1]) in NEXT_TO
+            options += run.reach(j, goes_on, best)
+        i = j - 1
+        start = min(start, (best[i][0] - i * size + (0.3 if i else 0.0), i))  # the best one of a brute-force span
+        options.append((start[0] + j * size, start[1], "brute"))
         best.append(min(options))
     out, j = [], n
     while j:
