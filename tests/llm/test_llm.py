@@ -370,6 +370,18 @@ def test_op9_takes_whole_values():
         assert time.process_time() - start < 20
 
 
+def test_op9_learns_words(spark):
+    prose = ["An answer is required and the response was missing.", "Response times: nothing required, missing or simple.", "Simple words."]
+    keys = ["password: required", "token = response", "the secret is simple", "auth is missing", "pwd: fjqkzmvxtr", "pwd: fjqkzmvxtr", "pwd: Xk9#mQ2$vL"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate([*prose, *keys, None])], "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["secrets"]] for r in secretscan.scan(d).collect()}
+    assert [k for k in sorted(got) if "guess" in got[k]] == [7, 8, 9]
+    assert "guess" in [k for _, _, k in secretscan.find_spans("password: required")]
+    words = secretscan.learned_words(d)
+    assert words["password"] == 1 and "fjqkzmvxtr" not in words and {"required", "response", "simple", "missing"} <= set(words)
+    assert secretscan.guess_cost("2019990101")[1] == [("brute", 0, 2), ("date", 2, 10)]
+
+
 def test_guess_cost():
     for v in ("xkpassword", "dragonzq", "zqvmjx"):
         assert secretscan.guess_cost(v)[0] == pytest.approx(brute_cost(v))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,33 @@ COMMON = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("013457@$!", "oieastasi")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = [
+    re.compile(p)
+    for p in (
+        r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d",
+        r"(?:19|20)\d\d",
+    )
+]
 NEXT_TO = {pair for row in ROWS for a, b in zip(row, row[1:]) for pair in ((a, b), (b, a))} | {pair for r, s in zip(ROWS, ROWS[1:]) for a, b in zip(r, s) for pair in ((a, b), (b, a))}
 
 
+# Words learned from the documents.
+WORD = re.compile(r"[^\W\d_]{3,}")
+LETTERS, MOST_WORDS, LEAST_DOCS = 32, 1 << 17, 2  # longest word, words that are sent to the executors, documents a word stands in
+
+
+class Ranks(dict):
+    """Words with their ranks, the most common first, and the length of the longest."""
+
+    def __init__(self, ranks=()):
+        super().__init__(ranks)
+        self.longest = max(map(len, self), default=0)
+
+
+COMMON_RANKS = Ranks({w: k + 1 for k, w in enumerate(COMMON)})
+
+
 def alphabet(text: str) -> int:
     """Characters a brute-force guess must try: digits, lower, upper and other ones that occur."""
     classes = ((10, str.isdigit), (26, str.islower), (26, str.isupper))
@@ -74,14 +99,15 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float,
     look-alike digits), a date, a repeat, a keyboard walk, or a brute-force span (alphabet ** length). Each
     span costs one factor more, for where it begins.
     """
-    words = words or {w: k + 1 for k, w in enumerate(COMMON)}
+    words = words if isinstance(words, Ranks) else Ranks(words or COMMON_RANKS)
     n, low = len(value), value.lower()
-    longest, plain = max(map(len, words)), low.translate(LEET)
+    longest, plain = words.longest, low.translate(LEET)
     size = math.log10(alphabet(value))
     spans: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for m in DATE.finditer(value):
-        spans[m.end()].append((m.start(), math.log10(365 * 120 if m.end() - m.start() > 4 else 120), "date"))
     for i in range(n):
+        for date in DATES if value[i].isdigit() else ():
+            if m := date.match(value, i):
+                spans[m.end()].append((i, math.log10(365 * 120 if m.end() - i > 4 else 120), "date"))
         for j in range(i + 3, min(n, i + longest) + 1):
             rank = words.get(low[i:j]) or words.get(plain[i:j])
             if rank:
@@ -106,29 +132,54 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float,
     return best[n][0], out[::-1]
 
 
-def find_spans(text: str, least_cost: float = 8.0) -> list[tuple[int, int, str]]:
+def find_spans(text: str, least_cost: float = 8.0, words: dict[str, int] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed; code points, end exclusive."""
     out = [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     low = text.lower()
     if any(h in low for h in HINTS):
         out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        out += [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1])[0] >= least_cost]
+        out += [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1], words)[0] >= least_cost]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def learned_words(docs: DataFrame, text: str = "text") -> Ranks:
+    """COMMON and the MOST_WORDS words that stand in the most documents (LEAST_DOCS at least), by rank.
+
+    Values in a credential's context do not count, so that no secret becomes a word of its own. Only the words
+    that are kept reach the driver: a few MB at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = Counter()
+            for t in b.column(0).to_pylist():
+                low = t.lower()
+                if any(h in low for h in HINTS):
+                    low = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], t).lower()
+                n.update({w for w in WORD.findall(low) if len(w) <= LETTERS})
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "docs"])
+
+    counts = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
+    top = counts.filter(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "word").limit(MOST_WORDS).select("word").collect()
+    ranks = {r["word"]: k + 1 for k, r in enumerate(top)}
+    return Ranks(ranks | {w: min(k, ranks.get(w, k)) for w, k in COMMON_RANKS.items()})
+
+
 def scan(docs: DataFrame, least_cost: float = 8.0, text: str = "text") -> DataFrame:
     """Add `secrets`: array<struct<kind, start, end>> for each whole text (null: empty), in text order.
 
     Base kinds: assign, access, hex. The method adds 'guess': a value in a credential's context whose
     cheapest segmentation still costs 10^least_cost guesses; placeholders and walks like 'password123' stay
-    out. Each row stands alone: repeated rows get equal answers, an existing column `secrets` is replaced.
+    out, and so do values of ordinary words, which are learned from all rows. Repeated rows get equal answers, an existing column `secrets` is replaced.
     """
 
+    words = docs.sparkSession.sparkContext.broadcast(learned_words(docs, text))
+
     @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([[{"kind": k, "start": a, "end": b} for a, b, k in find_spans(t or "", least_cost)] for t in s], index=s.index, dtype=object)
+            yield pd.Series([[{"kind": k, "start": a, "end": b} for a, b, k in find_spans(t or "", least_cost, words.value)] for t in s], index=s.index, dtype=object)
 
     return docs.withColumn("secrets", find(F.coalesce(F.col(text), F.lit(""))))
 
