@@ -174,3 +174,12 @@ def test_identity(spark):
     d = spark.createDataFrame([("1:100:A:G", "G", 7, ["g"], 7, 7, None, "found", ["NC_000001.11:99:A:G"]), ("1:100:A:G", "G", 7, ["X"], 7, 7, None, "found", ["NC_000001.11:99:A:G"]), ("VCV7", "G", 7, ["G"], 7, 7, None, "found", [])], "variant_key string, gene string, clinvar_variation_id long, genes array<string>, variation_id long, source_variation_id long, accession string, status string, canonical_spdi array<string>")
     got = [(r["identity"], r["method"], r["identity_issues"]) for r in claims.identity_check(d).collect()]
     assert got == [("verified", "grch38_snv_spdi", []), ("blocked", "grch38_snv_spdi", ["clinvar_gene_mismatch"]), ("verified", "variation_id_key", [])]
+
+
+def test_group_splits_state_their_bound(spark):
+    from triage_spark.operators import features
+
+    d = spark.createDataFrame([(f"g{k % 4}", k % 2) for k in range(20)], "gene string, label int")
+    assert features.assign_group_splits(d, max_groups=4).count() == 20
+    with pytest.raises(ValueError, match="more than 3 groups"):
+        features.assign_group_splits(d, max_groups=3)

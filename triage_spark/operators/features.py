@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from triage_spark.functions import variants as V
 
 SPLITS = ("train", "validation", "test")
+MAX_GROUPS = 1_000_000  # groups that one greedy pass takes
 
 
-def assign_group_splits(df: DataFrame, group: str = "gene", label: str = "label", fractions: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
+def assign_group_splits(df: DataFrame, group: str = "gene", label: str = "label", fractions: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 42, max_groups: int = MAX_GROUPS) -> DataFrame:
     """Whole groups to splits by the least fill: 0.5 rows + 0.25 positives + 0.25 negatives, each against its target.
 
     Group totals are summed on Spark; the greedy pass needs them in one order, largest first, so it runs on
     totals only (one row per group, ties by hash), and the answer is joined back. The first three groups
-    seed one split each. For more groups than one pass can hold use assign_hash_splits.
+    seed one split each. One task holds all totals, so more than max_groups groups raise a ValueError before the
+    pass; assign_hash_splits, which has no such bound, is then the caller's choice.
     """
     totals = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).withColumn("tie", F.xxhash64(group, F.lit(seed)))
+    if totals.limit(max_groups + 1).count() > max_groups:
+        raise ValueError(f"more than {max_groups} groups of {group}: the greedy pass takes them in one task; choose assign_hash_splits instead")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "tie"], ascending=[False, True])
