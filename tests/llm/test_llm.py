@@ -370,7 +370,7 @@ def test_op9_takes_whole_values():
         assert time.process_time() - start < 20
 
 
-def test_op9_learns_words(spark):
+def test_op9_learns_words(spark, monkeypatch):
     prose = ["An answer is required and the response was missing.", "Response times: nothing required, missing or simple.", "Simple words."]
     keys = ["password: required", "token = response", "the secret is simple", "auth is missing", "pwd: fjqkzmvxtr", "pwd: fjqkzmvxtr", "pwd: Xk9#mQ2$vL"]
     d = spark.createDataFrame([(k, t) for k, t in enumerate([*prose, *keys, None])], "doc_id long, text string")
@@ -379,6 +379,9 @@ def test_op9_learns_words(spark):
     assert "guess" in [k for _, _, k in secretscan.find_spans("password: required")]
     words = secretscan.learned_words(d)
     assert words["password"] == 1 and "fjqkzmvxtr" not in words and {"required", "response", "simple", "missing"} <= set(words)
+    for most, want in ((6, {"pwd", "the", "required", "response", "missing", "simple"}), (5, {"pwd"})):
+        monkeypatch.setattr(secretscan, "MOST_WORDS", most)
+        assert set(secretscan.learned_words(d)) - set(secretscan.COMMON) == want
     assert secretscan.guess_cost("2019990101")[1] == [("brute", 0, 2), ("date", 2, 10)]
 
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triage_spark.llm.common import checkpoint
+
 # The base patterns.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -144,7 +146,9 @@ def find_spans(text: str, least_cost: float = 8.0, words: dict[str, int] | None
 
 
 def learned_words(docs: DataFrame, text: str = "text") -> Ranks:
-    """COMMON and the MOST_WORDS words that stand in the most documents (LEAST_DOCS at least), by rank.
+    """COMMON and the words that stand in the most documents (LEAST_DOCS at least), by rank.
+
+    All words down to the number of documents at which no more than MOST_WORDS are reached.
 
     Values in a credential's context do not count, so that no secret becomes a word of its own. Only the words
     that are kept reach the driver: a few MB at most.
@@ -161,7 +165,15 @@ def learned_words(docs: DataFrame, text: str = "text") -> Ranks:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "docs"])
 
     counts = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
-    top = counts.filter(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "word").limit(MOST_WORDS).select("word").collect()
+    counts = checkpoint(counts.filter(F.col("docs") >= LEAST_DOCS))
+    # the lowest number of documents that fits, from one row per number: a sort with a limit would send one list per task
+    kept, least = 0, None
+    for r in sorted(counts.groupBy("docs").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["docs"]):
+        kept += r["words"]
+        if kept > MOST_WORDS:
+            break
+        least = r["docs"]
+    top = sorted(counts.filter(F.col("docs") >= least).collect(), key=lambda r: (-r["docs"], r["word"])) if least is not None else []
     ranks = {r["word"]: k + 1 for k, r in enumerate(top)}
     return Ranks(ranks | {w: min(k, ranks.get(w, k)) for w, k in COMMON_RANKS.items()})
 
