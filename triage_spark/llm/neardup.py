@@ -1,11 +1,22 @@
-"""Near-duplicate classes: MinHash with tensored banding, then exact checks on full shingle sets."""
+"""Near-duplicate classes: MinHash with tensored banding, then exact checks on full shingle sets.
+
+How a table with many members is searched without all its pairs. One member, the pivot m, is held against each
+other member x: with A the shingles of x that m lacks, R those of m that x lacks and d = |A| + |R|, x is near m if
+d <= k (|x| + |m|), k = (100 - percent) / (100 + percent). Two members near m are linked through it. For any other
+pair (x, y) that is to be linked, one of both, say x, is far from m, and |x ^ y| <= k (|x| + |y|) asks for shared
+differences from m: of the added ones at least g = (|Ax| + |Ay| + ||Rx| - |Ry|| - k (|x| + |y|)) / 2. As |y| is |m| + |Ay| - |Ry|,
+g >= (d_x + |y| - |m| - k (|x| + |y|)) / 2, which is above 0 unless y is smaller than m; then
+h = (|Rx| + |Ry| + ||Ax| - |Ay|| - k (|x| + |y|)) / 2 > 0 removed ones are shared. So the pair shares an element among the first
+|A| - g + 1 added ones of both (or the first |R| - h + 1 removed ones), in the order of their hashes. These
+elements are the next, smaller tables, searched in the same way: what has to be compared stays in proportion to
+the differences, and no link is lost. Pivots fall in one fixed order, so the search ends.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +28,6 @@ from triage_spark.llm.graph import connected_components
 SHINGLE = 5
 ROWS = 3  # minhashes of a collection; a table key is a pair of collections
 MISS = 1e-3  # at most this share of the single pairs right at the threshold meets in no table
-LARGE, MEMBERS, ASKS = 24, 256, 1024  # members of a table that is searched in blocks; members and asks of a block
 SLICE_BYTES = 1 << 20  # text that one vector step takes together
 
 SEED = 20240501
@@ -133,29 +143,35 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two longs of a whole set, which stand for it."""
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s * MULTIPLIER)).view(np.int64))
+
+
 def signatures(docs: DataFrame, key: str, text: str, collections: int) -> DataFrame:
-    """node, n (set size), set_hash (two longs of the whole set), collections (one long per collection), mins."""
+    """One row per row: key, content (hash of the text), n (set size), h1, h2 (of the whole set), collections (one long each)."""
     functions = hash_functions(collections)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h1, h2, keys, mins = [], [], [], [], []
-            for s in sets_of(text_bytes(b.column(1))):
+            n, h1, h2, keys = [], [], [], []
+            for s in sets_of(text_bytes(b.column(2))):
                 n.append(len(s))
                 if not len(s):
-                    h1.append(None), h2.append(None), keys.append(None), mins.append(None)
+                    h1.append(None), h2.append(None), keys.append(None)
                     continue
-                h1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(np.bitwise_xor.reduce(mix(s * MULTIPLIER)).view(np.int64)))
-                m = minhashes(s, functions)
+                for to, h in zip((h1, h2), set_hashes(s)):
+                    to.append(h)
                 row = np.arange(collections, dtype=np.uint64)
-                for part in m.reshape(collections, ROWS).T:
+                for part in minhashes(s, functions).reshape(collections, ROWS).T:
                     row = mix(row * WORD_STEP + part.astype(np.uint64))
                 keys.append(row.view(np.int64).tolist())
-                mins.append(m.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], names=["node", "n", "h1", "h2", "collections", "mins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
-    return docs.select(F.col(key).alias("node"), text).mapInArrow(sign, "node bigint, n bigint, h1 bigint, h2 bigint, collections array<bigint>, mins binary")
+    longs = ("content", "n", "h1", "h2")
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("collections", T.ArrayType(T.LongType()))])
+    names = schema.names
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("content"), F.col(text).alias("text")).mapInArrow(sign, schema)
 
 
 def table_keys(reps: DataFrame, collections: int) -> DataFrame:
@@ -165,145 +181,142 @@ def table_keys(reps: DataFrame, collections: int) -> DataFrame:
     return reps.select("node", "n", F.explode(keys).alias("table_key"))
 
 
-def near_enough(a: str, b: str, percent: int) -> str:
-    """Sets whose sizes alone rule the likeness out need no check."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def stars(members: DataFrame) -> DataFrame:
+    """(a, b): the pivot of each table and its other members, with n and weight of b and the least n that b meets.
+
+    The pivot is the member of the greatest weight. `members`: table_key, node, n, weight.
+    """
+    pivots = members.groupBy("table_key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "node")).alias("p"), F.min("n").alias("lo"))
+    met = members.join(pivots, "table_key").filter("node <> p.node")
+    return met.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.min("lo").alias("lo"), F.first("n").alias("n"), F.first("weight").alias("weight"))
 
 
-def stored_sets(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """node, s: the sorted shingle set, as bytes, of each of the nodes; their texts are read again."""
+def stored_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """node, s: the sorted shingle set, as bytes, of each of the nodes; one text of each is read again."""
+    wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("head.key").alias("key"), "n", "h1", "h2")
+    heads = wanted.select(F.col("key").alias("head__")).distinct()
+    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(text_bytes(b.column(1)))], pa.binary())], names=["node", "s"])
+            sets = [s for s in sets_of(text_bytes(b.column(0))) if len(s)]
+            h = np.array([set_hashes(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "h2", "s"])
 
-    return docs.select(key, text).join(nodes.select(F.col("node").alias(key)).distinct(), key, "left_semi").mapInArrow(build, "node bigint, s binary")
+    sets = read.join(heads, F.col("key").eqNullSafe(F.col("head__")), "left_semi").select("text").mapInArrow(build, "h1 bigint, h2 bigint, s binary")
+    return sets.join(wanted, ["h1", "h2"]).filter(F.octet_length("s") == 8 * F.col("n")).groupBy("node").agg(F.first("s").alias("s"))
 
 
-def links_in_neighbourhoods(members: DataFrame, asks: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Links (a, b) between asks and members of one neighbourhood (node, area, component), as spanning forests.
+def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether x is near the pivot m, and the first added and first removed elements that a further link of x must share.
 
-    A neighbourhood is dealt to blocks of about MEMBERS and its asks to salts of about ASKS, so a group stays small
-    however large it is; inside, an inverted index of the members' shingles counts the intersections of each
-    ask with all of them at once, and a link is written only if it joins two classes that the group had apart.
+    least_size: the smallest set that x may be linked with. See the head of this module.
     """
-    blocks = members.groupBy("area").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    shape = blocks.join(asks.groupBy("area").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("salts")), "area")
-    m = members.join(shape, "area").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    q = asks.join(shape, "area").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = stored_sets(members.join(shape, "area", "left_semi").select("node"), docs, key, text)
-    by = ["area", "block", "salt"]
-
-    def search(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        found, parent = [], {}
-        if len(have) and len(ask):
-            held = [np.frombuffer(s, np.uint64) for s in have.s]
-            sizes = np.array([len(s) for s in held])
-            owner = np.repeat(np.arange(len(held)), sizes)
-            shingles = np.concatenate(held)
-            order = np.argsort(shingles, kind="stable")
-            shingles, owner = shingles[order], owner[order]
-            nodes, labels = have.node.to_numpy(), have.component.to_numpy()
-            for node, label, s in zip(ask.node__, ask.component__, ask.s__):
-                s = np.frombuffer(s, np.uint64)
-                lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(held))
-                for k in np.flatnonzero(100 * both >= percent * (len(s) + sizes - both)):
-                    x, y = root(parent, int(label)), root(parent, int(labels[k]))
-                    if x != y:
-                        parent[x] = y
-                        found.append((int(node), int(nodes[k])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    left = m.join(sets, "node").select(*by, "node", "component", "s").groupBy(*by)
-    right = q.join(sets.select(F.col("node").alias("node__"), F.col("s").alias("s__")), F.col("node") == F.col("node__"))
-    right = right.select(*[F.col(c).alias(f"{c}__") for c in (*by, "component")], "node__", "s__").groupBy(*[f"{c}__" for c in by])
-    return left.cogroup(right).applyInPandas(search, "a bigint, b bigint")
-
-
-def root(parent: dict[int, int], k: int) -> int:
-    while k in parent:
-        k = parent[k]
-    return k
-
-
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets.
-
-    Pairs far below the threshold by their minhashes are dropped first (six standard deviations under it);
-    only texts still in a pair are read again for their sets.
+    more, less = 100 + percent, 100 - percent
+    place = np.searchsorted(m, x)
+    common = m[np.minimum(place, len(m) - 1)] == x
+    added, both = x[~common], int(common.sum())
+    d = len(x) + len(m) - 2 * both
+    over = more * d - less * (len(x) + len(m))
+    if over <= 0:
+        g, h, smaller = max(1, percent * (len(x) - len(m)) // more + 1), 1, len(x) < len(m)
+    else:
+        partner = max(least_size, -(-percent * len(x) // 100))
+        g = max(1, -(-(more * (d - len(m)) - less * len(x) + 2 * percent * partner) // (2 * more)))
+        h, smaller = -(-over // (2 * more)), 2 * percent * (len(m) - least_size) >= over
+    removed = m[:0]
+    if smaller:
+        gone = np.ones(len(m), dtype=bool)
+        gone[place[common]] = False
+        removed = m[gone]
+        removed = removed[: max(0, len(removed) - h + 1)]
+    return over <= 0, added[: max(0, len(added) - g + 1)], removed
+
+
+def verify(star: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """a, b, n, weight, near (100 * intersection >= percent * union of the full sets), shared (elements to meet at next).
+
+    A pivot of very many members is a hot key of the joins, which Spark's skew join splits: they feed no aggregate.
     """
-    p = percent / 100
-    k = collections_for(percent) * ROWS
-    least = int(k * p - 6 * (k * p * (1 - p)) ** 0.5)
-    mins = reps.select("node", "mins")
+    sets = checkpoint(stored_sets(star.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, key, text))
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint32).reshape(-1, k) for c in (2, 3))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+            near, shared = [], []
+            for lo, m, x in zip(b.column(4).to_pylist(), b.column(5), b.column(6)):
+                is_near, added, removed = differences(np.frombuffer(m.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), lo, percent)
+                near.append(is_near)
+                shared.append(np.concatenate([added, ~removed]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, shared)]), pa.int32()), pa.array(np.concatenate([*shared, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.bool_()), lists], names=names)
+
+    joined = star.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    names = ["a", "b", "n", "weight", "near", "shared"]
+    return joined.select("a", "b", "n", "weight", "lo", "sa", "sb").mapInArrow(check, "a bigint, b bigint, n bigint, weight bigint, near boolean, shared array<bigint>")
+
+
+def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """node, component of all sets that are linked with another one."""
+    keys = table_keys(classes, collections)
+    tables = keys.groupBy("table_key").agg(F.count("*").alias("members")).filter("members > 1")
+    members = checkpoint(keys.join(tables, "table_key"))
+    weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = members.drop("members").join(weights, "node")
+    found = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    while True:
+        star = checkpoint(stars(members))
+        if star.isEmpty():
+            return found
+        done = checkpoint(verify(star, classes, docs, key, text, percent))
+        edges = done.filter("near").select("a", "b").unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        found = checkpoint(connected_components(edges))
+        # next: what shares an element, if it is not one component yet
+        shared = done.select("a", F.col("b").alias("node"), "n", "weight", F.explode("shared").alias("element")).withColumn("table_key", F.xxhash64("a", "element"))
+        named = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("table_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("table_key")
+        members = named.join(mixed, "table_key").select("table_key", "node", "n", "weight")
+
+
+def row_classes(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: key, content, n, head (unknown, key, row: of the first row of its class), row."""
+    collections = collections_for(percent)
+    signed = checkpoint(signatures(docs, key, text, collections).withColumn("row", F.monotonically_increasing_id()))
+    head = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row")).alias("head")
+    classes = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(head, F.first("collections").alias("collections"))
+    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    found = linked(classes, collections, docs, key, text, percent)
+    named = classes.select("node", "h1", "h2", "n", "head").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = named.groupBy("component").agg(F.min("head").alias("first"))
+    known = named.join(heads, "component").select("h1", "h2", "n", "first")
+    out = signed.select("key", "content", "row", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
+    own = F.struct(F.col("key").isNull().alias("unknown"), "key", "row")
+    return out.select("key", "content", "row", "n", F.coalesce("first", own).alias("head"))
 
-    both = pairs.join(mins.select(F.col("node").alias("a"), F.col("mins").alias("ma")), "a").join(mins.select(F.col("node").alias("b"), F.col("mins").alias("mb")), "b")
-    pairs = checkpoint(both.select("a", "b", "ma", "mb").mapInArrow(alike, "a bigint, b bigint"))
-    sets = stored_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, key, text)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id (smallest key reachable over links, itself included), kept: one row per row.
+
+    Texts of one shingle set are one node. Nodes that agree in a table (a pair of collections of minhashes) are
+    compared by pivots (see the head of this module); every link is confirmed on the full sets.
+    `kept` holds for one row of each class, that of the smallest key (for unique keys: key = component_id); of rows
+    that repeat it, for one. Null keys come last: a class of such rows alone has a null component_id.
+    Rows without words (or a null text) are linked with nothing and kept. Keys may be of any type with an order;
+    long texts are whole sets; other columns are not read, whatever their names; an empty table gives no rows.
+    """
+    rows = row_classes(docs, percent, key, text)
+    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("head.key").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept"))
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct()
 
+def keep_one(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without all but one of each near-duplicate class (as `kept` says).
 
-def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (smallest key reachable over links, itself included), kept.
-
-    Texts with one shingle set are first joined to the smallest key among them. Then, for the different sets:
-    every table's first member is held against its others, and the links found give classes. Then, within each
-    table, members of different classes are held against each other, so that no link between classes is lost: pair by
-    pair in tables of fewer than LARGE members, else in blocks through an inverted index, of which only links come
-    out. Pairs inside a class are never built. Every link is confirmed on the full sets.
-    Texts without words (or null) are linked with nothing; rows with a null key keep a null component and stay;
-    rows that repeat a key count as one node (each row comes back, and equal texts are one class anyway).
+    Rows are told apart by key and text, so a row goes or stays whatever others share its key; of
+    rows equal in both, one stays.
     """
-    collections = collections_for(percent)
-    signed = checkpoint(signatures(docs, key, text, collections))
-    filled = signed.filter("n > 0 AND node IS NOT NULL")
-    classes = filled.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
-    classes = checkpoint(classes)
-    reps = checkpoint(filled.join(classes.select(F.col("rep").alias("node"), "h1", "h2", "n"), ["h1", "h2", "n", "node"]).dropDuplicates(["h1", "h2", "n", "node"]))
-    keys = table_keys(reps, collections)
-    shared = keys.groupBy("table_key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("first")).filter("members > 1")
-    members = checkpoint(keys.join(shared.select("table_key", "first"), "table_key"))
-    star = members.filter(f"node <> first.node AND {near_enough('n', 'first.n', percent)}").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = checkpoint(verify(star, reps, docs, key, text, percent))
-    found = checkpoint(connected_components(links))
-    named = members.select("table_key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("table_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("node").alias("head")).filter("lo < hi")
-    left = checkpoint(named.join(mixed.select("table_key", "members", "head"), "table_key"))
-    # tables with many members: what they connect is a neighbourhood, searched as one; its largest class need not ask
-    area = connected_components(left.filter(f"members >= {LARGE} AND node <> head").select("node", "head").distinct(), "node", "head").withColumnRenamed("component", "area")
-    area = checkpoint(area.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    largest = area.groupBy("area", "component").agg(F.count("*").alias("n")).groupBy("area").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    asks = area.join(largest, "area").filter("component <> largest").select("node", "area", "component")
-    met = links_in_neighbourhoods(area, asks, docs, key, text, percent)
-    # all other tables have fewer than LARGE members, so their pairs stay in proportion to their rows
-    left = left.filter(f"members < {LARGE}").join(area.select("node", "area"), "node", "left")
-    x = left.select("table_key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "area")])
-    y = left.select("table_key", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "area")])
-    apart = f"node_x < node_y AND component_x <> component_y AND NOT coalesce(area_x = area_y, false) AND {near_enough('n_x', 'n_y', percent)}"
-    rest = x.join(y, "table_key").filter(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verify(rest, reps, docs, key, text, percent)
-    found = checkpoint(connected_components(links.unionByName(more).unionByName(met)))
-    copies = classes.select("h1", "h2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("node", "n", "h1", "h2").join(copies, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("node").isNotNull(), F.coalesce(F.least("component", "node"), "node"))
-    return out.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("node")).alias("kept"))
+    rows = row_classes(docs, percent, key, text)
+    groups = rows.groupBy("key", "content").agg(F.count("*").alias("rows"), F.max((F.col("head.row") == F.col("row")).cast("int")).alias("kept"))
+    changed = checkpoint(groups.filter("rows > 1 OR kept = 0").select(F.col("key").alias("key__"), F.col("content").alias("content__"), "kept"))
+    same = F.col(key).eqNullSafe(F.col("key__")) & (F.xxhash64(text) == F.col("content__"))
+    stay = docs.join(changed, same, "left_anti")
+    again = docs.join(changed.filter("kept = 1"), same, "left_semi").withColumn("content__", F.xxhash64(text)).dropDuplicates([key, "content__"]).drop("content__")
+    return stay.unionByName(again)
