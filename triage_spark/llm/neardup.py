@@ -8,8 +8,9 @@ differences from m: of the added ones at least g = (|Ax| + |Ay| + ||Rx| - |Ry||
 g >= (d_x + |y| - |m| - k (|x| + |y|)) / 2, which is above 0 unless y is smaller than m; then
 h = (|Rx| + |Ry| + ||Ax| - |Ay|| - k (|x| + |y|)) / 2 > 0 removed ones are shared. So the pair shares an element among the first
 |A| - g + 1 added ones of both (or the first |R| - h + 1 removed ones), in the order of their hashes. These
-elements are the next, smaller tables, searched in the same way: what has to be compared stays in proportion to
-the differences, and no link is lost. Pivots fall in one fixed order, so the search ends.
+elements are the next, smaller tables. A next table of at most FULL members is compared in full, a larger one by a
+pivot again, so the pairs stay in proportion to the tables' rows and no link is lost. Pivots fall in one fixed
+order, so the search ends; a table that is one component already is left alone.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from triage_spark.llm.graph import connected_components
 SHINGLE = 5
 ROWS = 3  # minhashes of a collection; a table key is a pair of collections
 MISS = 1e-3  # at most this share of the single pairs right at the threshold meets in no table
+FULL = 32  # members up to which a next table is compared in full
 SLICE_BYTES = 1 << 20  # text that one vector step takes together
 
 SEED = 20240501
@@ -186,14 +188,28 @@ def stars(members: DataFrame) -> DataFrame:
 
     The pivot is the member of the greatest weight. `members`: table_key, node, n, weight.
     """
-    pivots = members.groupBy("table_key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "node")).alias("p"), F.min("n").alias("lo"))
+    pivots = checkpoint(members.groupBy("table_key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "node")).alias("p"), F.min("n").alias("lo")))
     met = members.join(pivots, "table_key").filter("node <> p.node")
     return met.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.min("lo").alias("lo"), F.first("n").alias("n"), F.first("weight").alias("weight"))
 
 
-def stored_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """node, s: the sorted shingle set, as bytes, of each of the nodes; one text of each is read again."""
-    wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("head.key").alias("key"), "n", "h1", "h2")
+def near_enough(a: str, b: str, percent: int) -> str:
+    """Sets whose sizes alone rule the likeness out need no check."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def next_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs to compare of the next tables: all of small ones (with a null lo), the stars of large ones."""
+    small = members.filter(f"members <= {FULL}")
+    x, y = (small.select("table_key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component")]) for side in "xy")
+    apart = f"node_x < node_y AND component_x <> component_y AND {near_enough('n_x', 'n_y', percent)}"
+    full = x.join(y, "table_key").filter(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    null = F.lit(None).cast("bigint")
+    return stars(members.filter(f"members > {FULL}")).unionByName(full.select("a", "b", null.alias("lo"), null.alias("n"), null.alias("weight")))
+
+
+def stored_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """node, s: the sorted shingle set, as bytes, of each wanted node (node, key, n, h1, h2); one text of each is read again."""
     heads = wanted.select(F.col("key").alias("head__")).distinct()
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
@@ -233,24 +249,23 @@ def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) ->
     return over <= 0, added[: max(0, len(added) - g + 1)], removed
 
 
-def verify(star: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, n, weight, near (100 * intersection >= percent * union of the full sets), shared (elements to meet at next).
 
-    A pivot of very many members is a hot key of the joins, which Spark's skew join splits: they feed no aggregate.
+    A pivot of very many members is a hot key of the joins, which Spark's skew join splits: both sides are plain tables.
     """
-    sets = checkpoint(stored_sets(star.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, key, text))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near, shared = [], []
             for lo, m, x in zip(b.column(4).to_pylist(), b.column(5), b.column(6)):
-                is_near, added, removed = differences(np.frombuffer(m.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), lo, percent)
+                is_near, added, removed = differences(np.frombuffer(m.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), lo or 0, percent)
                 near.append(is_near)
-                shared.append(np.concatenate([added, ~removed]).view(np.int64))
+                shared.append(np.concatenate([added, ~removed] if lo is not None else [added[:0]]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, shared)]), pa.int32()), pa.array(np.concatenate([*shared, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.bool_()), lists], names=names)
 
-    joined = star.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     names = ["a", "b", "n", "weight", "near", "shared"]
     return joined.select("a", "b", "n", "weight", "lo", "sa", "sb").mapInArrow(check, "a bigint, b bigint, n bigint, weight bigint, near boolean, shared array<bigint>")
 
@@ -258,23 +273,25 @@ def verify(star: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text:
 def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """node, component of all sets that are linked with another one."""
     keys = table_keys(classes, collections)
-    tables = keys.groupBy("table_key").agg(F.count("*").alias("members")).filter("members > 1")
+    tables = checkpoint(keys.groupBy("table_key").agg(F.count("*").alias("members")).filter("members > 1"))
     members = checkpoint(keys.join(tables, "table_key"))
     weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
-    members = members.drop("members").join(weights, "node")
+    pairs = checkpoint(stars(members.drop("members").join(weights, "node")))
+    wanted = classes.join(weights.select("node"), "node", "left_semi").select("node", F.col("head.key").alias("key"), "n", "h1", "h2")
+    sets = checkpoint(stored_sets(wanted, docs, key, text))
     found = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
-    while True:
-        star = checkpoint(stars(members))
-        if star.isEmpty():
-            return found
-        done = checkpoint(verify(star, classes, docs, key, text, percent))
-        edges = done.filter("near").select("a", "b").unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        found = checkpoint(connected_components(edges))
-        # next: what shares an element, if it is not one component yet
+    while not pairs.isEmpty():
+        done = checkpoint(verify(pairs, sets, percent))
+        edges = done.filter("near").select("a", "b")
+        if not edges.isEmpty():
+            found = checkpoint(connected_components(edges.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))))
+        # next: tables of what shares an element, but for those that are one component
         shared = done.select("a", F.col("b").alias("node"), "n", "weight", F.explode("shared").alias("element")).withColumn("table_key", F.xxhash64("a", "element"))
-        named = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("table_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("table_key")
-        members = named.join(mixed, "table_key").select("table_key", "node", "n", "weight")
+        named = shared.drop("a", "element").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("table_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+        members = checkpoint(named.join(checkpoint(mixed.select("table_key", "members")), "table_key"))
+        pairs = checkpoint(next_pairs(members, percent))
+    return found
 
 
 def row_classes(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,7 +303,7 @@ def row_classes(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: s
     classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
     found = linked(classes, collections, docs, key, text, percent)
     named = classes.select("node", "h1", "h2", "n", "head").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = named.groupBy("component").agg(F.min("head").alias("first"))
+    heads = checkpoint(named.groupBy("component").agg(F.min("head").alias("first")))
     known = named.join(heads, "component").select("h1", "h2", "n", "first")
     out = signed.select("key", "content", "row", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
     own = F.struct(F.col("key").isNull().alias("unknown"), "key", "row")
