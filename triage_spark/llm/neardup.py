@@ -7,10 +7,11 @@ pair (x, y) that is to be linked, one of both, say x, is far from m, and |x ^ y|
 differences from m: of the added ones at least g = (|Ax| + |Ay| + ||Rx| - |Ry|| - k (|x| + |y|)) / 2. As |y| is |m| + |Ay| - |Ry|,
 g >= (d_x + |y| - |m| - k (|x| + |y|)) / 2, which is above 0 unless y is smaller than m; then
 h = (|Rx| + |Ry| + ||Ax| - |Ay|| - k (|x| + |y|)) / 2 > 0 removed ones are shared. So the pair shares an element among the first
-|A| - g + 1 added ones of both (or the first |R| - h + 1 removed ones), in the order of their hashes. These
-elements are the next, smaller tables. A next table of at most FULL members is compared in full, a larger one by a
+|A| - g + 1 added ones of both (or the first |R| - h + 1 removed ones), in any one order: the rarest among the
+members of m first. These elements are the next, smaller tables, whose pivots are the members with the fewest
+elements of their own, which are near most others. A next table of at most FULL members is compared in full, a larger one by a
 pivot again, so the pairs stay in proportion to the tables' rows and no link is lost. Pivots fall in one fixed
-order, so the search ends; a table that is one component already is left alone.
+order, so the search ends; a table of members that are all near its pivot is left alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +30,7 @@ from triage_spark.llm.graph import connected_components
 SHINGLE = 5
 ROWS = 3  # minhashes of a collection; a table key is a pair of collections
 MISS = 1e-3  # at most this share of the single pairs right at the threshold meets in no table
-FULL = 32  # members up to which a next table is compared in full
+FULL = 64  # members up to which a next table is compared in full
 SLICE_BYTES = 1 << 20  # text that one vector step takes together
 
 SEED = 20240501
@@ -199,10 +200,13 @@ def near_enough(a: str, b: str, percent: int) -> str:
 
 
 def next_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """The pairs to compare of the next tables: all of small ones (with a null lo), the stars of large ones."""
+    """The pairs to compare of the next tables: all of small ones (with a null lo), the stars of large ones.
+
+    Two members near the table's pivot are linked through it already.
+    """
     small = members.filter(f"members <= {FULL}")
-    x, y = (small.select("table_key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component")]) for side in "xy")
-    apart = f"node_x < node_y AND component_x <> component_y AND {near_enough('n_x', 'n_y', percent)}"
+    x, y = (small.select("table_key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near")]) for side in "xy")
+    apart = f"node_x < node_y AND NOT (near_x AND near_y) AND {near_enough('n_x', 'n_y', percent)}"
     full = x.join(y, "table_key").filter(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     null = F.lit(None).cast("bigint")
     return stars(members.filter(f"members > {FULL}")).unionByName(full.select("a", "b", null.alias("lo"), null.alias("n"), null.alias("weight")))
@@ -223,8 +227,9 @@ def stored_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> Data
     return sets.join(wanted, ["h1", "h2"]).filter(F.octet_length("s") == 8 * F.col("n")).groupBy("node").agg(F.first("s").alias("s"))
 
 
-def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) -> tuple[bool, np.ndarray, np.ndarray]:
-    """Whether x is near the pivot m, and the first added and first removed elements that a further link of x must share.
+def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) -> tuple[bool, np.ndarray, int, np.ndarray, int]:
+    """Whether x is near the pivot m; its added elements and how many of them, in one order, hold one that a further
+    link of x must share; the same of the removed elements (none where no link can rest on them alone).
 
     least_size: the smallest set that x may be linked with. See the head of this module.
     """
@@ -245,29 +250,49 @@ def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) ->
         gone = np.ones(len(m), dtype=bool)
         gone[place[common]] = False
         removed = m[gone]
-        removed = removed[: max(0, len(removed) - h + 1)]
-    return over <= 0, added[: max(0, len(added) - g + 1)], removed
+    return over <= 0, added, max(0, len(added) - g + 1), removed, max(0, len(removed) - h + 1)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, n, weight, near (100 * intersection >= percent * union of the full sets), shared (elements to meet at next).
+    """a, b, n, weight, near (100 * intersection >= percent * union of the full sets), added, keep, removed, keep_removed.
 
     A pivot of very many members is a hot key of the joins, which Spark's skew join splits: both sides are plain tables.
     """
 
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, shared = [], []
+            near, added, keep, removed, keep_removed = [], [], [], [], []
             for lo, m, x in zip(b.column(4).to_pylist(), b.column(5), b.column(6)):
-                is_near, added, removed = differences(np.frombuffer(m.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), lo or 0, percent)
-                near.append(is_near)
-                shared.append(np.concatenate([added, ~removed] if lo is not None else [added[:0]]).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, shared)]), pa.int32()), pa.array(np.concatenate([*shared, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.bool_()), lists], names=names)
+                found = differences(np.frombuffer(m.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), lo or 0, percent)
+                wanted = found if lo is not None and found[2] + found[4] else (found[0], found[1][:0], 0, found[3][:0], 0)
+                for to, v in zip((near, added, keep, removed, keep_removed), wanted):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.bool_()), lists(added), pa.array(keep, pa.int64()), lists(removed), pa.array(keep_removed, pa.int64())], names=names)
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    names = ["a", "b", "n", "weight", "near", "shared"]
-    return joined.select("a", "b", "n", "weight", "lo", "sa", "sb").mapInArrow(check, "a bigint, b bigint, n bigint, weight bigint, near boolean, shared array<bigint>")
+    names = ["a", "b", "n", "weight", "near", "added", "keep", "removed", "keep_removed"]
+    schema = "a bigint, b bigint, n bigint, weight bigint, near boolean, added array<bigint>, keep bigint, removed array<bigint>, keep_removed bigint"
+    return joined.select("a", "b", "n", "weight", "lo", "sa", "sb").mapInArrow(check, schema)
+
+
+def next_members(done: DataFrame) -> DataFrame:
+    """table_key, node, n, weight, near, own, members: the next tables, one for each pivot and element that is shared.
+
+    An element that no other member has (`own` counts them) takes its place in the order, but makes no table.
+    """
+    own = ("a", F.col("b").alias("node"), "n", "weight", "near")
+    added = done.select(*own, F.lit(0).alias("kind"), F.explode("added").alias("element"), "keep", F.size("added").alias("all"))
+    removed = done.select(*own, F.lit(1).alias("kind"), F.explode("removed").alias("element"), F.col("keep_removed").alias("keep"), F.size("removed").alias("all"))
+    each = added.unionByName(removed).withColumn("table_key", F.xxhash64("a", "kind", "element")).drop("element")
+    shared = checkpoint(each.groupBy("table_key").agg(F.count("*").alias("have")).filter("have > 1"))
+    w = Window.partitionBy("a", "node", "kind")
+    ranked = each.join(shared, "table_key").withColumn("common", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("have", "table_key")))
+    first = checkpoint(ranked.filter("place <= keep - (all - common)").select("table_key", "node", "n", "weight", "near", (F.col("all") - F.col("common")).alias("own")))
+    open_ = checkpoint(first.groupBy("table_key").agg(F.count("*").alias("members"), F.every("near").alias("all_near")).filter("members > 1 AND NOT all_near").drop("all_near"))
+    return first.join(open_, "table_key")
 
 
 def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -279,19 +304,17 @@ def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text
     pairs = checkpoint(stars(members.drop("members").join(weights, "node")))
     wanted = classes.join(weights.select("node"), "node", "left_semi").select("node", F.col("head.key").alias("key"), "n", "h1", "h2")
     sets = checkpoint(stored_sets(wanted, docs, key, text))
-    found = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    own = None
     while not pairs.isEmpty():
         done = checkpoint(verify(pairs, sets, percent))
-        edges = done.filter("near").select("a", "b")
-        if not edges.isEmpty():
-            found = checkpoint(connected_components(edges.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))))
-        # next: tables of what shares an element, but for those that are one component
-        shared = done.select("a", F.col("b").alias("node"), "n", "weight", F.explode("shared").alias("element")).withColumn("table_key", F.xxhash64("a", "element"))
-        named = shared.drop("a", "element").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("table_key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
-        members = checkpoint(named.join(checkpoint(mixed.select("table_key", "members")), "table_key"))
+        links = links.unionByName(done.filter("near").select("a", "b"))
+        members = checkpoint(next_members(done))
+        if own is None:  # from here on the order of the pivots: it must stay, so that the search ends
+            own = members.groupBy("node").agg((-F.min("own")).alias("weight"))
+            members = checkpoint(members.drop("weight").join(own, "node"))
         pairs = checkpoint(next_pairs(members, percent))
-    return found
+    return connected_components(links)
 
 
 def row_classes(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
