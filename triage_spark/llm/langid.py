@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triage_spark.llm.common import bounded_sample, checkpoint
 
 WORDS = re.compile(r"[^\W\d_]+")
+NO_WORD = re.compile(r"[\W\d_]")
 MAX_GRAM = 5
-CACHE = 150_000
+SURE = 30.0  # words from which on a text's score stops growing
+PIECE = 1 << 20  # characters of a text that one step takes
+CACHE, LONG = 150_000, 64  # words that a worker remembers; letters of the longest of them
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in parts of about PIECE characters, never cut inside a word."""
+    at = 0
+    while len(text) - at > PIECE:
+        m = NO_WORD.search(text, at + PIECE)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 def words_of(text: str) -> list[str]:
@@ -24,93 +40,193 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
+    """The character n-grams of a word; from two on its ends count as the characters < and >."""
     w = f"<{word}>" if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+
+
+def gram_hashes(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, hash of each n-gram of all words, word it belongs to) for n = 1 to MAX_GRAM."""
+    chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), size)
+    ends = np.cumsum(size)
+    left = ends[owner] - np.arange(len(chars))  # characters from here to the word's end, both included
+    h = np.zeros(len(chars), dtype=np.uint64)
+    for n in range(1, MAX_GRAM + 1):
+        h = h[: max(0, len(chars) - n + 1)] * STEP + chars[n - 1 :] + np.uint64(n)
+        h ^= h >> np.uint64(29)
+        inside = left[: len(h)] >= n
+        if n == 1:
+            inside = (left > 1) & (left < size[owner])
+        yield n, h[inside], owner[: len(h)][inside]
+
+
 class WordFirst:
-    """Log frequencies by language of words and of character n-grams; scores(word) backs off."""
-
-    def __init__(self, langs: list[str], tables: list[dict[str, tuple[float, ...]]]):
-        self.langs, self.tables = langs, tables  # tables[0]: words, tables[n]: n-grams
-        self.cache: dict[str, tuple[float, ...] | None] = {}
-
-    def scores(self, word: str):
-        if (known := self.tables[0].get(word)) is not None:
-            return known
-        if word in self.cache:
-            return self.cache[word]
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        out = None
-        if any(c.isalpha() for c in word):
-            out = (0.0,) * len(self.langs)
-            for n in range(MAX_GRAM, 0, -1):
-                found = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
-                if found:
-                    out = tuple(sum(x) / len(found) for x in zip(*found))
-                    break
-        self.cache[word] = out
+    """Log frequencies by language of words and of character n-grams.
+
+    tables[0] holds words, tables[n] n-grams: sorted 64-bit hashes, and a row of log frequencies for each.
+    """
+
+    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.tables = langs, tables
+        self._start()
+
+    def _start(self):
+        self.place: dict[str, int] = {}  # of words in `known`; 0 stands for words without a letter
+        self.known = np.zeros((1, len(self.langs)))
+
+    def __getstate__(self):
+        return {"langs": self.langs, "tables": self.tables}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._start()
+
+    def find(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, _ = self.tables[n]
+        if not len(keys):
+            return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return keys[at] == hashes, at
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: of the word itself, else the mean of its longest n-grams of which some are known, else zeros."""
+        out = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return out
+        hit, at = self.find(0, word_hashes(words))
+        out[hit] = self.tables[0][1][at[hit]]
+        todo = np.flatnonzero(~hit)
+        if len(todo):
+            for n, h, owner in reversed(list(gram_hashes([words[k] for k in todo]))):
+                hit, at = self.find(n, h)
+                own, rows = owner[hit], self.tables[n][1][at[hit]]
+                times = np.bincount(own, minlength=len(todo))
+                fresh = (times > 0) & (todo >= 0)
+                if fresh.any():
+                    sums = np.stack([np.bincount(own, weights=rows[:, k], minlength=len(todo)) for k in range(len(self.langs))], axis=1)
+                    out[todo[fresh]] = sums[fresh] / times[fresh, None]
+                    todo = np.where(fresh, -1, todo)
         return out
 
+    def places(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.place.get, words))
+        if None in found:
+            if len(self.known) > CACHE:
+                self._start()
+            new = list(dict.fromkeys(w for w in words if w not in self.place))
+            letters = [w for w in new if any(map(str.isalpha, w))]
+            self.place.update(dict.fromkeys(new, 0))
+            self.place.update(zip(letters, range(len(self.known), len(self.known) + len(letters))))
+            self.known = np.concatenate([self.known, self.scores(letters)])
+            found = list(map(self.place.get, words))
+            for w in new:
+                if len(w) > LONG:
+                    del self.place[w]
+        return np.array(found, dtype=np.int64)
+
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text; texts without a letter are 'und'."""
+        sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        words: list[str] = []
+        owners: list[int] = []
+        lengths: list[int] = []
+
+        def add():
+            at, owner = self.places(words), np.repeat(owners, lengths)
+            n[:] += np.bincount(owner, weights=at > 0, minlength=len(texts))
+            for k in range(len(self.langs)):
+                sums[:, k] += np.bincount(owner, weights=self.known[at, k], minlength=len(texts))
+            words.clear(), owners.clear(), lengths.clear()
+
+        for k, t in enumerate(texts):
+            for piece in pieces(t or ""):
+                part = words_of(piece)
+                words.extend(part)
+                owners.append(k)
+                lengths.append(len(part))
+                if len(words) >= PIECE // 8:
+                    add()
+        if words:
+            add()
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        mean = sums / np.maximum(n, 1)[:, None]
+        z = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, SURE)[:, None])
+        best = z.argmax(axis=1)
+        share = z[np.arange(len(texts)), best] / z.sum(axis=1)
+        return [self.langs[k] if m else "und" for k, m in zip(best, n)], np.where(n > 0, share, 0.0).tolist()
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text or ""))
-        rows = [(c, s) for w, c in counts.items() if (s := self.scores(w)) is not None]
-        if not rows or not self.langs:
-            return "und", 0.0
-        n = np.array([c for c, _ in rows], dtype=float)
-        mean = n @ np.array([s for _, s in rows]) / n.sum()
-        z = np.exp((mean - mean.max()) * min(n.sum(), 30.0))
-        k = int(np.argmax(z))
-        return self.langs[k], float(z[k] / z.sum())
-
-
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 2048, max_entries: int = 40_000) -> WordFirst:
-    """Learn from at most max_docs labelled rows (least key hash first); the rest is never needed.
-
-    Words and n-grams of each order keep the max_entries commonest, which bounds what is broadcast. Rows with
-    null text or label teach nothing; an empty table gives a model that answers 'und'.
+        langs, scores = self.predict_all([text])
+        return langs[0], scores[0]
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 2048) -> WordFirst:
+    """Learn from at most max_docs labelled rows (least key hash first): max_docs bounds the model, nothing else is left out.
+
+    Every word and n-gram of these rows is an entry: 8 bytes of hash and 4 bytes a language. Entries are counted
+    and packed on Spark; what reaches the driver is the packed tables. Rows with null text or label teach nothing;
+    of rows that tie at the last key hash any may be taken; an empty table gives a model that answers 'und'.
     """
     rows = bounded_sample(docs.select(key, text, lang).dropna(), key, max_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: Counter = Counter()
-            for t, lg in zip(b[text], b[lang]):
-                for w, c in Counter(words_of(t)).items():
-                    seen[lg, 0, w] += c
-                    for n in range(1, MAX_GRAM + 1):
-                        for g in grams_of(w, n):
-                            seen[lg, n, g] += c
-            if seen:
-                yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["lang", "n", "gram", "c"])
-
-    counted = checkpoint(rows.repartition(16).mapInPandas(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
-    each = counted.groupBy("n", "gram").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
+            for lg, part in b.groupby(lang)[text]:
+                for t in part:
+                    for piece in pieces(t):
+                        seen = Counter(words_of(piece))
+                        words, times = list(seen), np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
+                        if words:
+                            for n, h, c in [(0, word_hashes(words), times), *((n, h, times[owner]) for n, h, owner in gram_hashes(words))]:
+                                u, inverse = np.unique(h, return_inverse=True)
+                                yield pd.DataFrame({"lang": lg, "n": n, "h": u.view(np.int64), "c": np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)})
+
+    counted = checkpoint(rows.repartition(16).mapInPandas(count, "lang string, n int, h long, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c")))
     totals = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({k[0] for k in totals})
-    ranked = each.filter("all > 1").withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("all"), "gram")))
-    kept = ranked.filter(F.col("place") <= max_entries).collect()
-    tables: list[dict] = []
+    by_lang = [F.sum(F.when(F.col("lang") == lg, F.col("c")).otherwise(0)).cast("float").alias(f"c{k}") for k, lg in enumerate(langs)]
+    each = counted.groupBy("n", "h").agg(*by_lang) if langs else None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.stack([c.to_numpy() for c in b.columns[2:]], axis=1) if b.num_rows else np.zeros((0, len(langs)), np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in (b.column(0).to_numpy().tobytes(), b.column(1).to_numpy().tobytes(), counts.tobytes())], names=["n", "h", "c"])
+
+    packed = each.mapInArrow(pack, "n binary, h binary, c binary").collect() if langs else []
+    order = np.concatenate([np.frombuffer(r["n"], np.int32) for r in packed] or [np.zeros(0, np.int32)])
+    hashes = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in packed] or [np.zeros(0, np.uint64)])
+    counts = np.concatenate([np.frombuffer(r["c"], np.float32).reshape(-1, len(langs)) for r in packed] or [np.zeros((0, 0), np.float32)])
+    del packed
+    tables = []
     for n in range(MAX_GRAM + 1):
-        top = [r for r in kept if r["n"] == n]
-        v = len(top) + 1
-        tables.append({r["gram"]: tuple(math.log((r["by"].get(lg, 0) + 0.5) / (totals.get((lg, n), 0) + 0.5 * v)) for lg in langs) for r in top})
+        own = np.flatnonzero(order == n)
+        own = own[np.argsort(hashes[own])]
+        total = np.array([totals.get((lg, n), 0) for lg in langs]) + 0.5 * (len(own) + 1)
+        tables.append((hashes[own], np.log((counts[own] + 0.5) / total).astype(np.float32)))
     return WordFirst(langs, tables)
 
 
 def identify(docs: DataFrame, model: WordFirst, text: str = "text") -> DataFrame:
-    """Add lang_pred and score (0 to 1) for every whole text; columns of those names are replaced.
+    """Add lang_pred and score (0 to 1) for every whole text; columns of those names are replaced, all others stay.
 
-    A null text, or one without a letter, is 'und' with score 0; ties go to the first language by name.
-    Rows are independent: repeated rows get equal answers, long texts take one pass and no extra memory.
+    A null text, or one without a letter, is 'und' with score 0; ties go to the first language by name. A word without
+    any known n-gram says nothing for any language. Rows are independent: repeated rows get equal answers; long
+    texts are read in parts; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for s in parts:
-            yield pd.DataFrame([m.predict(t) for t in s], columns=["lang", "score"], index=s.index)
+            langs, scores = shared.value.predict_all(s.tolist())
+            yield pd.DataFrame({"lang": langs, "score": scores}, index=s.index)
 
-    return docs.withColumn("said__", ask(F.col(text))).withColumn("lang_pred", F.col("said__.lang")).withColumn("score", F.col("said__.score")).drop("said__")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    return docs.select(row.alias("row"), ask(F.col(text)).alias("said")).select("row.*", F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
