@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 import zlib
 from array import array
@@ -20,19 +21,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 UNSAFE = re.compile(r"\s \s|\s \Z")  # white space that a cut before each space would split differently
 CACHE = 400_000  # words
 CHUNK = 2048  # pieces that one differencing takes together
-_ENCODERS: dict[tuple[str, str], "Encoder"] = {}
+SHARE = 32_768  # pieces, as estimated, of one partition
+_ENCODERS: dict[tuple, "Encoder"] = {}
+
+
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file (JSON) with their ids: strings that stand for one id wherever they occur."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 class Encoder(dict):
     """Text to ids as little-endian uint32 bytes; keeps the ids of words that follow a space.
 
     Cutting before a space never changes the ids, but in runs of white space; those texts go whole. The words
-    that a text adds are encoded together: a token that begins with a space begins the next word.
+    that a text adds are encoded together: a token that begins with a space begins the next word. Added tokens
+    are found first, and what stands between them is encoded on its own.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]):
         import tiktoken
 
+        self.added = {t: np.asarray([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.bpe = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
@@ -42,6 +54,11 @@ class Encoder(dict):
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added.get(part) or self.ordinary(part) for part in self.split.split(text) if part)
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         if UNSAFE.search(text):
             return self.whole(text)
         head, *words = text.split(" ")
@@ -66,10 +83,11 @@ class Encoder(dict):
         return made
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
-    if (ranks_path, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_path, pattern] = Encoder(ranks_path, pattern)
-    return _ENCODERS[ranks_path, pattern]
+def encoder(ranks_path: str, pattern: str, added: dict[str, int]) -> Encoder:
+    which = ranks_path, pattern, tuple(added.items())
+    if which not in _ENCODERS:
+        _ENCODERS[which] = Encoder(ranks_path, pattern, added)
+    return _ENCODERS[which]
 
 
 def cuts(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
@@ -142,24 +160,27 @@ def pack(
     piece: int = 256,
     end_id: int = 0,
     with_ids: bool = False,
+    added: dict[str, int] | None = None,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """Tokenise whole texts (null: empty) and pack their ids, each followed by end_id, into sequences.
 
+    `added` holds strings that are one id (see added_tokens); without it their text is ordinary text.
     Texts are cut into full windows and, for what remains, pieces; only piece lengths and checksums are
     shuffled (ids too with with_ids). Pieces are dealt evenly by hash, and each partition packs runs of CHUNK
-    pieces by differencing. Rows repeat freely, null keys are kept, an empty table gives no rows.
+    pieces by differencing. Rows repeat freely and each is packed, null keys are kept, an empty table gives
+    no rows; equal pieces are interchangeable. A very long text becomes many pieces and is held by one task while it is
+    encoded. Only key and text are read, so other columns may have any name.
 
-    Returns key, start, length, ids_crc32, doc_tokens, sequence_id (unique, not dense), offset[, ids].
+    Returns key, start, length, ids_crc32, doc_tokens, sequence_id (unique, not dense), offset[, ids: little-endian uint32].
     """
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType
     fields = [T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))]
     fields += [T.StructField("ids", T.BinaryType())] * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(ranks_path, pattern), np.asarray([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(ranks_path, pattern, added or {}), np.asarray([end_id], dtype="<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in fields]
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -175,8 +196,8 @@ def pack(
     names = [f.name for f in fields]
     arrow = [to_arrow_type(f.dataType) for f in fields]
     pieces = docs.select(key, text).mapInArrow(encode, T.StructType(fields))
-    n_docs = docs.select(key).count()
-    parts = max(1, -(-n_docs // 8192))
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    parts = max(1, -(-(rows + (size or 0) // capacity) // SHARE))
     dealt = pieces.repartition(parts, F.xxhash64(key, "start", "ids_crc32")).sortWithinPartitions(key, "start", "ids_crc32")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
