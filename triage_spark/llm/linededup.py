@@ -19,7 +19,7 @@ def row_id(key: str, text: str):
 
 
 def lines_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """sid, doc, pos, line (hash of the stripped line), needs: lines of the windows that begin here.
+    """sid, doc, pos, line and line2 (128 bits of hash of the stripped line), needs: lines of the windows that begin here.
 
     A window is the shortest run of min_words words from a line on, or back from a line; together they cover every
     run of min_words words or more, both its ends too. needs is null where none begins. Lines end at \\n; blank ones
@@ -28,7 +28,7 @@ def lines_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, doc, pos, line, needs = [], [], [], [], []
+            sid, doc, pos, line, line2, needs = [], [], [], [], [], []
             for s, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 parts = (t.as_py() or "").split("\n")
                 words = [len(p.split()) for p in parts]
@@ -41,7 +41,9 @@ def lines_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                     if have >= min_words:
                         own[k] = [end - k]
                     have -= words[k]
-                    line.append(xxhash.xxh3_64_intdigest(p.strip()) - (1 << 63))
+                    h = xxhash.xxh3_128_intdigest(p.strip())
+                    line.append((h >> 64) - (1 << 63))
+                    line2.append((h & (1 << 64) - 1) - (1 << 63))
                 begin = have = 0
                 for k, n in enumerate(words):
                     have += n
@@ -57,12 +59,12 @@ def lines_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
             for at in range(0, len(pos), 200_000):
                 part = slice(at, at + 200_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[part], pa.int64()), pa.array(doc[part], b.schema.field(1).type), pa.array(pos[part], pa.int32()), pa.array(line[part], pa.int64()), pa.array(needs[part], pa.list_(pa.int32()))],
-                    names=["sid", "doc", "pos", "line", "needs"],
+                    [pa.array(sid[part], pa.int64()), pa.array(doc[part], b.schema.field(1).type), pa.array(pos[part], pa.int32()), pa.array(line[part], pa.int64()), pa.array(line2[part], pa.int64()), pa.array(needs[part], pa.list_(pa.int32()))],
+                    names=["sid", "doc", "pos", "line", "line2", "needs"],
                 )
 
     rows = docs.select(row_id(key, text).alias("sid"), F.col(key).alias("doc"), text)
-    return rows.mapInArrow(cut, f"sid bigint, doc {docs.schema[key].dataType.simpleString()}, pos int, line bigint, needs array<int>")
+    return rows.mapInArrow(cut, f"sid bigint, doc {docs.schema[key].dataType.simpleString()}, pos int, line bigint, line2 bigint, needs array<int>")
 
 
 PLACE = ("doc", "sid", "pos")
@@ -74,23 +76,31 @@ def ranks_of(groups: DataFrame, order: list[str]) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal runs of lines, of at least min_words words, that an earlier place has already.
+    """Runs of lines, of at least min_words words, that an earlier place has already; together they cover all such lines.
 
     Earlier means a smaller (key, row, line). The rank of a suffix by its first 2^k lines comes from sorting
     the pairs of ranks of its first and second 2^(k-1) lines; suffixes whose run is unique leave at once. The
     suffixes that agree in the rank of their first 2^k lines and of the 2^k lines that end a window of
     min_words words form an interval of the suffix array whose common prefix is at least that window; all but its
     first member are later copies. Windows are taken from every line on and back from every line, so that a run is
-    covered up to both its ends; overlapping ones of a text are merged to maximal runs.
-
-    Returns sid (hash of key and text), key, line_start, line_end (exclusive), first_key, first_line: a
-    place where the run's beginning stood first. A run may repeat within one text. Null and
-    short texts have no runs; rows equal in key and text count once; an empty table gives no rows.
+    covered up to both its ends. Overlapping windows of a text are merged where they are copies of one place, in
+    step with it: a run is always one that stands, whole, at first_key and first_line. Runs that are copies of
+    different places may touch or overlap.
+
+    Returns sid (hash of key and text), key, line_start, line_end (exclusive), first_key, first_line. A run may
+    repeat within one text; of equal windows the smallest place comes first. Null and short texts have no runs;
+    rows equal in key and text count once; an empty table gives no rows. Very long texts are lines like all
+    others, and blank lines count as lines of no words. Only key and text are read; the key may not bear the name
+    of another column returned. Lines are equal by 128 bits of hash: at 10^12 different lines a false match has a chance of 10^-15.
     """
+    if key in ("sid", "line_start", "line_end", "first_key", "first_line"):
+        raise ValueError(f"a key named {key} clashes with a column that is returned")
     kind = docs.schema[key].dataType.simpleString()
     lines = lines_of(docs, key, text, min_words)
-    counts = lines.groupBy("line").agg(F.count("*").alias("members")).filter("members > 1")
-    now = checkpoint(lines.join(ranks_of(counts, ["line"]), "line").drop("line").dropDuplicates(["sid", "pos"]))
+    line = ["line", "line2"]
+    counts = lines.groupBy(*line).agg(F.count("*").alias("members")).filter("members > 1")
+    # ranks and firsts are written out before their joins, so that Spark can split the joins of very common lines
+    now = checkpoint(lines.join(checkpoint(ranks_of(counts, line)), line).drop(*line).dropDuplicates(["sid", "pos"]))
     most = now.agg(F.max(F.array_max("needs"))).first()[0] or 0
     found, k = [], 0
     while (1 << k) <= most:
@@ -99,7 +109,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
         tail = now.select("sid", (F.col("pos") + size).alias("stop"), F.col("rank").alias("tail"))
         runs = due.withColumn("stop", F.col("pos") + F.col("need")).join(tail, ["sid", "stop"])
         interval = ["need", "rank", "tail"]
-        firsts = runs.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("members")).filter("members > 1").drop("members")
+        firsts = checkpoint(runs.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("members")).filter("members > 1").drop("members"))
         later = runs.join(firsts, interval).filter(F.col("first") != F.struct(*PLACE))
         found.append(checkpoint(later.select("sid", "doc", "pos", "stop", "first")))
         if 2 * size > most:
@@ -116,17 +126,24 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    w = Window.partitionBy("sid").orderBy("pos", "stop")
-    fresh = F.coalesce((F.col("pos") > F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    every = every.withColumn("step", F.col("first.pos") - F.col("pos"))
+    w = Window.partitionBy("sid", "first.sid", "step").orderBy("pos", "stop")
+    fresh = F.coalesce((F.col("pos") >= F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     marked = every.withColumn("run", fresh).withColumn("run", F.sum("run").over(w))
-    merged = marked.groupBy("sid", "run").agg(F.min("doc").alias(key), F.min("pos").alias("line_start"), F.max("stop").alias("line_end"), F.min_by("first", F.struct("pos", "stop")).alias("first"))
+    merged = marked.groupBy("sid", F.col("first.sid").alias("source"), "step", "run").agg(F.min("doc").alias(key), F.min("pos").alias("line_start"), F.max("stop").alias("line_end"), F.min("first").alias("first"))
     return merged.select("sid", key, "line_start", "line_end", F.col("first.doc").alias("first_key"), F.col("first.pos").alias("first_line"))
 
 
 def remove_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without the lines of `runs`; `removed_lines` says how many went. Other columns stay."""
-    spans = runs.groupBy("sid").agg(F.collect_list(F.struct("line_start", "line_end")).alias("spans__"))
-    d = docs.withColumn("sid__", row_id(key, text)).join(spans.withColumnRenamed("sid", "sid__"), "sid__", "left")
-    cut = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (l, i) -> NOT exists(spans__, s -> i >= s.line_start AND i < s.line_end)), '\\n')")
-    gone = F.expr("coalesce(aggregate(spans__, 0, (n, s) -> n + s.line_end - s.line_start), 0)")
-    return d.withColumn("removed_lines", gone).withColumn(text, F.when(F.col("spans__").isNull(), F.col(text)).otherwise(cut)).drop("sid__", "spans__")
+    """Documents without the lines of `runs`; `removed_lines` says how many went (an existing column of that name is replaced).
+
+    All other columns stay, whatever their names; rows without a run, null texts too, are as they were.
+    """
+    spans = runs.groupBy("sid").agg(F.collect_list(F.struct("line_start", "line_end")).alias("spans"))
+    columns = [c for c in docs.columns if c != "removed_lines"]
+    own = docs.select(row_id(key, text).alias("sid"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).alias("whole"))
+    lines = "filter(split(whole, '\\n'), (l, i) -> NOT exists(spans, s -> i >= s.line_start AND i < s.line_end))"
+    d = own.join(spans, "sid", "left").withColumn("left", F.when(F.col("spans").isNotNull(), F.expr(lines)))
+    gone = F.coalesce(F.size(F.split("whole", "\n")) - F.size("left"), F.lit(0))
+    cut = F.when(F.col("left").isNull(), F.col("whole")).otherwise(F.array_join("left", "\n"))
+    return d.select(*[cut.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns], F.when(F.col("left").isNull(), 0).otherwise(gone).alias("removed_lines"))
