@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -18,14 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that spark.checkpoint.dir names.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set if driver and executors are one process (tests, one
+    machine); on a cluster that is an error, as executors do not share such a folder.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(local_folder(spark, "spark-checkpoint-"))
     return df.checkpoint()
 
 
+def local_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder, for sessions of one process only."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
