@@ -71,12 +71,64 @@ def test_op2(spark, docs, edge, empty):
     assert langid.fit(empty).predict("text") == ("und", 0.0)
 
 
-def test_language_backs_off():
-    m = langid.WordFirst(["a", "b"], [{"known": (-1.0, -9.0)}, {"x": (-5.0, -1.0)}, {}, {"unk": (-2.0, -6.0)}, {}, {}])
-    assert m.scores("known") == (-1.0, -9.0)
-    assert m.scores("unknown") == (-2.0, -6.0)
-    assert m.scores("xq") == (-5.0, -1.0)
-    assert m.scores("9") is None or m.scores("9") == (0.0, 0.0)
+class PlainWordFirst:
+    """The language model in plain Python: dictionaries of counts, one word after the other."""
+
+    def __init__(self, rows):
+        self.counts = defaultdict(Counter)  # by (language, order)
+        for text, lang in rows:
+            for w in langid.words_of(text):
+                self.counts[lang, 0][w] += 1
+                for n in range(1, 6):
+                    self.counts[lang, n].update(langid.grams_of(w, n))
+        self.langs = sorted({lang for lang, _ in self.counts})
+        self.known = [set().union(*(self.counts[lang, n] for lang in self.langs)) for n in range(6)]
+        self.total = {key: sum(c.values()) for key, c in self.counts.items()}
+
+    def value(self, n, gram):
+        return np.array([np.log((self.counts[lang, n][gram] + 0.5) / (self.total[lang, n] + 0.5 * (len(self.known[n]) + 1))) for lang in self.langs])
+
+    def word(self, w):
+        if w in self.known[0]:
+            return self.value(0, w)
+        for n in range(5, 0, -1):
+            if found := [self.value(n, g) for g in langid.grams_of(w, n) if g in self.known[n]]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(self.langs))
+
+    def predict(self, text):
+        words = [w for w in langid.words_of(text or "") if any(c.isalpha() for c in w)]
+        if not words:
+            return "und", 0.0
+        mean = np.mean([self.word(w) for w in words], axis=0)
+        z = np.exp((mean - mean.max()) * min(len(words), 30))
+        return self.langs[int(z.argmax())], z.max() / z.sum()
+
+
+def test_op2_beside_plain_python(spark, docs):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    plain = PlainWordFirst([(r["text"], r["lang"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] and r["lang"]])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in run(spark, "op2_language").collect()}
+    short = sorted(docs, key=lambda k: len(docs[k] or ""))[:150]
+    for k in short:
+        lang, score = plain.predict(docs[k])
+        assert got[k][0] == lang and got[k][1] == pytest.approx(score, abs=1e-3)
+    texts = ["zzqx", "Ærø 12 ½", "日本語", "½²", "9", None, "una palabra, unos Wörter", " ".join(short_text for short_text in map(str, range(50)))]
+    labelled = [("eins zwei drei Wörter", "de"), ("una dos tres palabra", "es"), ("una deux trois", "fr")]
+    model = langid.fit(spark.createDataFrame([(k, *r) for k, r in enumerate(labelled)], "doc_id long, text string, lang string"))
+    plain = PlainWordFirst(labelled)
+    langs, scores = model.predict_all(texts)
+    assert langs == [plain.predict(t)[0] for t in texts] and scores == pytest.approx([plain.predict(t)[1] for t in texts], abs=1e-4)
+
+
+def test_language_reads_long_texts_in_parts(spark, monkeypatch):
+    model = langid.fit(spark.createDataFrame([(1, "eins zwei drei vier", "de"), (2, "one two three four", "en")], "doc_id long, text string, lang string"))
+    texts = ["zwei drei " * 40, None, "one " * 90 + "eins", "three", "x" * 200]
+    whole = model.predict_all(texts)
+    monkeypatch.setattr(langid, "PIECE", 16)
+    monkeypatch.setattr(langid, "CACHE", 3)
+    assert model.predict_all(texts) == whole
+    assert "".join(langid.pieces(texts[0])) == texts[0] and max(map(len, langid.pieces(texts[0]))) < 30
 
 
 def test_op3(spark, docs, edge, empty):
@@ -178,7 +230,7 @@ def test_op5(spark, edge, empty):
 
 def test_op6(spark, docs, edge, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
     def check(rows, texts):
         ids = {k: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for k, t in texts.items()}
@@ -198,9 +250,9 @@ def test_op6(spark, docs, edge, empty):
 
     assert check(run(spark, "op6_packing").collect(), docs) > 0.97
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    texts = {k: v for k, v in enumerate([None, "", " ", "a  b", "x \n y", "tail \n ", "<|endoftext|> hi", "a\n \nb", "word " * 3000, "é中\U0001f600 mix"])}
+    texts = {k: v for k, v in enumerate([None, "", " ", "a  b", "x \n y", "tail \n ", "<|endoftext|> hi", "x <|endoftext|> y<|endoftext|><|endoftext|>", " <|endoftext|>\n ", "a\n \nb", "word " * 3000, "é中\U0001f600 mix"])}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    check(packing.pack(d, path, pattern).collect(), texts)
+    check(packing.pack(d, path, pattern, added=added).collect(), texts)
     assert packing.pack(empty, path, pattern).count() == 0
     with_ids = packing.pack(edge, path, pattern, with_ids=True)
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in with_ids.collect())
@@ -227,7 +279,7 @@ def test_op7(spark):
     assert urlfilter.evaluate(d.limit(0), entries).count() == 0
 
 
-def brute_classes(texts):
+def brute_classes(texts, percent=85):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -244,7 +296,7 @@ def brute_classes(texts):
     for i, a in enumerate(keys):
         for b in keys[:i]:
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {k: (len(sets[k]), root(k), root(k) == k) for k in keys}
@@ -294,6 +346,70 @@ def test_op8_large_class(spark):
     assert got == brute_classes(texts)
 
 
+def test_shared_differences_lose_no_link():
+    """A pair that is to be linked, with one of both far from the pivot, shares an element of the lists."""
+    rng = np.random.default_rng(12)
+    met = 0
+    for _ in range(4000):
+        percent = int(rng.choice([60, 80, 85, 95]))
+        near = lambda a, b, p=percent: 100 * len(a & b) >= p * len(a | b)
+        base = set(rng.choice(10**9, int(rng.integers(5, 80)), replace=False).tolist())
+        extra = rng.choice(10**9, 60).tolist()
+
+        def edited(source, drop, add):
+            kept = {e for e in source if rng.random() > drop}
+            return kept | set(rng.choice(extra, int(rng.integers(0, add + 1))).tolist()) or {1}
+
+        m = edited(base, rng.choice([0, 0.1, 0.3]), int(rng.integers(0, 20)))
+        x = edited(base, rng.choice([0, 0.1, 0.3]), int(rng.integers(0, 20)))
+        y = edited(x, rng.choice([0, 0.03, 0.1]), int(rng.integers(0, 5)))
+        lo = min(map(len, (m, x, y)))
+        arrays = {name: np.array(sorted(s), dtype=np.uint64) for name, s in (("m", m), ("x", x), ("y", y))}
+        found = {name: neardup.differences(arrays["m"], arrays[name], lo, percent) for name in "xy"}
+        assert [found[n][0] for n in "xy"] == [near(m, x), near(m, y)]
+        if near(x, y) and not (near(m, x) and near(m, y)):
+            met += 1
+            for order in (lambda e: e, lambda e: -e, lambda e: e * 7919 % 10007):  # whatever the order of the elements
+                first = [[{*sorted(found[n][k].tolist(), key=order)[: found[n][k + 1]]} for k in (1, 3)] for n in "xy"]
+                assert first[0][0] & first[1][0] or first[0][1] & first[1][1]
+    assert met > 300
+
+
+def test_op8_one_large_group_and_recall(spark):
+    """1,000 edited copies of one text, most of them near the threshold, and 400 pairs at 85 % exactly."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in range(150)]
+    texts = {}
+    for k in range(1000):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 6)), replace=False):
+            words[at] = f"e{rng.integers(0, 10**6)}"
+        texts[k] = " ".join(words)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d).collect()}
+    assert got == brute_classes(texts)
+    pairs = {}
+    for k in range(400):  # 185 shingles each, of which 170 are shared: 100 * 170 = 85 * 200
+        words = [f"p{k}x{i}" for i in range(189)]
+        pairs[2 * k] = " ".join(words)
+        for at in (20, 90, 150):
+            words[at] = f"q{k}y{at}"
+        pairs[2 * k + 1] = " ".join(words)
+    d = spark.createDataFrame(list(pairs.items()), "doc_id long, text string")
+    linked = sum(r["doc_id"] % 2 == 1 and not r["kept"] for r in neardup.near_duplicates(d).collect())
+    assert linked >= 398  # each is missed with a probability of 5.2e-4
+
+
+def test_op8_keys_of_any_type_and_repeated_rows(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", t), ("a", t + " x"), (None, t), (None, "one two"), ("c", "other words"), ("a", "quite another text under the same key"), ("a", t + " x")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "node string, component string"), key="node", text="component").collect()
+    assert Counter((r["node"], r["component_id"], r["kept"]) for r in got) == {("b", "a", False): 1, ("a", "a", True): 3 - 1, ("a", "a", False): 1, (None, "a", False): 1, (None, None, True): 1, ("c", "c", True): 1}
+    d = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id string, text string, head int")
+    kept = corpus_pipeline.near_duplicates(spark, d, SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("a", rows[1][1]), ("None", "one two"), ("c", "other words"), ("a", rows[5][1])])
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (95, 95)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.connected_components(e).collect()}
@@ -393,21 +509,25 @@ def test_guess_cost():
 
 
 def brute_runs(texts, min_words):
-    """Lines in a run of at least min_words words that stands at an earlier place."""
-    seen, gone = {}, set()
+    """Lines in a run of at least min_words words that stands at an earlier place.
+
+    Of the runs only the shortest from each line on, and back from each line, are tried: each repeated run is the union of some.
+    """
+    seen, gone = set(), set()
     for k in sorted(texts):
-        lines = (texts[k] or "").split("\n")
+        lines = [x.strip() for x in (texts[k] or "").split("\n")]
+        n = [len(x.split()) for x in lines]
+        spans = set()
         for s in range(len(lines)):
-            n = 0
-            for e in range(s, len(lines)):
-                n += len(lines[e].split())
-                if n >= min_words:
-                    run = tuple(x.strip() for x in lines[s : e + 1])
-                    if run in seen:
-                        gone |= {(k, i) for i in range(s, e + 1)}
-                    else:
-                        seen[run] = (k, s)
-                    break
+            e = next((e for e in range(s + 1, len(lines) + 1) if sum(n[s:e]) >= min_words), None)
+            b = next((b for b in range(s, -1, -1) if sum(n[b : s + 1]) >= min_words), None)
+            spans |= {(s, e)} if e is not None else set()
+            spans |= {(b, s + 1)} if b is not None else set()
+        for s, e in sorted(spans):
+            run = tuple(lines[s:e])
+            if run in seen:
+                gone |= {(k, i) for i in range(s, e)}
+            seen.add(run)
     return gone
 
 
@@ -415,6 +535,10 @@ def test_op10(spark, docs, edge, empty):
     got = run(spark, "op10_repeated_lines").collect()
     assert {(r["doc_id"], i) for r in got for i in range(r["line_start"], r["line_end"])} == brute_runs(docs, linededup.MIN_WORDS)
     assert all((r["first_doc_id"], r["first_line"]) < (r["doc_id"], r["line_start"]) for r in got)
+    lines_of = lambda k: [x.strip() for x in docs[k].split("\n")]
+    for r in got:  # each run stands, whole, at the place that is named
+        n = r["line_end"] - r["line_start"]
+        assert lines_of(r["doc_id"])[r["line_start"] : r["line_end"]] == lines_of(r["first_doc_id"])[r["first_line"] : r["first_line"] + n]
     rng = np.random.default_rng(2)
     texts = {k: "\n".join(f"line {x} of it" for x in rng.integers(0, 4, rng.integers(1, 12))) for k in range(40)}
     d = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string")
@@ -429,6 +553,19 @@ def test_op10(spark, docs, edge, empty):
     assert linededup.remove_runs(empty, linededup.repeated_runs(empty)).count() == 0
 
 
+def test_op10_runs_stay_with_their_source(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(35)) for x in "ab")
+    d = spark.createDataFrame([(1, a, 0, 7), (2, f"x\n{b}", 0, 7), (3, f"{a}\n{b}", 0, 7)], "sid long, spans__ string, sid__ int, removed_lines int")
+    with pytest.raises(ValueError):
+        linededup.repeated_runs(d, 30, "sid", "spans__")
+    d = d.withColumnsRenamed({"sid": "row", "spans__": "whole", "sid__": "left"})
+    runs = linededup.repeated_runs(d, 30, "row", "whole")
+    assert sorted(tuple(r)[1:] for r in runs.collect()) == [(3, 0, 1, 1, 0), (3, 1, 2, 2, 1)]
+    cut = linededup.remove_runs(d, runs, "row", "whole")
+    assert cut.columns == ["row", "whole", "left", "removed_lines"]
+    assert sorted(map(tuple, cut.collect())) == [(1, a, 0, 0), (2, f"x\n{b}", 0, 0), (3, "", 0, 2)]
+
+
 def maximal_runs(texts, min_words):
     """Lines in a run of any length from min_words words on that stands at an earlier place."""
     seen, gone = set(), set()
@@ -470,23 +607,32 @@ def test_pipeline(spark, docs, edge):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     now = dict(docs)
+    plain = PlainWordFirst([(r["text"], r["lang"]) for r in d.dropna(subset=["text", "lang"]).collect()])
+    odd = [(10**6, "日本語の文章です", None, None, None), (10**6 + 1, "12 34", None, None, None), (10**6 + 2, docs[0], None, None, None), (0, docs[0], "en", "again", 1)]
+    d = d.unionByName(spark.createDataFrame(odd, d.schema))
+    now |= {r[0]: r[1] for r in odd}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, SF)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         if name == "language":
-            now = {k: t for k, t in now.items() if any(c.isalpha() for c in t or "")}
+            said = {k: plain.predict(t) for k, t in now.items()}
+            now = {k: t for k, t in now.items() if said[k][1] >= 0.3}
+            assert 10**6 not in now and 10**6 + 1 not in now and len(now) >= len(docs) - 5
+            assert d.filter("doc_id = 1000002").first()["lang"] == said[0][0]
         elif name == "line dedup":
             gone = brute_runs(now, linededup.MIN_WORDS)
             cut = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in now.items()}
             now = {k: t for k, t in cut.items() if t.strip() or t == now[k]}
         elif name == "near duplicates":
-            now = {k: t for k, t in now.items() if brute_classes(now)[k][2]} if len(now) < 50 else {k: now[k] for k, v in brute_classes(now).items() if v[2]}
+            now = {k: now[k] for k, v in brute_classes(now, 80).items() if v[2]}
         else:
             now = {k: t for k, t in now.items() if not any(b in t for b in items.values())}
-        got = {r["doc_id"]: r["text"] for r in d.collect()}
-        assert got == now, name
+        rows = d.collect()
+        assert {r["doc_id"]: r["text"] for r in rows} == now, name
+        assert len(rows) == len(now) + (name in ("language", "line dedup"))
     packed = corpus_pipeline.pack(spark, d, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(now)
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in packed.collect())
     e = edge.drop("score", "node", "line_start")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         e = stage(spark, e, SF)
