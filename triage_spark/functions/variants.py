@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Significance classes, the missense term, missing tokens, id column names in order of preference.
@@ -32,8 +32,9 @@ def is_snv(filter_: Column, ref: Column, alt: Column) -> Column:
     return filter_.isin("PASS", ".") & ref.rlike("(?i)^[ACGT]$") & alt.rlike("(?i)^[ACGT]$")
 
 
-def is_missense(info: Column) -> Column:
-    mc = F.coalesce(F.try_element_at(info, F.lit("MC")), F.lit(""))
+def is_missense(consequence: Column) -> Column:
+    """The molecular consequence (MC) of INFO names the missense term; null: no."""
+    mc = F.coalesce(consequence, F.lit(""))
     return mc.contains(MISSENSE_SO) | F.lower(mc).contains("missense_variant")
 
 
@@ -143,19 +144,54 @@ DISTANCES = """
 """
 
 
-def grantham_distance(ref: Column, alt: Column) -> Column:
-    """The distance of two amino acids; equal ones 0; unknown letters give null."""
-    a, b = letter_place(ref), letter_place(alt)
-    i, j, n = F.least(a, b), F.greatest(a, b), len(AMINO_ACIDS)
-    # rows of the triangle before row i hold (n - 1) + (n - 2) + ... entries
-    at = (i * (2 * n - 1 - i) / 2).cast("int") + j - i - 1
-    known = (a >= 0) & (b >= 0)
-    return F.when(known & (a == b), 0).when(known, F.get(F.array(*[F.lit(int(d)) for d in DISTANCES.split()]), at))
+# BLOSUM62, a row per amino acid, columns in the order of AMINO_ACIDS.
+BLOSUM62 = """
+A  4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0
+R -1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3
+N -2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3
+D -2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3
+C  0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1
+Q -1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2
+E -1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2
+G  0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3
+H -2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+"""
+
+
+def substitution_rows() -> list[tuple[str, str, int, int]]:
+    """(from, to, Grantham distance, BLOSUM62 score) of all 400 pairs; equal letters have distance 0."""
+    distance = {}
+    for k, row in enumerate(DISTANCES.split("\n")[1:-1]):
+        for j, d in enumerate(row.split(), k + 1):
+            distance[AMINO_ACIDS[k], AMINO_ACIDS[j]] = distance[AMINO_ACIDS[j], AMINO_ACIDS[k]] = int(d)
+    lines = [line.split() for line in BLOSUM62.split("\n")[1:-1]]
+    return [(line[0], to, distance.get((line[0], to), 0), int(x)) for line in lines for to, x in zip(AMINO_ACIDS, line[1:])]
+
+
+def substitution_scores(df: DataFrame, ref: str = "aaref", alt: str = "aaalt") -> DataFrame:
+    """Adds grantham_distance and blosum62_score by a join with the 400 pairs; other letters give null."""
+    pairs = df.sparkSession.createDataFrame(substitution_rows(), "ref__ string, alt__ string, grantham_distance int, blosum62_score int")
+    letter = lambda c: F.upper(F.trim(F.col(c)))
+    return df.join(F.broadcast(pairs), (letter(ref) == F.col("ref__")) & (letter(alt) == F.col("alt__")), "left").drop("ref__", "alt__")
 
 
-def letter_place(c: Column) -> Column:
-    """0 to 19, or -1 for what is no amino acid."""
-    return F.when(F.length(F.trim(c)) == 1, F.instr(F.lit(AMINO_ACIDS), F.upper(F.trim(c))) - 1).otherwise(-1)
+def resolve_id_column(columns: list[str], requested: str | None = None) -> str:
+    """The column of variation ids: the requested one, which must be there, or the first of ID_COLUMNS that is."""
+    found = [requested] if requested else [c for c in ID_COLUMNS if c in columns]
+    if not found or found[0] not in columns:
+        raise ValueError(f"no column {requested or ' or '.join(ID_COLUMNS)}")
+    return found[0]
 
 
 def clip01(x: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage_spark.functions import variants as V
+from triage_spark.sources.tables import info_value
 
 
 def require_unique(df: DataFrame, key: str, source: str, allow_null: bool = False) -> None:
@@ -16,9 +18,13 @@ def require_unique(df: DataFrame, key: str, source: str, allow_null: bool = Fals
 
 
 def build_cohort(vcf: DataFrame, min_review_stars: int = 1) -> DataFrame:
-    """Labelled missense SNVs of a parsed VCF; every copy of a repeated key is dropped, none is chosen."""
-    at = lambda k: F.try_element_at("info", F.lit(k))
-    rows = vcf.filter(V.is_snv(F.col("filter"), F.col("ref"), F.col("alt"))).filter(V.is_missense(F.col("info")))
+    """Labelled missense SNVs of a parsed VCF; every copy of a repeated key is dropped, none is chosen.
+
+    Each key is read from `info_text` by itself, so the INFO map is never built; a table without it needs `info`.
+    """
+    by_text = "info_text" in vcf.columns
+    at = lambda k: info_value(F.col("info_text"), k) if by_text else F.try_element_at("info", F.lit(k))
+    rows = vcf.filter(V.is_snv(F.col("filter"), F.col("ref"), F.col("alt"))).filter(V.is_missense(at("MC")))
     one = lambda k: V.allele_value(at(k), F.lit(0), F.lit(1))
     rows = rows.select(
         V.variant_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant_key"), V.normalize_chrom(F.col("chrom")).alias("chrom"), "pos",
@@ -60,21 +66,19 @@ def join_variant_annotations(variants: DataFrame, source: DataFrame, order: str,
     return variants.join(best, "variant_key", "left").withColumn("dbnsfp_match", F.col("s__").isNotNull()).select(*variants.columns, "dbnsfp_match", *[F.col(f"s__.{c}").alias(c) for c in extra if c not in variants.columns])
 
 
-def annotate_records(matched: DataFrame, scores: dict[str, str], blosum: DataFrame | None = None) -> DataFrame:
+def annotate_records(matched: DataFrame, scores: dict[str, str]) -> DataFrame:
     """Transcript-level values at the chosen transcript, amino-acid scores and the domain status.
 
-    scores: raw column to output name. blosum: rows of (aaref, aaalt, blosum62_score), joined as a small table.
+    scores: raw column to output name.
     """
     t = choose_transcript(*[F.col(c) for c in ("Ensembl_transcriptid", "genename", "MANE", "Ensembl_canonical", "APPRIS", "gene")])
-    d = matched.withColumn("t__", F.when(F.col("dbnsfp_match"), t))
+    d = V.substitution_scores(matched).withColumn("t__", F.when(F.col("dbnsfp_match"), t))
     pick = lambda c: V.pick_aligned(F.col(c), F.col("t__.index"))
-    d = d.select(
+    return d.select(
         *[c for c in matched.columns if c.lower() not in {n.lower() for n in (*scores, *scores.values())}], pick("Ensembl_transcriptid").alias("selected_transcript"), F.col("t__.reason").alias("transcript_selection"),
-        V.grantham_distance(F.col("aaref"), F.col("aaalt")).alias("grantham_distance"),
-        F.when(pick("Interpro_domain").isNotNull(), "overlap").otherwise("no_overlap").alias("interpro_domain_status"),
+        "grantham_distance", "blosum62_score", F.when(pick("Interpro_domain").isNotNull(), "overlap").otherwise("no_overlap").alias("interpro_domain_status"),
         *[V.parse_number(pick(raw)).alias(name) for raw, name in scores.items()],
     )
-    return d.join(F.broadcast(blosum), ["aaref", "aaalt"], "left") if blosum is not None else d
 
 
 def join_annotations(base: DataFrame, frames: list[DataFrame], key: str = "variant_key") -> DataFrame:
@@ -99,36 +103,50 @@ def assemble(variants: DataFrame, scores: DataFrame, genes: DataFrame) -> DataFr
     return variants.join(scores, "variant_key", "left").join(genes, "gene", "left")
 
 
-def pending(work: DataFrame, finished: DataFrame, key: str = "variant_key") -> DataFrame:
-    """What a resumed run still has to do; finished keys that are not in the work are an error."""
-    stray = finished.join(work, key, "left_anti").limit(5).collect()
-    if stray:
-        raise ValueError(f"finished keys not in the work: {[r[key] for r in stray]}")
-    return work.join(finished.select(key), key, "left_anti")
+CHUNKS = 64
+
+
+def chunk_keys(df: DataFrame, key: str) -> DataFrame:
+    """chunk, rows, keys: how many keys each chunk has, and a sum of their hashes that does not depend on their order."""
+    return df.groupBy("chunk").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("keys"))
+
 
+def resumable_extract(work: DataFrame, extract, path: str, key: str = "variant_key", chunks: int = CHUNKS) -> DataFrame:
+    """extract(work) in path, chunk by chunk of the key's hash; returns all of it, a rerun does only what is missing.
 
-def resumable_extract(work: DataFrame, extract, path: str, key: str = "variant_key") -> DataFrame:
-    """Append extract(rows not yet in path) to path and return all of it; a rerun does only what is missing."""
+    A chunk that is there counts as finished if it holds exactly the keys of the work; any other one is made again
+    as a whole, and replaced in one step. Finished keys that are not in the work are an error.
+    """
     spark = work.sparkSession
+    work = work.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+    left = work
     try:
         done = spark.read.parquet(path)
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:  # nothing written yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        done = None
-    left = pending(work, done, key) if done is not None else work
-    extract(left).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def annotation_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, present, fraction for each raw column; one scan."""
-    one = df.agg(F.count("*").alias("n"), *[F.count(F.when(~V.is_missing(F.col(c).cast("string")), 1)).alias(c) for c in columns])
-    return one.unpivot("n", columns, "column", "present").select("column", "present", F.try_divide("present", "n").alias("fraction"))
-
-
-def selection_reasons(df: DataFrame, reason: str = "transcript_selection") -> DataFrame:
-    return df.groupBy(reason).agg(F.count("*").alias("variants"))
+    else:
+        stray = done.join(work, key, "left_anti").limit(5).collect()
+        if stray:
+            raise ValueError(f"finished keys not in the work: {[r[key] for r in stray]}")
+        finished = chunk_keys(work, key).join(chunk_keys(done, key), ["chunk", "rows", "keys"], "left_semi")
+        left = work.join(finished.select("chunk"), "chunk", "left_anti")
+    out = extract(left.drop("chunk")).withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+    return spark.read.parquet(path).drop("chunk")
+
+
+def annotation_coverage(df: DataFrame, columns: list[str], match: str | None = None, reason: str | None = None) -> DataFrame:
+    """measure, name, present, fraction: each raw column's values, the matched rows, and the rows of each transcript reason."""
+    flags = {("column", c): ~V.is_missing(F.col(c).cast("string")) for c in columns} | ({("match", match): F.col(match)} if match else {})
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(f).alias(f"m{k}") for k, f in enumerate(flags.values())])
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).alias("name"), F.col(f"m{k}").alias("present")) for k, (m, c) in enumerate(flags)])
+    out = one.select("n", F.inline(rows)).select("measure", "name", "present", F.try_divide("present", "n").alias("fraction"))
+    if not reason:
+        return out
+    total = df.agg(F.count("*").alias("n"))
+    by = df.groupBy(reason).agg(F.count("*").alias("present")).join(total, F.lit(True))
+    return out.unionByName(by.select(F.lit("reason").alias("measure"), F.col(reason).alias("name"), "present", F.try_divide("present", "n").alias("fraction")))
 
 
 def repair_identifiers(table: DataFrame, vcf: DataFrame) -> tuple[DataFrame, DataFrame]:

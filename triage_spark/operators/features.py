@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -121,22 +122,85 @@ def transform_feature(f: Feature, bounds: tuple[float, float] | None = None) ->
     return V.clip01(x)
 
 
+BINS = 1024  # ranges of one pass over a column's values
+VALUES = 20_000  # values that the last pass may bring to the driver
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], at: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
+    """Exact, linearly interpolated quantiles of many columns together; None for a column without values.
+
+    A pass counts the values of all columns in BINS ranges each; the ranges that hold a wanted rank are split in
+    the next pass, until they hold a single value or VALUES rows together, which are then read. Counts are summed up
+    before the shuffle, so neither a task nor the driver ever holds a column's values. NaN counts as missing.
+    """
+    names = list(columns)
+    double = [F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f"c{k}") for k, c in enumerate(columns.values())]
+    long = df.select(*double).unpivot([], [f"c{k}" for k in range(len(names))], "col", "x").filter("x IS NOT NULL")
+    spark = df.sparkSession
+    first = {r["col"]: r for r in long.groupBy("col").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    ranks = {}  # (column, rank) to value
+    wanted = {}  # (column, range) to the ranks in it, from 0 within the range
+    for k, name in enumerate(names):
+        if r := first.get(f"c{k}"):
+            whole = {int(f(p * (r["n"] - 1))) for p in at[name] for f in (math.floor, math.ceil)}
+            wanted[f"c{k}", r["lo"], r["hi"], r["n"]] = [(i, i) for i in sorted(whole)]
+    while wanted:
+        for (col, lo, hi, n), own in list(wanted.items()):
+            if lo == hi:
+                ranks |= {(col, rank): lo for rank, _ in own}
+                del wanted[col, lo, hi, n]
+        keys = list(wanted)
+        if not keys:
+            break
+        small = sum(k[3] for k in keys) <= VALUES
+        ranges = spark.createDataFrame([(c, j, lo, hi) for j, (c, lo, hi, _) in enumerate(keys)], "col string, j int, lo double, hi double")
+        inside = long.join(F.broadcast(ranges), "col").filter("x BETWEEN lo AND hi")
+        if small:
+            values = {}
+            for r in inside.groupBy("j").agg(F.sort_array(F.collect_list("x")).alias("x")).collect():
+                values[r["j"]] = r["x"]
+            for j, key in enumerate(keys):
+                ranks |= {(key[0], rank): values[j][i] for rank, i in wanted[key]}
+            break
+        # scaled before the difference is taken, so that the widest range does not overflow
+        bin_of = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))
+        counts = inside.groupBy("j", bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        split = {}
+        for j, key in enumerate(keys):
+            before = 0
+            for r in sorted((r for r in counts if r["j"] == j), key=lambda r: r["bin"]):
+                if own := [(rank, i - before) for rank, i in wanted[key] if before <= i < before + r["n"]]:
+                    split[key[0], r["lo"], r["hi"], r["n"]] = own
+                before += r["n"]
+        wanted = split
+    out = {}
+    for k, name in enumerate(names):
+        if f"c{k}" not in first:
+            out[name] = None
+            continue
+        last = first[f"c{k}"]["n"] - 1
+        pairs = [(p * last, ranks[f"c{k}", math.floor(p * last)], ranks[f"c{k}", math.ceil(p * last)]) for p in at[name]]
+        out[name] = tuple(a if a == b else (math.ceil(t) - t) * a + (t - math.floor(t)) * b for t, a, b in pairs)
+    return out
+
+
 def fit_percentiles(train: DataFrame, contract: tuple[Feature, ...]) -> dict[str, tuple[float, float]]:
-    """Exact percentile bounds of all robust features in one aggregate; upper <= lower becomes lower + 1."""
+    """Exact percentile bounds of all robust features; upper <= lower becomes lower + 1."""
     robust = [f for f in contract if f.transform.endswith("robust_percentile")]
     if not robust:
         return {}
-    row = train.agg(*[F.percentile(number(f.raw[0]), F.array(F.lit(f.params["lower"]), F.lit(f.params["upper"]))).alias(f.id) for f in robust]).first()
-    if any(row[f.id] is None for f in robust):
-        raise ValueError(f"no training values for {[f.id for f in robust if row[f.id] is None]}")
-    return {f.id: (lo, hi if hi > lo else lo + 1.0) for f in robust for lo, hi in [row[f.id]]}
+    found = quantiles(train, {f.id: number(f.raw[0]) for f in robust}, {f.id: (f.params["lower"], f.params["upper"]) for f in robust})
+    if any(found[f.id] is None for f in robust):
+        raise ValueError(f"no training values for {[f.id for f in robust if found[f.id] is None]}")
+    return {k: (lo, hi if hi > lo else lo + 1.0) for k, (lo, hi) in found.items()}
 
 
 def fit_medians(train: DataFrame, contract: tuple[Feature, ...], bounds: dict) -> dict[str, float]:
-    row = train.agg(*[F.median(transform_feature(f, bounds.get(f.id))).alias(f.id) for f in contract]).first()
-    if any(row[f.id] is None for f in contract):
-        raise ValueError(f"no training values for {[f.id for f in contract if row[f.id] is None]}")
-    return {f.id: float(row[f.id]) for f in contract}
+    """Exact medians of all transformed features."""
+    found = quantiles(train, {f.id: transform_feature(f, bounds.get(f.id)) for f in contract}, {f.id: (0.5,) for f in contract})
+    if any(found[f.id] is None for f in contract):
+        raise ValueError(f"no training values for {[f.id for f in contract if found[f.id] is None]}")
+    return {k: v[0] for k, v in found.items()}
 
 
 @dataclass(frozen=True)
@@ -160,6 +224,11 @@ class FeatureModel:
         """Metadata and the int8 features."""
         return df.select(*self.keep(df), *[V.encode_int8(c).alias(k) for k, c in self.columns().items()])
 
+    def state(self, df: DataFrame) -> DataFrame:
+        """What was fitted: feature, lower, upper (null where there are no bounds), median."""
+        rows = [(f.id, *self.bounds.get(f.id, (None, None)), self.medians[f.id]) for f in self.contract]
+        return df.sparkSession.createDataFrame(rows, "feature string, lower double, upper double, median double")
+
     def audit(self, df: DataFrame) -> DataFrame:
         """Metadata and one flag per feature: was the raw value missing?"""
         return df.select(*self.keep(df), *[missing_flag(f).alias(f.id) for f in self.contract])
@@ -172,14 +241,28 @@ def missing_flag(f: Feature) -> Column:
 
 
 def fit_encoder(df: DataFrame, contract: tuple[Feature, ...] = CONTRACT, split: str = "split") -> FeatureModel:
-    """Bounds, then medians, from training rows only; two aggregates."""
+    """Bounds, then medians, from training rows only."""
     train = df.filter(F.col(split) == "train")
     bounds = fit_percentiles(train, contract)
     return FeatureModel(contract, bounds, fit_medians(train, contract, bounds))
 
 
+def build_feature_tables(annotated: DataFrame, splits: DataFrame, contract: tuple[Feature, ...] = CONTRACT, group: str = "gene") -> tuple[FeatureModel, dict[str, DataFrame]]:
+    """The model fitted on the training rows, and the tables float, int8, audit and state.
+
+    splits: group, split. A group with no split, or with two, is an error. state: feature, lower, upper, median.
+    """
+    many = splits.groupBy(group).agg(F.count("*").alias("n"), F.first("split").alias("split"))
+    odd = annotated.select(group).distinct().join(many, group, "left").filter("n IS NULL OR n > 1").limit(5).collect()
+    if odd:
+        raise ValueError(f"groups without exactly one split: {[r[group] for r in odd]}")
+    rows = annotated.drop("split").join(many.select(group, "split"), group)
+    model = fit_encoder(rows, contract)
+    return model, {"float": model.transform(rows), "int8": model.encode(rows), "audit": model.audit(rows), "state": model.state(annotated)}
+
+
 def validate_dataset(df: DataFrame, features: list[str], key: str = "variant_key", label: str = "label", split: str = "split") -> DataFrame:
-    """One row: status, errors, rows. Keys unique, labels 0 or 1, the three splits, no nulls, whole types, range, both classes."""
+    """One row: status, errors, rows, per_split (split, rows, positives, in the splits' order). Keys unique, labels 0 or 1, the three splits, no nulls, whole types, range, both classes."""
     kinds = [f for f in features if df.schema[f].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint")]
     null = lambda cols: F.count_if(F.greatest(*[F.col(c).isNull() for c in cols], F.lit(False)))
     one = df.agg(
@@ -193,7 +276,9 @@ def validate_dataset(df: DataFrame, features: list[str], key: str = "variant_key
         (F.col("classes") < 2 * len(SPLITS), "a split without both classes"),
     ]
     errors = F.filter(F.array(*[F.when(c, m) for c, m in checks]), lambda e: e.isNotNull())
-    return one.select(F.when(F.size(errors) == 0, "passed").otherwise("failed").alias("status"), errors.alias("errors"), "rows")
+    by = df.groupBy(split).agg(F.count("*").alias("rows"), F.count_if(F.col(label) == 1).alias("positives"))
+    per = by.agg(F.sort_array(F.collect_list(F.struct(F.col(split).alias("split"), "rows", "positives"))).alias("per_split"))  # a row per split
+    return one.join(per, F.lit(True)).select(F.when(F.size(errors) == 0, "passed").otherwise("failed").alias("status"), errors.alias("errors"), "rows", "per_split")
 
 
 def group_leakage(df: DataFrame, group: str = "gene", split: str = "split") -> DataFrame:
@@ -224,12 +309,12 @@ def seeded(key: str, seed: int) -> Column:
 
 
 def balanced_sample(df: DataFrame, n: int, label: str = "label", key: str = "variant_key", seed: int = 42, code: Column | None = None) -> DataFrame:
-    """Exactly min(n, available) rows: up to n/2 positives, negatives for the rest, then more positives if those run out."""
+    """Exactly min(n, available) rows: n / 2 of each label, and where one has fewer, more of the other; an odd row is a negative."""
     c = code if code is not None else seeded(key, seed)
+    have = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    pos = min(have.get(1, 0), max(n // 2, n - have.get(0, 0)))
     # a top-n per label: the limit is the feature; each side is a distributed top-n
-    pos = df.filter(F.col(label) == 1).orderBy(c, key).limit(n // 2)
-    taken = n - pos.count()
-    return pos.unionByName(df.filter(F.col(label) == 0).orderBy(c, key).limit(taken))
+    return df.filter(F.col(label) == 1).orderBy(c, key).limit(pos).unionByName(df.filter(F.col(label) == 0).orderBy(c, key).limit(n - pos))
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = "variant_key", seed: int = 42, code: Column | None = None) -> DataFrame:
@@ -238,5 +323,7 @@ def seeded_sample(df: DataFrame, n: int, key: str = "variant_key", seed: int = 4
 
 
 def activation_coverage(df: DataFrame, hidden: list[str]) -> DataFrame:
-    """unit, active_rows: rows in which each hidden unit is above 0."""
-    return df.agg(*[F.count_if(F.col(h) > 0).alias(h) for h in hidden]).unpivot([], hidden, "unit", "active_rows")
+    """unit, active_rows: rows in which each hidden unit is above 0; a unit without any is an error when the rows are read."""
+    counts = df.agg(*[F.count_if(F.col(h) > 0).alias(h) for h in hidden]).unpivot([], hidden, "unit", "active_rows")
+    dead = F.raise_error(F.concat(F.lit("no active row for unit "), F.col("unit"))).cast("long")
+    return counts.withColumn("active_rows", F.when(F.col("active_rows") > 0, F.col("active_rows")).otherwise(dead))

@@ -87,13 +87,13 @@ def completion_rate(expected: DataFrame, replies: DataFrame, threshold: int, sta
 
 
 def timing_statistics(df: DataFrame, sent: str = "sent", arrived: str = "arrived", stream: str = "stream_id", order: str = "sequence") -> DataFrame:
-    """Per stream: samples, median, p95 and max of latency, the same of spacing between arrivals, negative samples."""
+    """Per stream: samples, total, median, p95 and max of latency, the same of spacing between arrivals, negative samples."""
     w = Window.partitionBy(stream).orderBy(arrived, order)
     d = df.withColumn("latency", F.col(arrived) - F.col(sent)).withColumn("spacing", F.col(arrived) - F.lag(arrived).over(w))
     q = lambda c, p: F.round(F.percentile(c, p), 6)
     return d.groupBy(stream).agg(
-        F.count("latency").alias("samples"), q("latency", 0.5).alias("latency_median"), q("latency", 0.95).alias("latency_p95"), F.round(F.max("latency"), 6).alias("latency_max"),
-        q("spacing", 0.5).alias("spacing_median"), q("spacing", 0.95).alias("spacing_p95"), F.round(F.max("spacing"), 6).alias("spacing_max"), F.count_if(F.col("latency") < 0).alias("negative_latencies"),
+        F.count("latency").alias("samples"), F.round(F.sum("latency"), 6).alias("latency_total"), q("latency", 0.5).alias("latency_median"), q("latency", 0.95).alias("latency_p95"), F.round(F.max("latency"), 6).alias("latency_max"),
+        F.count("spacing").alias("spacings"), F.round(F.sum("spacing"), 6).alias("spacing_total"), q("spacing", 0.5).alias("spacing_median"), q("spacing", 0.95).alias("spacing_p95"), F.round(F.max("spacing"), 6).alias("spacing_max"), F.count_if(F.col("latency") < 0).alias("negative_latencies"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from triage_spark.functions import variants as V
 
@@ -48,6 +49,11 @@ class Model:
         return out
 
 
+    def identity(self) -> str:
+        """sha256 of the model as text: the same in every process."""
+        return hashlib.sha256(json.dumps([self.features, self.weights, self.biases, self.qshift]).encode()).hexdigest()
+
+
 def fold_threshold(model: Model, threshold: int) -> Model:
     """The same model with score >= threshold moved to score >= 0."""
     return Model(model.features, model.weights, (*model.biases[:-1], (model.biases[-1][0] - threshold,)), model.qshift)
@@ -77,32 +83,46 @@ def expression_layers(df: DataFrame, model: Model) -> tuple[DataFrame, list[str]
 
 
 def arrow_scores(df: DataFrame, model: Model) -> DataFrame:
-    """df with score, one matrix product per layer and Arrow batch: for wide layers.
+    """df with score, one matrix product per layer and Arrow batch; only the features go to Python, and a score comes back.
 
-    float32 products are exact while accumulators stay under 2^24; else the batch is computed in int64.
+    float32 is exact while accumulators stay under 2^24 (a shift is then a product with a power of two); else the
+    batch is computed in int64. A row with a null feature has a null score.
     """
-    kind = np.float32 if max(model.worst_case()) < 1 << 24 else np.int64
-    layers = [(np.array(w, dtype=kind).T, np.array(b, dtype=np.int64)) for w, b in zip(model.weights, model.biases)]
-    shared = df.sparkSession.sparkContext.broadcast(layers)
-    names, shift = list(model.features), model.qshift
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).astype(kind)
-            for w, c in shared.value[:-1]:
-                h = (x @ w).astype(np.int64) + c
-                x = np.clip((h + (1 << (shift - 1))) >> shift, 0, 127).astype(kind)
-            w, c = shared.value[-1]
-            score = ((x @ w).astype(np.int64) + c)[:, 0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score.astype(np.int32))], names=[*b.schema.names, "score"])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("score", T.IntegerType())]))
-
-
-def score(df: DataFrame, model: Model, engine: str | None = None, keep_hidden: bool = False) -> DataFrame:
-    """df with score and prediction. Up to 16 hidden units a column expression, else Arrow batches."""
-    wide = sum(len(w) for w in model.weights[:-1]) > 16
-    if (engine or ("arrow" if wide else "expr")) == "arrow":
+    exact = max(model.worst_case()) + (1 << model.qshift) < 1 << 24
+    kind = np.float32 if exact else np.int64
+    layers = [(np.array(w, dtype=kind).T, np.array(b, dtype=kind)) for w, b in zip(model.weights, model.biases)]
+    half, shift = 1 << (model.qshift - 1), model.qshift
+
+    @F.arrow_udf("int")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            x = np.empty((len(columns[0]), len(columns)), dtype=kind)
+            null = np.zeros(len(x), dtype=bool)
+            for k, c in enumerate(columns):
+                if c.null_count:
+                    null |= np.asarray(c.is_null())
+                    c = c.fill_null(0)
+                x[:, k] = c.to_numpy(zero_copy_only=False)
+            for w, c in layers[:-1]:
+                x = x @ w
+                x += c + kind(half)
+                if exact:
+                    x *= kind(1 / (1 << shift))
+                    np.floor(x, out=x)
+                else:
+                    x >>= shift
+                np.clip(x, 0, 127, out=x)
+            w, c = layers[-1]
+            yield pa.array((x @ w + c)[:, 0].astype(np.int32), mask=null)
+
+    return df.withColumn("score", run(*[F.col(n) for n in model.features]))
+
+
+def score(df: DataFrame, model: Model, engine: str = "arrow", keep_hidden: bool = False) -> DataFrame:
+    """df with score and prediction: by Arrow batches, or by column expressions, which also can keep the hidden units."""
+    if engine not in ("arrow", "expr"):
+        raise ValueError(f"unknown engine: {engine}")
+    if engine == "arrow" and not keep_hidden:
         out = arrow_scores(df, model)
     else:
         out, hidden = expression_layers(df, model)
@@ -205,13 +225,16 @@ def best_f1_threshold(curve: DataFrame) -> DataFrame:
     return best.select(F.coalesce("t", F.lit(0)).cast("long").alias("threshold"), F.round(F.coalesce("f", F.lit(0.0)), 6).alias("f1"))
 
 
-def evaluation_report(df: DataFrame, threshold: int, routing_threshold: int, split: str = "test", key: str = "variant_key") -> DataFrame:
-    """One row for one locked split: metrics, curve areas, genes, routing recall; repeated keys are an error."""
+def evaluation_report(df: DataFrame, threshold: int, routing_threshold: int, split: str = "test", key: str = "variant_key", expected: str | None = None) -> DataFrame:
+    """One row for one locked split: metrics, curve areas, genes, routing recall; repeated keys are an error.
+
+    expected: a column of scores from another engine; `mismatches` counts the rows whose score differs from it.
+    """
     rows = df.filter(F.col("split") == split)
     if rows.groupBy(key).count().filter("count > 1").limit(1).collect():
         raise ValueError("repeated keys in the evaluated split")
     curve = score_curve(rows)
-    extra = rows.agg(F.countDistinct("gene").alias("genes"), F.round(F.try_divide(F.count_if((F.col("label") == 1) & (F.col("score") >= routing_threshold)), F.count_if(F.col("label") == 1)), 6).alias("routing_recall"))
+    extra = rows.agg(F.countDistinct("gene").alias("genes"), F.round(F.try_divide(F.count_if((F.col("label") == 1) & (F.col("score") >= routing_threshold)), F.count_if(F.col("label") == 1)), 6).alias("routing_recall"), *([F.count_if(~F.col("score").eqNullSafe(F.col(expected))).alias("mismatches")] if expected else []))
     one = F.lit(1)
     return classification_metrics(rows, threshold=threshold).join(roc_auc(curve), one == one).join(average_precision(curve), one == one).join(extra, one == one)
 
@@ -245,13 +268,13 @@ def build_policy(threshold: int, target: float, achieved: float, split: str, mod
         raise ValueError("a threshold must not be chosen on the test split")
     if not INT32[0] <= threshold <= INT32[1] or not 0 < target <= achieved <= 1:
         raise ValueError("threshold or recall out of range")
-    return {"version": 1, "rule": "score >= threshold", "threshold": int(threshold), "target_recall": target, "achieved_recall": achieved, "split": split, "model": hash(model)}
+    return {"version": 1, "rule": "score >= threshold", "threshold": int(threshold), "target_recall": target, "achieved_recall": achieved, "split": split, "model": model.identity()}
 
 
 def load_policy(policy: dict, model: Model) -> int:
     if policy.get("version") != 1 or policy.get("rule") != "score >= threshold" or policy.get("split") == "test":
         raise ValueError("unknown or unlawful policy")
-    if policy["model"] != hash(model):
+    if policy["model"] != model.identity():
         raise ValueError("the policy belongs to another model")
     return int(policy["threshold"])
 

@@ -94,20 +94,31 @@ def gene_constraints(v: Views) -> DataFrame:
     return tables.gene_constraints(t, v.variants, "place")
 
 
-@query("a07_read_documents", "SELECT doc_id AS variation_id, lang AS uid FROM documents WHERE doc_id % 7 <> 0")
+@query("a07_read_documents", "SELECT doc_id AS variation_id, lang AS uid, source AS title FROM documents WHERE doc_id % 7 <> 0")
 def read_documents(v: Views) -> DataFrame:
     path = scratch(v) + "/docs"
-    v.documents.select(F.to_json(F.struct(F.col("doc_id").alias("variation_id"), F.when(F.col("doc_id") % 7 != 0, F.struct(F.col("lang").alias("uid"))).alias("raw_summary"))).alias("value")).write.text(path)
-    docs = v.spark.read.schema("variation_id bigint, raw_summary struct<uid: string>").json(path)
-    return docs.filter("raw_summary IS NOT NULL").select("variation_id", "raw_summary.uid")
+    v.documents.select(F.to_json(F.struct(F.col("doc_id").alias("variation_id"), F.when(F.col("doc_id") % 7 != 0, F.struct(F.col("lang").alias("uid"), F.col("source").alias("title"))).alias("raw_summary"))).alias("value")).write.text(path)
+    return tables.read_summaries(v.spark, path, "uid: string, title: string").filter("raw_summary IS NOT NULL").select("variation_id", "raw_summary.*")
 
 
-@query("a08_pubmed_documents", "SELECT doc_id % 50 AS variation_id, count(*) AS articles, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+@query("a08_pubmed_documents", """
+    SELECT doc_id % 50 AS variation_id, count(*) AS articles, count(*) FILTER (WHERE doc_id % 8 <> 0) AS found, count(DISTINCT source) FILTER (WHERE doc_id % 8 <> 0) AS titles, CAST(sum(length(text)) AS BIGINT) AS chars,
+           count(*) FILTER (WHERE doc_id % 3 = 0) AS searched FROM documents GROUP BY 1""")
 def pubmed_documents(v: Views) -> DataFrame:
-    path = scratch(v) + "/abstracts"
-    v.documents.select(F.to_json(F.struct((F.col("doc_id") % 50).alias("variation_id"), F.struct(F.col("text").alias("abstract")).alias("content"))).alias("value")).write.text(path)
-    docs = v.spark.read.schema("variation_id bigint, content struct<abstract: string>").json(path)
-    return docs.groupBy("variation_id").agg(F.count("*").alias("articles"), F.sum(F.char_length("content.abstract")).alias("chars"))
+    """All four kinds of cached documents are written, read and joined: links to articles, abstracts and searches."""
+    folder, pmid = scratch(v), F.col("doc_id").cast("string")
+    cached = {
+        "links": v.documents.groupBy((F.col("doc_id") % 50).alias("variation_id")).agg(F.collect_list(pmid).alias("pmids")),
+        "articles": v.documents.select(pmid.alias("pmid"), F.when(F.col("doc_id") % 8 != 0, F.struct(F.col("source").alias("title"))).alias("raw")),
+        "abstracts": v.documents.select(pmid.alias("pmid"), F.struct(F.col("text").alias("abstract")).alias("content")),
+        "searches": v.documents.select(F.concat(F.lit("query "), pmid).alias("query"), F.when(F.col("doc_id") % 3 == 0, F.array(pmid)).otherwise(F.array()).alias("pmids")),
+    }
+    for kind, d in cached.items():
+        d.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/{kind}")
+    d = tables.read_literature(v.spark, folder)
+    searched = d["searches"].select(F.explode("pmids").alias("pmid"), F.lit(1).alias("searched"))
+    rows = d["links"].select("variation_id", F.explode("pmids").alias("pmid")).join(d["articles"], "pmid").join(d["abstracts"], "pmid").join(searched, "pmid", "left")
+    return rows.groupBy("variation_id").agg(F.count("*").alias("articles"), F.count("raw").alias("found"), F.countDistinct("raw.title").alias("titles"), F.sum(F.char_length("content.abstract")).alias("chars"), F.count("searched").alias("searched"))
 
 
 @query("a09_parse_pubmed_xml", "SELECT CAST(doc_id AS STRING) AS pmid, 'BACKGROUND: ' || lang || chr(10) || 'tail ' || source || ' end' AS abstract, source || '|' || lang AS mesh, lang AS keywords FROM documents")
@@ -160,9 +171,45 @@ def reply_frames(v: Views) -> DataFrame:
     return d.select("reply_id", "sequence", "score", "classification", "deep_review", "reject_reason", "flag_mismatch")
 
 
-@query("a15_table_fingerprint")
+def batch_frame(v: Views) -> DataFrame:
+    """A batch frame of one to five scores for every reply; some are malformed."""
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("bigint").bitwiseAND(F.lit(4294967295))), n, "0")
+    i = F.col("reply_id")
+    item = lambda k: F.concat(hexed(F.col("score") + k, 8), hexed((F.col("score") + k >= 0).cast("int"), 2), hexed(((F.col("score") + k >= -276) == (i % 37 != 0)).cast("int"), 2))
+    n = (i % 5 + 1).cast("int")
+    items = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), item), "")
+    head = F.concat(F.when(i % 23 == 0, "02").otherwise("01"), F.when(i % 29 == 0, "03").otherwise("02"), hexed(F.abs("sequence"), 8), hexed(F.when(i % 31 == 0, F.lit(33)).otherwise(n), 2), F.lit("00"))
+    return v.replies.select("reply_id", F.unhex(F.concat(head, items, F.lit("0000"))).alias("frame"))
+
+
+@query("a14_batch_frames", """
+    SELECT reply_id, abs(sequence) AS sequence, k AS place, CASE WHEN k IS NOT NULL THEN CAST(score + k AS INT) END AS score, CASE WHEN k IS NOT NULL THEN CAST(score + k >= 0 AS INT) END AS classification,
+           CASE WHEN k IS NOT NULL THEN CAST((score + k >= -276) = (reply_id % 37 <> 0) AS INT) END AS deep_review, coalesce(malformed, CASE WHEN reply_id % 37 = 0 THEN 'flag' END) AS reject_reason
+    FROM (SELECT *, unnest(CASE WHEN malformed IS NULL THEN range(CAST(reply_id % 5 + 1 AS INT)) ELSE [NULL] END)::INT AS k FROM
+      (SELECT *, CASE WHEN reply_id % 23 = 0 THEN 'version' WHEN reply_id % 29 = 0 THEN 'type' WHEN reply_id % 31 = 0 THEN 'count' END AS malformed FROM {replies}) m) r""")
+def batch_frames(v: Views) -> DataFrame:
+    return tables.decode_batch_frames(batch_frame(v), -276).drop("frame")
+
+
+FINGERPRINTED = ("region", "nation", "supplier", "part", "customer", "documents")
+COLUMNS = {
+    "region": ("r_name", "r_regionkey"), "nation": ("n_name", "n_nationkey", "n_regionkey"), "supplier": ("s_acctbal", "s_name", "s_nationkey", "s_suppkey"),
+    "part": ("p_brand", "p_name", "p_partkey", "p_retailprice", "p_size", "p_type"), "customer": ("c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey"), "documents": ("doc_id", "lang", "n_chars", "source", "text"),
+}
+
+
+def fingerprint_sql(name: str) -> str:
+    text = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in COLUMNS[name])
+    return f"SELECT '{name}' AS name, count(*) AS rows, bit_xor(h) AS hash_xor, CAST(CAST(sum(h) AS HUGEINT) AS VARCHAR) AS hash_sum FROM (SELECT CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS h FROM {name}) t"
+
+
+@query("a15_table_fingerprint", " UNION ALL ".join(map(fingerprint_sql, FINGERPRINTED)))
 def table_fingerprint(v: Views) -> DataFrame:
-    return tables.table_fingerprint(v.lineitem, "lineitem").unionByName(tables.table_fingerprint(v.part, "part"))
+    """Fingerprints by way of a run's manifest, which is written, checked and read."""
+    path, own = scratch(v) + "/manifest", {n: getattr(v, n).select(*COLUMNS[n]) for n in FINGERPRINTED}
+    tables.write_manifest(own, "first", path)
+    tables.check_manifest(own, "first", path)
+    return v.spark.read.parquet(path).drop("run")
 
 
 # ---- B: scalar rules ----
@@ -183,7 +230,7 @@ def filter_snv(v: Views) -> DataFrame:
 @query("b03_is_missense", "SELECT gene, count(*) AS missense FROM {variants} WHERE l_linenumber % 3 < 2 GROUP BY gene")
 def is_missense(v: Views) -> DataFrame:
     mc = F.when(F.col("l_linenumber") % 3 == 0, "SO:0001583|x").when(F.col("l_linenumber") % 3 == 1, "Missense_variant").otherwise("synonymous")
-    return v.variants.filter(V.is_missense(F.create_map(F.lit("MC"), mc))).groupBy("gene").agg(F.count("*").alias("missense"))
+    return v.variants.filter(V.is_missense(mc)).groupBy("gene").agg(F.count("*").alias("missense"))
 
 
 SIGNIFICANCE = ("Pathogenic", "Likely pathogenic", "Pathogenic/Likely_pathogenic", "Benign", "likely_benign", "Uncertain significance", "Conflicting classifications", " ", "risk factor")
@@ -231,9 +278,16 @@ def pick_aligned(v: Views) -> DataFrame:
     return dbnsfp_rows(v).select(F.col("place").alias("p_partkey"), pick(1).alias("second"), pick(5).alias("past_end"))
 
 
-@query("b10_substitution_scores")
+PAIRS = "(VALUES " + ", ".join(f"('{a}', '{b}', {g}, {s})" for a, b, g, s in V.substitution_rows()) + ") AS s (ref, alt, grantham, blosum62)"
+AMINO = "substr('ARNDCQEGHILKMFPSTWYV', CAST({} % 20 + 1 AS INT), 1)"
+
+
+@query("b10_substitution_scores", f"SELECT p_partkey AS place, grantham AS grantham_distance, blosum62 AS blosum62_score FROM (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'X' ELSE {AMINO.format('p_partkey')} END AS r, {AMINO.format('(p_partkey + p_size)')} AS a FROM part) p LEFT JOIN {PAIRS} ON r = ref AND a = alt")
 def substitution_scores(v: Views) -> DataFrame:
-    return dbnsfp_rows(v).select("place", "aaref", "aaalt", V.grantham_distance(F.col("aaref"), F.col("aaalt")).alias("grantham"))
+    letter = lambda c: F.substring(F.lit(V.AMINO_ACIDS), (c % 20 + 1).cast("int"), F.lit(1))
+    k = F.col("p_partkey")
+    d = v.part.select(k.alias("place"), F.when(k % 13 == 0, "X").otherwise(F.lower(letter(k))).alias("aaref"), letter(k + F.col("p_size")).alias("aaalt"))
+    return V.substitution_scores(d).select("place", "grantham_distance", "blosum62_score")
 
 
 @query("b11_significance_group", f"""
@@ -285,13 +339,13 @@ def choose_transcript(v: Views) -> DataFrame:
 
 
 @query("c04_annotate_records", f"""
-    SELECT c.place, CASE WHEN idx = 0 THEN 'ENST_A' ELSE 'ENST_B' END || CAST(c.place AS STRING) AS selected_transcript, reason AS transcript_selection,
+    SELECT c.place, CASE WHEN idx = 0 THEN 'ENST_A' ELSE 'ENST_B' END || CAST(c.place AS STRING) AS selected_transcript, reason AS transcript_selection, grantham AS grantham_distance, blosum62 AS blosum62_score,
            CASE WHEN idx = 1 AND c.place % 4 = 0 THEN 'overlap' ELSE 'no_overlap' END AS interpro_domain_status,
            CASE WHEN idx = 0 THEN CAST(p_size AS DOUBLE) WHEN c.place % 7 = 0 THEN NULL ELSE CAST(p_size + 1 AS DOUBLE) END AS revel_score
-    FROM ({CHOSEN}) c JOIN {{part}} p ON c.place = p.p_partkey""")
+    FROM ({CHOSEN}) c JOIN {{part}} p ON c.place = p.p_partkey LEFT JOIN {PAIRS} ON {AMINO.format('c.place')} = ref AND {AMINO.format('(c.place + 7)')} = alt""")
 def annotate_records(v: Views) -> DataFrame:
     d = cohort.annotate_records(dbnsfp_rows(v).withColumn("dbnsfp_match", F.lit(True)), {"REVEL_score": "revel_score"})
-    return d.select("place", "selected_transcript", "transcript_selection", "interpro_domain_status", "revel_score")
+    return d.select("place", "selected_transcript", "transcript_selection", "grantham_distance", "blosum62_score", "interpro_domain_status", "revel_score")
 
 
 @query("c05_join_annotations", "SELECT o_orderkey, o_custkey, o_totalprice, n.lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) n ON o_orderkey = l_orderkey")
@@ -313,16 +367,21 @@ def assemble(v: Views) -> DataFrame:
 def resumable_extract(v: Views) -> DataFrame:
     path, u = scratch(v) + "/extract", v.unique_variants.select("variant_key", "pos")
     double = lambda d: d.select("variant_key", (F.col("pos") * 2).alias("doubled"))
-    cohort.resumable_extract(u.filter("pos % 3 = 0"), double, path)
+    cohort.resumable_extract(u.filter("pos % 3 = 0"), double, path)  # chunks that are not whole, which the next run makes again
+    cohort.resumable_extract(u, double, path)
     return cohort.resumable_extract(u, double, path)
 
 
-@query("c08_annotation_coverage", """
-    SELECT 'cadd_phred' AS "column", count(cadd_phred) AS present, round(count(cadd_phred) / count(*), 6) AS fraction FROM {raw16}
-    UNION ALL SELECT 'esm1b_rankscore', count(esm1b_rankscore), round(count(esm1b_rankscore) / count(*), 6) FROM {raw16}
-    UNION ALL SELECT 'interpro_domain_status', count(interpro_domain_status), round(count(interpro_domain_status) / count(*), 6) FROM {raw16}""")
+RAW16 = ("gnomad_popmax_af", "cadd_phred", "revel_score", "alphamissense_score", "esm1b_rankscore", "sift_score", "polyphen2_hvar_score", "mpc_score", "phylop_100way", "phastcons_100way", "gerp_rs", "grantham_distance", "blosum62_score", "gnomad_loeuf", "gnomad_moeuf", "interpro_domain_status")
+SHARE = "round({0} / count(*), 6) AS fraction FROM {{raw16}}"
+
+
+@query("c08_annotation_coverage", " UNION ALL ".join(f"SELECT 'column' AS measure, '{c}' AS name, count({c}) AS present, {SHARE.format(f'count({c})')}" for c in RAW16) + f"""
+    UNION ALL SELECT 'match', 'matched', count(*) FILTER (WHERE cadd_phred IS NOT NULL), {SHARE.format('count(*) FILTER (WHERE cadd_phred IS NOT NULL)')}
+    UNION ALL SELECT 'reason', interpro_domain_status, count(*), round(count(*) / (SELECT count(*) FROM {{raw16}}), 6) FROM {{raw16}} GROUP BY interpro_domain_status""")
 def annotation_coverage(v: Views) -> DataFrame:
-    return cohort.annotation_coverage(v.raw16, ["cadd_phred", "esm1b_rankscore", "interpro_domain_status"]).withColumn("fraction", R6(F.col("fraction")))
+    d = v.raw16.withColumn("matched", F.col("cadd_phred").isNotNull()).withColumn("why", F.col("interpro_domain_status"))
+    return cohort.annotation_coverage(d, list(RAW16), "matched", "why").withColumn("fraction", R6(F.col("fraction")))
 
 
 @query("c09_repair_identifiers", "SELECT variant_key, gene, CAST(l_suppkey + 1 AS STRING) AS variation_id, CAST(l_orderkey AS STRING) AS allele_id FROM {unique_variants}")
@@ -446,13 +505,31 @@ def row_max(v: Views) -> DataFrame:
     return v.raw16.groupBy("gene").agg(R6(F.sum(features.transform_feature(f))).alias("row_max"))
 
 
-@query("d07_missingness_audit", "SELECT split, CAST(sum(CASE WHEN cadd_phred IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS cadd_phred, CAST(sum(CASE WHEN esm1b_rankscore IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS esm1b_deleteriousness, CAST(sum(CASE WHEN interpro_domain_status = 'unknown' THEN 1 ELSE 0 END) AS BIGINT) AS interpro_domain_hit FROM {raw16} GROUP BY split")
+RAW_ID = {f.id: f.raw[0] for f in features.CONTRACT}
+
+
+@query("d07_missingness_audit", "SELECT split, " + ", ".join(f"CAST(sum(CASE WHEN {c} {'NOT IN (' + chr(39) + 'overlap' + chr(39) + ', ' + chr(39) + 'no_overlap' + chr(39) + ')' if i == 'interpro_domain_hit' else 'IS NULL'} THEN 1 ELSE 0 END) AS BIGINT) AS {i}" for i, c in RAW_ID.items()) + " FROM {raw16} GROUP BY split")
 def missingness_audit(v: Views) -> DataFrame:
     m = features.FeatureModel(features.CONTRACT, {}, {}).audit(v.raw16)
-    return m.groupBy("split").agg(*[F.count_if(c).alias(c) for c in ("cadd_phred", "esm1b_deleteriousness", "interpro_domain_hit")])
+    return m.groupBy("split").agg(*[F.count_if(i).alias(i) for i in RAW_ID])
+
 
+BOUNDS = "(SELECT " + ", ".join(f"quantile_cont({RAW_ID[i]}, 0.01) AS lo_{i}, quantile_cont({RAW_ID[i]}, 0.99) AS hi_{i}" for i in ROBUST) + " FROM {raw16} WHERE split = 'train')"
 
-ENCODED = " , ".join(f"CAST(least(greatest(round_even(254.0::DOUBLE * CAST(coalesce({clipped(SIMPLE[k])}, (SELECT median({clipped(SIMPLE[k])}) FROM {{raw16}} WHERE split = 'train')) AS DOUBLE) - 127.0, 0), -127), 127) AS TINYINT) AS {k}" for k in ("cadd_phred", "esm1b_deleteriousness", "revel_score"))
+
+def scaled_sql(i: str) -> str:
+    """A feature between 0 and 1 in SQL, null kept; needs BOUNDS beside it."""
+    if i == "interpro_domain_hit":
+        return "CASE interpro_domain_status WHEN 'overlap' THEN 1.0 WHEN 'no_overlap' THEN 0.0 ELSE 0.5 END"
+    if i not in ROBUST:
+        return clipped(SIMPLE[i])
+    part = f"({RAW_ID[i]} - lo_{i}) / (hi_{i} - lo_{i})"
+    return clipped(part if i in ("phylop_100way", "gerp_rs") else f"1 - {part}")
+
+
+SCALED = "(SELECT variant_key, gene, split, " + ", ".join(f"CAST({scaled_sql(i)} AS DOUBLE) AS {i}" for i in RAW_ID) + f" FROM {{raw16}}, {BOUNDS} b)"
+MEDIANS = f"(SELECT {', '.join(f'median({i}) AS m_{i}' for i in RAW_ID)} FROM {SCALED} s WHERE split = 'train')"
+FILLED = f"(SELECT variant_key, gene, split, {', '.join(f'CAST(coalesce({i}, m_{i}) AS FLOAT) AS {i}' for i in RAW_ID)} FROM {SCALED} s, {MEDIANS} m)"
 
 
 @query("d08_impute", "SELECT split, round(sum(least(coalesce(cadd_phred / 50.0, (SELECT median(cadd_phred / 50.0) FROM {raw16} WHERE split = 'train')), 1.0)), 3) AS cadd_phred FROM {raw16} GROUP BY split")
@@ -467,10 +544,24 @@ def encode_int8(v: Views) -> DataFrame:
     return v.raw16.select("variant_key", V.encode_int8(features.transform_feature(by["cadd_phred"])).alias("q"))
 
 
-@query("d10_build_feature_tables", f"SELECT variant_key, split, {ENCODED} FROM {{raw16}}")
+def feature_tables(v: Views, kind: str) -> DataFrame:
+    splits = v.raw16.select("gene", "split").distinct()
+    return features.build_feature_tables(v.raw16, splits)[1][kind]
+
+
+@query("d10_build_feature_tables", f"SELECT variant_key, gene, split, {', '.join(f'CAST(least(greatest(round_even(254.0::FLOAT * {i} - 127.0::FLOAT, 0), -127), 127) AS TINYINT) AS {i}' for i in RAW_ID)} FROM {FILLED} f")
 def build_feature_tables(v: Views) -> DataFrame:
-    m = features.fit_encoder(v.raw16)
-    return m.encode(v.raw16).select("variant_key", "split", "cadd_phred", "esm1b_deleteriousness", "revel_score")
+    return feature_tables(v, "int8").drop("label")
+
+
+@query("d10_float_table", "SELECT variant_key, gene, split, " + ", ".join(f"round(CAST({i} AS DOUBLE), 6) AS {i}" for i in RAW_ID) + f" FROM {FILLED} f")
+def float_table(v: Views) -> DataFrame:
+    return feature_tables(v, "float").select("variant_key", "gene", "split", *[R6(F.col(i).cast("double")).alias(i) for i in RAW_ID])
+
+
+@query("d10_state", f"SELECT x.feature, round(x.lower, 6) AS lower, round(x.upper, 6) AS upper, round(x.median, 6) AS median FROM {BOUNDS} b, {MEDIANS} m, unnest([" + ", ".join(f"{{'feature': '{i}', 'lower': {f'lo_{i}' if i in ROBUST else 'CAST(NULL AS DOUBLE)'}, 'upper': {f'hi_{i}' if i in ROBUST else 'CAST(NULL AS DOUBLE)'}, 'median': m_{i}}}" for i in RAW_ID) + "]) AS u (x)")
+def feature_state(v: Views) -> DataFrame:
+    return feature_tables(v, "state").select("feature", *[R6(F.col(c)).alias(c) for c in ("lower", "upper", "median")])
 
 
 # ---- E: checks and samples ----
@@ -478,9 +569,12 @@ def build_feature_tables(v: Views) -> DataFrame:
 F16 = [f"f{k}" for k in range(16)]
 
 
-@query("e02_validate_dataset", "SELECT CASE WHEN count(*) = count(DISTINCT variant_key) THEN 'passed' ELSE 'failed' END AS status, CASE WHEN count(*) = count(DISTINCT variant_key) THEN '' ELSE 'repeated keys' END AS errors, count(*) AS rows FROM {small16}")
+@query("e02_validate_dataset", """
+    SELECT CASE WHEN count(*) = count(DISTINCT variant_key) THEN 'passed' ELSE 'failed' END AS status, CASE WHEN count(*) = count(DISTINCT variant_key) THEN '' ELSE 'repeated keys' END AS errors, count(*) AS rows,
+           (SELECT string_agg(split || ':' || CAST(n AS VARCHAR) || ':' || CAST(p AS VARCHAR), ',' ORDER BY split) FROM (SELECT split, count(*) AS n, count(*) FILTER (WHERE label = 1) AS p FROM {small16} GROUP BY split) s) AS per_split FROM {small16}""")
 def validate_dataset(v: Views) -> DataFrame:
-    return features.validate_dataset(v.small16, F16).select("status", F.array_join("errors", ",").alias("errors"), "rows")
+    text = F.array_join(F.transform("per_split", lambda s: F.concat_ws(":", s["split"], s["rows"].cast("string"), s["positives"].cast("string"))), ",")
+    return features.validate_dataset(v.small16, F16).select("status", F.array_join("errors", ",").alias("errors"), "rows", text.alias("per_split"))
 
 
 @query("e03_group_leakage", "SELECT chrom AS gene, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM {keyed} GROUP BY chrom HAVING count(DISTINCT split) > 1")
@@ -488,9 +582,19 @@ def group_leakage(v: Views) -> DataFrame:
     return features.group_leakage(v.keyed.select(F.col("chrom").alias("gene"), "split")).select("gene", F.array_join("splits", ",").alias("splits"))
 
 
-@query("e04_scoring_input", "SELECT count(*) - count(DISTINCT variant_key) AS repeated_keys, CAST(sum(CASE WHEN cadd_phred IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_rows, CAST(sum(CASE WHEN cadd_phred <> round(cadd_phred) OR phylop_100way <> round(phylop_100way) THEN 1 ELSE 0 END) AS BIGINT) AS fractional_rows FROM {raw16}")
-def scoring_input(v: Views) -> DataFrame:
-    return features.scoring_input_errors(v.raw16, ["cadd_phred", "phylop_100way"]).drop("range_rows")
+CHECKED = ("cadd_phred", "phylop_100way", "gerp_rs", "grantham_distance")
+
+
+@query("e04_scoring_input", "SELECT count(*) - count(DISTINCT variant_key) AS repeated_keys, " + ", ".join(f"CAST(sum(CASE WHEN {' OR '.join(t.format(c) for c in CHECKED)} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, t in (("null_rows", "{} IS NULL"), ("fractional_rows", "coalesce({0} <> round({0}), false)"), ("range_rows", "coalesce({0} < -128 OR {0} > 127, false)"))) + " FROM {raw16}")
+def scoring_input_errors(v: Views) -> DataFrame:
+    return features.scoring_input_errors(v.raw16, list(CHECKED))
+
+
+@query("e04_checked_input", "SELECT variant_key, split, " + ", ".join(F16) + " FROM {small16} WHERE split = 'test' AND variant_key IN (SELECT variant_key FROM {unique_variants}) ORDER BY variant_key LIMIT 400")
+def checked_input(v: Views) -> DataFrame:
+    """The limit of the operator: the least keys of one split, once all its rows have passed."""
+    rows = v.small16.join(v.unique_variants.select("variant_key"), "variant_key", "left_semi")
+    return features.scoring_input(rows, F16, "test", 400).select("variant_key", "split", *F16)
 
 
 @query("e05_balanced_sample", """
@@ -507,6 +611,6 @@ def seeded_sample(v: Views) -> DataFrame:
     return features.seeded_sample(v.unique_variants, 300, code=(F.col("pos").cast("bigint") * 104729) % 100003).select("variant_key")
 
 
-@query("e07_activation_coverage", " UNION ALL ".join(f"SELECT 'f{k}' AS unit, CAST(sum(CASE WHEN f{k} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS active_rows FROM {{small16}}" for k in range(4)))
+@query("e07_activation_coverage", " UNION ALL ".join(f"SELECT 'f{k}' AS unit, CAST(sum(CASE WHEN f{k} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS active_rows FROM {{small16}}" for k in range(16)))
 def activation_coverage(v: Views) -> DataFrame:
-    return features.activation_coverage(v.small16, [f"f{k}" for k in range(4)])
+    return features.activation_coverage(v.small16, F16)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +46,29 @@ FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter")
 
 def parse_info(info: Column) -> Column:
     """INFO to a map; flags get 'true'; of a repeated key the last stands."""
-    parts = F.filter(F.split(info, ";"), lambda p: p != "")
-    pairs = F.transform(parts, lambda p: F.struct(F.split(p, "=", 2)[0].alias("k"), F.when(p.contains("="), F.regexp_extract(p, "=(.*)$", 1)).otherwise("true").alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, 1_000_000), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    # entries whose key comes again later go first, so that the map is built without comparing keys
+    last = F.regexp_replace(F.concat(F.lit(";"), info), r";([^;=]+)(?:=[^;]*)?(?=;(?:.*;)?\1(?:[=;]|$))", "")
+    parts = F.filter(F.split(last, ";"), lambda p: p != "")
+    value = lambda p: F.when(F.instr(p, "=") > 0, p.substr(F.instr(p, "=") + 1, F.length(p))).otherwise("true")
+    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), value(p).alias("v"))))
+
+
+def info_value(info: Column, key: str) -> Column:
+    """The value of one key in INFO text: of a repeated key the last; null where it is not there or empty."""
+    return F.nullif(F.regexp_extract(F.concat(F.lit(";"), info), f"(?s)^.*;{re.escape(key)}=([^;]*)", 1), F.lit(""))
 
 
 def parse_vcf(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of VCF text lines; blank and '#' lines are skipped, rows with under 8 fields are rejects."""
+    """(rows, rejects) of VCF text lines; blank and '#' lines are skipped, rows with under 8 fields are rejects.
+
+    INFO comes as the map `info` and as the text `info_text`, from which single keys are read at less cost.
+    """
     body = lines.select(F.col(line).alias("line")).filter((F.trim("line") != "") & ~F.col("line").startswith("#"))
     split = body.withColumn("f", F.split("line", "\t"))
     good = split.filter(F.size("f") >= 8)
     cols = [F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FIXED)]
-    rows = good.select(*cols, parse_info(F.get("f", F.lit(7))).alias("info")).withColumn("pos", F.col("pos").try_cast("int"))
+    text = F.get("f", F.lit(7))
+    rows = good.select(*cols, parse_info(text).alias("info"), text.alias("info_text")).withColumn("pos", F.col("pos").try_cast("int"))
     return rows, split.filter(F.size("f") < 8).select("line")
 
 
@@ -101,9 +113,31 @@ def gene_constraints(table: DataFrame, cohort: DataFrame, order: str, names: tup
     return wanted.groupBy("gene").agg(F.min_by(F.struct("gnomad_loeuf", "gnomad_moeuf"), "o__").alias("x")).select("gene", "x.gnomad_loeuf", "x.gnomad_moeuf")
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Cached JSON documents of a fixed schema, one per file or line; a null payload means not found."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Cached JSON documents of a fixed schema, one per line, or one per file with multi_line; a bad one fails the read."""
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+
+
+def read_summaries(spark: SparkSession, path: str, summary: str, multi_line: bool = False) -> DataFrame:
+    """variation_id, raw_summary of cached database documents; a null summary means not found, one without a uid is an error."""
+    d = read_documents(spark, path, f"variation_id bigint, raw_summary struct<{summary}>", multi_line)
+    bad = F.col("raw_summary").isNotNull() & F.col("raw_summary.uid").isNull()
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("no summary of "), F.coalesce(F.col("variation_id").cast("string"), F.lit("?"))))).otherwise(F.col("variation_id"))
+    return d.select(checked.alias("variation_id"), "raw_summary")
+
+
+# The four kinds of cached literature documents, by folder.
+LITERATURE = {
+    "links": "variation_id bigint, pmids array<string>",
+    "articles": "pmid string, raw struct<title: string, fulljournalname: string, source: string, pubdate: string, authors: array<struct<name: string>>, articleids: array<struct<idtype: string, value: string>>>",
+    "abstracts": "pmid string, content struct<abstract: string, mesh_terms: array<string>, keywords: array<string>>",
+    "searches": "query string, count int, pmids array<string>",
+}
+
+
+def read_literature(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:
+    """Links, articles, abstracts and searches, each from its own folder; null payloads mean not found."""
+    return {kind: read_documents(spark, f"{folder}/{kind}", schema, multi_line) for kind, schema in LITERATURE.items()}
 
 
 def read_evidence(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -170,14 +204,13 @@ def encode_vectors(df: DataFrame, features: str = "features", score: str = "scor
 
 
 def decode_reply_frames(df: DataFrame, threshold: int, frame: str = "frame") -> DataFrame:
-    """Typed replies of 16-byte frames: version 1, type 2, sequence, score, classification, deep flag.
+    """Typed replies of 12-byte frames: version 1, type 2, sequence (4 bytes), score (4), classification, deep flag.
 
     Adds version, sequence, score, classification, deep_review, reject_reason (null: good) and flag_mismatch.
     Big-endian; a frame of another length, version or type, or with a flag that is not 0 or 1, is rejected.
     """
-    part = lambda at, n: F.hex(F.substring(frame, at, n))
-    num = lambda at, n: F.conv(part(at, n), 16, 10).cast("bigint")
-    d = df.withColumn("version", num(1, 1)).withColumn("kind", num(2, 1)).withColumn("sequence", num(3, 4)).withColumn("score", signed(part(7, 4), 32).cast("int"))
+    num = lambda at, n: F.conv(F.hex(F.substring(frame, at, n)), 16, 10).cast("bigint")
+    d = df.withColumn("version", num(1, 1)).withColumn("kind", num(2, 1)).withColumn("sequence", num(3, 4)).withColumn("score", signed(F.hex(F.substring(frame, 7, 4)), 32).cast("int"))
     d = d.withColumn("classification", num(11, 1).cast("int")).withColumn("deep_review", num(12, 1).cast("int"))
     reason = (
         F.when(F.octet_length(frame) != 12, "length").when(F.col("version") != 1, "version").when(F.col("kind") != 2, "type")
@@ -187,10 +220,65 @@ def decode_reply_frames(df: DataFrame, threshold: int, frame: str = "frame") ->
     return d.withColumn("reject_reason", reason).withColumn("flag_mismatch", F.when(reason.isNull(), wrong)).drop("kind")
 
 
+MOST_SCORES = 32  # of one batch frame
+
+
+def decode_batch_frames(df: DataFrame, threshold: int, frame: str = "frame") -> DataFrame:
+    """Batch replies, one row per score: version 1, type 2, sequence (4 bytes), count (1 to 32), a zero byte, then
+    count times score (4 bytes), classification and deep flag. Bytes after them are padding.
+
+    Adds sequence, place, score, classification, deep_review, reject_reason. A malformed frame gives one row with
+    its reason (length, version, type, count) and nulls; one with any flag that its score denies is rejected whole (flag).
+    """
+    num = lambda at, n: F.conv(F.hex(F.substring(F.col(frame), F.lit(at), F.lit(n))), 16, 10).cast("bigint")
+    field = lambda i, at, n: F.hex(F.substring(F.col(frame), (i * 6 + at).cast("int"), F.lit(n)))
+    flag = lambda i, at: F.conv(field(i, at, 1), 16, 10).cast("int")
+    d = df.withColumn("sequence", num(3, 4)).withColumn("count__", num(7, 1))
+    reason = (
+        F.when(F.octet_length(frame) < 8, "length").when(num(1, 1) != 1, "version").when(num(2, 1) != 2, "type")
+        .when(~F.col("count__").between(1, MOST_SCORES) | (num(8, 1) != 0), "count").when(F.octet_length(frame) < 8 + 6 * F.col("count__"), "length")
+    )
+    item = lambda i: F.struct(i.alias("place"), signed(field(i, 9, 4), 32).cast("int").alias("score"), flag(i, 13).alias("classification"), flag(i, 14).alias("deep_review"))
+    items = F.transform(F.sequence(F.lit(0), (F.col("count__") - 1).cast("int")), item)
+    none = F.array(F.lit(None).cast("struct<place:int,score:int,classification:int,deep_review:int>"))
+    d = d.withColumn("reason__", reason).withColumn("items__", F.when(F.col("reason__").isNull(), items).otherwise(none))
+    wrong = lambda x: (x["classification"] != (x["score"] >= 0).cast("int")) | (x["deep_review"] != (x["score"] >= threshold).cast("int"))
+    d = d.withColumn("reject_reason", F.coalesce("reason__", F.when(F.exists("items__", wrong), "flag")))
+    return d.withColumn("item__", F.explode("items__")).select(*df.columns, "sequence", "item__.*", "reject_reason")
+
+
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """One row: name, rows, hash_xor, hash_sum; the same for the same rows in any order."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    return df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("hash_sum"))
+    """One row: name, rows, hash_xor, hash_sum; the same for the same rows in any order.
+
+    A row's hash is the first 60 bits of the md5 of its columns as text, in the order of their names, which other
+    engines can make too.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"))
+
+
+def write_manifest(tables: dict[str, DataFrame], run: str, path: str) -> None:
+    """Append the fingerprints of a run's tables to the manifest at path."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = None
+    for name, df in tables.items():
+        one = table_fingerprint(df, name)
+        rows = one if rows is None else rows.unionByName(one)
+    rows.withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(path)
+    spark.catalog.refreshByPath(path)
+
+
+def check_manifest(tables: dict[str, DataFrame], run: str, path: str) -> None:
+    """An error unless the tables are what the run of that name wrote down."""
+    spark = next(iter(tables.values())).sparkSession
+    now = None
+    for name, df in tables.items():
+        one = table_fingerprint(df, name)
+        now = one if now is None else now.unionByName(one)
+    odd = [r["name"] for r in changed_tables(spark.read.parquet(path).filter(F.col("run") == run), now).collect()]
+    if odd:
+        raise ValueError(f"tables that are not those of run {run}: {sorted(odd)}")
 
 
 def changed_tables(manifest: DataFrame, now: DataFrame) -> DataFrame:
