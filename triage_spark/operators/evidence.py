@@ -132,10 +132,14 @@ def build_search_plans(ids: DataFrame, max_queries: int = 4, context: bool = Tru
     return ids.select(key, F.posexplode(F.slice(first, 1, max_queries)).alias("place", "plan")).select(key, "place", "plan.*")
 
 
-def identifier_audit(ids: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row: variants with each kind of identifier, plans per strategy)."""
+def identifier_audit(ids: DataFrame, plans: DataFrame, key: str = "variant_key") -> tuple[DataFrame, DataFrame]:
+    """(per variant: its numbers of identifiers and plans, measure and name and rows: variants with each kind of identifier, plans per strategy)."""
     kinds = ("rsids", "hgvs", "protein_changes", "canonical_spdi", "traits")
-    return ids.agg(F.count("*").alias("variants"), *[F.count_if(F.size(k) > 0).alias(k) for k in kinds]), plans.groupBy("strategy").agg(F.count("*").alias("plans"))
+    planned = plans.groupBy(key).agg(F.count("*").alias("plans"))
+    per = ids.select(key, *[F.coalesce(F.size(k), F.lit(0)).alias(k) for k in kinds]).join(planned, key, "left").withColumn("plans", F.coalesce("plans", F.lit(0)))
+    counts = per.agg(F.count("*").alias("variants"), *[F.count_if(F.col(k) > 0).alias(k) for k in kinds]).unpivot([], ["variants", *kinds], "name", "rows")
+    strategies = plans.groupBy(F.col("strategy").alias("name")).agg(F.count("*").alias("rows"))
+    return per, counts.withColumn("measure", F.lit("identifier")).unionByName(strategies.withColumn("measure", F.lit("strategy")))
 
 
 def contains_gene(text: Column, gene: Column) -> Column:
@@ -182,11 +186,17 @@ def linked_pmid_overlap(linked: DataFrame, direct: DataFrame, key: str = "varian
     return flags.groupBy(key).agg(F.count("l__").alias("overlap"), F.count_if(F.col("l__").isNull()).alias("direct_only"))
 
 
-def direct_search_summary(variants: DataFrame, direct: DataFrame, key: str = "variant_key") -> tuple[DataFrame, DataFrame]:
-    """(one row of totals, article instances per tier)."""
-    has = variants.select(key).distinct().join(direct.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("membership") == "both").alias("b")), key, "left")
-    one = has.agg(F.count("*").alias("variants"), F.count("n").alias("with_articles"), F.count_if(F.col("n").isNull()).alias("without_articles"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("instances"), F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("overlap"))
-    return one, direct.groupBy("tier").agg(F.count("*").alias("articles"))
+def direct_search_summary(variants: DataFrame, plans: DataFrame, direct: DataFrame, key: str = "variant_key") -> tuple[DataFrame, DataFrame]:
+    """(one row of totals, article instances per tier). A variant with a plan is searchable."""
+    n = direct.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("membership") == "both").alias("b"))
+    has = variants.select(key).distinct().join(n, key, "left").join(plans.select(key, F.lit(1).alias("s__")).distinct(), key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = has.agg(
+        F.count("*").alias("variants"), F.count("s__").alias("searchable"), F.count("n").alias("with_articles"), F.count_if(F.col("n").isNull()).alias("without_articles"),
+        total("n").alias("instances"), total("b").alias("overlap"), (total("n") - total("b")).alias("direct_only"),
+    )
+    unique = direct.agg(F.countDistinct("pmid").alias("unique_articles"))
+    return one.join(unique, F.lit(True)), direct.groupBy("tier").agg(F.count("*").alias("articles"))
 
 
 SUBJECT = ("gene", "score", "route", "prediction", "clinvar_variation_id")
@@ -217,6 +227,16 @@ def reconcile_summary(records: DataFrame) -> DataFrame:
     return records.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("variants"))
 
 
+def reconcile_counts(records: DataFrame) -> DataFrame:
+    """One row: records, those without any issue, those whose subjects agree, and for each subject field the records that disagree."""
+    held = lambda prefix: F.exists("issues", lambda i: i.startswith(prefix))
+    differs = [held(f"{c}_mismatch_") for c in SUBJECT]
+    return records.agg(
+        F.count("*").alias("records"), F.count_if(F.size("issues") == 0).alias("without_issues"), F.count_if(~F.exists("issues", lambda i: i.contains("_mismatch_"))).alias("verified"),
+        *[F.count_if(d).alias(f"{c}_mismatches") for c, d in zip(SUBJECT, differs)],
+    )
+
+
 def variant_report(records: DataFrame) -> DataFrame:
     """Adds group (of the classification), comparison (with the prediction) and warnings."""
     group = V.significance_group(F.col("classification"))
@@ -225,13 +245,16 @@ def variant_report(records: DataFrame) -> DataFrame:
 
 
 def aggregate_reports(reports: DataFrame) -> DataFrame:
-    """dimension, value, variants: counts by status, route, significance and comparison in one pass of grouping sets."""
-    dims = ("status", "route", "significance", "comparison")
-    sets = reports.select(*dims).groupingSets([[F.col(d)] for d in dims], *dims).agg(F.count("*").alias("variants"), F.grouping_id(*dims).alias("g"))
+    """dimension, value, variants: counts by status, route, significance, comparison and review status in one pass of
+    grouping sets, and two rows of dimension `total`: variants and genes."""
+    dims = ("status", "route", "significance", "comparison", "review_status")
+    rows = reports.withColumn("review_status", F.coalesce(F.nullif("review_status", F.lit("")), F.lit("missing")))
+    sets = rows.select(*dims).groupingSets([[F.col(d)] for d in dims], *dims).agg(F.count("*").alias("variants"), F.grouping_id(*dims).alias("g"))
     mask = lambda k: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - k))
     dimension = F.coalesce(*[F.when(F.col("g") == mask(k), F.lit(d)) for k, d in enumerate(dims)])
     value = F.coalesce(*[F.when(F.col("g") == mask(k), F.col(d)) for k, d in enumerate(dims)])
-    return sets.select(dimension.alias("dimension"), value.alias("value"), "variants")
+    totals = reports.agg(F.count("*").alias("variants"), F.countDistinct(F.nullif("gene", F.lit(""))).alias("genes")).unpivot([], ["variants", "genes"], "value", "n")
+    return sets.select(dimension.alias("dimension"), value.alias("value"), "variants").unionByName(totals.select(F.lit("total").alias("dimension"), "value", F.col("n").alias("variants")))
 
 
 def report_preview(reports: DataFrame, n: int = 20, key: str = "variant_key") -> DataFrame:
