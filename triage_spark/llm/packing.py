@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 UNSAFE = re.compile(r"\s \s|\s \Z")  # white space that a cut before each space would split differently
-CACHE = 400_000  # words
+CACHE = 200_000  # words
+FLUSH = 1 << 19  # ids that one batch brings out of Python
 CHUNK = 2048  # pieces that one differencing takes together
 SHARE = 32_768  # pieces, as estimated, of one partition
 _ENCODERS: dict[tuple, "Encoder"] = {}
@@ -181,8 +182,9 @@ def pack(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(ranks_path, pattern, added or {}), np.asarray([end_id], dtype="<u4").tobytes()
+        out: list[list] = [[] for _ in fields]
+        held = 0
         for b in batches:
-            out: list[list] = [[] for _ in fields]
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = enc.encode(t.as_py() or "") + end
                 n = len(ids) // 4
@@ -190,8 +192,12 @@ def pack(
                     part = ids[4 * s : 4 * (s + length)]
                     for c, v in zip(out, (k, s, length, zlib.crc32(part), n, part)):
                         c.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, arrow)], names=names)
+                    held += length
+                    if held >= FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, arrow)], names=names)
+                        out, held = [[] for _ in fields], 0
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, arrow)], names=names)
 
     names = [f.name for f in fields]
     arrow = [to_arrow_type(f.dataType) for f in fields]
