@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,18 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
 
     Where the session names none, a temporary folder is set if driver and executors are one process (tests, one
     machine); on a cluster that is an error, as executors do not share such a folder.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(local_folder(spark, "spark-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = local_folder(spark, "spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage; partitions and the order of their rows stay. The sizes that Spark estimates stay too: see stored()."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder; rows come back in any order.
+
+    Unlike a checkpoint, which hands the estimated size of its plan on, so that a chain of joins multiplies it until the
+    number alone fills the driver, a table has the size of its files.
+    """
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def local_folder(spark: SparkSession, prefix: str) -> str:
     """A temporary folder, for sessions of one process only."""
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import checkpoint
+from triage_spark.llm.common import stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,19 +17,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        least = checkpoint(e.groupBy("a").agg(F.min("b").alias("m")))
+        least = stored(e.groupBy("a").agg(F.min("b").alias("m")))
         linked = e.join(least, "a")
         return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-    # a star's centre is a hot key of the joins below; Spark's skew join splits it, as `least` is read from a checkpoint
-    e = checkpoint(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
+    # a star's centre is a hot key of the joins below; Spark's skew join splits it, as `least` is a stored table
+    e = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
     seen = None
     while True:
-        e = checkpoint(small(large(e)))
+        e = stored(small(large(e)))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import bounded_sample, checkpoint
+from triage_spark.llm.common import bounded_sample, stored
 
 WORDS = re.compile(r"[^\W\d_]+")
 NO_WORD = re.compile(r"[\W\d_]")
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                                 u, inverse = np.unique(h, return_inverse=True)
                                 yield pd.DataFrame({"lang": lg, "n": n, "h": u.view(np.int64), "c": np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)})
 
-    counted = checkpoint(rows.repartition(16).mapInPandas(count, "lang string, n int, h long, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c")))
+    counted = stored(rows.repartition(16).mapInPandas(count, "lang string, n int, h long, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c")))
     totals = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({k[0] for k in totals})
     by_lang = [F.sum(F.when(F.col("lang") == lg, F.col("c")).otherwise(0)).cast("float").alias(f"c{k}") for k, lg in enumerate(langs)]

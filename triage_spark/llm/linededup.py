@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import checkpoint, prefix_sums
+from triage_spark.llm.common import prefix_sums, stored
 
 MIN_WORDS = 30
 
@@ -100,7 +100,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     line = ["line", "line2"]
     counts = lines.groupBy(*line).agg(F.count("*").alias("members")).filter("members > 1")
     # ranks and firsts are written out before their joins, so that Spark can split the joins of very common lines
-    now = checkpoint(lines.join(checkpoint(ranks_of(counts, line)), line).drop(*line).dropDuplicates(["sid", "pos"]))
+    now = stored(lines.join(stored(ranks_of(counts, line)), line).drop(*line).dropDuplicates(["sid", "pos"]))
     most = now.agg(F.max(F.array_max("needs"))).first()[0] or 0
     found, k = [], 0
     while (1 << k) <= most:
@@ -109,15 +109,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
         tail = now.select("sid", (F.col("pos") + size).alias("stop"), F.col("rank").alias("tail"))
         runs = due.withColumn("stop", F.col("pos") + F.col("need")).join(tail, ["sid", "stop"])
         interval = ["need", "rank", "tail"]
-        firsts = checkpoint(runs.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("members")).filter("members > 1").drop("members"))
+        firsts = stored(runs.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("members")).filter("members > 1").drop("members"))
         later = runs.join(firsts, interval).filter(F.col("first") != F.struct(*PLACE))
-        found.append(checkpoint(later.select("sid", "doc", "pos", "stop", "first")))
+        found.append(stored(later.select("sid", "doc", "pos", "stop", "first")))
         if 2 * size > most:
             break
         second = now.select("sid", (F.col("pos") - size).alias("pos"), F.col("rank").alias("next"))
         pairs = now.join(second, ["sid", "pos"]).withColumnRenamed("rank", "head")
         groups = pairs.groupBy("head", "next").agg(F.count("*").alias("members")).filter("members > 1")
-        now = checkpoint(pairs.join(ranks_of(groups, ["head", "next"]), ["head", "next"]).drop("head", "next"))
+        now = stored(pairs.join(ranks_of(groups, ["head", "next"]), ["head", "next"]).drop("head", "next"))
         k += 1
     spark = docs.sparkSession
     schema = f"sid bigint, {key} {kind}, line_start int, line_end int, first_key {kind}, first_line int"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triage_spark.llm.common import checkpoint
+from triage_spark.llm.common import stored
 from triage_spark.llm.graph import connected_components
 
 SHINGLE = 5
@@ -189,7 +189,7 @@ def stars(members: DataFrame) -> DataFrame:
 
     The pivot is the member of the greatest weight. `members`: table_key, node, n, weight.
     """
-    pivots = checkpoint(members.groupBy("table_key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "node")).alias("p"), F.min("n").alias("lo")))
+    pivots = stored(members.groupBy("table_key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "node")).alias("p"), F.min("n").alias("lo")))
     met = members.join(pivots, "table_key").filter("node <> p.node")
     return met.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.min("lo").alias("lo"), F.first("n").alias("n"), F.first("weight").alias("weight"))
 
@@ -287,46 +287,46 @@ def next_members(done: DataFrame) -> DataFrame:
     added = done.select(*own, F.lit(0).alias("kind"), F.explode("added").alias("element"), "keep", F.size("added").alias("all"))
     removed = done.select(*own, F.lit(1).alias("kind"), F.explode("removed").alias("element"), F.col("keep_removed").alias("keep"), F.size("removed").alias("all"))
     each = added.unionByName(removed).withColumn("table_key", F.xxhash64("a", "kind", "element")).drop("element")
-    shared = checkpoint(each.groupBy("table_key").agg(F.count("*").alias("have")).filter("have > 1"))
+    shared = stored(each.groupBy("table_key").agg(F.count("*").alias("have")).filter("have > 1"))
     w = Window.partitionBy("a", "node", "kind")
     ranked = each.join(shared, "table_key").withColumn("common", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("have", "table_key")))
-    first = checkpoint(ranked.filter("place <= keep - (all - common)").select("table_key", "node", "n", "weight", "near", (F.col("all") - F.col("common")).alias("own")))
-    open_ = checkpoint(first.groupBy("table_key").agg(F.count("*").alias("members"), F.every("near").alias("all_near")).filter("members > 1 AND NOT all_near").drop("all_near"))
+    first = stored(ranked.filter("place <= keep - (all - common)").select("table_key", "node", "n", "weight", "near", (F.col("all") - F.col("common")).alias("own")))
+    open_ = stored(first.groupBy("table_key").agg(F.count("*").alias("members"), F.every("near").alias("all_near")).filter("members > 1 AND NOT all_near").drop("all_near"))
     return first.join(open_, "table_key")
 
 
 def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """node, component of all sets that are linked with another one."""
     keys = table_keys(classes, collections)
-    tables = checkpoint(keys.groupBy("table_key").agg(F.count("*").alias("members")).filter("members > 1"))
-    members = checkpoint(keys.join(tables, "table_key"))
+    tables = stored(keys.groupBy("table_key").agg(F.count("*").alias("members")).filter("members > 1"))
+    members = stored(keys.join(tables, "table_key"))
     weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
-    pairs = checkpoint(stars(members.drop("members").join(weights, "node")))
+    pairs = stored(stars(members.drop("members").join(weights, "node")))
     wanted = classes.join(weights.select("node"), "node", "left_semi").select("node", F.col("head.key").alias("key"), "n", "h1", "h2")
-    sets = checkpoint(stored_sets(wanted, docs, key, text))
+    sets = stored(stored_sets(wanted, docs, key, text))
     links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     own = None
     while not pairs.isEmpty():
-        done = checkpoint(verify(pairs, sets, percent))
+        done = stored(verify(pairs, sets, percent))
         links = links.unionByName(done.filter("near").select("a", "b"))
-        members = checkpoint(next_members(done))
+        members = stored(next_members(done))
         if own is None:  # from here on the order of the pivots: it must stay, so that the search ends
             own = members.groupBy("node").agg((-F.min("own")).alias("weight"))
-            members = checkpoint(members.drop("weight").join(own, "node"))
-        pairs = checkpoint(next_pairs(members, percent))
+            members = stored(members.drop("weight").join(own, "node"))
+        pairs = stored(next_pairs(members, percent))
     return connected_components(links)
 
 
 def row_classes(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, content, n, head (unknown, key, row: of the first row of its class), row."""
     collections = collections_for(percent)
-    signed = checkpoint(signatures(docs, key, text, collections).withColumn("row", F.monotonically_increasing_id()))
+    signed = stored(signatures(docs, key, text, collections).withColumn("row", F.monotonically_increasing_id()))
     head = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row")).alias("head")
     classes = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(head, F.first("collections").alias("collections"))
-    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     found = linked(classes, collections, docs, key, text, percent)
     named = classes.select("node", "h1", "h2", "n", "head").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = checkpoint(named.groupBy("component").agg(F.min("head").alias("first")))
+    heads = stored(named.groupBy("component").agg(F.min("head").alias("first")))
     known = named.join(heads, "component").select("h1", "h2", "n", "first")
     out = signed.select("key", "content", "row", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
     own = F.struct(F.col("key").isNull().alias("unknown"), "key", "row")
@@ -355,7 +355,7 @@ def keep_one(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str
     """
     rows = row_classes(docs, percent, key, text)
     groups = rows.groupBy("key", "content").agg(F.count("*").alias("rows"), F.max((F.col("head.row") == F.col("row")).cast("int")).alias("kept"))
-    changed = checkpoint(groups.filter("rows > 1 OR kept = 0").select(F.col("key").alias("key__"), F.col("content").alias("content__"), "kept"))
+    changed = stored(groups.filter("rows > 1 OR kept = 0").select(F.col("key").alias("key__"), F.col("content").alias("content__"), "kept"))
     same = F.col(key).eqNullSafe(F.col("key__")) & (F.xxhash64(text) == F.col("content__"))
     stay = docs.join(changed, same, "left_anti")
     again = docs.join(changed.filter("kept = 1"), same, "left_semi").withColumn("content__", F.xxhash64(text)).dropDuplicates([key, "content__"]).drop("content__")

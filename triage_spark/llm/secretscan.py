@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import checkpoint
+from triage_spark.llm.common import stored
 
 # The base patterns.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -165,7 +165,7 @@ def learned_words(docs: DataFrame, text: str = "text") -> Ranks:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "docs"])
 
     counts = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
-    counts = checkpoint(counts.filter(F.col("docs") >= LEAST_DOCS))
+    counts = stored(counts.filter(F.col("docs") >= LEAST_DOCS))
     # the lowest number of documents that fits, from one row per number: a sort with a limit would send one list per task
     kept, least = 0, None
     for r in sorted(counts.groupBy("docs").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["docs"]):
