@@ -214,5 +214,5 @@ def encode_int8(x: Column) -> Column:
 
 
 def requantize(h: Column, qshift: int = 4) -> Column:
-    """Half-up shift with saturation: 0 below 0, at most 127."""
-    return F.least(F.greatest(F.shiftright(h + (1 << (qshift - 1)), qshift), F.lit(0).cast("bigint")), F.lit(127).cast("bigint"))
+    """Half-up shift with saturation: 0 below 0, at most 127; null stays null."""
+    return F.when(h.isNotNull(), F.least(F.greatest(F.shiftright(h + (1 << (qshift - 1)), qshift), F.lit(0).cast("bigint")), F.lit(127).cast("bigint")))
