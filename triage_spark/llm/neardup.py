@@ -9,9 +9,10 @@ g >= (d_x + |y| - |m| - k (|x| + |y|)) / 2, which is above 0 unless y is smaller
 h = (|Rx| + |Ry| + ||Ax| - |Ay|| - k (|x| + |y|)) / 2 > 0 removed ones are shared. So the pair shares an element among the first
 |A| - g + 1 added ones of both (or the first |R| - h + 1 removed ones), in any one order: the rarest among the
 members of m first. These elements are the next, smaller tables, whose pivots are the members with the fewest
-elements of their own, which are near most others. A next table of at most FULL members is compared in full, a larger one by a
-pivot again, so the pairs stay in proportion to the tables' rows and no link is lost. Pivots fall in one fixed
-order, so the search ends; a table of members that are all near its pivot is left alone.
+elements of their own, which are near most others. A next table of at most FULL members (GROWTH times as many with each
+further pass) is compared in full, a larger one by a pivot again; so few passes are made, no link is lost, and a member
+is compared with a number of others that grows far slower than its group. Of tables of the same members one is kept; one
+whose members are all near its pivot is left alone.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from triage_spark.llm.graph import connected_components
 SHINGLE = 5
 ROWS = 3  # minhashes of a collection; a table key is a pair of collections
 MISS = 1e-3  # at most this share of the single pairs right at the threshold meets in no table
-FULL = 64  # members up to which a next table is compared in full
+FULL, GROWTH = 64, 8  # members up to which a next table is compared in full, and how that grows from pass to pass
 SLICE_BYTES = 1 << 20  # text that one vector step takes together
 
 SEED = 20240501
@@ -199,17 +200,17 @@ def near_enough(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def next_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """The pairs to compare of the next tables: all of small ones (with a null lo), the stars of large ones.
+def next_pairs(members: DataFrame, percent: int, full: int) -> DataFrame:
+    """The pairs to compare of the next tables: all of those of at most `full` members (with a null lo), the stars of larger ones.
 
     Two members near the table's pivot are linked through it already.
     """
-    small = members.filter(f"members <= {FULL}")
+    small = members.filter(f"members <= {full}")
     x, y = (small.select("table_key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near")]) for side in "xy")
     apart = f"node_x < node_y AND NOT (near_x AND near_y) AND {near_enough('n_x', 'n_y', percent)}"
-    full = x.join(y, "table_key").filter(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    every = x.join(y, "table_key").filter(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     null = F.lit(None).cast("bigint")
-    return stars(members.filter(f"members > {FULL}")).unionByName(full.select("a", "b", null.alias("lo"), null.alias("n"), null.alias("weight")))
+    return stars(members.filter(f"members > {full}")).unionByName(every.select("a", "b", null.alias("lo"), null.alias("n"), null.alias("weight")))
 
 
 def stored_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -291,7 +292,9 @@ def next_members(done: DataFrame) -> DataFrame:
     w = Window.partitionBy("a", "node", "kind")
     ranked = each.join(shared, "table_key").withColumn("common", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("have", "table_key")))
     first = stored(ranked.filter("place <= keep - (all - common)").select("table_key", "node", "n", "weight", "near", (F.col("all") - F.col("common")).alias("own")))
-    open_ = stored(first.groupBy("table_key").agg(F.count("*").alias("members"), F.every("near").alias("all_near")).filter("members > 1 AND NOT all_near").drop("all_near"))
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in (0, 1)]  # equal for tables of the same members
+    open_ = first.groupBy("table_key").agg(F.count("*").alias("members"), F.every("near").alias("all_near"), *same).filter("members > 1 AND NOT all_near")
+    open_ = stored(open_.groupBy("members", "same0", "same1").agg(F.min("table_key").alias("table_key")).select("table_key", "members"))
     return first.join(open_, "table_key")
 
 
@@ -305,15 +308,16 @@ def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text
     wanted = classes.join(weights.select("node"), "node", "left_semi").select("node", F.col("head.key").alias("key"), "n", "h1", "h2")
     sets = stored(stored_sets(wanted, docs, key, text))
     links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    own = None
+    full = FULL
     while not pairs.isEmpty():
         done = stored(verify(pairs, sets, percent))
         links = links.unionByName(done.filter("near").select("a", "b"))
         members = stored(next_members(done))
-        if own is None:  # from here on the order of the pivots: it must stay, so that the search ends
+        if full == FULL:  # from here on the order of the pivots: it must stay, so that the search ends
             own = members.groupBy("node").agg((-F.min("own")).alias("weight"))
             members = stored(members.drop("weight").join(own, "node"))
-        pairs = stored(next_pairs(members, percent))
+        pairs = stored(next_pairs(members, percent, full))
+        full *= GROWTH
     return connected_components(links)
 
 
