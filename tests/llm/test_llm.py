@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -147,12 +149,60 @@ def test_op3(spark, docs, edge, empty):
     assert all(len(v) == 1 for v in by_text.values())
     long = [k for k in keys if len((docs[k] or "").split()) > 30]
     assert np.mean([got[k]["near_edited"] > got[k]["near_next"] for k in long if got[k]["near_next"] < 1]) > 0.97
-    assert fingerprints.fingerprint_with_edits(edge).count() == edge.count()
+    with pytest.raises(ValueError):
+        fingerprints.with_next(edge, ["text"], "lang")
+    assert fingerprints.fingerprint_with_edits(edge.withColumn("doc_id", F.col("doc_id").cast("int"))).count() == edge.count()
     assert fingerprints.fingerprint_with_edits(empty).count() == 0
     one = edge.filter("doc_id = 3")
     assert fingerprints.fingerprint_with_edits(one).first()["near_next"] == 1
 
 
+def plain_anchors(text):
+    """Closed syncmers of k = 3 words in plain Python: (hash, place)."""
+    words = []
+    for w in text.lower().split():
+        words += list(w) if len(w) > 16 else [w]
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in h]
+
+    def of(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    kept = [i for i in range(len(h) - 2) if min(signed[i : i + 3]) in (signed[i], signed[i + 2])]
+    return [(of(signed[i : i + 3]), i) for i in kept] or [(of(signed), 0)]
+
+
+def plain_match(a, b):
+    first = [{}, {}]
+    for side, anchors in zip(first, (a, b)):
+        for h, pos in anchors:
+            side.setdefault(h, pos)
+    votes = Counter(first[1][h] - first[0][h] for h in first[0].keys() & first[1].keys())
+    return min(((-n, o) for o, n in votes.items()), default=None)
+
+
+def test_op3_beside_plain_python(spark, docs):
+    got = {r["doc_id"]: r for r in run(spark, "op3_fingerprints").collect()}
+    keys = sorted(docs)
+    anchors = {k: plain_anchors(docs[k] or "") for k in keys}
+    for k, nxt in zip(keys, [*keys[1:], keys[0]]):
+        t = docs[k] or ""
+        half = len(t) // 2
+        edited = plain_anchors(t[: len(t) - half] + (docs[nxt] or "")[:half])
+        r, own = got[k], {h for h, _ in anchors[k]}
+        assert r["fingerprint"] == "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(own)[:128]) and r["n_anchors"] == len(anchors[k])
+        for other, near, offset, matched in ((edited, "near_edited", "edited_offset", "edited_matched"), (anchors[nxt], "near_next", "next_offset", "next_matched")):
+            hashes = {h for h, _ in other}
+            assert r[near] == pytest.approx(len(own & hashes) / len(own | hashes))
+            best = plain_match(anchors[k], other)
+            assert (r[matched], r[offset]) == ((-best[0], best[1]) if best else (None, None))
+    d = spark.createDataFrame([(1, "文" * 20 + "字句章節" * 100), (2, "別" * 30)], "doc_id long, text string")
+    assert fingerprints.fingerprint_with_edits(d).filter("doc_id = 1").first()["near_edited"] > 0
+
+
 def test_syncmers_by_hand(spark):
     d = spark.createDataFrame([("b a d c e f a b",), ("a b",), ("",)], "text string")
     d = d.withColumn("h", fingerprints.word_hashes(F.col("text")))
@@ -194,10 +244,33 @@ def test_op4(spark, docs, edge, empty):
     assert decontaminate.find_leaks(edge, bench).count() == 0
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(edge, bench.filter("item_id < 0")).count() == 0
+    for wrong in ({"item_key": "doc_id"}, {"threshold": 0.0}):
+        with pytest.raises(ValueError):
+            decontaminate.find_leaks(edge, bench, **wrong)
     own = edge.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id = 4")
     assert {r["doc_id"] for r in decontaminate.find_leaks(edge, own).collect()} == {4, 5}
 
 
+def test_op4_recall_of_edited_items(spark):
+    """Items with some words replaced, inside other text: all that brute force finds are found, at low thresholds too."""
+    rng = np.random.default_rng(11)
+    items = {k: " ".join(f"w{x}" for x in rng.zipf(1.2, int(rng.integers(20, 60))) % 4000) + ". " + " ".join(f"a{x}" for x in rng.integers(0, 300, 12)) + "." for k in range(40)}
+    texts = {}
+    for k in range(160):
+        words = items[k % 40].split()
+        for at in rng.choice(len(words), int(rng.integers(0, 4)), replace=False):
+            words[at] = f"n{rng.integers(10**6)}"
+        around = [f"w{x}" for x in rng.zipf(1.2, int(rng.integers(0, 300))) % 4000]
+        cut = int(rng.integers(0, len(around) + 1))
+        texts[k] = " ".join([*around[:cut], *words, *around[cut:]])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for overlap, threshold in ((0.8, 0.6), (0.5, 0.2)):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b, threshold, overlap, 0.3).collect()}
+        want = brute_leaks(texts, items, overlap, 0.3)
+        assert len(want) > 60 and got >= want
+
+
 def test_wand_finds_what_full_scoring_finds():
     rng = np.random.default_rng(3)
     items = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, 30) % 300)) for k in range(120)]

@@ -54,7 +54,7 @@ def share(part: set, passage: list[str], cache: dict[int, set]) -> float:
 class BlockMaxIndex:
     """Inverted index of items whose BM25 impacts are divided by the item's score for its own text."""
 
-    def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean_words: float):
+    def __init__(self, items: list[tuple], df: dict[str, int], n_items: int, mean_words: float, least: float = 2 * NON_ESSENTIAL):
         self.ids, self.parts, self.term = [], [], {}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.longest = 1
@@ -74,10 +74,12 @@ class BlockMaxIndex:
         self.block_max = [np.maximum.reduceat(v, np.arange(0, len(v), BLOCK)) for v in self.impacts]
         self.block_end = [np.array([d[min(i + BLOCK, len(d)) - 1] for i in range(0, len(d), BLOCK)]) for d in self.docs]
         self.most = np.array([v.max() for v in self.impacts]) if n else np.zeros(1)
-        # non-essential terms, the most frequent ones: all of an item's together stay under half of any useful threshold
+        # non-essential terms, the most frequent ones: all of an item's together stay under half of `least`, the lowest
+        # threshold that will be asked for, so that no item can reach it by them alone
+        allowed = min(NON_ESSENTIAL, least / 2)
         self.slack, self.essential = np.zeros(len(self.ids)), np.ones(max(n, 1), dtype=bool)
         for t in sorted(range(n), key=lambda t: -len(self.docs[t])):
-            if len(self.docs[t]) == 1 or (self.slack[self.docs[t]] + self.impacts[t]).max() > NON_ESSENTIAL:
+            if len(self.docs[t]) == 1 or (self.slack[self.docs[t]] + self.impacts[t]).max() > allowed:
                 break
             self.slack[self.docs[t]] += self.impacts[t]
             self.essential[t] = False
@@ -166,7 +168,7 @@ class BlockMaxIndex:
         return [(self.ids[k], s, whole, q, a, -at) for k, (whole, s, q, a, at) in sorted(best.items())]
 
 
-def indexes(items: DataFrame, key: str = "item_id", text: str = "text", max_bytes: int = INDEX_BYTES) -> Iterator[BlockMaxIndex]:
+def indexes(items: DataFrame, key: str = "item_id", text: str = "text", max_bytes: int = INDEX_BYTES, least: float = 2 * NON_ESSENTIAL) -> Iterator[BlockMaxIndex]:
     """One index while the items' texts stay under max_bytes; beyond it one per block of items of that size.
 
     Document frequencies cover all items. Null and wordless items are left out: they can overlap nothing.
@@ -184,7 +186,7 @@ def indexes(items: DataFrame, key: str = "item_id", text: str = "text", max_byte
         vocabulary = part.select(F.explode(F.expr(r"array_distinct(regexp_extract_all(lower(text), '(?U)\\w+', 0))")).alias("word")).distinct()
         known = {r["word"]: r["df"] for r in df.join(vocabulary, "word").collect()}
         freq = defaultdict(lambda: 1, known)
-        yield BlockMaxIndex(own, {w: freq[w] for _, t in own for w in words_of(t)}, n, mean)
+        yield BlockMaxIndex(own, {w: freq[w] for _, t in own for w in words_of(t)}, n, mean, least)
 
 
 def find_leaks(
@@ -195,16 +197,19 @@ def find_leaks(
     Every passage (two strides of the longest item, a stride apart) of every whole text is a query; all
     items with at least `threshold` of their own BM25 score come back. A match must hold `overlap` of the
     item's distinct five-word shingles and `part_overlap` of those of its question and of its answer (a part
-    of fewer words counts as one). Null texts and an empty benchmark give no rows, repeated documents one each.
+    of fewer words counts as one). Null texts and an empty benchmark give no rows, repeated documents one each. Long
+    texts are many passages; of passages that tie for an item the first is named; only key and text are read.
 
     Returns key, item_key, bm25 (share of the item's own score), overlap, question_overlap,
     answer_overlap, passage_word (where the passage begins). Nothing is shuffled.
     """
+    if key == item_key or not 0 < threshold <= 1:
+        raise ValueError("the two keys need different names, and the threshold is over 0 and at most 1")
     kind, item_kind = docs.schema[key].dataType, items.schema[item_key].dataType
     doubles = ("bm25", "overlap", "question_overlap", "answer_overlap")
     schema = T.StructType([T.StructField(key, kind), T.StructField(item_key, item_kind), *(T.StructField(c, T.DoubleType()) for c in doubles), T.StructField("passage_word", T.LongType())])
     rows, out = docs.select(key, text), None
-    for index in indexes(items, item_key, max_bytes=max_bytes):
+    for index in indexes(items, item_key, max_bytes=max_bytes, least=threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

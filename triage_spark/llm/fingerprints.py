@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 3  # words of a k-mer
 S = 1  # words of its inner substring
-SKETCH = 128  # anchors a fingerprint keeps
+SKETCH = 128  # anchors that a fingerprint shows as text
+
+
+LONG_WORD = 16  # characters; a longer word (a script without spaces, say) is taken character by character
 
 
 def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the lower-cased words, in order; no words: an empty array."""
+    """64-bit hashes of the lower-cased words, in order, and of the characters of words over LONG_WORD; no words: an empty array."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    letters = F.filter(F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w)))), lambda w: w != "")
+    return F.transform(F.when(F.exists(words, lambda w: F.char_length(w) > LONG_WORD), letters).otherwise(words), lambda w: F.xxhash64(w))
 
 
 def add_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
@@ -44,41 +49,38 @@ def add_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> D
     return df.drop(h, m, f"{out}_at__")
 
 
-def add_fingerprint(df: DataFrame, text: str, out: str, k: int = K, s: int = S, sketch: int = SKETCH) -> DataFrame:
-    """Add `out`: the `sketch` least distinct anchor hashes, ascending, as array<bigint> (a bottom-k sketch)."""
-    df = add_anchors(df, text, f"{out}_anchors__", k, s)
-    hashes = F.sort_array(F.array_distinct(F.col(f"{out}_anchors__.hash")))
-    return df.withColumn(out, F.slice(hashes, 1, sketch)).drop(f"{out}_anchors__")
+def sketch_text(anchors: Column, sketch: int = SKETCH) -> Column:
+    """A fingerprint as text: the `sketch` least of its distinct anchor hashes, 16 hex digits each."""
+    least = F.slice(F.sort_array(F.array_distinct(anchors["hash"])), 1, sketch)
+    return F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
-
-
-def add_likeness(df: DataFrame, a: str, b: str, out: str, sketch: int = SKETCH) -> DataFrame:
-    """Add `out`: the estimated share of anchors in common, 0 to 1; equal fingerprints give 1.
-
-    Of the `sketch` least hashes of both together, the share that both hold: exact for texts with no more
-    anchors than that.
-    """
-    both = f"{out}_both__"
-    df = df.withColumn(both, F.slice(F.sort_array(F.array_union(a, b)), 1, sketch))
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), both))
-    return df.withColumn(out, shared / F.size(both)).drop(both)
+def add_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add `out`: the share of distinct anchors that two anchor columns have in common, 0 to 1: exact, however many there are."""
+    both = F.size(F.array_intersect(F.col(a)["hash"], F.col(b)["hash"]))
+    return df.withColumn(out, both / F.size(F.array_union(F.col(a)["hash"], F.col(b)["hash"])))
 
 
 def match_positions(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add `out`: the offset (b minus a) at which most anchors of two anchor columns agree, and how many do.
+    """Add `out` (offset, anchors): the offset, b's place less a's in words, on which most anchors agree, and how many do.
 
-    Anchors are joined by hash inside the row's two arrays through a map of first places; rows without a
-    common anchor get null. Ties go to the least offset.
+    Of an anchor that repeats in a text the first place counts. Both texts' anchors are sorted together by hash, so that
+    the places of a common one stand side by side; then the offsets are sorted and the longest run of equal ones is
+    taken: no step looks at all pairs. Rows without a common anchor get null; ties go to the least offset.
     """
-    first = F.map_from_entries(F.expr(f"aggregate({b}, cast(array() AS array<struct<hash: bigint, pos: int>>), (acc, x) -> if(exists(acc, y -> y.hash = x.hash), acc, array_append(acc, x)))"))
-    df = df.withColumn("first__", first)
-    df = df.withColumn("offsets__", F.expr(f"filter(transform({a}, x -> first__[x.hash] - x.pos), o -> o IS NOT NULL)"))
-    votes = F.expr("array_sort(transform(array_distinct(offsets__), o -> struct(-size(filter(offsets__, p -> p = o)) AS votes, o AS offset)))")
-    top = F.get(votes, F.lit(0))
-    return df.withColumn(out, F.when(F.size("offsets__") > 0, F.struct(top["offset"].alias("offset"), (-top["votes"]).alias("anchors")))).drop("first__", "offsets__")
+    side = lambda c, n: F.transform(F.col(c), lambda x: F.struct(x["hash"].alias("hash"), F.lit(n).alias("side"), x["pos"].alias("pos")))
+    d = df.withColumn("all__", F.array_sort(F.concat(side(a, 0), side(b, 1))))
+    # the first place of each hash in each text
+    d = d.withColumn("once__", F.expr("filter(all__, (x, i) -> i = 0 OR get(all__, i - 1).hash <> x.hash OR get(all__, i - 1).side <> x.side)"))
+    pairs = "filter(transform(once__, (x, i) -> if(x.side = 1 AND i > 0 AND get(once__, i - 1).hash = x.hash, x.pos - get(once__, i - 1).pos, null)), o -> o IS NOT NULL)"
+    d = d.withColumn("offsets__", F.sort_array(F.expr(pairs)))
+    run = (
+        "aggregate(offsets__, named_struct('best', cast(null AS int), 'most', 0, 'now', cast(null AS int), 'n', 0), (r, o) -> if(o <=> r.now,"
+        " named_struct('best', if(r.n + 1 > r.most, o, r.best), 'most', greatest(r.most, r.n + 1), 'now', o, 'n', r.n + 1),"
+        " named_struct('best', if(r.most < 1, o, r.best), 'most', greatest(r.most, 1), 'now', o, 'n', 1)))"
+    )
+    d = d.withColumn("run__", F.expr(run))
+    return d.withColumn(out, F.when(F.size("offsets__") > 0, F.struct(F.col("run__.best").alias("offset"), F.col("run__.most").alias("anchors")))).drop("all__", "once__", "offsets__", "run__")
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", n_buckets: int | None = None) -> DataFrame:
@@ -87,8 +89,12 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", n_bucket
     Rows are dealt to ranges of the key by approximate quantiles (their number bounds what the driver holds)
     and each range gets a copy of the first row of the range after it, so the values cross the shuffle once.
     Null keys come first; rows with one key are ordered by the first column's hash. A single row follows itself.
+    Keys are whole numbers (any other type is an error).
     """
     spark = docs.sparkSession
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"{key} must be of whole numbers to have a next row, not {kind.simpleString()}")
     n = n_buckets or min(4096, int(spark.conf.get("spark.sql.shuffle.partitions")))
     q = [i / n for i in range(1, n)] or [0.5]
     cuts = sorted(set(docs.select(F.percentile_approx(F.col(key), q, 100 * n)).first()[0] or []))
@@ -111,7 +117,7 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", n_bucket
     own = keyed.withColumn("last__", F.lit(0))
     before = {f["bucket__"]: firsts[i - 1]["bucket__"] for i, f in enumerate(firsts)}
     rows = [(before[f["bucket__"]], f["f"]["key"], f["f"]["tie"]) for f in firsts]
-    wanted = spark.createDataFrame(rows, "to__ int, key__ bigint, tie__ bigint")
+    wanted = spark.createDataFrame(rows, f"to__ int, key__ {kind.simpleString()}, tie__ bigint")
     ids = [r[1] for r in rows if r[1] is not None]
     pruned = docs.filter(F.col(key).isin(ids) | F.col(key).isNull()) if ids else docs.filter(F.col(key).isNull())
     heads = pruned.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("key__")) & (tie == F.col("tie__"))).dropDuplicates(["to__"])
@@ -125,14 +131,18 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", n_bucket
 def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint every whole text, and the text whose last half gives way to the start of the next one.
 
-    The last floor(n/2) code points are replaced by as many first ones (or all) of the next text by key.
-    Null texts count as empty. Returns key, text, edited_text, fingerprint, edited_fingerprint (arrays),
-    near_edited, near_next.
+    The last floor(n/2) code points are replaced by as many first ones (or all) of the next text by key. Null texts
+    count as empty, repeated rows follow one another, an empty table gives no rows; other columns are not read,
+    whatever their names. Only the text crosses the shuffle; anchors are made after it, of both texts and of the edited one.
+
+    Returns key, n_chars, text, edited_text, anchors, edited_anchors (array<struct<hash, pos>>), near_edited, near_next, and
+    match_edited, match_next (offset and number of the anchors that agree on it).
     """
     base = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = with_next(add_fingerprint(base, "text", "fingerprint"), ["text", "fingerprint"], key)
-    d = d.withColumn("n_chars", F.char_length("text").cast("long"))
-    d = d.withColumn("edited_text", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 2)), substring(next_text, 1, int(n_chars div 2)))")).drop("next_text")
-    d = add_fingerprint(d, "edited_text", "edited_fingerprint")
-    d = add_likeness(d, "fingerprint", "edited_fingerprint", "near_edited")
-    return add_likeness(d, "fingerprint", "next_fingerprint", "near_next")
+    d = with_next(base, ["text"], key).withColumn("n_chars", F.char_length("text").cast("long"))
+    d = d.withColumn("edited_text", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 2)), substring(next_text, 1, int(n_chars div 2)))"))
+    for of, out in (("text", "anchors"), ("edited_text", "edited_anchors"), ("next_text", "next_anchors")):
+        d = add_anchors(d, of, out)
+    for other, name in (("edited_anchors", "edited"), ("next_anchors", "next")):
+        d = match_positions(add_likeness(d, "anchors", other, f"near_{name}"), "anchors", other, f"match_{name}")
+    return d.drop("next_text", "next_anchors")

@@ -21,17 +21,18 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = fold("doc_id", 4) == 2
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     model = langid.fit(docs.filter(~held))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
-    as_text = fingerprints.as_text
+    as_text = lambda c: fingerprints.sketch_text(F.col(c))
     return d.select(
-        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), as_text(F.col("fingerprint")).alias("fingerprint"),
-        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next",
+        F.size("anchors").alias("n_anchors"), F.col("match_edited.offset").alias("edited_offset"), F.col("match_edited.anchors").alias("edited_matched"),
+        F.col("match_next.offset").alias("next_offset"), F.col("match_next.anchors").alias("next_matched"),
     )
 
 
@@ -41,7 +42,7 @@ def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = fold("doc_id", 5) == 0
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = quality.fit(docs.filter(~held), labels.filter(~held))
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
@@ -77,7 +78,7 @@ def url_entries(pages: DataFrame) -> DataFrame:
 def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_day", ((F.col("page_id") * 37) % DAYS).cast("int"))
-    return urlfilter.evaluate(captures, url_entries(pages), horizon=DAYS)
+    return urlfilter.evaluate(captures, url_entries(pages))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

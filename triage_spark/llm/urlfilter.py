@@ -35,7 +35,7 @@ def validity(entries: DataFrame) -> DataFrame:
     return changes.withColumn("to_day", F.lead("day").over(w)).filter("action = 'add'").select("list_name", "domain", F.col("day").alias("from_day"), "to_day")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", day: str = "fetched_day", horizon: int | None = None) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", day: str = "fetched_day") -> DataFrame:
     """Each capture with the entry in force at its fetch day: the longest domain, then the first list by name.
 
     An as-of join without a range over all entries of a domain: intervals are laid into buckets of
@@ -44,14 +44,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     matches are summed up per capture with a partial aggregate.
 
     Returns key, url, host, day, blocked, domain, list_name, from_day, one row per (key, url, day) with the
-    number of equal rows in `copies`. A null URL or day is never blocked. Empty lists block nothing.
+    number of equal rows in `copies`. A null URL or day is never blocked. Empty lists block nothing, no captures give no
+    rows. Only the three columns named are read, so others may have any name; a long URL costs one entry per domain level.
     """
     c = captures.select(F.col(key), F.col(url), F.col(day)).groupBy(key, url, day).agg(F.count("*").alias("copies"))
     c = c.withColumn("host", host_of(F.coalesce(F.col(url), F.lit(""))))
     asked = c.select(key, url, day, F.explode(domains_of(F.col("host"))).alias("domain")).filter(F.col(day).isNotNull())
     asked = asked.withColumn("bucket", F.floor(F.col(day) / BUCKET_DAYS))
     spans = validity(entries)
-    last = F.lit(horizon) if horizon is not None else F.lit(captures.agg(F.max(day)).first()[0] or 0)
+    last = F.lit(captures.agg(F.max(day)).first()[0] or 0)  # no interval is laid out beyond the last capture
     end = F.least(F.coalesce(F.col("to_day") - 1, last), last)
     laid = spans.filter(F.col("from_day") <= last).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from_day") / BUCKET_DAYS), F.greatest(F.floor(F.col("from_day") / BUCKET_DAYS), F.floor(end / BUCKET_DAYS)))))
     hit = asked.join(laid, ["domain", "bucket"]).filter((F.col(day) >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col(day) < F.col("to_day"))))
