@@ -46,6 +46,7 @@ def identity_check(df: DataFrame, assembly: str | None = "GRCh38") -> DataFrame:
     spdis = F.coalesce("canonical_spdi", F.array().cast("array<string>"))
     by_key = F.coalesce(F.nullif(F.regexp_extract("variant_key", r"(?i)^(?:VCV)?(\d+)(?:\.\d+)?$", 1), F.lit("")).try_cast("bigint") == source, F.lit(False))
     by_place = F.coalesce(F.array_contains(spdis, expected), F.lit(False))
+    # The issue codes.
     checks = [
         ("clinvar_gene_mismatch", (gene != "") & (F.size(genes) > 0) & ~F.array_contains(F.transform(genes, F.lower), F.lower(gene))),
         ("clinvar_gene_unverified", (gene != "") & (F.size(genes) == 0)),

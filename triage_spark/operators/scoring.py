@@ -188,19 +188,20 @@ def classification_metrics(df: DataFrame, score: str = "score", label: str = "la
     return c.select(*(by or []), *counts, *[F.round(v, 6).alias(k) for k, v in ratios.items()])
 
 
-def score_curve(df: DataFrame, score: str = "score", label: str = "label", buckets: int = 64) -> DataFrame:
+def score_curve(df: DataFrame, score: str = "score", label: str = "label", buckets: int | None = None) -> DataFrame:
     """score, pos, neg and, counted from the largest score down, tp and fp, for every distinct score.
 
-    Two levels: counts per score are dealt to at most `buckets` ranges of the score, the ranges' totals
-    (a few rows) are added up, and a window runs inside each range. No window spans all rows.
+    Two levels: counts per score are dealt to ranges of about equally many scores (as many ranges as the session has
+    shuffle partitions, unless `buckets` is given), the ranges' totals, a row each, are added up, and a window
+    runs inside each range. No window spans all rows, however the scores are spread. Null scores are left out.
     """
-    by = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    lo, hi = df.agg(F.min(score), F.max(score)).first()
-    lo, hi = (lo or 0), (hi or 0)
-    width = max(1, math.ceil((hi - lo + 1) / buckets))
-    by = by.withColumn("bucket", F.floor((F.col("score") - lo) / width))
+    n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    cuts = sorted(set(by.agg(F.percentile_approx("score", [k / n for k in range(1, n)], 10_000)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("score"))) if cuts else F.lit(0)  # once per distinct score
+    by = by.withColumn("bucket", bucket)
     totals = by.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     before = totals.select("bucket", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_above"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"))
     w = Window.partitionBy("bucket").orderBy(F.desc("score"))
     return by.join(F.broadcast(before), "bucket").select("score", "pos", "neg", (F.sum("pos").over(w) + F.col("p_above")).alias("tp"), (F.sum("neg").over(w) + F.col("n_above")).alias("fp"))
