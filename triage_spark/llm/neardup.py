@@ -282,7 +282,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def next_members(done: DataFrame) -> DataFrame:
     """table_key, node, n, weight, near, own, members: the next tables, one for each pivot and element that is shared.
 
-    An element that no other member has (`own` counts them) takes its place in the order, but makes no table.
+    An element that no other member has (`own` counts the added ones) takes its place in the order, but makes no table.
     """
     own = ("a", F.col("b").alias("node"), "n", "weight", "near")
     added = done.select(*own, F.lit(0).alias("kind"), F.explode("added").alias("element"), "keep", F.size("added").alias("all"))
@@ -291,7 +291,7 @@ def next_members(done: DataFrame) -> DataFrame:
     shared = stored(each.groupBy("table_key").agg(F.count("*").alias("have")).filter("have > 1"))
     w = Window.partitionBy("a", "node", "kind")
     ranked = each.join(shared, "table_key").withColumn("common", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("have", "table_key")))
-    first = stored(ranked.filter("place <= keep - (all - common)").select("table_key", "node", "n", "weight", "near", (F.col("all") - F.col("common")).alias("own")))
+    first = stored(ranked.filter("place <= keep - (all - common)").select("table_key", "node", "n", "weight", "near", F.when(F.col("kind") == 0, F.col("all") - F.col("common")).alias("own")))
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in (0, 1)]  # equal for tables of the same members
     open_ = first.groupBy("table_key").agg(F.count("*").alias("members"), F.every("near").alias("all_near"), *same).filter("members > 1 AND NOT all_near")
     open_ = stored(open_.groupBy("members", "same0", "same1").agg(F.min("table_key").alias("table_key")).select("table_key", "members"))
