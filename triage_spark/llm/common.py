@@ -42,9 +42,25 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike a checkpoint, which hands the estimated size of its plan on, so that a chain of joins multiplies it until the
     number alone fills the driver, a table has the size of its files.
     """
-    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the table replaces the shuffles that made it
+    was = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.unset(cleanup) if was is None else spark.conf.set(cleanup, was)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table made by stored() that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" in at:
+            at = path(at)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def local_folder(spark: SparkSession, prefix: str) -> str:

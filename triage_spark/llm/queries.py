@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage_spark.llm import decontaminate, fingerprints, langid, linededup, neardup, packing, quality, secretscan, sharding, urlfilter
+from triage_spark.llm import decontaminate, fingerprints, langid, linededup, neardup, packing, quality, secretscan, sharding, suffixdedup, urlfilter
 from triage_spark.llm.common import table
 
 
@@ -100,6 +100,12 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_id", "line_start", "line_end", F.col("first_key").alias("first_doc_id"), "first_line")
 
 
+def op11_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> s - a)")  # of start, end, start, end ...: the ends less the starts
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    ops = (op1_shards, op2_language, op3_fingerprints, op4_leaks, op5_quality, op6_packing, op7_url_lists, op8_near_duplicates, op9_secrets, op10_repeated_lines)
+    ops = (op1_shards, op2_language, op3_fingerprints, op4_leaks, op5_quality, op6_packing, op7_url_lists, op8_near_duplicates, op9_secrets, op10_repeated_lines, op11_repeated_strings)
     return {f.__name__: f for f in ops}
