@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage_spark.llm import decontaminate, fingerprints, langid, linededup, neardup, packing, quality, secretscan, sharding, suffixdedup, urlfilter
+from triage_spark.llm import decontaminate, fingerprints, langid, linededup, neardup, packing, periods, quality, secretscan, sharding, suffixdedup, urlfilter
 from triage_spark.llm.common import table
 
 
@@ -106,6 +106,22 @@ def op11_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every tenth document, by hash, the words from one on are replaced by periods of themselves first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")))
+    placed = words.withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    edited = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, element_at(words, CAST(a + (i - a) % p + 1 AS INT)))), ' ')")
+    d = periods.repeated_words(placed.select("doc_id", F.when(F.col("a").isNotNull(), edited).otherwise(F.col("text")).alias("text")))
+    best = F.expr("array_sort(runs, (x, y) -> CAST(CASE WHEN x.length <> y.length THEN sign(y.length - x.length) WHEN x.start <> y.start THEN sign(x.start - y.start) ELSE sign(x.period - y.period) END AS INT))")
+    longest = d.withColumn("best", F.get(best, F.lit(0)))
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    ops = (op1_shards, op2_language, op3_fingerprints, op4_leaks, op5_quality, op6_packing, op7_url_lists, op8_near_duplicates, op9_secrets, op10_repeated_lines, op11_repeated_strings)
+    ops = (op1_shards, op2_language, op3_fingerprints, op4_leaks, op5_quality, op6_packing, op7_url_lists, op8_near_duplicates, op9_secrets, op10_repeated_lines, op11_repeated_strings, op13_periods)
     return {f.__name__: f for f in ops}
