@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage_spark.llm import decontaminate, fingerprints, langid, linededup, neardup, packing, periods, quality, secretscan, sharding, suffixdedup, urlfilter
+from triage_spark.llm import alignment, decontaminate, fingerprints, langid, linededup, neardup, packing, periods, quality, secretscan, sharding, suffixdedup, urlfilter
 from triage_spark.llm.common import table
 
 
@@ -106,6 +106,11 @@ def op11_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, _ = alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return d.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every tenth document, by hash, the words from one on are replaced by periods of themselves first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
@@ -123,5 +128,5 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_shards, op2_language, op3_fingerprints, op4_leaks, op5_quality, op6_packing, op7_url_lists, op8_near_duplicates, op9_secrets, op10_repeated_lines, op11_repeated_strings, op13_periods)
+    ops = (op1_shards, op2_language, op3_fingerprints, op4_leaks, op5_quality, op6_packing, op7_url_lists, op8_near_duplicates, op9_secrets, op10_repeated_lines, op11_repeated_strings, op12_alignment, op13_periods)
     return {f.__name__: f for f in ops}
