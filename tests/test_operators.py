@@ -1,5 +1,7 @@
 """Worked examples, ties, nulls and repeated keys of the reference operators."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,10 +287,65 @@ def test_identity(spark):
     assert got == [("verified", "grch38_snv_spdi", []), ("blocked", "grch38_snv_spdi", ["clinvar_gene_mismatch"]), ("verified", "variation_id_key", [])]
 
 
-def test_group_splits_state_their_bound(spark):
-    from triage_spark.operators import features
+def test_group_splits_deal_the_tail(spark):
+    """Many small groups beside three large ones: the splits fill up to one small group, and groups stay whole."""
+    rows = [(f"big{k}", j % 2) for k in range(3) for j in range(400)] + [(f"g{k}", (k + j) % 2) for k in range(3000) for j in range(1 + k % 4)] + [(None, 1)] * 3
+    d = spark.createDataFrame(rows, "gene string, label int")
+    got = features.assign_group_splits(d, large=50)
+    assert got.count() == len(rows) and got.groupBy("gene").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
+    have = {r["split"]: r for r in features.split_summary(got).collect()}
+    for split, share in zip(features.SPLITS, (0.70, 0.15, 0.15)):
+        assert abs(have[split]["variants"] - share * len(rows)) <= 4
+        assert abs(have[split]["positives"] / have[split]["variants"] - sum(x for _, x in rows) / len(rows)) < 0.06
 
-    d = spark.createDataFrame([(f"g{k % 4}", k % 2) for k in range(20)], "gene string, label int")
-    assert features.assign_group_splits(d, max_groups=4).count() == 20
-    with pytest.raises(ValueError, match="more than 3 groups"):
-        features.assign_group_splits(d, max_groups=3)
+
+def test_quantiles_beside_numpy(spark, monkeypatch):
+    """Order statistics by sketch and brackets: ties, skew, few rows, nulls, NaN, infinite values, and brackets that have to be split again."""
+    rng = np.random.default_rng(3)
+    n = 30_000
+    table = {"even": rng.random(n), "ties": rng.integers(0, 4, n).astype(float), "skew": np.exp(rng.normal(0, 30, n)), "same": np.full(n, 2.5), "wide": np.concatenate([[-1e308, 1e308, np.inf, -np.inf], rng.normal(0, 1, n - 4)])}
+    d = spark.createDataFrame(pd.DataFrame(table))
+    d = d.withColumn("rare", F.when(F.col("even") < 0.0005, F.col("skew"))).withColumn("none", F.lit(None).cast("double")).withColumn("nan", F.when(F.col("even") > 0.5, F.lit(float("nan"))).otherwise(F.col("even")))
+    at = (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)
+    pdf = d.toPandas()
+    for values in (features.VALUES, 3):
+        monkeypatch.setattr(features, "VALUES", values)
+        got = features.quantiles(d, {c: F.col(c) for c in d.columns}, {c: at for c in d.columns})
+        assert got.pop("none") is None
+        for c, v in got.items():
+            x = pdf[c].to_numpy()
+            x = np.sort(x[~np.isnan(x)])
+            t = [p * (len(x) - 1) for p in at]
+            want = [x[int(np.floor(k))] if x[int(np.floor(k))] == x[int(np.ceil(k))] else (np.ceil(k) - k) * x[int(np.floor(k))] + (k - np.floor(k)) * x[int(np.ceil(k))] for k in t]
+            assert list(v) == pytest.approx(want, rel=1e-12, nan_ok=True), c
+
+
+def test_first_rows_beside_sorting(spark, monkeypatch):
+    rows = [(f"k{k % 700:04d}{'x' * (k % 3)}", (k * 37) % 5 if k % 50 else None) for k in range(3000)]
+    d = spark.createDataFrame(rows, "variant_key string, code int")
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    for ties in (features.TIES, 2):
+        monkeypatch.setattr(features, "TIES", ties)
+        for n in (0, 1, 59, 60, 61, 777, 2999, 3000, 4000):
+            got = sorted(tuple(r) for r in features.seeded_sample(d, n, code=F.col("code")).collect())
+            assert got == sorted(order[:n], key=lambda r: (r[0], r[1] is not None, r[1] or 0)) or sorted(map(str, got)) == sorted(map(str, order[:n]))
+    sizes = {r["label"]: r["n"] for r in features.balanced_sample(d.withColumn("label", (F.col("code") == 0).cast("int")), 1000).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 500, 1: 500}
+
+
+def test_published_model_beside_a_loop(spark):
+    from triage_spark.plans.scoring_queries import F16, PUBLISHED
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-127, 128, (50, 16))
+    d = spark.createDataFrame(pd.DataFrame(x, columns=list(F16)).assign(k=range(50)))
+    d = d.withColumn("f3", F.when(F.col("k") != 7, F.col("f3")))
+
+    def score(v):
+        for w, b in list(zip(PUBLISHED.weights, PUBLISHED.biases))[:-1]:
+            v = [min(max((sum(p * q for p, q in zip(row, v)) + c + (1 << PUBLISHED.qshift - 1)) >> PUBLISHED.qshift, 0), 127) for row, c in zip(w, b)]
+        return sum(p * q for p, q in zip(PUBLISHED.weights[-1][0], v)) + PUBLISHED.biases[-1][0]
+
+    for rows in (7, 2048):
+        got = {r["k"]: r["score"] for r in scoring.arrow_scores(d, PUBLISHED, rows).collect()}
+        assert got == {k: None if k == 7 else score([int(y) for y in x[k]]) for k in range(50)}

@@ -5,44 +5,58 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triage_spark.functions import variants as V
+from triage_spark.sources.scratch import forget, stored
 
 SPLITS = ("train", "validation", "test")
-MAX_GROUPS = 1_000_000  # groups that one greedy pass takes
+LARGE = 20_000  # a group of at least this part of all rows is placed greedily; there are at most so many
+TAIL_RANGES = 65_536  # ranges of the tail's hashes
 
 
-def assign_group_splits(df: DataFrame, group: str = "gene", label: str = "label", fractions: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 42, max_groups: int = MAX_GROUPS) -> DataFrame:
+def assign_group_splits(df: DataFrame, group: str = "gene", label: str = "label", fractions: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 42, large: int = LARGE) -> DataFrame:
     """Whole groups to splits by the least fill: 0.5 rows + 0.25 positives + 0.25 negatives, each against its target.
 
-    Group totals are summed on Spark; the greedy pass needs them in one order, largest first, so it runs on
-    totals only (one row per group, ties by hash), and the answer is joined back. The first three groups
-    seed one split each. One task holds all totals, so more than max_groups groups raise a ValueError before the
-    pass; assign_hash_splits, which has no such bound, is then the caller's choice.
+    Groups of at least 1 / large of all rows (so at most `large` groups, whatever the data) are placed one by one,
+    largest first, ties by hash; the first three seed one split each. The tail, of smaller groups, is dealt in the order of its hashes:
+    running row counts, by ranges of the hash and then inside them, are cut where each split's share of the rows is full.
+    A cut falls at most one tail group beside its target, so a split has its share of the tail's rows but for
+    1 / large of all rows, and of the labels as a random order of groups gives it. Rows of a null group
+    stay together as any other group.
     """
-    totals = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).withColumn("tie", F.xxhash64(group, F.lit(seed)))
-    if totals.limit(max_groups + 1).count() > max_groups:
-        raise ValueError(f"more than {max_groups} groups of {group}: the greedy pass takes them in one task; choose assign_hash_splits instead")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "tie"], ascending=[False, True])
-        all_of = (pdf.n.sum(), pdf.pos.sum(), (pdf.n - pdf.pos).sum())
-        fill = [[0.0, 0.0, 0.0] for _ in fractions]
-        out = []
-        for k, (n, pos) in enumerate(zip(pdf.n, pdf.pos)):
-            share = [sum(w * f / (fr * t) for w, f, t in zip((0.5, 0.25, 0.25), own, all_of) if t) for own, fr in zip(fill, fractions)]
-            at = k if k < len(fractions) else min(range(len(fractions)), key=lambda i: (share[i], i))
-            for j, v in enumerate((n, pos, n - pos)):
-                fill[at][j] += v
-            out.append(SPLITS[at])
-        return pd.DataFrame({group: pdf[group].to_numpy(), "split": out})
-
-    kind = df.schema[group].dataType.simpleString()
-    chosen = totals.withColumn("one__", F.lit(0)).groupBy("one__").applyInPandas(greedy, f"{group} {kind}, split string")
-    return df.join(chosen, group)
+    totals = stored(df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).withColumn("tie", F.xxhash64(group, F.lit(seed))))
+    every = totals.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
+    all_rows, all_of = every["n"] or 0, (every["n"] or 0, every["pos"] or 0, (every["n"] or 0) - (every["pos"] or 0))
+    is_large = F.col("n") * large >= all_rows
+    head = totals.filter(is_large).select("n", "pos", "tie", group).collect()  # at most `large` rows
+    fill = [[0.0, 0.0, 0.0] for _ in fractions]
+    placed = []
+    for k, r in enumerate(sorted(head, key=lambda r: (-r["n"], r["tie"]))):
+        n, pos = r["n"], r["pos"] or 0
+        share = [sum(w * f / (fr * t) for w, f, t in zip((0.5, 0.25, 0.25), own, all_of) if t) for own, fr in zip(fill, fractions)]
+        at = k if k < len(fractions) else min(range(len(fractions)), key=lambda i: (share[i], i))
+        for j, v in enumerate((n, pos, n - pos)):
+            fill[at][j] += v
+        placed.append((r[group], SPLITS[at]))
+    chosen = df.sparkSession.createDataFrame(placed, T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("split", T.StringType())]))
+    left = [max(fr * all_rows - own[0], 0.0) for fr, own in zip(fractions, fill)]
+    tail_rows = all_rows - sum(own[0] for own in fill)
+    if tail_rows:
+        cuts = [sum(left[: k + 1]) / sum(left) * tail_rows for k in range(len(left) - 1)]
+        tail = totals.filter(~is_large).withColumn("range", F.pmod("tie", F.lit(TAIL_RANGES)))
+        ranges = tail.groupBy("range").agg(F.sum("n").alias("rows"))  # TAIL_RANGES rows at most, so one task may add them up
+        offset = ranges.select("range", (F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"))
+        inside = F.sum("n").over(Window.partitionBy("range").orderBy("tie", group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        middle = F.col("before") + F.col("inside") + F.col("n") / 2
+        which = F.lit(SPLITS[len(fractions) - 1])
+        for k in reversed(range(len(cuts))):
+            which = F.when(middle < cuts[k], SPLITS[k]).otherwise(which)
+        chosen = chosen.unionByName(tail.withColumn("inside", inside).join(F.broadcast(offset), "range").select(group, which.alias("split")))
+    right = chosen.withColumnRenamed(group, "group__")
+    return df.join(right, df[group].eqNullSafe(F.col("group__"))).drop("group__")
 
 
 def assign_hash_splits(df: DataFrame, group: str = "gene", fractions: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 42, code: Column | None = None) -> DataFrame:
@@ -94,17 +108,25 @@ def load_contract(entries: list[dict]) -> tuple[Feature, ...]:
     return tuple(Feature(e["id"], tuple(e["raw_columns"]), e["transform"], {names.get(k, k): v for k, v in e.items() if k not in skip}) for e in entries)
 
 
-def number(name: str) -> Column:
+def number(name: str, df: DataFrame | None = None) -> Column:
+    """A raw column as a number; one that `df` holds as a number already is not read as text."""
+    if df is not None and isinstance(df.schema[name].dataType, T.NumericType):
+        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
     return V.parse_number(F.col(name).cast("string"))
 
 
-def transform_feature(f: Feature, bounds: tuple[float, float] | None = None) -> Column:
-    """The feature's raw columns to [0, 1], null kept."""
-    x, p = number(f.raw[0]), f.params
+def raw_number(df: DataFrame, f: Feature) -> Column:
+    return number(f.raw[0], df)
+
+
+def transform_feature(f: Feature, bounds: tuple[float, float] | None = None, train: DataFrame | None = None) -> Column:
+    """The feature's raw columns to [0, 1], null kept; `train` tells which of them are numbers already."""
+    p = f.params
     if f.transform == "domain_ternary":
         return V.domain_ternary(F.col(f.raw[0]))
+    x = number(f.raw[0], train)
     if f.transform == "row_max":
-        x = F.greatest(*[number(r) for r in f.raw]) if len(f.raw) > 1 else x
+        x = F.greatest(*[number(r, train) for r in f.raw]) if len(f.raw) > 1 else x
     elif f.transform == "reverse_identity":
         x = 1 - x
     elif f.transform == "clip_scale":
@@ -122,85 +144,135 @@ def transform_feature(f: Feature, bounds: tuple[float, float] | None = None) ->
     return V.clip01(x)
 
 
-BINS = 1024  # ranges of one pass over a column's values
-VALUES = 20_000  # values that the last pass may bring to the driver
+ACCURACY = 10_000  # of the sketch: 1 / ACCURACY of the rows is the most by which a rank is off
+VALUES = 50_000  # distinct values that the last pass brings to the driver
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], at: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
-    """Exact, linearly interpolated quantiles of many columns together; None for a column without values.
+@dataclass
+class Bracket:
+    """A range of one column's values that holds the rows of some ranks (from 0, among the column's values)."""
+
+    column: int
+    ranks: list[int]
+    low: float = -math.inf
+    high: float = math.inf
+    below: int = 0
+    inside: int = 0
 
-    A pass counts the values of all columns in BINS ranges each; the ranges that hold a wanted rank are split in
-    the next pass, until they hold a single value or VALUES rows together, which are then read. Counts are summed up
-    before the shuffle, so neither a task nor the driver ever holds a column's values. NaN counts as missing.
+    def has(self, x: Column) -> Column:
+        return x.isNotNull() if self.low == -math.inf and self.high == math.inf else x.between(self.low, self.high)
+
+
+def order_statistics(df: DataFrame, columns: list[str], wanted: dict[str, tuple[float, ...]]) -> dict[str, list[tuple[float, float, float]]]:
+    """For each column and share p the exact values around rank p * (n - 1): (rank, value below it, value above it).
+
+    columns: doubles; nulls do not count. One pass sketches all columns together (mergeable quantile summaries) and so brackets
+    every rank; a second counts what lies under and in the brackets; a third reads the few values in them. Only where ties or a wide
+    bracket leave more than VALUES distinct values, the bracket itself is sketched again. A column without values has none.
     """
-    names = list(columns)
-    double = [F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f"c{k}") for k, c in enumerate(columns.values())]
-    long = df.select(*double).unpivot([], [f"c{k}" for k in range(len(names))], "col", "x").filter("x IS NOT NULL")
-    spark = df.sparkSession
-    first = {r["col"]: r for r in long.groupBy("col").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
-    ranks = {}  # (column, rank) to value
-    wanted = {}  # (column, range) to the ranks in it, from 0 within the range
-    for k, name in enumerate(names):
-        if r := first.get(f"c{k}"):
-            whole = {int(f(p * (r["n"] - 1))) for p in at[name] for f in (math.floor, math.ceil)}
-            wanted[f"c{k}", r["lo"], r["hi"], r["n"]] = [(i, i) for i in sorted(whole)]
-    while wanted:
-        for (col, lo, hi, n), own in list(wanted.items()):
-            if lo == hi:
-                ranks |= {(col, rank): lo for rank, _ in own}
-                del wanted[col, lo, hi, n]
-        keys = list(wanted)
-        if not keys:
-            break
-        small = sum(k[3] for k in keys) <= VALUES
-        ranges = spark.createDataFrame([(c, j, lo, hi) for j, (c, lo, hi, _) in enumerate(keys)], "col string, j int, lo double, hi double")
-        inside = long.join(F.broadcast(ranges), "col").filter("x BETWEEN lo AND hi")
-        if small:
-            values = {}
-            for r in inside.groupBy("j").agg(F.sort_array(F.collect_list("x")).alias("x")).collect():
-                values[r["j"]] = r["x"]
-            for j, key in enumerate(keys):
-                ranks |= {(key[0], rank): values[j][i] for rank, i in wanted[key]}
-            break
-        # scaled before the difference is taken, so that the widest range does not overflow
-        bin_of = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))
-        counts = inside.groupBy("j", bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        split = {}
-        for j, key in enumerate(keys):
-            before = 0
-            for r in sorted((r for r in counts if r["j"] == j), key=lambda r: r["bin"]):
-                if own := [(rank, i - before) for rank, i in wanted[key] if before <= i < before + r["n"]]:
-                    split[key[0], r["lo"], r["hi"], r["n"]] = own
-                before += r["n"]
-        wanted = split
-    out = {}
-    for k, name in enumerate(names):
-        if f"c{k}" not in first:
-            out[name] = None
+    slack = 2 / ACCURACY
+    edges = lambda p: (max(0.0, p - slack), min(1.0, p + slack))
+    col = [F.col(f"`{c}`") for c in columns]
+    sketch = df.agg(*[F.count(x).alias(f"n{k}") for k, x in enumerate(col)], *[F.percentile_approx(x, [e for p in wanted[c] for e in edges(p)], ACCURACY).alias(f"s{k}") for k, (c, x) in enumerate(zip(columns, col))]).first()
+    due = []
+    for k, c in enumerate(columns):
+        for j, p in enumerate(wanted[c] if sketch[f"n{k}"] else ()):
+            at = p * (sketch[f"n{k}"] - 1)
+            due.append(Bracket(k, sorted({math.floor(at), math.ceil(at)}), sketch[f"s{k}"][2 * j], sketch[f"s{k}"][2 * j + 1]))
+    value: dict[tuple[int, int], float] = {}
+    most = VALUES
+    while due:
+        count = df.agg(*[F.count_if(col[b.column] < b.low).alias(f"b{j}") for j, b in enumerate(due)], *[F.count_if(b.has(col[b.column])).alias(f"i{j}") for j, b in enumerate(due)]).first()
+        rest = []
+        for j, b in enumerate(due):
+            b.below, b.inside = count[f"b{j}"], count[f"i{j}"]
+            if b.ranks[0] < b.below or b.ranks[-1] >= b.below + b.inside:  # the sketch missed it: every rank is found in the whole
+                rest.append(Bracket(b.column, b.ranks))
+            elif b.low == b.high:
+                value |= {(b.column, r): b.low for r in b.ranks}
+            else:
+                rest.append(b)
+        due = rest
+        if not due or any(b.inside == 0 for b in due):
             continue
-        last = first[f"c{k}"]["n"] - 1
-        pairs = [(p * last, ranks[f"c{k}", math.floor(p * last)], ranks[f"c{k}", math.ceil(p * last)]) for p in at[name]]
-        out[name] = tuple(a if a == b else (math.ceil(t) - t) * a + (t - math.floor(t)) * b for t, a, b in pairs)
-    return out
+        held = F.array_compact(F.array(*[F.when(b.has(col[b.column]), F.struct(F.lit(j).alias("j"), col[b.column].alias("x"))) for j, b in enumerate(due)]))
+        few = df.select(F.explode(held).alias("v")).groupBy("v.j", "v.x").count().limit(most + 1).collect()
+        if len(few) <= most:
+            for j, b in enumerate(due):
+                at, own = b.below, iter(sorted((r["x"], r["count"]) for r in few if r["j"] == j))
+                x, n = next(own)
+                for rank in b.ranks:
+                    while rank >= at + n:
+                        at += n
+                        x, n = next(own)
+                    value[b.column, rank] = x
+            break
+        most *= 2  # a bracket shrinks by far more than that a round, down to the values of its ranks
+        inner = [F.percentile_approx(F.when(b.has(col[b.column]), col[b.column]), list(edges((b.ranks[0] - b.below) / max(b.inside - 1, 1))[:1] + edges((b.ranks[-1] - b.below) / max(b.inside - 1, 1))[1:]), ACCURACY).alias(f"s{j}") for j, b in enumerate(due)]
+        narrow = df.agg(*inner).first()
+        due = [Bracket(b.column, b.ranks, *narrow[f"s{j}"]) for j, b in enumerate(due)]
+    ranked = lambda k, t: (t, value[k, math.floor(t)], value[k, math.ceil(t)])
+    return {c: [ranked(k, p * (sketch[f"n{k}"] - 1)) for p in wanted[c]] if sketch[f"n{k}"] else [] for k, c in enumerate(columns)}
+
+
+def between(t: float, a: float, b: float) -> float:
+    """Linear interpolation at rank t between the values around it."""
+    return a if a == b else (math.ceil(t) - t) * a + (t - math.floor(t)) * b
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], at: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
+    """Exact, linearly interpolated quantiles of many columns together; None for a column without values. NaN counts as missing."""
+    rows = df.select(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(k) for k, c in columns.items()])
+    found = order_statistics(rows, list(columns), at)
+    return {k: tuple(between(*x) for x in v) or None for k, v in found.items()}
 
 
 def fit_percentiles(train: DataFrame, contract: tuple[Feature, ...]) -> dict[str, tuple[float, float]]:
     """Exact percentile bounds of all robust features; upper <= lower becomes lower + 1."""
-    robust = [f for f in contract if f.transform.endswith("robust_percentile")]
-    if not robust:
-        return {}
-    found = quantiles(train, {f.id: number(f.raw[0]) for f in robust}, {f.id: (f.params["lower"], f.params["upper"]) for f in robust})
-    if any(found[f.id] is None for f in robust):
-        raise ValueError(f"no training values for {[f.id for f in robust if found[f.id] is None]}")
-    return {k: (lo, hi if hi > lo else lo + 1.0) for k, (lo, hi) in found.items()}
+    return fit_features(train, tuple(f for f in contract if is_robust(f)), medians=False)[0]
 
 
 def fit_medians(train: DataFrame, contract: tuple[Feature, ...], bounds: dict) -> dict[str, float]:
     """Exact medians of all transformed features."""
-    found = quantiles(train, {f.id: transform_feature(f, bounds.get(f.id)) for f in contract}, {f.id: (0.5,) for f in contract})
-    if any(found[f.id] is None for f in contract):
-        raise ValueError(f"no training values for {[f.id for f in contract if found[f.id] is None]}")
-    return {k: v[0] for k, v in found.items()}
+    return fit_features(train, contract, bounds)[1]
+
+
+def is_robust(f: Feature) -> bool:
+    return f.transform.endswith("robust_percentile")
+
+
+def fit_features(train: DataFrame, contract: tuple[Feature, ...], bounds: dict | None = None, medians: bool = True) -> tuple[dict, dict]:
+    """Bounds of the robust features (unless given) and medians of all transformed ones, from the same passes.
+
+    The numbers of all features are written once, as doubles, and read by the passes. A robust feature is not
+    scaled for that: its bounds are not known yet. Scaling keeps or turns round the order, so the values
+    around the middle rank of the raw column, scaled, are those around the middle of the scaled one.
+    """
+    if not contract:
+        return {}, {}
+    bounds = dict(bounds or {})
+    shares = {f.id: (*((f.params["lower"], f.params["upper"]) if is_robust(f) and f.id not in bounds else ()), *((0.5,) if medians else ())) for f in contract}
+    columns = [raw_number(train, f) if is_robust(f) else transform_feature(f, train=train) for f in contract]
+    numbers = stored(train.select(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f.id) for f, c in zip(contract, columns)]))
+    found = order_statistics(numbers, list(shares), shares)
+    forget(numbers)
+    if empty := [k for k, v in found.items() if not v]:
+        raise ValueError(f"no training values for {empty}")
+    middle = {}
+    for f in contract:
+        if is_robust(f) and f.id not in bounds:
+            lo, hi = (between(*x) for x in found[f.id][:2])
+            bounds[f.id] = lo, hi if hi > lo else lo + 1.0
+        if medians:
+            t, a, b = found[f.id][-1]
+            middle[f.id] = between(t, *(scaled(f, x, bounds[f.id]) if is_robust(f) else x for x in (a, b)))
+    return {f.id: bounds[f.id] for f in contract if f.id in bounds}, middle
+
+
+def scaled(f: Feature, x: float, bounds: tuple[float, float]) -> float:
+    """One value of a robust feature, as transform_feature has it."""
+    y = (x - bounds[0]) / (bounds[1] - bounds[0])
+    return min(max(1 - y if f.transform.startswith("reverse") else y, 0.0), 1.0)
 
 
 @dataclass(frozen=True)
@@ -213,16 +285,16 @@ class FeatureModel:
         raw = {r for f in self.contract for r in f.raw} | {f.id for f in self.contract}
         return [c for c in df.columns if c not in raw]
 
-    def columns(self) -> dict[str, Column]:
-        return {f.id: F.coalesce(transform_feature(f, self.bounds.get(f.id)), F.lit(self.medians[f.id])).cast("float") for f in self.contract}
+    def columns(self, df: DataFrame) -> dict[str, Column]:
+        return {f.id: F.coalesce(transform_feature(f, self.bounds.get(f.id), df), F.lit(self.medians[f.id])).cast("float") for f in self.contract}
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Metadata and the float features, with missing values at the training median."""
-        return df.select(*self.keep(df), *[c.alias(k) for k, c in self.columns().items()])
+        return df.select(*self.keep(df), *[c.alias(k) for k, c in self.columns(df).items()])
 
     def encode(self, df: DataFrame) -> DataFrame:
         """Metadata and the int8 features."""
-        return df.select(*self.keep(df), *[V.encode_int8(c).alias(k) for k, c in self.columns().items()])
+        return df.select(*self.keep(df), *[V.encode_int8(c).alias(k) for k, c in self.columns(df).items()])
 
     def state(self, df: DataFrame) -> DataFrame:
         """What was fitted: feature, lower, upper (null where there are no bounds), median."""
@@ -231,20 +303,18 @@ class FeatureModel:
 
     def audit(self, df: DataFrame) -> DataFrame:
         """Metadata and one flag per feature: was the raw value missing?"""
-        return df.select(*self.keep(df), *[missing_flag(f).alias(f.id) for f in self.contract])
+        return df.select(*self.keep(df), *[missing_flag(f, df).alias(f.id) for f in self.contract])
 
 
-def missing_flag(f: Feature) -> Column:
+def missing_flag(f: Feature, df: DataFrame | None = None) -> Column:
     if f.transform == "domain_ternary":
         return ~F.coalesce(F.lower(F.trim(F.col(f.raw[0]))).isin("overlap", "yes", "true", "1", "no_overlap", "no", "false", "0"), F.lit(False))
-    return F.greatest(*[number(r) for r in f.raw]).isNull() if len(f.raw) > 1 else number(f.raw[0]).isNull()
+    return F.greatest(*[number(r, df) for r in f.raw]).isNull() if len(f.raw) > 1 else number(f.raw[0], df).isNull()
 
 
 def fit_encoder(df: DataFrame, contract: tuple[Feature, ...] = CONTRACT, split: str = "split") -> FeatureModel:
     """Bounds, then medians, from training rows only."""
-    train = df.filter(F.col(split) == "train")
-    bounds = fit_percentiles(train, contract)
-    return FeatureModel(contract, bounds, fit_medians(train, contract, bounds))
+    return FeatureModel(contract, *fit_features(df.filter(F.col(split) == "train"), contract))
 
 
 def build_feature_tables(annotated: DataFrame, splits: DataFrame, contract: tuple[Feature, ...] = CONTRACT, group: str = "gene") -> tuple[FeatureModel, dict[str, DataFrame]]:
@@ -308,18 +378,65 @@ def seeded(key: str, seed: int) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
 
+TIES = 100_000  # rows of one code that one ordered limit takes
+
+
+def first_rows(df: DataFrame, n: int, code: Column, key: str) -> DataFrame:
+    """The n rows of least (code, key), all if fewer, without sorting the table.
+
+    The n-th least code is an order statistic of one column; rows under it are taken as they are, and of the rows that tie
+    with it the least keys. Many ties are cut by the key's first bytes in the same way, and so on.
+    """
+    if n <= 0:
+        return df.limit(0)
+    rows, below = df.withColumn("code__", code.cast("double")), []  # whole codes up to 2^53 are exact doubles
+    at = 1
+    while True:
+        have = rows.agg(F.count("*").alias("n"), F.count("code__").alias("known")).first()
+        if have["n"] <= n:
+            below.append(rows)
+            break
+        nulls = have["n"] - have["known"]  # nulls come first, as in an order
+        if n <= nulls:
+            tied, rest = rows.filter("code__ IS NULL"), n
+        else:
+            share = (n - nulls - 1) / max(have["known"] - 1, 1)
+            limit = order_statistics(rows.select("code__"), ["code__"], {"code__": (share,)})["code__"][0]
+            cut = limit[1] if abs(limit[0] - math.floor(limit[0] + 0.5)) > 0.25 or math.floor(limit[0] + 0.5) == math.floor(limit[0]) else limit[2]
+            under = rows.filter(F.col("code__").isNull() | (F.col("code__") < cut))
+            below.append(under)
+            tied, rest = rows.filter(F.col("code__") == cut), n - under.count()
+        if tied.count() <= TIES:
+            below.append(tied.orderBy(key).limit(rest))
+            break
+        text = F.encode(F.col(key).cast("string"), "UTF-8")
+        digits = F.rpad(F.hex(F.substring(text, at, 6)), 12, "0")  # six bytes of the key as a number, in the keys' order
+        rows, n, at = tied.withColumn("code__", F.conv(digits, 16, 10).cast("double")), rest, at + 6
+        if at > 600:
+            below.append(rows.limit(n))  # equal keys: any of them
+            break
+    out = below[0]
+    for b in below[1:]:
+        out = out.unionByName(b)
+    return out.drop("code__")
+
+
 def balanced_sample(df: DataFrame, n: int, label: str = "label", key: str = "variant_key", seed: int = 42, code: Column | None = None) -> DataFrame:
     """Exactly min(n, available) rows: n / 2 of each label, and where one has fewer, more of the other; an odd row is a negative."""
-    c = code if code is not None else seeded(key, seed)
+    c = code if code is not None else sample_code(key, seed)
     have = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     pos = min(have.get(1, 0), max(n // 2, n - have.get(0, 0)))
-    # a top-n per label: the limit is the feature; each side is a distributed top-n
-    return df.filter(F.col(label) == 1).orderBy(c, key).limit(pos).unionByName(df.filter(F.col(label) == 0).orderBy(c, key).limit(n - pos))
+    return first_rows(df.filter(F.col(label) == 1), pos, c, key).unionByName(first_rows(df.filter(F.col(label) == 0), n - pos, c, key))
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = "variant_key", seed: int = 42, code: Column | None = None) -> DataFrame:
     """Exactly n rows (all if fewer), the same ones on every run."""
-    return df.orderBy(code if code is not None else seeded(key, seed), key).limit(n)
+    return first_rows(df, n, code if code is not None else sample_code(key, seed), key)
+
+
+def sample_code(key: str, seed: int) -> Column:
+    """52 bits of the seeded hash, which a double holds exactly."""
+    return F.shiftrightunsigned(seeded(key, seed), 12)
 
 
 def activation_coverage(df: DataFrame, hidden: list[str]) -> DataFrame:

@@ -68,6 +68,27 @@ def score_wide(v: Views) -> DataFrame:
     return scoring.score(v.small16, WIDE).select("variant_key", "score", "prediction")
 
 
+PUBLISHED = rule_model(256, 256)
+
+
+def published_sql(model: scoring.Model) -> str:
+    """The 16-256-256-1 model with lists. By the rule, a weight of the second layer depends on its input's number modulo 3 alone, so three sums of hidden units stand in for 256 products a unit."""
+    first = "[" + ", ".join(f"{{'w': {list(row)}, 'b': {b}}}" for row, b in zip(model.weights[0], model.biases[0])) + "]"
+    second = "[" + ", ".join(f"{{'w0': {row[0]}, 'w1': {row[1]}, 'w2': {row[2]}, 'b': {b}, 'o': {o}}}" for row, b, o in zip(model.weights[1], model.biases[1], model.weights[2][0])) + "]"
+    unit = lambda acc: f"least(greatest(CAST(floor(({acc} + u.b + 8) / 16.0) AS BIGINT), 0), 127)"
+    hidden = f"list_transform({first}, lambda u: {unit('list_inner_product(CAST(x AS DOUBLE[]), CAST(u.w AS DOUBLE[]))')})"
+    sums = ", ".join(f"CAST(list_sum(h[{r + 1}:256:3]) AS BIGINT) AS s{r}" for r in range(3))
+    x = "[" + ", ".join(model.features) + "]"
+    return f"""SELECT variant_key, CAST(list_sum(list_transform({second}, lambda u: u.o * {unit('u.w0 * s0 + u.w1 * s1 + u.w2 * s2')})) + {model.biases[2][0]} AS INT) AS score
+    FROM (SELECT variant_key, {sums} FROM (SELECT variant_key, {hidden} AS h FROM (SELECT variant_key, {x} AS x FROM {{small16}}) a) b) c"""
+
+
+@query("f04_score_published", published_sql(PUBLISHED))
+def score_published(v: Views) -> DataFrame:
+    """The published shape, 16-256-256-1."""
+    return scoring.score(v.small16, PUBLISHED).select("variant_key", "score")
+
+
 @query("f05_score_table", f"SELECT variant_key, gene, score, CASE WHEN score >= 0 THEN 1 ELSE 0 END AS prediction, CASE WHEN score >= -276 THEN 'deep' ELSE 'light' END AS route, score >= -276 AS deep_review_required FROM ({TWO_SQL}) s")
 def score_table(v: Views) -> DataFrame:
     return scoring.score_table(v.small16, TWO, -276)
