@@ -17,7 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from triage_spark.llm.common import stored
 
-PART = 1 << 20  # bytes of text whose documents are aligned, stored and looked up together
+PART = 1 << 18  # bytes of text whose documents are aligned, stored and looked up together
+BATCH_ROWS = 512  # documents that reach Python at a time
 LINKS = 1 << 21  # links that are laid out at a time
 WIDTH = 32  # bits of the second id in a pair
 _MODELS: dict[tuple, tuple] = {}
@@ -174,11 +175,12 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, piece_path: str, key
                 size += length
                 if size >= PART or k == b.num_rows - 1:
                     yield flush(b.column(0)[at : k + 1], b.column(1)[at : k + 1].to_pylist())
+                    pa.default_memory_pool().release_unused()
                     at, size, part = k + 1, 0, part + 1
 
     types = {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType(), pa.list_(pa.int64()): T.ArrayType(T.LongType())}
     schema = T.StructType([T.StructField(n, kind if n == "key" else types[t]) for n, t in fields])
-    return stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema))
+    return stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema), batch_rows=BATCH_ROWS)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

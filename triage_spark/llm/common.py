@@ -2,72 +2,37 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triage_spark.sources import scratch
+from triage_spark.sources.scratch import forget, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share.
-
-    Where the session names none, a temporary folder is set if driver and executors are one process (tests, one
-    machine); on a cluster that is an error, as executors do not share such a folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = local_folder(spark, "spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage; partitions and the order of their rows stay. The sizes that Spark estimates stay too: see stored()."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder; rows come back in any order.
-
-    Unlike a checkpoint, which hands the estimated size of its plan on, so that a chain of joins multiplies it until the
-    number alone fills the driver, a table has the size of its files.
-    """
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the table replaces the shuffles that made it
-    was = spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")
+def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """scratch.stored(), for a plan with Python in it also with at most batch_rows rows in an Arrow batch."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if batch_rows is None:
+        return scratch.stored(df)
+    was = conf.get(name)
+    conf.set(name, str(min(batch_rows, int(was)) if int(was) > 0 else batch_rows))
     try:
-        df.write.parquet(at)
+        return scratch.stored(df)
     finally:
-        spark.conf.unset(cleanup) if was is None else spark.conf.set(cleanup, was)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table made by stored() that nothing reads any more."""
-    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/table-" in at:
-            at = path(at)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def local_folder(spark: SparkSession, prefix: str) -> str:
-    """A temporary folder, for sessions of one process only."""
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix=prefix)
+        conf.set(name, was)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
