@@ -1,5 +1,9 @@
 """Worked examples, ties, nulls and repeated keys of the reference operators."""
 
+import gzip
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from triage_spark.functions import variants as V
 from triage_spark.operators import claims, cohort, evidence, features, replies, scoring
-from triage_spark.sources import tables
+from triage_spark.sources import blocks, tables
 
 
 def one(spark, column):
@@ -43,7 +47,7 @@ def test_vcf_to_cohort(spark):
     assert rows.filter("pos = 20").first()["info"] == {"SEEN": "true", "A": "d=e"}
     assert rows.filter("pos = 11").first()["info"]["CLNSIG"] == "Pathogenic"
     assert tables.wrong_assembly(lines).count() == 0
-    values = rows.select("pos", tables.info_value(F.col("info_text"), "A").alias("a"), tables.info_value(F.col("info_text"), "CLNSIG").alias("s"))
+    values = tables.with_info(rows, ("A", "CLNSIG")).select("pos", F.col("info__.A").alias("a"), F.col("info__.CLNSIG").alias("s"))
     assert {r["pos"]: (r["a"], r["s"]) for r in values.filter("pos IN (11, 20)").collect()} == {11: (None, "Pathogenic"), 20: ("d=e", None)}
 
 
@@ -349,3 +353,67 @@ def test_published_model_beside_a_loop(spark):
     for rows in (7, 2048):
         got = {r["k"]: r["score"] for r in scoring.arrow_scores(d, PUBLISHED, rows).collect()}
         assert got == {k: None if k == 7 else score([int(y) for y in x[k]]) for k in range(50)}
+
+
+def test_info_is_read_once(spark):
+    """Flags, repeats, empty values, keys that begin alike; and one parse in the plan of a cohort."""
+    text = ["A=1;AB=2;A=3", "AB=2", "A=;AB=x=y", "A", None, "", "A=1;A="]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(text)], "k int, info_text string")
+    got = {r["k"]: (r["info__"]["A"], r["info__"]["AB"]) for r in tables.with_info(rows, ("A", "AB")).collect()}
+    assert got == {0: ("3", "2"), 1: (None, "2"), 2: (None, "x=y"), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None)}
+    maps = {r["k"]: r["m"] for r in rows.select("k", tables.parse_info(F.col("info_text")).alias("m")).collect()}
+    assert maps == {0: {"A": "3", "AB": "2"}, 1: {"AB": "2"}, 2: {"A": "", "AB": "x=y"}, 3: {"A": "true"}, 4: None, 5: {}, 6: {"A": ""}}
+    vcf, _ = tables.parse_vcf(spark.createDataFrame([(line,) for line in VCF], "value string"))
+    plan = cohort.build_cohort(vcf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(line") == 1 and plan.count("split(info_text") == 1
+
+
+def block_compressed(text: bytes, size: int) -> bytes:
+    """Text in gzip blocks of `size` bytes with their own size in the header, and the empty block that ends such a file."""
+    out = b""
+    for part in [*(text[k : k + size] for k in range(0, len(text), size)), b""]:
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = z.compress(part) + z.flush()
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
+        out += head + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def test_block_compressed_text_splits(spark, tmp_path):
+    """Every line once, wherever the splits fall."""
+    rng = np.random.default_rng(1)
+    lines = ["x" * int(n) + str(k) for k, n in enumerate(rng.integers(0, 300, 120))] + ["", "no line end"]
+    path = str(tmp_path / "t.gz")
+    for size, split in ((100, 1), (37, 11), (5000, 700), (64, 1 << 20), (1 << 15, 5)):
+        (tmp_path / "t.gz").write_bytes(block_compressed("\n".join(lines).encode(), size))
+        total = (tmp_path / "t.gz").stat().st_size
+        got = [line.decode() for at in range(0, total, split) for line in blocks.lines_between(path, at, min(at + split, total))]
+        assert got == lines
+    (tmp_path / "t.gz").write_bytes(block_compressed("\n".join(lines).encode(), 300))
+    read = blocks.read_lines(spark, path, 1000)
+    assert sorted(r["value"] for r in read.collect()) == sorted(lines) and read.rdd.getNumPartitions() >= 3
+
+
+def test_block_compressed_tables(spark, tmp_path):
+    head, rows = "#chr\tpos\tgene\tx", [f"{k % 3}\t{k}\tG{k % 7}\t." for k in range(500)]
+    (tmp_path / "d.gz").write_bytes(block_compressed("\n".join([head, *rows, ""]).encode(), 200))
+    path = str(tmp_path / "d.gz")
+    got = tables.read_dbnsfp(spark, path, ["gene", "chr"])
+    assert got.columns == ["gene", "chr"] and sorted(map(tuple, got.collect())) == sorted((f"G{k % 7}", str(k % 3)) for k in range(500))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert blocks.read_columns(spark, path, ["chr", "pos"], 300).filter("chr = '1'").count() == 167
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(ValueError, match="lacks columns: no"):
+        tables.read_dbnsfp(spark, path, ["no"])
+    (tmp_path / "ragged.gz").write_bytes(block_compressed("\n".join([head, rows[0], "1\t2"]).encode(), 200))
+    with pytest.raises(Exception, match="a row of 2 fields"):
+        tables.read_dbnsfp(spark, str(tmp_path / "ragged.gz"), ["chr"]).collect()
+    (tmp_path / "v.vcf.gz").write_bytes(block_compressed("\n".join(VCF).encode(), 90))
+    (tmp_path / "v.vcf").write_text("\n".join(VCF))
+    split, whole = (tables.read_vcf(spark, str(tmp_path / n), with_rejects=True) for n in ("v.vcf.gz", "v.vcf"))
+    for a, b in zip(split, whole):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    (tmp_path / "plain.vcf.gz").write_bytes(gzip.compress("\n".join(VCF).encode()))
+    assert tables.read_vcf(spark, str(tmp_path / "plain.vcf.gz"), with_rejects=True)[0].count() == whole[0].count()

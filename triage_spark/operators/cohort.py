@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage_spark.functions import variants as V
-from triage_spark.sources.tables import info_value
+from triage_spark.sources.tables import with_info
 
 
 def require_unique(df: DataFrame, key: str, source: str, allow_null: bool = False) -> None:
@@ -17,14 +17,20 @@ def require_unique(df: DataFrame, key: str, source: str, allow_null: bool = Fals
         raise ValueError(f"{source}: null or repeated {key}: {[r[key] for r in bad]}")
 
 
+INFO_KEYS = ("MC", "ALLELEID", "GENEINFO", "CLNSIG", "CLNREVSTAT")
+
+
 def build_cohort(vcf: DataFrame, min_review_stars: int = 1) -> DataFrame:
     """Labelled missense SNVs of a parsed VCF; every copy of a repeated key is dropped, none is chosen.
 
-    Each key is read from `info_text` by itself, so the INFO map is never built; a table without it needs `info`.
+    The wanted keys come from `info_text` in one pass, so the INFO map is never built; a table without it needs `info`.
     """
+    snv = vcf.filter(V.is_snv(F.col("filter"), F.col("ref"), F.col("alt")))
     by_text = "info_text" in vcf.columns
-    at = lambda k: info_value(F.col("info_text"), k) if by_text else F.try_element_at("info", F.lit(k))
-    rows = vcf.filter(V.is_snv(F.col("filter"), F.col("ref"), F.col("alt"))).filter(V.is_missense(at("MC")))
+    if by_text:
+        snv = with_info(snv.select("chrom", "pos", "ref", "alt", "id", "info_text"), INFO_KEYS)
+    at = lambda k: F.col(f"info__.{k}") if by_text else F.try_element_at("info", F.lit(k))
+    rows = snv.filter(V.is_missense(at("MC")))
     one = lambda k: V.allele_value(at(k), F.lit(0), F.lit(1))
     rows = rows.select(
         V.variant_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant_key"), V.normalize_chrom(F.col("chrom")).alias("chrom"), "pos",

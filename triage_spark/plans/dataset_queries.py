@@ -9,6 +9,7 @@ from triage_spark.functions import variants as V
 from triage_spark.operators import cohort, features
 from triage_spark.plans.views import Views, query
 from triage_spark.sources import tables
+from triage_spark.sources.scratch import new_folder
 
 R6 = lambda c: F.round(c, 6)
 
@@ -30,12 +31,8 @@ def write_table(v: Views) -> DataFrame:
 
 
 def scratch(v: Views) -> str:
-    """A new shared folder for what a query writes and reads again."""
-    import os
-    import tempfile
-
-    shared = v.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/query-{os.urandom(6).hex()}" if shared else tempfile.mkdtemp(prefix="spark-query-")
+    """A new folder, shared by driver and executors, for what a query writes and reads again."""
+    return new_folder(v.spark, "query")
 
 
 def vcf_lines(v: Views) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage_spark.functions import variants as V
+from triage_spark.sources import blocks
 
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
 
@@ -45,17 +44,31 @@ FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter")
 
 
 def parse_info(info: Column) -> Column:
-    """INFO to a map; flags get 'true'; of a repeated key the last stands."""
-    # entries whose key comes again later go first, so that the map is built without comparing keys
-    last = F.regexp_replace(F.concat(F.lit(";"), info), r";([^;=]+)(?:=[^;]*)?(?=;(?:.*;)?\1(?:[=;]|$))", "")
-    parts = F.filter(F.split(last, ";"), lambda p: p != "")
+    """INFO to a map; flags get 'true'; of a repeated key the last stands. Sorted by key and place, so that no key is compared with all others."""
+    parts = F.filter(F.split(info, ";"), lambda p: p != "")
     value = lambda p: F.when(F.instr(p, "=") > 0, p.substr(F.instr(p, "=") + 1, F.length(p))).otherwise("true")
-    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), value(p).alias("v"))))
+    entries = F.array_sort(F.transform(parts, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), value(p).alias("v"))))
+    last = lambda a: F.filter(a, lambda e, i: (i == F.size(a) - 1) | (F.get(a, i + 1)["k"] != e["k"]))
+    kept = F.get(F.transform(F.array(entries), last), F.lit(0))  # the array is named by a lambda, and so is made once
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"], e["v"])))
+
+
+def with_info(rows: DataFrame, keys: tuple[str, ...], text: str = "info_text", name: str = "info__") -> DataFrame:
+    """rows with a struct `name` of the wanted INFO keys' values, from one pass over the text; of a repeated key the last stands,
+    and one that is not there, or is empty, is null.
+
+    A generator stands between the steps, since Spark would write the parse out again for each use of a value: first the
+    text becomes the few wanted parts, then these become the values.
+    """
+    wanted = F.array(*[F.lit(k) for k in keys])
+    parts = F.filter(F.split(text, ";"), lambda p: F.array_contains(wanted, F.substring_index(p, "=", 1)))
+    found = rows.select("*", F.explode(F.array(F.struct(parts.alias("parts")))).alias(f"{name}p"))
 
+    def value(key: str) -> Column:
+        own = F.try_element_at(F.filter(F.col(f"{name}p.parts"), lambda p: F.startswith(p, F.lit(f"{key}="))), F.lit(-1))
+        return F.nullif(own.substr(F.lit(len(key) + 2), F.length(own)), F.lit(""))
 
-def info_value(info: Column, key: str) -> Column:
-    """The value of one key in INFO text: of a repeated key the last; null where it is not there or empty."""
-    return F.nullif(F.regexp_extract(F.concat(F.lit(";"), info), f"(?s)^.*;{re.escape(key)}=([^;]*)", 1), F.lit(""))
+    return found.select("*", F.explode(F.array(F.struct(*[value(k).alias(k) for k in keys]))).alias(name)).drop(f"{name}p")
 
 
 def parse_vcf(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -64,7 +77,7 @@ def parse_vcf(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFra
     INFO comes as the map `info` and as the text `info_text`, from which single keys are read at less cost.
     """
     body = lines.select(F.col(line).alias("line")).filter((F.trim("line") != "") & ~F.col("line").startswith("#"))
-    split = body.withColumn("f", F.split("line", "\t"))
+    split = body.select("line", F.explode(F.array(F.split("line", "\t"))).alias("f"))  # a generator, so that the line is split once for all its fields
     good = split.filter(F.size("f") >= 8)
     cols = [F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FIXED)]
     text = F.get("f", F.lit(7))
@@ -73,10 +86,16 @@ def parse_vcf(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFra
 
 
 def read_vcf(spark: SparkSession, path: str, with_rejects: bool = False):
-    """A gz file is one split, so its rows are spread after the read."""
-    lines = spark.read.text(path)
-    if path.endswith(".gz"):
-        lines = lines.repartition(spark.sparkContext.defaultParallelism)
+    """Rows of a VCF text. Block-compressed gz, as such files are, splits by its blocks; another gz is one task, whose rows are spread after it.
+
+    A row of under 8 fields is an error when the rows are read, or comes back with the rejects.
+    """
+    if path.endswith((".gz", ".bgz")) and blocks.is_blocks(path):
+        lines = blocks.read_lines(spark, path)
+    else:
+        lines = spark.read.text(path)
+        if path.endswith(".gz"):
+            lines = lines.repartition(spark.sparkContext.defaultParallelism)
     rows, rejects = parse_vcf(lines)
     if with_rejects:
         return rows, rejects
@@ -92,7 +111,15 @@ def wrong_assembly(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_dbnsfp(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Tab-separated strings with a '#' header; every named column must be there; ragged rows fail the read."""
+    """Tab-separated strings with a '#' header; every named column must be there; ragged rows fail the read.
+
+    Block-compressed gz splits by its blocks, and only the named columns are built.
+    """
+    if path.endswith((".gz", ".bgz")) and blocks.is_blocks(path):
+        missing = [c for c in columns if c not in blocks.header_of(path)]
+        if missing:
+            raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
+        return blocks.read_columns(spark, path, columns)
     df = spark.read.option("header", True).option("sep", "\t").option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
     df = df.toDF(*[c.lstrip("#") for c in df.columns])
     require_columns(df, columns, path)
