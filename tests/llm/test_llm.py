@@ -689,7 +689,7 @@ def test_pipeline(spark, docs, edge):
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         if name == "language":
             said = {k: plain.predict(t) for k, t in now.items()}
-            now = {k: t for k, t in now.items() if said[k][1] >= 0.3}
+            now = {k: t for k, t in now.items() if said[k][1] > 0.2501}  # all of the table is in its languages, so no coverage turns a text away
             assert 10**6 not in now and 10**6 + 1 not in now and len(now) >= len(docs) - 5
             assert d.filter("doc_id = 1000002").first()["lang"] == said[0][0]
         elif name == "line dedup":
@@ -714,4 +714,4 @@ def test_pipeline(spark, docs, edge):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

@@ -18,6 +18,9 @@ from triage_spark.llm.common import bounded_sample, stored
 WORDS = re.compile(r"[^\W\d_]+")
 NO_WORD = re.compile(r"[\W\d_]")
 MAX_GRAM = 5
+COVER = 4  # characters of the n-grams by which a word is a language's
+LOW = 0.8  # of the lowest labelled texts' coverage
+CERTAIN = 3.0  # standard errors by which a text must lie outside
 SURE = 30.0  # words from which on a text's score stops growing
 PIECE = 1 << 20  # characters of a text that one step takes
 CACHE, LONG = 150_000, 64  # words that a worker remembers; letters of the longest of them
@@ -78,7 +81,8 @@ class WordFirst:
 
     def _start(self):
         self.place: dict[str, int] = {}  # of words in `known`; 0 stands for words without a letter
-        self.known = np.zeros((1, len(self.langs)))
+        self.known = np.zeros((1, 2 * len(self.langs)))  # scores, then how far each language has the word
+        self.absent = [rows.min(axis=0, initial=0) + 0.5 for _, rows in self.tables]  # above it an entry was seen in the language at least once
 
     def __getstate__(self):
         return {"langs": self.langs, "tables": self.tables}
@@ -95,12 +99,25 @@ class WordFirst:
         return keys[at] == hashes, at
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """A row for each word: of the word itself, else the mean of its longest n-grams of which some are known, else zeros."""
-        out = np.zeros((len(words), len(self.langs)))
-        if not words:
-            return out
+        """A row for each word: of the word itself, else the mean of its longest n-grams of which some are known, else zeros.
+
+        Then, by language, the share of the word that it has: 1 for a word of its own, else the part of its COVER-grams.
+        """
+        out, cover = np.zeros((len(words), len(self.langs))), np.zeros((len(words), len(self.langs)))
+        if not words or not self.langs:
+            return np.concatenate([out, cover], axis=1)
         hit, at = self.find(0, word_hashes(words))
         out[hit] = self.tables[0][1][at[hit]]
+        cover[hit] = out[hit] > self.absent[0]
+        grams = np.flatnonzero(~cover.any(axis=1))
+        if len(grams):
+            for n, h, owner in gram_hashes([words[k] for k in grams]):
+                if n == COVER:
+                    known, at = self.find(n, h)
+                    has = self.tables[n][1][at[known]] > self.absent[n]
+                    each = np.maximum(np.bincount(owner, minlength=len(grams)), 1)
+                    for k in range(len(self.langs)):
+                        cover[grams, k] = np.bincount(owner[known], weights=has[:, k], minlength=len(grams)) / each
         todo = np.flatnonzero(~hit)
         if len(todo):
             for n, h, owner in reversed(list(gram_hashes([words[k] for k in todo]))):
@@ -112,7 +129,7 @@ class WordFirst:
                     sums = np.stack([np.bincount(own, weights=rows[:, k], minlength=len(todo)) for k in range(len(self.langs))], axis=1)
                     out[todo[fresh]] = sums[fresh] / times[fresh, None]
                     todo = np.where(fresh, -1, todo)
-        return out
+        return np.concatenate([out, cover], axis=1)
 
     def places(self, words: list[str]) -> np.ndarray:
         found = list(map(self.place.get, words))
@@ -132,7 +149,15 @@ class WordFirst:
 
     def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; texts without a letter are 'und'."""
-        sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        return self.read(texts)[:2]
+
+    def read(self, texts: list[str | None], coverage: bool = False) -> tuple[list[str], list[float], list[float]]:
+        """Language and score of each text, and the most that its share of the language's words and COVER-grams can be.
+
+        The last is the upper end of a Wilson interval (z = CERTAIN) over the text's words, so that a short text is not held to
+        what chance made of a few words.
+        """
+        sums, n = np.zeros((len(texts), (1 + coverage) * len(self.langs))), np.zeros(len(texts))
         words: list[str] = []
         owners: list[int] = []
         lengths: list[int] = []
@@ -140,7 +165,7 @@ class WordFirst:
         def add():
             at, owner = self.places(words), np.repeat(owners, lengths)
             n[:] += np.bincount(owner, weights=at > 0, minlength=len(texts))
-            for k in range(len(self.langs)):
+            for k in range(sums.shape[1]):
                 sums[:, k] += np.bincount(owner, weights=self.known[at, k], minlength=len(texts))
             words.clear(), owners.clear(), lengths.clear()
 
@@ -155,12 +180,17 @@ class WordFirst:
         if words:
             add()
         if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        sums, covered = sums[:, : len(self.langs)], sums[:, len(self.langs) :]
         mean = sums / np.maximum(n, 1)[:, None]
         z = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, SURE)[:, None])
         best = z.argmax(axis=1)
         share = z[np.arange(len(texts)), best] / z.sum(axis=1)
-        return [self.langs[k] if m else "und" for k, m in zip(best, n)], np.where(n > 0, share, 0.0).tolist()
+        most = np.zeros(len(texts))
+        if coverage:
+            words_n, c, z2 = np.maximum(n, 1), covered[np.arange(len(texts)), best] / np.maximum(n, 1), CERTAIN**2
+            most = (c + z2 / (2 * words_n) + CERTAIN * np.sqrt(c * (1 - c) / words_n + z2 / (4 * words_n**2))) / (1 + z2 / words_n)
+        return [self.langs[k] if m else "und" for k, m in zip(best, n)], np.where(n > 0, share, 0.0).tolist(), np.where(n > 0, most, 0.0).tolist()
 
     def predict(self, text: str | None) -> tuple[str, float]:
         langs, scores = self.predict_all([text])
@@ -213,20 +243,41 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return WordFirst(langs, tables)
 
 
-def identify(docs: DataFrame, model: WordFirst, text: str = "text") -> DataFrame:
+def coverage_limit(docs: DataFrame, model: WordFirst, text: str = "text", key: str = "doc_id", max_docs: int = 512, words: int = 20) -> float:
+    """The coverage under which a text is of none of the model's languages, from labelled rows that the model has not learned.
+
+    LOW times that of the hundredth part of the texts of at least `words` words that lies lowest; of at most max_docs rows (least key
+    hash first). 0, so that nothing is turned away, if there are fewer than 20.
+    """
+    few = bounded_sample(docs.select(key, text).dropna(), key, max_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def cover(s: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.read(s.tolist(), coverage=True)[2])
+
+    got = sorted(r[0] for r in few.filter(F.size(F.split(text, r"\s+")) >= words).select(cover(F.col(text))).collect())
+    return LOW * got[len(got) // 100] if len(got) >= 20 else 0.0
+
+
+def identify(docs: DataFrame, model: WordFirst, text: str = "text", coverage: bool = False) -> DataFrame:
     """Add lang_pred and score (0 to 1) for every whole text; columns of those names are replaced, all others stay.
 
+    With `coverage` also that: the most that the text's share of the predicted language can be (see WordFirst.read()).
+
     A null text, or one without a letter, is 'und' with score 0; ties go to the first language by name. A word without
     any known n-gram says nothing for any language. Rows are independent: repeated rows get equal answers; long
     texts are read in parts; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, coverage double")
     def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            langs, scores = shared.value.predict_all(s.tolist())
-            yield pd.DataFrame({"lang": langs, "score": scores}, index=s.index)
+            langs, scores, most = shared.value.read(s.tolist(), coverage)
+            yield pd.DataFrame({"lang": langs, "score": scores, "coverage": most}, index=s.index)
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
-    return docs.select(row.alias("row"), ask(F.col(text)).alias("said")).select("row.*", F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
+    new = ("lang_pred", "score", "coverage")[: 2 + coverage]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    said = [F.col(f"said.{c}").alias(n) for c, n in zip(("lang", "score", "coverage"), new)]
+    return docs.select(row.alias("row"), ask(F.col(text)).alias("said")).select("row.*", *said)

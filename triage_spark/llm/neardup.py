@@ -360,7 +360,8 @@ def keep_one(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str
     rows = row_classes(docs, percent, key, text)
     groups = rows.groupBy("key", "content").agg(F.count("*").alias("rows"), F.max((F.col("head.row") == F.col("row")).cast("int")).alias("kept"))
     changed = stored(groups.filter("rows > 1 OR kept = 0").select(F.col("key").alias("key__"), F.col("content").alias("content__"), "kept"))
-    same = F.col(key).eqNullSafe(F.col("key__")) & (F.xxhash64(text) == F.col("content__"))
-    stay = docs.join(changed, same, "left_anti")
-    again = docs.join(changed.filter("kept = 1"), same, "left_semi").withColumn("content__", F.xxhash64(text)).dropDuplicates([key, "content__"]).drop("content__")
-    return stay.unionByName(again)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("content"))  # no column of docs can clash
+    same = F.col("key").eqNullSafe(F.col("key__")) & (F.col("content") == F.col("content__"))
+    stay = own.join(changed, same, "left_anti")
+    again = own.join(changed.filter("kept = 1"), same, "left_semi").dropDuplicates(["key", "content"])
+    return stay.unionByName(again).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
