@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from triage_spark.functions import variants as V
 from triage_spark.operators import claims, cohort, evidence, features, replies, scoring
 from triage_spark.sources import blocks, tables
+from triage_spark.streaming import streams
 
 
 def one(spark, column):
@@ -417,3 +418,57 @@ def test_block_compressed_tables(spark, tmp_path):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     (tmp_path / "plain.vcf.gz").write_bytes(gzip.compress("\n".join(VCF).encode()))
     assert tables.read_vcf(spark, str(tmp_path / "plain.vcf.gz"), with_rejects=True)[0].count() == whole[0].count()
+
+
+def test_reply_state_is_bounded_and_restarts(spark, tmp_path):
+    """Counters go on from the checkpoint; blocks older than the horizon go, so that a sparse stream keeps few of them."""
+    source, rows = tmp_path / "in", []
+    schema = "stream_id bigint, sequence bigint, arrived timestamp"
+
+    def more(part: list[tuple[int, int, int]]) -> tuple[dict, int]:
+        d = spark.createDataFrame(part, "stream_id bigint, sequence bigint, s bigint").select("stream_id", "sequence", F.timestamp_seconds("s").alias("arrived"))
+        d.coalesce(1).write.mode("append").parquet(str(source))
+        got = {}
+        with streams.use_rocksdb(spark):
+            q = streams.stream_reply_state(spark.readStream.schema(schema).parquet(str(source)), "100 seconds", "1 second").writeStream.outputMode("update")
+            q = q.foreachBatch(lambda b, _: got.update({r["stream_id"]: tuple(r)[1:] for r in b.collect()})).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        return got, max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[-1:])
+
+    got, _ = more([(1, 5, 10), (1, 4, 11), (1, 5, 12), (1, 6, 13), (2, 9, 10)])
+    assert got == {1: (3, 1, 1), 2: (1, 0, 0)}
+    got, _ = more([(1, 5, 20), (1, 3, 21)])  # a new query on the old checkpoint
+    assert got == {1: (4, 2, 2)}
+    sizes = []
+    for k in range(4):  # sequences with gaps of a whole block, 50 seconds apart: old blocks go as new ones come
+        _, size = more([(1, 10**6 + (10 * k + j) * 2 * streams.BLOCK, 100 + 500 * k + 50 * j) for j in range(10)])
+        sizes.append(size)
+    assert max(sizes) <= sizes[0] + 12 and sizes[-1] <= 30
+    got, _ = more([(1, 5, 3000), (2, 9, 3001)])  # stream 2 was dropped after its silence, and 5 is no longer remembered
+    assert got[2] == (1, 0, 0) and got[1][1] == 2
+
+
+def test_a_hot_stream_is_many_windows(spark):
+    """90 % of the rows in one stream: the row before and exact quantiles as in plain Python, over several tasks."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    rows = pd.DataFrame({"stream_id": np.where(rng.random(n) < 0.9, 1, rng.integers(2, 30, n)), "sequence": rng.permutation(n), "arrival": np.round(rng.random(n) * 500, 2), "reply_id": np.arange(n)})
+    rows["sent"] = rows.arrival - rng.random(n)
+    d = spark.createDataFrame(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = replies.before_in_stream(d, "stream_id", ["arrival", "reply_id"], "sequence", "before")
+        assert out.filter("stream_id = 1").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = rows.sort_values(["stream_id", "arrival", "reply_id"])
+    want["before"] = want.groupby("stream_id").sequence.shift()
+    assert {r["reply_id"]: r["before"] for r in out.collect()} == {k: None if np.isnan(b) else int(b) for k, b in zip(want.reply_id, want.before)}
+    got = {r["stream_id"]: r for r in replies.timing_statistics(d, arrived="arrival").collect()}
+    for stream, part in rows.sort_values(["arrival", "sequence"]).groupby("stream_id"):
+        latency, spacing = part.arrival - part.sent, part.arrival.diff().dropna()
+        assert got[stream]["samples"] == len(part) and got[stream]["spacings"] == len(spacing)
+        for c, x in (("latency", latency), ("spacing", spacing)):
+            assert [got[stream][f"{c}_{k}"] for k in ("median", "p95", "max")] == (pytest.approx([x.quantile(0.5), x.quantile(0.95), x.max()], abs=2e-6) if len(x) else [None] * 3)
+    batches = replies.batch_requests(d.withColumn("score", F.lit(1)), 32, key="sequence").collect()
+    assert sorted((r["batch"], r["first_sequence"], len(r["rows"])) for r in batches) == [(k, 32 * k, 32) for k in range(125)]

@@ -6,18 +6,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def batch_requests(df: DataFrame, size: int = 32, start: int = 0, key: str = "variant_key", payload: str = "score", streams: str | None = None, buckets: int = 64) -> DataFrame:
-    """batch, first_sequence, rows (array<struct<sequence, key, payload>>): rows numbered in key order, `size` a batch.
+PIECES = 128  # ranges into which a column's values are cut
 
-    Numbers come from two levels: counts of hash-free key ranges are added up (a few rows), then rows are
-    numbered inside their range, so no window spans the table.
+
+def piece_of(x: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are at or below x: a balanced tree of comparisons, so a few for a row."""
+    if not cuts:
+        return F.lit(0)
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(cuts))
+
+
+def cuts_of(df: DataFrame, x: Column, pieces: int = PIECES) -> list:
+    """Values that cut a column into about equal pieces; equal values are never parted."""
+    return sorted(set(df.select(F.percentile_approx(x, [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0] or []))
+
+
+def before_in_stream(df: DataFrame, stream: str, order: list[str], value: str, out: str, pieces: int = PIECES) -> DataFrame:
+    """df with `out`: `value` of the row before in its stream, by `order`; null for a stream's first row.
+
+    A window covers one piece of one stream, so a stream that holds most rows is many windows; the last value of each
+    piece is carried to the next piece of the stream that has rows.
+    """
+    d = df.withColumn("piece__", piece_of(F.col(order[0]), cuts_of(df, F.col(order[0]), pieces)))
+    last = d.groupBy(stream, "piece__").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("last__"))
+    carried = last.select(stream, "piece__", F.lag("last__").over(Window.partitionBy(stream).orderBy("piece__")).alias("carried__"))  # at most `pieces` rows a stream
+    own = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(stream, "piece__").orderBy(*order))
+    both = d.withColumn("own__", own).join(carried, [stream, "piece__"])
+    return both.withColumn(out, F.coalesce("own__", "carried__")["v"]).drop("piece__", "own__", "carried__")
+
+
+def stream_quantiles(df: DataFrame, stream: str, value: str, shares: dict[str, float], pieces: int = PIECES) -> DataFrame:
+    """stream and, by name, exact interpolated quantiles of `value` in each stream; streams without a value have no row.
+
+    Counts by stream and range of values place the wanted ranks; only the ranges that hold one are numbered, each on its own.
+    """
+    v = df.filter(F.col(value).isNotNull()).select(stream, F.col(value).cast("double").alias("x__"))
+    v = v.withColumn("piece__", piece_of(F.col("x__"), cuts_of(v, F.col("x__"), pieces)))
+    w = Window.partitionBy(stream).orderBy("piece__").rowsBetween(Window.unboundedPreceding, -1)  # at most `pieces` rows a stream
+    counts = v.groupBy(stream, "piece__").agg(F.count("*").alias("n"))
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(stream)))
+    ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("total") - 1)).alias("t")) for k, p in shares.items()])).alias("r")
+    wanted = placed.select(stream, "piece__", "n", "before", ranks).select(stream, "piece__", "n", "before", "r.*", F.explode(F.array_distinct(F.array(F.floor("r.t"), F.ceil("r.t")))).alias("rank"))
+    wanted = wanted.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(stream, "piece__", "before", "name", "t", "rank")
+    held = v.join(wanted.select(stream, "piece__", "before").distinct(), [stream, "piece__"])
+    numbered = held.withColumn("rank", F.row_number().over(Window.partitionBy(stream, "piece__").orderBy("x__")) - 1 + F.col("before")).drop("before")
+    found = numbered.join(wanted.drop("before"), [stream, "piece__", "rank"])
+    weight = F.when(F.floor("t") == F.ceil("t"), F.lit(1.0)).when(F.col("rank") == F.floor("t"), F.ceil("t") - F.col("t")).otherwise(F.col("t") - F.floor("t"))
+    return found.groupBy(stream).agg(*[F.sum(F.when(F.col("name") == k, weight * F.col("x__"))).alias(k) for k in shares])
+
+
+def batch_requests(df: DataFrame, size: int = 32, start: int = 0, key: str = "variant_key", payload: str = "score", streams: str | None = None, buckets: int | None = None) -> DataFrame:
+    """batch, first_sequence, rows (array<struct<sequence, key, payload>>): rows numbered in the order of their keys, text keys in that of their hashes; `size` a batch.
+
+    Numbers come from two levels: counts of ranges are added up (a few rows), then rows are numbered inside their
+    range, so no window spans the table. There are as many ranges as shuffle partitions, PIECES at least.
     """
-    cuts = df.select(F.percentile_approx(F.xxhash64(key), [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if df.schema[key].dataType.simpleString() == "string" else df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
     order = F.xxhash64(key) if df.schema[key].dataType.simpleString() == "string" else F.col(key)
-    bounds = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= order)) if bounds else F.lit(0)
-    d = df.withColumn("b__", bucket)
-    w = Window.partitionBy(F.lit(0)).orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    buckets = buckets or max(PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = df.withColumn("b__", piece_of(order, cuts_of(df, order, buckets)))
+    w = Window.orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
     before = d.groupBy("b__").agg(F.count("*").alias("n")).select("b__", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before__"))
     numbered = d.join(F.broadcast(before), "b__").withColumn("sequence", F.row_number().over(Window.partitionBy("b__").orderBy(order, key)) + F.col("before__") - 1 + start)
     packed = numbered.withColumn("batch", F.floor((F.col("sequence") - start) / size).cast("bigint"))
@@ -45,7 +99,7 @@ def reply_summary(expected: DataFrame, replies: DataFrame, threshold: int, strea
     as correct if any of its replies was; every wrong reply is a mismatch.
     """
     j = judged_replies(expected, replies, threshold, stream)
-    back = j.filter("first").withColumn("before", F.lag("sequence").over(Window.partitionBy(stream).orderBy("arrival", "reply_id")))
+    back = before_in_stream(j.filter("first"), stream, ["arrival", "reply_id"], "sequence", "before")
     order = back.groupBy(stream).agg(F.count_if(F.col("sequence") < F.col("before")).alias("out_of_order"))
     per = j.groupBy(stream).agg(
         F.count_if("first").alias("received_unique"), F.countDistinct(F.when(F.col("correct"), F.col("sequence"))).alias("correct_unique"),
@@ -88,13 +142,15 @@ def completion_rate(expected: DataFrame, replies: DataFrame, threshold: int, sta
 
 def timing_statistics(df: DataFrame, sent: str = "sent", arrived: str = "arrived", stream: str = "stream_id", order: str = "sequence") -> DataFrame:
     """Per stream: samples, total, median, p95 and max of latency, the same of spacing between arrivals, negative samples."""
-    w = Window.partitionBy(stream).orderBy(arrived, order)
-    d = df.withColumn("latency", F.col(arrived) - F.col(sent)).withColumn("spacing", F.col(arrived) - F.lag(arrived).over(w))
-    q = lambda c, p: F.round(F.percentile(c, p), 6)
-    return d.groupBy(stream).agg(
-        F.count("latency").alias("samples"), F.round(F.sum("latency"), 6).alias("latency_total"), q("latency", 0.5).alias("latency_median"), q("latency", 0.95).alias("latency_p95"), F.round(F.max("latency"), 6).alias("latency_max"),
-        F.count("spacing").alias("spacings"), F.round(F.sum("spacing"), 6).alias("spacing_total"), q("spacing", 0.5).alias("spacing_median"), q("spacing", 0.95).alias("spacing_p95"), F.round(F.max("spacing"), 6).alias("spacing_max"), F.count_if(F.col("latency") < 0).alias("negative_latencies"),
+    d = before_in_stream(df.withColumn("latency", F.col(arrived) - F.col(sent)), stream, [arrived, order], arrived, "before__").withColumn("spacing", F.col(arrived) - F.col("before__"))
+    per = d.groupBy(stream).agg(
+        F.count("latency").alias("samples"), F.round(F.sum("latency"), 6).alias("latency_total"), F.round(F.max("latency"), 6).alias("latency_max"), F.count("spacing").alias("spacings"),
+        F.round(F.sum("spacing"), 6).alias("spacing_total"), F.round(F.max("spacing"), 6).alias("spacing_max"), F.count_if(F.col("latency") < 0).alias("negative_latencies"),
     )
+    for c in ("latency", "spacing"):
+        per = per.join(stream_quantiles(d, stream, c, {f"{c}_median": 0.5, f"{c}_p95": 0.95}), stream, "left")
+    ordered = ("samples", *(f"latency_{x}" for x in ("total", "median", "p95", "max")), "spacings", *(f"spacing_{x}" for x in ("total", "median", "p95", "max")), "negative_latencies")
+    return per.select(stream, *[F.round(c, 6).alias(c) if c.endswith(("median", "p95")) else F.col(c) for c in ordered])
 
 
 def cross_path_check(a: DataFrame, b: DataFrame, expected: DataFrame, key: str = "request") -> DataFrame:

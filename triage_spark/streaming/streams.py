@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from triage_spark.functions import variants as V
 from triage_spark.operators import scoring
@@ -35,58 +38,87 @@ def stream_distinct_replies(replies: DataFrame, delay: str = "10 seconds") -> Da
     return replies.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["stream_id", "sequence"])
 
 
-def stream_reply_state(replies: DataFrame) -> DataFrame:
-    """Running counters per stream: received_unique, duplicates, out_of_order.
-
-    State: the last first-arrival sequence, the counters and the sequences seen as sorted runs, so an ordered
-    stream keeps a single run however long it is.
+BLOCK = 4096  # sequences of one bitmap
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class ReplyState(StatefulProcessor):
+    """Counters of one stream, and bitmaps of the sequences seen, block by block, each with the time it was last touched."""
+
+    def __init__(self, horizon_ms: int):
+        self.horizon = horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "previous bigint, received_unique bigint, duplicates bigint, out_of_order bigint")
+        self.seen = handle.getMapState("seen", "block bigint", "bits binary, last bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows)).sort_values(["arrived", "sequence"], kind="stable")
+        sequence, arrived = part.sequence.to_numpy(np.int64), part.arrived.to_numpy("datetime64[ms]").astype(np.int64)
+        fresh = ~pd.Series(sequence).duplicated().to_numpy()
+        block, bit = np.divmod(sequence, BLOCK)
+        for b in np.unique(block).tolist():
+            own = np.flatnonzero(block == b)
+            old = self.seen.getValue((b,)) if self.seen.containsKey((b,)) else None
+            bits = np.unpackbits(np.frombuffer(bytes(old[0]), np.uint8)) if old else np.zeros(BLOCK, np.uint8)
+            fresh[own] &= bits[bit[own]] == 0
+            bits[bit[own]] = 1
+            self.seen.updateValue((b,), (np.packbits(bits).tobytes(), max(int(arrived[own].max()), old[1] if old else 0)))
+        previous, unique, repeated, back = self.counts.get() if self.counts.exists() else (None, 0, 0, 0)
+        first = sequence[fresh]
+        if len(first):
+            before = first[:-1] if previous is None else np.concatenate([[previous], first[:-1]])
+            back += int((first[len(first) - len(before) :] < before).sum())
+            previous = int(first[-1])
+        unique, repeated = unique + len(first), repeated + len(sequence) - len(first)
+        self.counts.update((previous, unique, repeated, back))
+        if not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(int(arrived.max()) + self.horizon)
+        yield pd.DataFrame({"stream_id": [key[0]], "received_unique": [unique], "duplicates": [repeated], "out_of_order": [back]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Blocks untouched for the horizon go; a stream without any block goes as a whole."""
+        cut, left = timerValues.getCurrentWatermarkInMs() - self.horizon, None
+        for (b,), (_, last) in list(self.seen.iterator()):
+            if last <= cut:
+                self.seen.removeKey((b,))
+            else:
+                left = last if left is None else min(left, last)
+        if left is None:
+            self.counts.clear()
+        else:
+            self.handle.registerTimer(left + self.horizon)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_reply_state(replies: DataFrame, horizon: str = "1 hour", delay: str = "10 seconds") -> DataFrame:
+    """Running counters per stream: received_unique, duplicates, out_of_order; out in update mode.
+
+    A reply counts as a duplicate while its block of BLOCK sequences has been touched within `horizon` of event time.
+    Timers of event time drop older blocks, and a stream that has been silent for the horizon with its counters, so the
+    state follows what arrives in a horizon and not the age or the gaps of a stream. Within a batch rows are taken by arrival,
+    then sequence. Needs the RocksDB state store (use_rocksdb()). stream_id, sequence: whole numbers; arrived: instants.
     """
+    ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
     schema = "stream_id bigint, received_unique bigint, duplicates bigint, out_of_order bigint"
-    state = "runs array<bigint>, previous bigint, received_unique bigint, duplicates bigint, out_of_order bigint"
-
-    def update(key, parts: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        runs, previous, unique, repeated, back = st.get if st.exists else ([], None, 0, 0, 0)
-        runs = [list(r) for r in zip(runs[::2], runs[1::2])]
-        rows = pd.concat(list(parts)).sort_values(["arrived", "sequence"], kind="stable")
-        for s in map(int, rows.sequence):
-            if covers(runs, s):
-                repeated += 1
-                continue
-            back += previous is not None and s < previous
-            previous, unique = s, unique + 1
-            add(runs, s)
-        st.update(([x for r in runs for x in r], previous, unique, repeated, back))
-        yield pd.DataFrame([(key[0], unique, repeated, back)], columns=["stream_id", "received_unique", "duplicates", "out_of_order"])
-
-    return replies.groupBy("stream_id").applyInPandasWithState(update, schema, state, "update", "NoTimeout")
-
-
-def place(runs: list[list[int]], s: int) -> int:
-    lo, hi = 0, len(runs)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if runs[mid][0] <= s else (lo, mid)
-    return lo
-
-
-def covers(runs: list[list[int]], s: int) -> bool:
-    k = place(runs, s)
-    return k > 0 and s <= runs[k - 1][1]
-
-
-def add(runs: list[list[int]], s: int) -> None:
-    """Put s into the sorted closed runs, joining neighbours."""
-    k = place(runs, s)
-    left, right = k > 0 and runs[k - 1][1] == s - 1, k < len(runs) and runs[k][0] == s + 1
-    if left and right:
-        runs[k - 1][1] = runs[k][1]
-        del runs[k]
-    elif left:
-        runs[k - 1][1] = s
-    elif right:
-        runs[k][0] = s
-    else:
-        runs.insert(k, [s, s])
+    rows = replies.withWatermark("arrived", delay)
+    return rows.groupBy("stream_id").transformWithStateInPandas(ReplyState(ms), schema, "Update", "EventTime")
+
+
+@contextlib.contextmanager
+def use_rocksdb(spark: SparkSession):
+    """The state store that timers and several state variables need, while streams are started."""
+    was = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if was is None else spark.conf.set(STORE, was)
 
 
 def read_events(spark: SparkSession, sf_dir: str, schema) -> DataFrame:
