@@ -22,7 +22,8 @@ COVER = 4  # characters of the n-grams by which a word is a language's
 LOW = 0.8  # of the lowest labelled texts' coverage
 CERTAIN = 3.0  # standard errors by which a text must lie outside
 SURE = 30.0  # words from which on a text's score stops growing
-PIECE = 1 << 20  # characters of a text that one step takes
+PIECE = 1 << 18  # characters of a text that one step takes
+STEP_WORDS = 1 << 15  # words that are looked up together
 CACHE, LONG = 150_000, 64  # words that a worker remembers; letters of the longest of them
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,7 +176,7 @@ class WordFirst:
                 words.extend(part)
                 owners.append(k)
                 lengths.append(len(part))
-                if len(words) >= PIECE // 8:
+                if len(words) >= STEP_WORDS:
                     add()
         if words:
             add()
