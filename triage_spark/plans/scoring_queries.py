@@ -302,7 +302,7 @@ def stream_match_replies(v: Views) -> DataFrame:
 
 @query("k09_stream_reply_state", "SELECT user_id AS stream_id, count(*) AS received_unique, count(*) FILTER (WHERE event_id % 17 = 0) AS duplicates, CAST(0 AS BIGINT) AS out_of_order FROM {events} GROUP BY 1")
 def stream_reply_state(v: Views) -> DataFrame:
-    e = event_stream(v).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("sequence"), F.timestamp_millis("event_id").alias("arrived"))
+    e = event_stream(v).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("sequence"), F.timestamp_millis(F.col("event_id") + 86_400_000).alias("arrived"))
     repeated = e.withColumn("copy", F.explode(F.when(F.col("sequence") % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
     with streams.use_rocksdb(v.spark):
         out = drained(v, streams.stream_reply_state(repeated, delay="365 days"), "update", "k09")  # the table's files may come in any order
