@@ -75,7 +75,30 @@ def ranks_of(groups: DataFrame, order: list[str]) -> DataFrame:
     return prefix_sums(groups, order, ["members"]).withColumnRenamed("members_before", "rank").drop("rows_before", "members")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def next_level(now: DataFrame, size: int) -> DataFrame:
+    """Ranks of runs of 2 * size lines from those of `size` lines; suffixes whose run is unique leave."""
+    second = now.select("sid", (F.col("pos") - size).alias("pos"), F.col("rank").alias("next"))
+    pairs = now.join(second, ["sid", "pos"]).withColumnRenamed("rank", "head")
+    groups = pairs.groupBy("head", "next").agg(F.count("*").alias("members")).filter("members > 1")
+    return stored(pairs.join(ranks_of(groups, ["head", "next"]), ["head", "next"]).drop("head", "next"))
+
+
+def held_whole(now: DataFrame, spans: DataFrame, size: int) -> DataFrame:
+    """Of spans (sid, doc, pos, stop; of size to 2 * size - 1 lines) those that an earlier place holds whole, with `first`, that place.
+
+    `now` has the ranks of runs of `size` lines: the run that begins a span and the one that ends it fix all its lines,
+    and whoever has both at the same distance holds it. Only places that share the first run are looked at, for the lengths asked there.
+    """
+    tail = now.select("sid", (F.col("pos") + size).alias("stop"), F.col("rank").alias("tail"))
+    asked = stored(spans.join(now.select("sid", "pos", "rank"), ["sid", "pos"]).join(tail, ["sid", "stop"]).withColumn("need", F.col("stop") - F.col("pos")))
+    lengths = stored(asked.select("rank", "need").distinct())
+    places = now.select("sid", "doc", "pos", "rank").join(lengths, "rank").withColumn("stop", F.col("pos") + F.col("need")).join(tail, ["sid", "stop"])
+    interval = ["need", "rank", "tail"]
+    firsts = stored(places.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("first")))
+    return asked.join(firsts, interval).filter(F.col("first") != F.struct(*PLACE)).select("sid", "doc", "pos", "stop", "first")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """Runs of lines, of at least min_words words, that an earlier place has already; together they cover all such lines.
 
     Earlier means a smaller (key, row, line). The rank of a suffix by its first 2^k lines comes from sorting
@@ -83,9 +106,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     suffixes that agree in the rank of their first 2^k lines and of the 2^k lines that end a window of
     min_words words form an interval of the suffix array whose common prefix is at least that window; all but its
     first member are later copies. Windows are taken from every line on and back from every line, so that a run is
-    covered up to both its ends. Overlapping windows of a text are merged where they are copies of one place, in
-    step with it: a run is always one that stands, whole, at first_key and first_line. Runs that are copies of
-    different places may touch or overlap.
+    covered up to both its ends. Windows of a text that overlap or touch make a stretch. With `whole`, doubling goes on to
+    the longest stretch, and a stretch of which one earlier place holds every line in a row is one run, whatever places
+    its windows were found at. Any other stretch, and all without `whole`, is cut by source: windows in step with one place are one run,
+    which stands there whole at first_key and first_line; runs of different sources may then touch or overlap.
 
     Returns sid (hash of key and text), key, line_start, line_end (exclusive), first_key, first_line. A run may
     repeat within one text; of equal windows the smallest place comes first. Null and short texts have no runs;
@@ -102,7 +126,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     # ranks and firsts are written out before their joins, so that Spark can split the joins of very common lines
     now = stored(lines.join(stored(ranks_of(counts, line)), line).drop(*line).dropDuplicates(["sid", "pos"]))
     most = now.agg(F.max(F.array_max("needs"))).first()[0] or 0
-    found, k = [], 0
+    found, k, levels = [], 0, [now]
     while (1 << k) <= most:
         size = 1 << k
         due = now.select("sid", "doc", "pos", "rank", F.explode(F.filter("needs", lambda n: (n >= size) & (n < 2 * size))).alias("need"))
@@ -114,10 +138,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
         found.append(stored(later.select("sid", "doc", "pos", "stop", "first")))
         if 2 * size > most:
             break
-        second = now.select("sid", (F.col("pos") - size).alias("pos"), F.col("rank").alias("next"))
-        pairs = now.join(second, ["sid", "pos"]).withColumnRenamed("rank", "head")
-        groups = pairs.groupBy("head", "next").agg(F.count("*").alias("members")).filter("members > 1")
-        now = stored(pairs.join(ranks_of(groups, ["head", "next"]), ["head", "next"]).drop("head", "next"))
+        now = next_level(now, size)
+        levels.append(now)
         k += 1
     spark = docs.sparkSession
     schema = f"sid bigint, {key} {kind}, line_start int, line_end int, first_key {kind}, first_line int"
@@ -126,12 +148,29 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    every = every.withColumn("step", F.col("first.pos") - F.col("pos"))
+    own = Window.partitionBy("sid").orderBy("pos", "stop")
+    apart = F.coalesce((F.col("pos") > F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    every = every.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(own)).drop("apart").withColumn("step", F.col("first.pos") - F.col("pos"))
     w = Window.partitionBy("sid", "first.sid", "step").orderBy("pos", "stop")
-    fresh = F.coalesce((F.col("pos") >= F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    fresh = F.coalesce((F.col("pos") > F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     marked = every.withColumn("run", fresh).withColumn("run", F.sum("run").over(w))
-    merged = marked.groupBy("sid", F.col("first.sid").alias("source"), "step", "run").agg(F.min("doc").alias(key), F.min("pos").alias("line_start"), F.max("stop").alias("line_end"), F.min("first").alias("first"))
-    return merged.select("sid", key, "line_start", "line_end", F.col("first.doc").alias("first_key"), F.col("first.pos").alias("first_line"))
+    merged = marked.groupBy("sid", "stretch", F.col("first.sid").alias("source"), "step", "run").agg(F.min("doc").alias("doc"), F.min("pos").alias("pos"), F.max("stop").alias("stop"), F.min("first").alias("first"))
+    if whole:
+        merged = stored(merged)
+        parts = merged.groupBy("sid", "stretch").agg(F.min("doc").alias("doc"), F.min("pos").alias("pos"), F.max("stop").alias("stop"), F.count("*").alias("runs")).filter("runs > 1")
+        parts = stored(parts)
+        longest = parts.agg(F.max(F.col("stop") - F.col("pos"))).first()[0] or 0
+        ones = None
+        for k in range(longest.bit_length()):
+            if k == len(levels):
+                levels.append(next_level(levels[-1], 1 << k - 1))
+            held = held_whole(levels[k], parts.filter((F.col("stop") - F.col("pos")).between(1 << k, (2 << k) - 1)).select("sid", "doc", "pos", "stop"), 1 << k)
+            ones = held if ones is None else ones.unionByName(held)
+        if ones is not None:
+            ones = stored(ones)
+            covered = ones.join(parts.select("sid", "pos", "stop", "stretch"), ["sid", "pos", "stop"]).select("sid", "stretch")
+            merged = merged.join(covered, ["sid", "stretch"], "left_anti").select("sid", "doc", "pos", "stop", "first").unionByName(ones)
+    return merged.select("sid", F.col("doc").alias(key), F.col("pos").alias("line_start"), F.col("stop").alias("line_end"), F.col("first.doc").alias("first_key"), F.col("first.pos").alias("first_line"))
 
 
 def remove_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
