@@ -1,5 +1,6 @@
 """Corpus operators beside brute force, and on nulls, empty and long texts, ties, repeated rows and clashing names."""
 
+import base64
 import hashlib
 import re
 import struct
@@ -193,7 +194,9 @@ def test_op3_beside_plain_python(spark, docs):
         half = len(t) // 2
         edited = plain_anchors(t[: len(t) - half] + (docs[nxt] or "")[:half])
         r, own = got[k], {h for h, _ in anchors[k]}
-        assert r["fingerprint"] == "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(own)[:128]) and r["n_anchors"] == len(anchors[k])
+        assert r["fingerprint"] == base64.b64encode(b"".join(struct.pack(">q", h) for h in sorted(own))).decode() and r["n_anchors"] == len(anchors[k])
+        hashes = [{x[i : i + 8] for x in [base64.b64decode(r[c])] for i in range(0, len(x), 8)} for c in ("fingerprint", "edited_fingerprint")]
+        assert r["near_edited"] == len(hashes[0] & hashes[1]) / len(hashes[0] | hashes[1])
         for other, near, offset, matched in ((edited, "near_edited", "edited_offset", "edited_matched"), (anchors[nxt], "near_next", "next_offset", "next_matched")):
             hashes = {h for h, _ in other}
             assert r[near] == pytest.approx(len(own & hashes) / len(own | hashes))

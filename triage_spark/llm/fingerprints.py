@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 K = 3  # words of a k-mer
 S = 1  # words of its inner substring
-SKETCH = 128  # anchors that a fingerprint shows as text
 
 
 LONG_WORD = 16  # characters; a longer word (a script without spaces, say) is taken character by character
@@ -49,10 +48,13 @@ def add_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> D
     return df.drop(h, m, f"{out}_at__")
 
 
-def sketch_text(anchors: Column, sketch: int = SKETCH) -> Column:
-    """A fingerprint as text: the `sketch` least of its distinct anchor hashes, 16 hex digits each."""
-    least = F.slice(F.sort_array(F.array_distinct(anchors["hash"])), 1, sketch)
-    return F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def fingerprint_text(anchors: Column) -> Column:
+    """A fingerprint as text: all distinct anchor hashes in order, eight bytes each (the most significant first), in base64.
+
+    Nothing is left out, so two fingerprints are equal only for equal anchor sets, and the likeness can be had from them alone.
+    """
+    hashes = F.transform(F.sort_array(F.array_distinct(anchors["hash"])), lambda h: F.lpad(F.hex(h), 16, "0"))
+    return F.translate(F.base64(F.unhex(F.array_join(hashes, ""))), "\r\n", "")  # whether Spark breaks lines is a setting
 
 
 def add_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:

@@ -28,7 +28,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
-    as_text = lambda c: fingerprints.sketch_text(F.col(c))
+    as_text = lambda c: fingerprints.fingerprint_text(F.col(c))
     return d.select(
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next",
         F.size("anchors").alias("n_anchors"), F.col("match_edited.offset").alias("edited_offset"), F.col("match_edited.anchors").alias("edited_matched"),
