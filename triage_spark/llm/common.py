@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,15 @@ def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         conf.set(name, was)
 
 
+def trim() -> None:
+    """Hand what a task no longer needs back to the system: Python workers stay alive between tasks, and memory is counted with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

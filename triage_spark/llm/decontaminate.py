@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triage_spark.llm.common import trim
+
 WORDS = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 K1, B = 1.2, 0.75
@@ -217,6 +219,7 @@ def find_leaks(
                 found = [(k, *m) for k, t in zip(b[key], b[text]) for m in shared.value.matches(t, threshold, overlap, part_overlap)]
                 if found:
                     yield pd.DataFrame(found, columns=schema.names)
+            trim()
 
         part = rows.mapInPandas(find, schema)
         out = part if out is None else out.unionByName(part)

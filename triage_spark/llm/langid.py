@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import bounded_sample, stored
+from triage_spark.llm.common import bounded_sample, stored, trim
 
 WORDS = re.compile(r"[^\W\d_]+")
 NO_WORD = re.compile(r"[\W\d_]")
@@ -218,6 +218,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                             for n, h, c in [(0, word_hashes(words), times), *((n, h, times[owner]) for n, h, owner in gram_hashes(words))]:
                                 u, inverse = np.unique(h, return_inverse=True)
                                 yield pd.DataFrame({"lang": lg, "n": n, "h": u.view(np.int64), "c": np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)})
+        trim()
 
     counted = stored(rows.repartition(16).mapInPandas(count, "lang string, n int, h long, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c")))
     totals = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
@@ -277,6 +278,8 @@ def identify(docs: DataFrame, model: WordFirst, text: str = "text", coverage: bo
         for s in parts:
             langs, scores, most = shared.value.read(s.tolist(), coverage)
             yield pd.DataFrame({"lang": langs, "score": scores, "coverage": most}, index=s.index)
+        shared.value._start()  # the remembered words
+        trim()
 
     new = ("lang_pred", "score", "coverage")[: 2 + coverage]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triage_spark.llm.common import stored
+from triage_spark.llm.common import stored, trim
 from triage_spark.llm.graph import connected_components
 
 SHINGLE = 5
@@ -171,6 +171,7 @@ def signatures(docs: DataFrame, key: str, text: str, collections: int) -> DataFr
                     row = mix(row * WORD_STEP + part.astype(np.uint64))
                 keys.append(row.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=names)
+        trim()
 
     longs = ("content", "n", "h1", "h2")
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("collections", T.ArrayType(T.LongType()))])
@@ -223,6 +224,7 @@ def stored_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> Data
             sets = [s for s in sets_of(text_bytes(b.column(0))) if len(s)]
             h = np.array([set_hashes(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "h2", "s"])
+        trim()
 
     sets = read.join(heads, F.col("key").eqNullSafe(F.col("head__")), "left_semi").select("text").mapInArrow(build, "h1 bigint, h2 bigint, s binary")
     return sets.join(wanted, ["h1", "h2"]).filter(F.octet_length("s") == 8 * F.col("n")).groupBy("node").agg(F.first("s").alias("s"))
@@ -272,6 +274,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 for to, v in zip((near, added, keep, removed, keep_removed), wanted):
                     to.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.bool_()), lists(added), pa.array(keep, pa.int64()), lists(removed), pa.array(keep_removed, pa.int64())], names=names)
+        trim()
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     names = ["a", "b", "n", "weight", "near", "added", "keep", "removed", "keep_removed"]

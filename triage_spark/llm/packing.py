@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from triage_spark.llm.common import trim
+
 UNSAFE = re.compile(r"\s \s|\s \Z")  # white space that a cut before each space would split differently
-CACHE = 200_000  # words
+CACHE = 100_000  # words
 FLUSH = 1 << 19  # ids that one batch brings out of Python
 CHUNK = 2048  # pieces that one differencing takes together
 SHARE = 32_768  # pieces, as estimated, of one partition
@@ -198,6 +200,8 @@ def pack(
                         out, held = [[] for _ in fields], 0
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, arrow)], names=names)
+        out.clear(), enc.clear()
+        trim()
 
     names = [f.name for f in fields]
     arrow = [to_arrow_type(f.dataType) for f in fields]
