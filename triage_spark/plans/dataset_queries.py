@@ -148,11 +148,11 @@ def evidence_round_trip(v: Views) -> DataFrame:
     return tables.read_evidence(v.spark, path, "variant struct<variant_key: string, score: int, route: string>").select("variant.*")
 
 
-@query("a13_golden_vectors", "SELECT variant_key, f0, f15, f0 * 1000 + f1 AS score FROM {small16}")
+@query("a13_golden_vectors", "SELECT variant_key, " + ", ".join(f"f{k}" for k in range(16)) + ", f0 * 1000 + f1 AS score FROM {small16}")
 def golden_vectors(v: Views) -> DataFrame:
     d = v.small16.select("variant_key", F.array(*[f"f{k}" for k in range(16)]).alias("features"), (F.col("f0") * 1000 + F.col("f1")).alias("score"))
     back = tables.decode_vectors(d.select("variant_key", tables.encode_vectors(d).alias("value")))
-    return back.select("variant_key", F.col("features")[0].alias("f0"), F.col("features")[15].alias("f15"), "score")
+    return back.select("variant_key", *[F.col("features")[k].alias(f"f{k}") for k in range(16)], "score")
 
 
 @query("a14_reply_frames", """

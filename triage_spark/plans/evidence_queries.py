@@ -41,19 +41,19 @@ def normalize_clinvar(v: Views) -> DataFrame:
     return e.select("variation_id", "evidence.status", "evidence.title", spdi.alias("spdi"), xrefs.alias("xrefs"), "evidence.scv")
 
 
-@query("i02_normalize_article", "SELECT CAST(doc_id AS STRING) AS pmid, CASE WHEN doc_id % 8 = 0 THEN 'not_found' ELSE 'found' END AS status, CASE WHEN doc_id % 8 <> 0 THEN substr(text, 1, 20) END AS title, CASE WHEN doc_id % 8 <> 0 THEN lang ELSE '' END AS authors, CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'full ' || source ELSE source END AS journal, CASE WHEN doc_id % 8 <> 0 AND doc_id % 5 = 0 THEN '10.1/' || CAST(doc_id AS STRING) END AS doi FROM documents")
+@query("i02_normalize_article", "SELECT CAST(doc_id AS STRING) AS pmid, CASE WHEN doc_id % 8 = 0 THEN 'not_found' ELSE 'found' END AS status, CASE WHEN doc_id % 8 <> 0 THEN text END AS title, CASE WHEN doc_id % 8 <> 0 THEN lang ELSE '' END AS authors, CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'full ' || source ELSE source END AS journal, CASE WHEN doc_id % 8 <> 0 AND doc_id % 5 = 0 THEN '10.1/' || CAST(doc_id AS STRING) END AS doi FROM documents")
 def normalize_article(v: Views) -> DataFrame:
     i = F.col("doc_id")
     ids = F.when(i % 5 == 0, F.array(F.struct(F.lit("doi").alias("idtype"), F.concat(F.lit("10.1/"), i.cast("string")).alias("value")))).otherwise(F.array(F.struct(F.lit("pii").alias("idtype"), F.lit("x").alias("value"))))
-    raw = F.struct(F.substring("text", 1, 20).alias("title"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.lit("").alias("name"))).alias("authors"), F.when(i % 3 == 0, F.concat(F.lit("full "), "source")).otherwise("").alias("fulljournalname"), F.col("source"), F.lit("2024").alias("pubdate"), ids.alias("articleids"))
+    raw = F.struct(F.col("text").alias("title"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.lit("").alias("name"))).alias("authors"), F.when(i % 3 == 0, F.concat(F.lit("full "), "source")).otherwise("").alias("fulljournalname"), F.col("source"), F.lit("2024").alias("pubdate"), ids.alias("articleids"))
     d = E.normalize_article(v.documents.select(i.cast("string").alias("pmid"), F.when(i % 8 != 0, raw).alias("raw")))
     return d.select("pmid", "status", "title", F.array_join("authors", ",").alias("authors"), "journal", "doi")
 
 
-@query("i03_collect_clinvar", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN d.doc_id IS NOT NULL AND d.doc_id % 9 <> 0 THEN 'found' ELSE 'not_found' END AS status FROM {routed} r LEFT JOIN documents d ON r.clinvar_variation_id = d.doc_id) t GROUP BY status")
+@query("i03_collect_clinvar", "SELECT r.variant_key, r.clinvar_variation_id, CASE WHEN d.doc_id IS NOT NULL AND d.doc_id % 9 <> 0 THEN 'found' ELSE 'not_found' END AS status, CASE WHEN d.doc_id % 9 <> 0 THEN d.source END AS title, CASE WHEN d.doc_id % 9 <> 0 THEN CAST(d.doc_id % 3 AS INT) END AS scv FROM {routed} r LEFT JOIN documents d ON r.clinvar_variation_id = d.doc_id")
 def collect_clinvar(v: Views) -> DataFrame:
     rows, _ = E.collect_clinvar(v.routed, E.normalize_clinvar(raw_clinvar(v)))
-    return rows.groupBy("status").agg(F.count("*").alias("n"))
+    return rows.select("variant_key", "clinvar_variation_id", "status", "evidence.title", "evidence.scv")
 
 
 def links(v: Views) -> DataFrame:
@@ -91,9 +91,13 @@ PLANS = """SELECT doc_id, strategy FROM (
   UNION ALL SELECT doc_id, 'protein_change_exact', 3 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'spdi_exact', 4 FROM documents WHERE doc_id % 2 = 1) t"""
 
 
-@query("i06_search_plans", f"SELECT strategy, count(*) AS plans FROM ({PLANS}) p GROUP BY strategy")
+TERM, WITH_GENE = "'\"' || {} || '\"[Title/Abstract]'", """CASE WHEN doc_id % 10 <> 0 THEN ' AND "GENE' || CAST(doc_id % 97 AS STRING) || '"[Title/Abstract]' ELSE '' END"""
+EACH_PLAN = (("rsid_exact", 0, "'rs' || CAST(doc_id AS STRING)", False, "true"), ("hgvs_exact", 1, "'c.' || CAST(doc_id AS STRING) || 'A>G'", True, "true"), ("hgvs_exact", 2, "'p.Arg' || CAST(doc_id AS STRING) || 'Gly'", True, "true"), ("protein_change_exact", 3, "'R' || CAST(doc_id AS STRING) || 'G'", True, "doc_id % 2 = 0"), ("spdi_exact", 3, "'NC_000001.11:' || CAST(doc_id AS STRING) || ':A:G'", False, "doc_id % 2 = 1"))
+
+
+@query("i06_search_plans", " UNION ALL ".join(f"SELECT '1:' || CAST(doc_id AS STRING) || ':A:G' AS variant_key, {place} AS place, '{strategy}' AS strategy, {TERM.format(i)}{' || ' + WITH_GENE if gene else ''} AS query, {i} AS identifier, 'exact_variant_identifier' AS specificity FROM documents WHERE {when}" for strategy, place, i, gene, when in EACH_PLAN))
 def search_plans(v: Views) -> DataFrame:
-    return E.build_search_plans(identified(v)).groupBy("strategy").agg(F.count("*").alias("plans"))
+    return E.build_search_plans(identified(v))
 
 
 @query("i07_identifier_audit", f"""
@@ -401,11 +405,11 @@ def brief_summary(v: Views) -> DataFrame:
     return C.brief_summary(C.build_briefs(packages(v), good, bad))
 
 
-@query("j16_response_cache_plan", "SELECT count(*) AS planned FROM (SELECT DISTINCT lang, text FROM documents EXCEPT SELECT lang, text FROM documents WHERE doc_id % 3 = 0) t")
+@query("j16_response_cache_plan", "SELECT lang, md5(text) AS text_md5 FROM (SELECT DISTINCT lang, text FROM documents EXCEPT SELECT lang, text FROM documents WHERE doc_id % 3 = 0) t")
 def response_cache_plan(v: Views) -> DataFrame:
     d = v.documents.select("lang", "text")
     cache = v.documents.filter("doc_id % 3 = 0").select(C.request_key(v.documents, ["lang", "text"]).alias("request_key"))
-    return C.response_cache_plan(d, cache, ["lang", "text"], 1_000_000).agg(F.count("*").alias("planned"))
+    return C.response_cache_plan(d, cache, ["lang", "text"], 1_000_000).select("lang", F.md5("text").alias("text_md5"))
 
 
 @query("j17_response_accounting", "SELECT source, count(*) AS responses, CAST(sum(n_chars) AS BIGINT) AS latency_ms, CASE WHEN source = 'src1' THEN NULL ELSE CAST(sum(n_chars) AS BIGINT) END AS tokens FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source")
