@@ -83,19 +83,25 @@ def next_level(now: DataFrame, size: int) -> DataFrame:
     return stored(pairs.join(ranks_of(groups, ["head", "next"]), ["head", "next"]).drop("head", "next"))
 
 
-def held_whole(now: DataFrame, spans: DataFrame, size: int) -> DataFrame:
-    """Of spans (sid, doc, pos, stop; of size to 2 * size - 1 lines) those that an earlier place holds whole, with `first`, that place.
+def held_whole(levels: list[DataFrame], spans: DataFrame) -> DataFrame:
+    """Of spans (sid, doc, pos, stop) those that an earlier place holds whole, with `first`, that place.
 
-    `now` has the ranks of runs of `size` lines: the run that begins a span and the one that ends it fix all its lines,
-    and whoever has both at the same distance holds it. Only places that share the first run are looked at, for the lengths asked there.
+    levels[k] has the ranks of runs of 2^k lines. A span of 2^k to 2^(k+1) - 1 lines is fixed by the run that begins it and the
+    one that ends it; whoever has both at the same distance holds it. Only places that share the first run are looked at, for the
+    lengths asked there; all levels go together.
     """
-    tail = now.select("sid", (F.col("pos") + size).alias("stop"), F.col("rank").alias("tail"))
-    asked = stored(spans.join(now.select("sid", "pos", "rank"), ["sid", "pos"]).join(tail, ["sid", "stop"]).withColumn("need", F.col("stop") - F.col("pos")))
-    lengths = stored(asked.select("rank", "need").distinct())
-    places = now.select("sid", "doc", "pos", "rank").join(lengths, "rank").withColumn("stop", F.col("pos") + F.col("need")).join(tail, ["sid", "stop"])
-    interval = ["need", "rank", "tail"]
+    ranks = levels[0].select(F.lit(0).alias("level"), "sid", "doc", "pos", "rank")
+    for k, now in enumerate(levels[1:], 1):
+        ranks = ranks.unionByName(now.select(F.lit(k).alias("level"), "sid", "doc", "pos", "rank"))
+    tail = ranks.select("level", "sid", F.expr("pos + shiftleft(1, level)").alias("stop"), F.col("rank").alias("tail"))
+    need = F.col("stop") - F.col("pos")
+    spans = spans.withColumn("need", need).withColumn("level", (F.length(F.bin("need")) - 1).cast("int"))
+    asked = stored(spans.join(ranks.drop("doc"), ["level", "sid", "pos"]).join(tail, ["level", "sid", "stop"]))
+    lengths = stored(asked.select("level", "rank", "need").distinct())
+    places = ranks.join(lengths, ["level", "rank"]).withColumn("stop", F.col("pos") + F.col("need")).join(tail, ["level", "sid", "stop"])
+    interval = ["level", "need", "rank", "tail"]
     firsts = stored(places.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("first")))
-    return asked.join(firsts, interval).filter(F.col("first") != F.struct(*PLACE)).select("sid", "doc", "pos", "stop", "first")
+    return stored(asked.join(firsts, interval).filter(F.col("first") != F.struct(*PLACE)).select("sid", "doc", "pos", "stop", "first"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
@@ -160,14 +166,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
         parts = merged.groupBy("sid", "stretch").agg(F.min("doc").alias("doc"), F.min("pos").alias("pos"), F.max("stop").alias("stop"), F.count("*").alias("runs")).filter("runs > 1")
         parts = stored(parts)
         longest = parts.agg(F.max(F.col("stop") - F.col("pos"))).first()[0] or 0
-        ones = None
-        for k in range(longest.bit_length()):
-            if k == len(levels):
-                levels.append(next_level(levels[-1], 1 << k - 1))
-            held = held_whole(levels[k], parts.filter((F.col("stop") - F.col("pos")).between(1 << k, (2 << k) - 1)).select("sid", "doc", "pos", "stop"), 1 << k)
-            ones = held if ones is None else ones.unionByName(held)
-        if ones is not None:
-            ones = stored(ones)
+        while longest >> len(levels):
+            levels.append(next_level(levels[-1], 1 << len(levels) - 1))
+        if longest:
+            ones = held_whole(levels[: longest.bit_length()], parts.select("sid", "doc", "pos", "stop"))
             covered = ones.join(parts.select("sid", "pos", "stop", "stretch"), ["sid", "pos", "stop"]).select("sid", "stretch")
             merged = merged.join(covered, ["sid", "stretch"], "left_anti").select("sid", "doc", "pos", "stop", "first").unionByName(ones)
     return merged.select("sid", F.col("doc").alias(key), F.col("pos").alias("line_start"), F.col("stop").alias("line_end"), F.col("first.doc").alias("first_key"), F.col("first.pos").alias("first_line"))
