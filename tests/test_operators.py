@@ -472,3 +472,12 @@ def test_a_hot_stream_is_many_windows(spark):
             assert [got[stream][f"{c}_{k}"] for k in ("median", "p95", "max")] == (pytest.approx([x.quantile(0.5), x.quantile(0.95), x.max()], abs=2e-6) if len(x) else [None] * 3)
     batches = replies.batch_requests(d.withColumn("score", F.lit(1)), 32, key="sequence").collect()
     assert sorted((r["batch"], r["first_sequence"], len(r["rows"])) for r in batches) == [(k, 32 * k, 32) for k in range(125)]
+
+
+def test_annotation_join_sums_the_source_up_first(spark):
+    v = spark.createDataFrame([("a", "g1", 1), ("b", "g2", 1), ("c", "g9", 1), ("d", "g1", 2), ("e", None, 1)], "variant_key string, gene string, slot int")
+    s = spark.createDataFrame([(1, None, 3), (1, "G3;G1", 5), (1, "g1 ; g1", 7), (1, "G2", 6), (1, "G2", 9)], "slot int, genename string, place int")
+    d = cohort.join_variant_annotations(v, s, "place", on=("slot",))
+    assert {r["variant_key"]: (r["dbnsfp_match"], r["place"]) for r in d.collect()} == {"a": (True, 5), "b": (True, 6), "c": (True, 3), "d": (False, None), "e": (True, 3)}
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.rindex("Join") < plan.index("Aggregate")  # no pairs of variants and source rows

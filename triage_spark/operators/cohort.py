@@ -61,15 +61,16 @@ def choose_transcript(transcripts: Column, genes: Column, mane: Column, canonica
 def join_variant_annotations(variants: DataFrame, source: DataFrame, order: str, genes: str = "genename", on: tuple[str, ...] = ("chrom", "pos", "ref", "alt")) -> DataFrame:
     """Each variant with its source row: of several, the first by `order` that names its gene, else the first.
 
-    Unmatched variants stay with dbnsfp_match false. The choice is a min_by, so a position with many rows is
-    summed up before the shuffle.
+    Unmatched variants stay with dbnsfp_match false. The source is summed up first, to a row for each place and a row for
+    each place and gene, so a variant meets two rows at most, however many stand at its place.
     """
     extra = [c for c in source.columns if c not in on]
-    v = variants.select("variant_key", "gene", *on)
-    both = v.join(source, list(on), "inner")
-    hit = F.array_contains(F.transform(F.split(F.upper(genes), ";"), lambda s: F.trim(s)), F.upper("gene"))
-    best = both.groupBy("variant_key").agg(F.min_by(F.struct(*extra), F.struct((~hit).alias("miss"), F.col(order).alias("place"))).alias("s__"))
-    return variants.join(best, "variant_key", "left").withColumn("dbnsfp_match", F.col("s__").isNotNull()).select(*variants.columns, "dbnsfp_match", *[F.col(f"s__.{c}").alias(c) for c in extra if c not in variants.columns])
+    first = F.min_by(F.struct(*extra), F.struct(F.col(order)))  # in a struct, a null comes first and is not left out
+    named = F.transform(F.split(F.upper(genes), ";"), lambda s: F.trim(s))
+    any_gene = source.groupBy(*on).agg(first.alias("any__"))
+    own_gene = source.withColumn("gene__", F.explode(F.array_distinct(named))).groupBy(*on, "gene__").agg(first.alias("own__"))
+    both = variants.withColumn("gene__", F.upper("gene")).join(own_gene, [*on, "gene__"], "left").join(any_gene, list(on), "left").withColumn("s__", F.coalesce("own__", "any__"))
+    return both.select(*variants.columns, F.col("any__").isNotNull().alias("dbnsfp_match"), *[F.col(f"s__.{c}").alias(c) for c in extra if c not in variants.columns])
 
 
 def annotate_records(matched: DataFrame, scores: dict[str, str]) -> DataFrame:
