@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage_spark.functions import variants as V
+from triage_spark.sources.scratch import stored
 
 INT32 = (-(1 << 31), (1 << 31) - 1)
 
@@ -242,7 +243,8 @@ def evaluation_report(df: DataFrame, threshold: int, routing_threshold: int, spl
 
     expected: a column of scores from another engine; `mismatches` counts the rows whose score differs from it.
     """
-    rows = df.filter(F.col("split") == split)
+    used = dict.fromkeys([key, "label", "score", "gene", *([expected] if expected else [])])
+    rows = stored(df.filter(F.col("split") == split).select(*used))
     if rows.groupBy(key).count().filter("count > 1").limit(1).collect():
         raise ValueError("repeated keys in the evaluated split")
     curve = score_curve(rows)
