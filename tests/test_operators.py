@@ -481,3 +481,47 @@ def test_annotation_join_sums_the_source_up_first(spark):
     assert {r["variant_key"]: (r["dbnsfp_match"], r["place"]) for r in d.collect()} == {"a": (True, 5), "b": (True, 6), "c": (True, 3), "d": (False, None), "e": (True, 3)}
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and plan.rindex("Join") < plan.index("Aggregate")  # no pairs of variants and source rows
+
+
+def reads(spark, run):
+    """What run() returns, and how many rows its jobs read from a table of 1,000 rows, counted by an accumulator-like column."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = spark.range(1000).selectExpr("concat('k', lpad(id, 4, '0')) AS variant_key", "cast(id % 2 AS int) AS label", "id AS code", "cast(id AS string) AS variation_id", "'g' AS gene", "'test' AS split", "cast(id % 7 AS int) AS score")
+    out = run(d.mapInArrow(count, d.schema))
+    return out, seen.value
+
+
+def test_checks_and_samples_read_their_input_a_few_times(spark, tmp_path):
+    """A table that is dear to make is not made anew for each pass."""
+    rows, n = reads(spark, lambda d: features.balanced_sample(d, 100, code=F.col("code")).collect())
+    assert sorted(r["code"] for r in rows) == list(range(100)) and n <= 2000
+    one, n = reads(spark, lambda d: scoring.evaluation_report(d, 3, 2).collect())
+    assert one[0]["genes"] == 1 and n == 1000
+    vcf = spark.range(1000).selectExpr("concat('k', lpad(id, 4, '0')) AS variant_key", "concat('v', id) AS variation_id", "cast(id AS string) AS allele_id", "array('g') AS genes")
+    both, n = reads(spark, lambda d: cohort.repair_identifiers(d.withColumn("allele_id", F.lit("")), vcf)[0].collect())
+    assert len(both) == 1000 and n == 1000
+    ten, n = reads(spark, lambda d: cohort.complete_one_to_one_join(d.select("variant_key", "code"), vcf.select("variant_key", "allele_id")).collect())
+    assert len(ten) == 1000 and n == 2000
+
+
+def test_resumed_extract_writes_a_file_per_chunk(spark, tmp_path):
+    d, path = spark.range(100).selectExpr("concat('k', id) AS variant_key", "id").repartition(4), str(tmp_path / "x")
+    done = cohort.resumable_extract(d, lambda x: x, path, chunks=4)
+    files = sorted(done.inputFiles())
+    assert len(files) == 4
+    assert sorted(cohort.resumable_extract(d, lambda x: x, path, chunks=4).inputFiles()) == files  # nothing is written again
+
+
+def test_validate_dataset_counts(spark):
+    rows = [("a", "train", 0, 1), ("b", "train", 1, 2), ("c", "validation", 0, None), ("c", "test", 2, 300), (None, None, 1, 0)]
+    r = features.validate_dataset(spark.createDataFrame(rows, "variant_key string, split string, label int, f int"), ["f"]).first()
+    assert r["errors"] == ["repeated keys", "labels outside 0 and 1", "null features", "features out of range", "a split without both classes"] and r["rows"] == 5
+    assert [tuple(x) for x in r["per_split"]] == [(None, 1, 1), ("test", 1, 0), ("train", 2, 1), ("validation", 1, 0)]
+    empty = features.validate_dataset(spark.createDataFrame([], "variant_key string, split string, label int, f int"), ["f"]).first()
+    assert empty["rows"] == 0 and empty["errors"] == ["wrong splits", "a split without both classes"]

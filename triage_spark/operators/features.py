@@ -389,51 +389,70 @@ TIES = 100_000  # rows of one code that one ordered limit takes
 
 
 def first_rows(df: DataFrame, n: int, code: Column, key: str) -> DataFrame:
-    """The n rows of least (code, key), all if fewer, without sorting the table.
+    """The n rows of least (code, key), all if fewer, without sorting the table."""
+    return least_rows(df.withColumn("code__", code.cast("double")), lambda _: {None: n}, key)
+
+
+def least_rows(df: DataFrame, wanted: Callable[[DataFrame], dict], key: str, label: str | None = None) -> DataFrame:
+    """For each label (or of all rows) as many rows of least (code__, key) as `wanted` says, which is given the labels and codes.
+
+    The passes read codes and keys alone, which are written once; df itself is read once more, for the rows under the cuts.
+    """
+    codes = stored(df.select("code__", key, *([label] if label else [])))
+    at = {k: cut(codes.filter(F.col(label) == k) if label else codes, n, key) for k, n in wanted(codes).items() if n > 0}
+    own = lambda k, c: c & (F.col(label) == k) if label else c
+    forget(codes)
+    if not at:
+        return df.drop("code__").limit(0)
+    held = stored(df.filter(F.coalesce(functools.reduce(Column.__or__, [own(k, under | tied) for k, (under, tied, _) in at.items()]), F.lit(False))))
+    parts = [p for k, (under, tied, rest) in at.items() for p in (held.filter(own(k, under)), held.filter(own(k, tied)).orderBy(key).limit(rest))]
+    return functools.reduce(DataFrame.unionByName, parts).drop("code__")
+
+
+def key_code(key: str, at: int) -> Column:
+    """Six bytes of the key as a number, in the keys' order."""
+    text = F.encode(F.col(key).cast("string"), "UTF-8")
+    return F.conv(F.rpad(F.hex(F.substring(text, at, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def cut(rows: DataFrame, n: int, key: str) -> tuple[Column, Column, int]:
+    """(rows that are taken, rows that tie at the end, how many of these are taken by their keys) for the n least (code__, key).
 
     The n-th least code is an order statistic of one column; rows under it are taken as they are, and of the rows that tie
-    with it the least keys. Many ties are cut by the key's first bytes in the same way, and so on.
+    with it the least keys. Many ties are cut by the key's first bytes in the same way, and so on. Whole codes up to 2^53
+    are exact doubles.
     """
-    if n <= 0:
-        return df.limit(0)
-    rows, below = df.withColumn("code__", code.cast("double")), []  # whole codes up to 2^53 are exact doubles
-    at = 1
+    code, among, under, at = F.col("code__"), F.lit(True), F.lit(False), 1
     while True:
-        have = rows.agg(F.count("*").alias("n"), F.count("code__").alias("known")).first()
+        have = rows.agg(F.count("*").alias("n"), F.count(code).alias("known")).first()
         if have["n"] <= n:
-            below.append(rows)
-            break
+            return under | among, F.lit(False), 0
         nulls = have["n"] - have["known"]  # nulls come first, as in an order
         if n <= nulls:
-            tied, rest = rows.filter("code__ IS NULL"), n
+            tie = code.isNull()
         else:
             share = (n - nulls - 1) / max(have["known"] - 1, 1)
-            limit = order_statistics(rows.select("code__"), ["code__"], {"code__": (share,)})["code__"][0]
-            cut = limit[1] if abs(limit[0] - math.floor(limit[0] + 0.5)) > 0.25 or math.floor(limit[0] + 0.5) == math.floor(limit[0]) else limit[2]
-            under = rows.filter(F.col("code__").isNull() | (F.col("code__") < cut))
-            below.append(under)
-            tied, rest = rows.filter(F.col("code__") == cut), n - under.count()
-        if tied.count() <= TIES:
-            below.append(tied.orderBy(key).limit(rest))
-            break
-        text = F.encode(F.col(key).cast("string"), "UTF-8")
-        digits = F.rpad(F.hex(F.substring(text, at, 6)), 12, "0")  # six bytes of the key as a number, in the keys' order
-        rows, n, at = tied.withColumn("code__", F.conv(digits, 16, 10).cast("double")), rest, at + 6
-        if at > 600:
-            below.append(rows.limit(n))  # equal keys: any of them
-            break
-    out = below[0]
-    for b in below[1:]:
-        out = out.unionByName(b)
-    return out.drop("code__")
+            limit = order_statistics(rows.select(code.alias("x")), ["x"], {"x": (share,)})["x"][0]
+            x = limit[1] if abs(limit[0] - math.floor(limit[0] + 0.5)) > 0.25 or math.floor(limit[0] + 0.5) == math.floor(limit[0]) else limit[2]
+            less, tie = code.isNull() | F.coalesce(code < x, F.lit(False)), F.coalesce(code == x, F.lit(False))
+            n -= rows.filter(less).count()
+            under = under | (among & less)
+        rows, among = rows.filter(tie), among & tie
+        if rows.count() <= TIES or at > 600:  # past that, equal keys: any of them
+            return under, among, n
+        code, at = key_code(key, at), at + 6
 
 
 def balanced_sample(df: DataFrame, n: int, label: str = "label", key: str = "variant_key", seed: int = 42, code: Column | None = None) -> DataFrame:
     """Exactly min(n, available) rows: n / 2 of each label, and where one has fewer, more of the other; an odd row is a negative."""
     c = code if code is not None else sample_code(key, seed)
-    have = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    pos = min(have.get(1, 0), max(n // 2, n - have.get(0, 0)))
-    return first_rows(df.filter(F.col(label) == 1), pos, c, key).unionByName(first_rows(df.filter(F.col(label) == 0), n - pos, c, key))
+
+    def share(codes: DataFrame) -> dict:
+        have = {r[label]: r["count"] for r in codes.groupBy(label).count().collect()}
+        pos = min(have.get(1, 0), max(n // 2, n - have.get(0, 0)))
+        return {1: pos, 0: n - pos}
+
+    return least_rows(df.withColumn("code__", c.cast("double")), share, key, label)
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = "variant_key", seed: int = 42, code: Column | None = None) -> DataFrame:
