@@ -125,7 +125,8 @@ def resumable_extract(work: DataFrame, extract, path: str, key: str = "variant_k
     as a whole, and replaced in one step. Finished keys that are not in the work are an error.
     """
     spark = work.sparkSession
-    work = work.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+    chunk = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
+    work = work.withColumn("chunk", chunk)
     left = work
     try:
         done = spark.read.parquet(path)
@@ -133,13 +134,17 @@ def resumable_extract(work: DataFrame, extract, path: str, key: str = "variant_k
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     else:
-        stray = done.join(work, key, "left_anti").limit(5).collect()
+        want = {tuple(r) for r in chunk_keys(work, key).collect()}  # a row per chunk
+        finished = want & {tuple(r) for r in chunk_keys(done, key).collect()}
+        open_chunk = ~F.col("chunk").isin([r[0] for r in finished]) if finished else F.lit(True)
+        left = work.filter(open_chunk)
+        stray = done.filter(open_chunk).join(left, key, "left_anti").limit(5).collect()  # a finished chunk has none
         if stray:
             raise ValueError(f"finished keys not in the work: {[r[key] for r in stray]}")
-        finished = chunk_keys(work, key).join(chunk_keys(done, key), ["chunk", "rows", "keys"], "left_semi")
-        left = work.join(finished.select("chunk"), "chunk", "left_anti")
-    out = extract(left.drop("chunk")).withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+        if finished == want:
+            return done.drop("chunk")
+    out = extract(left.drop("chunk")).withColumn("chunk", chunk)
+    out.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)  # a file per chunk
     return spark.read.parquet(path).drop("chunk")
 
 
