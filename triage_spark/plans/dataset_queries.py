@@ -9,7 +9,7 @@ from triage_spark.functions import variants as V
 from triage_spark.operators import cohort, features
 from triage_spark.plans.views import Views, query
 from triage_spark.sources import tables
-from triage_spark.sources.scratch import new_folder
+from triage_spark.sources.scratch import new_folder, stored
 
 R6 = lambda c: F.round(c, 6)
 
@@ -355,14 +355,14 @@ def join_annotations(v: Views) -> DataFrame:
     SELECT u.variant_key, u.gene, s.score, g.genes_rows FROM {unique_variants} u LEFT JOIN {scores} s ON u.variant_key = s.variant_key
     LEFT JOIN (SELECT gene, count(*) AS genes_rows FROM {variants} GROUP BY gene) g ON u.gene = g.gene""")
 def assemble(v: Views) -> DataFrame:
-    u = v.unique_variants.select("variant_key", "gene")
-    s = v.scores.join(u.select("variant_key"), "variant_key", "left_semi").select("variant_key", "score")
+    u = stored(v.unique_variants.select("variant_key", "gene"))  # checked, then joined
+    s = stored(v.scores.join(u.select("variant_key"), "variant_key", "left_semi").select("variant_key", "score"))
     return cohort.assemble(u, s, v.variants.groupBy("gene").agg(F.count("*").alias("genes_rows")))
 
 
 @query("c07_resumable_extract", "SELECT variant_key, pos * 2 AS doubled FROM {unique_variants}")
 def resumable_extract(v: Views) -> DataFrame:
-    path, u = scratch(v) + "/extract", v.unique_variants.select("variant_key", "pos")
+    path, u = scratch(v) + "/extract", stored(v.unique_variants.select("variant_key", "pos"))
     double = lambda d: d.select("variant_key", (F.col("pos") * 2).alias("doubled"))
     cohort.resumable_extract(u.filter("pos % 3 = 0"), double, path)  # chunks that are not whole, which the next run makes again
     cohort.resumable_extract(u, double, path)
