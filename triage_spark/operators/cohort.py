@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage_spark.functions import variants as V
+from triage_spark.sources.scratch import stored
 from triage_spark.sources.tables import with_info
 
 
@@ -168,7 +169,7 @@ def repair_identifiers(table: DataFrame, vcf: DataFrame) -> tuple[DataFrame, Dat
     """
     require_unique(vcf, "variant_key", "VCF")
     new = vcf.select("variant_key", F.col("variation_id").alias("v__"), F.col("allele_id").alias("a__"), F.col("genes").alias("g__"))
-    both = table.join(new, "variant_key", "left")
+    both = stored(table.join(new, "variant_key", "left"))
     bad = F.col("v__").isNull() | ~F.array_contains("g__", F.col("gene")) | ((F.col("variation_id") != F.col("v__")) & (F.col("variation_id") != F.col("a__")))
     wrong = both.filter(bad).limit(5).collect()
     if wrong:

@@ -383,7 +383,7 @@ def annotation_coverage(v: Views) -> DataFrame:
 
 @query("c09_repair_identifiers", "SELECT variant_key, gene, CAST(l_suppkey + 1 AS STRING) AS variation_id, CAST(l_orderkey AS STRING) AS allele_id FROM {unique_variants}")
 def repair_identifiers(v: Views) -> DataFrame:
-    u = v.unique_variants
+    u = stored(v.unique_variants.select("variant_key", "gene", "pos", "l_suppkey", "l_orderkey"))
     old = u.select("variant_key", "gene", F.when(F.col("pos") % 2 == 0, F.col("l_suppkey") + 1).otherwise(F.col("l_orderkey")).cast("string").alias("variation_id"), F.lit("").alias("allele_id"))
     vcf = u.select("variant_key", (F.col("l_suppkey") + 1).cast("string").alias("variation_id"), F.col("l_orderkey").cast("string").alias("allele_id"), F.array("gene").alias("genes"))
     return cohort.repair_identifiers(old, vcf)[0]
@@ -391,8 +391,8 @@ def repair_identifiers(v: Views) -> DataFrame:
 
 @query("c10_complete_join", "SELECT u.variant_key, u.pos, s.score FROM {unique_variants} u JOIN {scores} s ON u.variant_key = s.variant_key")
 def complete_join(v: Views) -> DataFrame:
-    u = v.unique_variants.select("variant_key", "pos")
-    return cohort.complete_one_to_one_join(u, v.scores.join(u, "variant_key", "left_semi").select("variant_key", "score"))
+    u = stored(v.unique_variants.select("variant_key", "pos"))
+    return cohort.complete_one_to_one_join(u, stored(v.scores.join(u, "variant_key", "left_semi").select("variant_key", "score")))
 
 
 @query("c11_key_set_difference", "SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity < 10 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) a) AS only_left, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 40 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity < 10) b) AS only_right")
