@@ -181,11 +181,12 @@ def repair_identifiers(table: DataFrame, vcf: DataFrame) -> tuple[DataFrame, Dat
 
 
 def complete_one_to_one_join(a: DataFrame, b: DataFrame, key: str = "variant_key") -> DataFrame:
-    """Two tables that must hold the same unique keys."""
-    require_unique(a, key, "left")
-    require_unique(b, key, "right")
-    odd = a.select(key, F.lit(1).alias("l__")).join(b.select(key, F.lit(1).alias("r__")), key, "full_outer").filter("l__ IS NULL OR r__ IS NULL").limit(5).collect()
-    if odd:
+    """Two tables that must hold the same unique keys; one count by key tells, and only a bad one is looked into."""
+    sides = a.select(key, F.lit(1).alias("l__"), F.lit(0).alias("r__")).unionByName(b.select(key, F.lit(0).alias("l__"), F.lit(1).alias("r__")))
+    if sides.groupBy(key).agg(F.sum("l__").alias("l__"), F.sum("r__").alias("r__")).filter(f"l__ <> 1 OR r__ <> 1 OR `{key}` IS NULL").limit(1).collect():
+        require_unique(a, key, "left")
+        require_unique(b, key, "right")
+        odd = a.select(key, F.lit(1).alias("l__")).join(b.select(key, F.lit(1).alias("r__")), key, "full_outer").filter("l__ IS NULL OR r__ IS NULL").limit(5).collect()
         raise ValueError(f"keys on one side only: {[r[key] for r in odd]}")
     return a.join(b, key)
 
