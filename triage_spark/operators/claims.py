@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triage_spark.operators.features import first_rows, key_code
+from triage_spark.sources.scratch import stored
+
 # Versions of the assembly's chromosome accessions 1 to 24, and the mitochondrial one.
 GRCH38 = (11, 12, 12, 12, 10, 12, 14, 11, 12, 11, 10, 12, 11, 9, 10, 10, 11, 10, 10, 11, 9, 11, 11, 10)
 MITOCHONDRIAL = "NC_012920.1"
@@ -125,6 +128,8 @@ def build_packages(subjects: DataFrame, sources: DataFrame, articles: DataFrame
     left out. gaps: pmids of the first max_articles without an abstract, pmids with conflicting ones, how many
     articles were past the limit, and how many literature passages there are. Sources are sorted, so the hash is stable.
     """
+    one = F.struct("source_id", "kind", F.sha2("text", 256).alias("text_sha256"), "scope", "truncated").cast(SOURCE)
+    sources = sources.select(key, *(["pmid"] if "pmid" in sources.columns else []), one.alias("one__"))  # hashed before any shuffle: texts stay where they are
     if articles is not None:
         ranked = articles.filter((F.col("place") <= max_articles) & ~F.col("abstract_conflict") & (F.coalesce(F.trim("abstract"), F.lit("")) == ""))
         missing = ranked.groupBy(key).agg(F.sort_array(F.collect_list("pmid")).alias("missing__"))
@@ -134,8 +139,7 @@ def build_packages(subjects: DataFrame, sources: DataFrame, articles: DataFrame
         subjects = subjects.join(missing, key, "left").join(other, key, "left")
     else:
         subjects = subjects.withColumns({"missing__": F.array().cast("array<string>"), "conflicting__": F.array().cast("array<string>"), "omitted__": F.lit(0).cast("bigint")})
-    one = F.struct("source_id", "kind", F.sha2("text", 256).alias("text_sha256"), "scope", "truncated").cast(SOURCE)
-    lists = sources.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("sources"))
+    lists = sources.groupBy(key).agg(F.sort_array(F.collect_list("one__")).alias("sources"))
     none = F.array().cast("array<string>")
     d = subjects.join(lists, key, "left").withColumn("sources", F.coalesce("sources", F.array().cast(f"array<{SOURCE}>")))
     passages_ = F.size(F.filter("sources", lambda s: s["kind"] != "clinvar")).cast("bigint")
@@ -205,12 +209,13 @@ def validate_claims(claims: DataFrame, sources: DataFrame, packages: DataFrame,
         .when((F.col("scope") == "exact_variant") & ~is_db & (F.size(exact_terms(F.col("quote"))) == 0), "quote_without_variant")
         .when((F.col("scope") == "gene_context") & ~literal(F.col("quote"), F.coalesce("gene", F.lit(""))), "quote_without_gene")
     )
-    d = with_offsets(d).withColumn("reason", reason)
+    kept = ("variant_key", "source_id", "claim_id", "statement", "quote", "scope", "finding_type", "quote_start", "quote_end")
+    d = stored(with_offsets(d).select(*kept, reason.alias("reason")))  # the texts are joined once, and not kept
     per = d.groupBy("variant_key", "source_id").agg(F.min("reason").alias("reason"), F.count("*").alias("n"), F.countDistinct("claim_id").alias("ids"))
     judged = per.withColumn("reason", F.coalesce("reason", F.when(F.col("n") > max_claims, "too_many_claims"), F.when(F.col("ids") < F.col("n"), "duplicate_claims")))
     rejects = judged.filter("reason IS NOT NULL").select("variant_key", "source_id", "reason")
     good = d.drop("reason").join(rejects.select("variant_key", "source_id"), ["variant_key", "source_id"], "left_anti")
-    return good.select("variant_key", "source_id", "claim_id", "statement", "quote", "scope", "finding_type", "quote_start", "quote_end"), rejects
+    return good.select(*kept), rejects
 
 
 def with_offsets(df: DataFrame) -> DataFrame:
