@@ -258,9 +258,12 @@ def request_key(df: DataFrame, fields: list[str]) -> Column:
 
 
 def response_cache_plan(requests: DataFrame, cache: DataFrame, fields: list[str], budget: int) -> DataFrame:
-    """Requests not answered yet, one per content key, the least keys up to the budget (the limit is the feature)."""
+    """Requests not answered yet, one per content key, the least keys up to the budget (the limit is the feature), in no order.
+
+    The budget is cut by the keys' first bytes, read apart from the requests, so no task gets all of them.
+    """
     d = requests.withColumn("request_key", request_key(requests, fields)).dropDuplicates(["request_key"])
-    return d.join(cache.select("request_key"), "request_key", "left_anti").orderBy("request_key").limit(budget)
+    return first_rows(d.join(cache.select("request_key"), "request_key", "left_anti"), budget, key_code("request_key", 1), "request_key")
 
 
 def response_accounting(responses: DataFrame, price: float = 0.0) -> DataFrame:
