@@ -525,3 +525,24 @@ def test_validate_dataset_counts(spark):
     assert [tuple(x) for x in r["per_split"]] == [(None, 1, 1), ("test", 1, 0), ("train", 2, 1), ("validation", 1, 0)]
     empty = features.validate_dataset(spark.createDataFrame([], "variant_key string, split string, label int, f int"), ["f"]).first()
     assert empty["rows"] == 0 and empty["errors"] == ["wrong splits", "a split without both classes"]
+
+
+def test_cache_plan_has_no_single_task_sort(spark):
+    d = spark.range(300).selectExpr("concat('text ', id % 200) AS text")
+    cache = d.limit(50).select(claims.request_key(d, ["text"]).alias("request_key"))
+    wanted = sorted(r[0] for r in d.distinct().select(claims.request_key(d, ["text"])).collect())
+    known = {r[0] for r in cache.collect()}
+    plan = claims.response_cache_plan(d, cache, ["text"], 40)
+    assert sorted(r["request_key"] for r in plan.collect()) == [k for k in wanted if k not in known][:40]
+    whole = claims.response_cache_plan(d, cache, ["text"], 10_000)
+    assert whole.count() == len(wanted) - len(known)
+    text = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit 10000" not in text and "LocalLimit 10000" not in text
+
+
+def test_texts_of_sources_are_hashed_before_a_shuffle(spark):
+    s = spark.createDataFrame([("v", "abstract:1", "abstract", "a text", "exact_variant", False, "1")], "variant_key string, source_id string, kind string, text string, scope string, truncated boolean, pmid string")
+    a = spark.createDataFrame([("v", "2", "", True, 1, 0)], "variant_key string, pmid string, abstract string, abstract_conflict boolean, place int, omitted bigint")
+    p = claims.build_packages(spark.createDataFrame([("v", "verified")], "variant_key string, identity string"), s, a)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("LeftAnti") < plan.index("sha2(cast(text") and p.first()["sources"][0]["source_id"] == "abstract:1"

@@ -70,16 +70,20 @@ def load_model(manifest: dict) -> Model:
 
 
 def expression_layers(df: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
-    """df with hidden columns h0, h1, ... and score, all inside code generation."""
-    names, hidden = list(model.features), []
+    """df with hidden columns h0, h1, ... and score, by column expressions alone.
+
+    A unit is a fold over arrays: written out, the products of a layer make one method, which is too large for the JVM to compile.
+    """
+    d, x, hidden = df, F.array(*[F.col(n).cast("bigint") for n in model.features]), []
     for k, (w, b) in enumerate(zip(model.weights, model.biases)):
-        dot = lambda row, c: sum((F.lit(int(x)).cast("bigint") * F.col(n) for x, n in zip(row, names) if x), F.lit(int(c)).cast("bigint"))
+        d = d.withColumn(f"x{k}__", x)
+        dot = lambda row, c, x=F.col(f"x{k}__"): F.aggregate(F.zip_with(x, F.array(*[F.lit(int(v)).cast("bigint") for v in row]), lambda p, q: p * q), F.lit(int(c)).cast("bigint"), lambda t, p: t + p)
         if k == len(model.weights) - 1:
-            return df.withColumn("score", dot(w[0], b[0]).cast("int")), hidden
+            return d.withColumn("score", dot(w[0], b[0]).cast("int")).drop(*[f"x{j}__" for j in range(k + 1)]), hidden
         new = [f"h{len(hidden) + i}" for i in range(len(w))]
-        df = df.withColumns({n: V.requantize(dot(row, c), model.qshift) for n, row, c in zip(new, w, b)})
-        hidden += new
-        names = new
+        d = d.withColumn("sums__", F.array(*[dot(row, c) for row, c in zip(w, b)]))  # named, as each sum is used twice
+        d = d.withColumns({n: V.requantize(F.get("sums__", F.lit(i)), model.qshift) for i, n in enumerate(new)}).drop("sums__")
+        x, hidden = F.array(*new), hidden + new
     raise ValueError("model without layers")
 
 
