@@ -142,8 +142,6 @@ def resumable_extract(work: DataFrame, extract, path: str, key: str = "variant_k
         stray = done.filter(open_chunk).join(left, key, "left_anti").limit(5).collect()  # a finished chunk has none
         if stray:
             raise ValueError(f"finished keys not in the work: {[r[key] for r in stray]}")
-        if finished == want:
-            return done.drop("chunk")
     out = extract(left.drop("chunk")).withColumn("chunk", chunk)
     out.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)  # a file per chunk
     return spark.read.parquet(path).drop("chunk")
