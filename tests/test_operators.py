@@ -546,3 +546,12 @@ def test_texts_of_sources_are_hashed_before_a_shuffle(spark):
     p = claims.build_packages(spark.createDataFrame([("v", "verified")], "variant_key string, identity string"), s, a)
     plan = p._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("LeftAnti") < plan.index("sha2(cast(text") and p.first()["sources"][0]["source_id"] == "abstract:1"
+
+
+def test_batch_frames_are_parsed_once(spark):
+    """No filter on the size of the scores, into which the whole parse is written out again."""
+    frame = F.unhex(F.concat(F.lit("0102"), F.lpad(F.hex("id"), 8, "0"), F.lit("0200"), F.lit("0000000501" + "01"), F.lit("FFFFFFFB0001")))
+    d = tables.decode_batch_frames(spark.range(3).select("id", frame.alias("frame")), -276)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and plan.count("octet_length") == 2
+    assert sorted(tuple(r)[2:] for r in d.filter("id = 2").collect()) == [(2, 0, 5, 1, 1, None), (2, 1, -5, 0, 1, None)]

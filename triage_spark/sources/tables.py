@@ -271,7 +271,8 @@ def decode_batch_frames(df: DataFrame, threshold: int, frame: str = "frame") ->
     d = d.withColumn("reason__", reason).withColumn("items__", F.when(F.col("reason__").isNull(), items).otherwise(none))
     wrong = lambda x: (x["classification"] != (x["score"] >= 0).cast("int")) | (x["deep_review"] != (x["score"] >= threshold).cast("int"))
     d = d.withColumn("reject_reason", F.coalesce("reason__", F.when(F.exists("items__", wrong), "flag")))
-    return d.withColumn("item__", F.explode("items__")).select(*df.columns, "sequence", "item__.*", "reject_reason")
+    # explode() would be given a filter on the array's size, pushed down with the whole parse written out for each use of it; the array is never empty
+    return d.withColumn("item__", F.explode_outer("items__")).select(*df.columns, "sequence", "item__.*", "reject_reason")
 
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
