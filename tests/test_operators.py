@@ -555,3 +555,25 @@ def test_batch_frames_are_parsed_once(spark):
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan and plan.count("octet_length") == 2
     assert sorted(tuple(r)[2:] for r in d.filter("id = 2").collect()) == [(2, 0, 5, 1, 1, None), (2, 1, -5, 0, 1, None)]
+
+
+def test_feature_tables_make_code_that_the_jvm_compiles(spark):
+    """Methods of more than 8,000 bytes of code are never compiled; splits are a table of known size, so no row is shuffled for them."""
+    raws = dict.fromkeys(f.raw[0] for f in features.CONTRACT)
+    columns = [F.when(F.col("id") % 7 != 0, (F.col("id") % 50) / 40).alias(c) if c != "interpro_domain_status" else F.lit("no").alias(c) for c in raws]
+    d = spark.range(400).select(F.concat(F.lit("v"), "id").alias("variant_key"), F.concat(F.lit("g"), F.col("id") % 9).alias("gene"), *columns)
+    splits = d.select("gene").distinct().withColumn("split", F.when(F.col("gene") < "g5", "train").otherwise("test"))
+    model, made = features.build_feature_tables(d, splits)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for kind in ("float", "int8"):
+            plan = made[kind].select("*")._jdf.queryExecution().executedPlan()
+            code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+            assert max(int(x.split(")")[0].split(";")[0]) for x in code.split("maxMethodCodeSize:")[1:]) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    wanted = {f.id: F.coalesce(features.transform_feature(f, model.bounds.get(f.id), d), F.lit(model.medians[f.id])).cast("float").alias(f.id) for f in features.CONTRACT}
+    for kind, finish in (("float", lambda c: c), ("int8", V.encode_int8)):
+        plain = d.select("variant_key", *[finish(c).alias(k) for k, c in wanted.items()])
+        assert sorted(map(tuple, made[kind].select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))

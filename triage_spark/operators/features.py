@@ -123,6 +123,10 @@ def raw_number(df: DataFrame, f: Feature) -> Column:
 
 def transform_feature(f: Feature, bounds: tuple[float, float] | None = None, train: DataFrame | None = None) -> Column:
     """The feature's raw columns to [0, 1], null kept; `train` tells which of them are numbers already."""
+    return V.clip01(unclipped(f, bounds, train))
+
+
+def unclipped(f: Feature, bounds: tuple[float, float] | None = None, train: DataFrame | None = None) -> Column:
     p = f.params
     if f.transform == "domain_ternary":
         return V.domain_ternary(F.col(f.raw[0]))
@@ -143,7 +147,7 @@ def transform_feature(f: Feature, bounds: tuple[float, float] | None = None, tra
         x = 1 - x if f.transform.startswith("reverse") else x
     elif f.transform != "identity":
         raise ValueError(f"unknown transform: {f.transform}")
-    return V.clip01(x)
+    return x
 
 
 ACCURACY = 10_000  # of the sketch: 1 / ACCURACY of the rows is the most by which a rank is off
@@ -248,13 +252,13 @@ def fit_features(train: DataFrame, contract: tuple[Feature, ...], bounds: dict |
 
     The numbers of all features are written once, as doubles, and read by the passes. A robust feature is not
     scaled for that: its bounds are not known yet. Scaling keeps or turns round the order, so the values
-    around the middle rank of the raw column, scaled, are those around the middle of the scaled one.
+    around the middle rank of the raw column, scaled, are those around the middle of the scaled one. So does clipping.
     """
     if not contract:
         return {}, {}
     bounds = dict(bounds or {})
     shares = {f.id: (*((f.params["lower"], f.params["upper"]) if is_robust(f) and f.id not in bounds else ()), *((0.5,) if medians else ())) for f in contract}
-    columns = [raw_number(train, f) if is_robust(f) else transform_feature(f, train=train) for f in contract]
+    columns = [raw_number(train, f) if is_robust(f) else unclipped(f, train=train) for f in contract]
     numbers = stored(train.select(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f.id) for f, c in zip(contract, columns)]))
     found = order_statistics(numbers, list(shares), shares)
     forget(numbers)
@@ -267,7 +271,7 @@ def fit_features(train: DataFrame, contract: tuple[Feature, ...], bounds: dict |
             bounds[f.id] = lo, hi if hi > lo else lo + 1.0
         if medians:
             t, a, b = found[f.id][-1]
-            middle[f.id] = between(t, *(scaled(f, x, bounds[f.id]) if is_robust(f) else x for x in (a, b)))
+            middle[f.id] = between(t, *(scaled(f, x, bounds[f.id]) if is_robust(f) else min(max(x, 0.0), 1.0) for x in (a, b)))
     return {f.id: bounds[f.id] for f in contract if f.id in bounds}, middle
 
 
@@ -287,16 +291,27 @@ class FeatureModel:
         raw = {r for f in self.contract for r in f.raw} | {f.id for f in self.contract}
         return [c for c in df.columns if c not in raw]
 
-    def columns(self, df: DataFrame) -> dict[str, Column]:
-        return {f.id: F.coalesce(transform_feature(f, self.bounds.get(f.id), df), F.lit(self.medians[f.id])).cast("float") for f in self.contract}
+    def filled(self, df: DataFrame, finish: Callable[[Column], Column]) -> DataFrame:
+        """Metadata and the features, clipped, with missing values at the training median, then `finish`ed.
+
+        What all features share is written once, over an array of them. As a column each, it makes a generated method of more
+        than 8,000 bytes of code, which the JVM does not compile.
+        """
+        if not self.contract:
+            return df.select(*self.keep(df))
+        values = F.array(*[unclipped(f, self.bounds.get(f.id), df).cast("double") for f in self.contract])
+        medians = F.array(*[F.lit(float(self.medians[f.id])) for f in self.contract])
+        each = F.zip_with(values, medians, lambda x, m: finish(F.coalesce(V.clip01(x), m).cast("float")))
+        d = df.select(*self.keep(df), each.alias("features__"))
+        return d.select(*self.keep(df), *[F.col("features__")[k].alias(f.id) for k, f in enumerate(self.contract)])
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Metadata and the float features, with missing values at the training median."""
-        return df.select(*self.keep(df), *[c.alias(k) for k, c in self.columns(df).items()])
+        return self.filled(df, lambda x: x)
 
     def encode(self, df: DataFrame) -> DataFrame:
         """Metadata and the int8 features."""
-        return df.select(*self.keep(df), *[V.encode_int8(c).alias(k) for k, c in self.columns(df).items()])
+        return self.filled(df, V.encode_int8)
 
     def state(self, df: DataFrame) -> DataFrame:
         """What was fitted: feature, lower, upper (null where there are no bounds), median."""
@@ -324,7 +339,7 @@ def build_feature_tables(annotated: DataFrame, splits: DataFrame, contract: tupl
 
     splits: group, split. A group with no split, or with two, is an error. state: feature, lower, upper, median.
     """
-    many = splits.groupBy(group).agg(F.count("*").alias("n"), F.first("split").alias("split"))
+    many = stored(splits.groupBy(group, "split").agg(F.count("*").alias("rows")).groupBy(group).agg(F.sum("rows").alias("n"), F.first("split").alias("split")))  # a table of groups, of known size for the joins
     odd = annotated.select(group).distinct().join(many, group, "left").filter("n IS NULL OR n > 1").limit(5).collect()
     if odd:
         raise ValueError(f"groups without exactly one split: {[r[group] for r in odd]}")
