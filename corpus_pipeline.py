@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage_spark.llm import decontaminate, langid, linededup, neardup, packing
-from triage_spark.llm.common import forget, shared_folder
+from triage_spark.llm.common import forget, shared_folder, stored
 
 ORACLE_SQL = None  # language models, retrieval and tokenizers are beyond SQL; tests/llm holds a plain version
 
@@ -17,7 +17,7 @@ ORACLE_SQL = None  # language models, retrieval and tokenizers are beyond SQL; t
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go: those without text or letters, and those whose words are not the predicted language's.
 
-    The model learns from seven eighths of the labelled documents; the last eighth, which it has not seen, says what share of a text's
+    The model learns from seven eighths of the labelled documents, all of them; the last eighth, which it has not seen, says what share of a text's
     words and 4-grams a language has at least. A text goes if its share is surely lower (langid.coverage_limit()), or if nothing in
     it is known; without any labelled document all texts with letters stay. A document without a `lang` gets the predicted
     one. Null texts go; other nulls, repeated rows and very long texts are treated as all others, extra columns are
@@ -30,7 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     guess = 1.0001 / max(len(model.langs), 2)  # the score of a text of which no language has any part
     known = (F.col("lang_pred") != "und") & (F.col("coverage") >= limit) & ((F.col("score") > guess) | F.lit(len(model.langs) == 1)) if model.langs else F.col("text").rlike(r"\p{L}")
     filled = lambda c: F.coalesce("row.lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred"))) if c == "lang" else F.col("row").getField(c)
-    return said.filter(known).select(*[filled(c).alias(c) for c in docs.columns])
+    kept = said.filter(known).select(*[filled(c).alias(c) for c in docs.columns])
+    return stored(kept, langid.BATCH)  # small Arrow batches: a worker holds few texts at a time
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

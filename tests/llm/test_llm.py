@@ -718,3 +718,13 @@ def test_pipeline(spark, docs, edge):
 def test_every_operator_is_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def test_language_learns_from_all_rows(spark):
+    """More labelled rows than the 2,048 that were taken before; each has a word of its own, which all count."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.translate(F.concat(F.lit("w"), F.col("id") + 10000), "0123456789", "abcdefghij").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    model = langid.fit(d)
+    assert len(model.tables[0][0]) == 3000
+    small = langid.fit(d.unionByName(d.filter("doc_id < 100")), entries=150)
+    assert len(small.tables[0][0]) == 100  # the commonest; totals are of all words
+    assert small.tables[0][1].max() == pytest.approx(np.log(2.5 / (1550 + 0.5 * 3001)), abs=1e-5)

@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import bounded_sample, stored, trim
+from triage_spark.llm.common import forget, stored, trim
+from triage_spark.operators.features import order_statistics
 
 WORDS = re.compile(r"[^\W\d_]+")
 NO_WORD = re.compile(r"[\W\d_]")
@@ -24,6 +25,8 @@ CERTAIN = 3.0  # standard errors by which a text must lie outside
 SURE = 30.0  # words from which on a text's score stops growing
 PIECE = 1 << 18  # characters of a text that one step takes
 STEP_WORDS = 1 << 15  # words that are looked up together
+ENTRIES = 1 << 19  # of a model, of each order
+BATCH = 1024  # texts in an Arrow batch
 CACHE, LONG = 150_000, 64  # words that a worker remembers; letters of the longest of them
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,68 +201,106 @@ class WordFirst:
         return langs[0], scores[0]
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 2048) -> WordFirst:
-    """Learn from at most max_docs labelled rows (least key hash first): max_docs bounds the model, nothing else is left out.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", entries: int = ENTRIES) -> WordFirst:
+    """Learn from all labelled rows: every word and n-gram of theirs is counted.
 
-    Every word and n-gram of these rows is an entry: 8 bytes of hash and 4 bytes a language. Entries are counted
-    and packed on Spark; what reaches the driver is the packed tables. Rows with null text or label teach nothing;
-    of rows that tie at the last key hash any may be taken; an empty table gives a model that answers 'und'.
+    Words are counted first, by task and then on Spark; n-grams are counted from the distinct words, as often as these stand there.
+    An entry takes 8 bytes of hash and 4 bytes a language. Of each order (words, n-grams of one length) at most `entries` are
+    kept, those counted most often in all rows; all orders' totals and numbers of entries are of everything counted. A word that is not
+    kept is read by its n-grams. What reaches the driver is the packed tables. Rows with null text or label teach nothing;
+    an empty table gives a model that answers 'und'.
     """
-    rows = bounded_sample(docs.select(key, text, lang).dropna(), key, max_docs)
+    rows = docs.select(text, lang).dropna()
+
+    def frames(seen: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+        for lg, words in seen.items():
+            if words:
+                yield pd.DataFrame({"lang": lg, "word": list(words), "c": list(words.values())})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, Counter] = {}
         for b in batches:
-            for lg, part in b.groupby(lang)[text]:
-                for t in part:
-                    for piece in pieces(t):
-                        seen = Counter(words_of(piece))
-                        words, times = list(seen), np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-                        if words:
-                            for n, h, c in [(0, word_hashes(words), times), *((n, h, times[owner]) for n, h, owner in gram_hashes(words))]:
-                                u, inverse = np.unique(h, return_inverse=True)
-                                yield pd.DataFrame({"lang": lg, "n": n, "h": u.view(np.int64), "c": np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)})
+            for t, lg in zip(b[text], b[lang]):
+                own = seen.setdefault(lg, Counter())
+                for piece in pieces(t):
+                    own.update(words_of(piece))
+                    if len(own) > CACHE:
+                        yield from frames({lg: own})
+                        own.clear()
+        yield from frames(seen)
         trim()
 
-    counted = stored(rows.repartition(16).mapInPandas(count, "lang string, n int, h long, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c")))
+    def grams(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for lg, part in b.groupby("lang"):
+            words, times = part["word"].tolist(), part["c"].to_numpy(np.int64)
+            for n, h, c in [(0, word_hashes(words), times), *((n, h, times[owner]) for n, h, owner in gram_hashes(words))]:
+                u, inverse = np.unique(h, return_inverse=True)
+                yield pd.DataFrame({"lang": lg, "n": n, "h": u.view(np.int64), "c": np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)})
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= STEP_WORDS:
+                yield from grams(pd.concat(held))
+                held = []
+        if held:
+            yield from grams(pd.concat(held))
+        trim()
+
+    words = stored(rows.mapInPandas(count, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")), BATCH)
+    counted = stored(words.mapInPandas(expand, "lang string, n int, h long, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c")))
+    forget(words)
     totals = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({k[0] for k in totals})
     by_lang = [F.sum(F.when(F.col("lang") == lg, F.col("c")).otherwise(0)).cast("float").alias(f"c{k}") for k, lg in enumerate(langs)]
-    each = counted.groupBy("n", "h").agg(*by_lang) if langs else None
+    each = counted.groupBy("n", "h").agg(F.sum("c").alias("all"), *by_lang).withColumn("level", F.floor(F.log2("all") * 16)) if langs else None
+    sizes, least = Counter(), dict.fromkeys(range(MAX_GRAM + 1), 0)
+    for r in each.groupBy("n", "level").count().orderBy(F.desc("level")).collect() if langs else []:
+        sizes[r["n"]] += r["count"]
+        if sizes[r["n"]] > entries:
+            least[r["n"]] = max(least[r["n"]], r["level"] + 1)
+    kept = each.filter(F.col("level") >= F.element_at(F.create_map(*[F.lit(x) for nl in least.items() for x in nl]), F.col("n"))).drop("all", "level") if langs else None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = np.stack([c.to_numpy() for c in b.columns[2:]], axis=1) if b.num_rows else np.zeros((0, len(langs)), np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in (b.column(0).to_numpy().tobytes(), b.column(1).to_numpy().tobytes(), counts.tobytes())], names=["n", "h", "c"])
 
-    packed = each.mapInArrow(pack, "n binary, h binary, c binary").collect() if langs else []
+    packed = kept.mapInArrow(pack, "n binary, h binary, c binary").collect() if langs else []
     order = np.concatenate([np.frombuffer(r["n"], np.int32) for r in packed] or [np.zeros(0, np.int32)])
     hashes = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in packed] or [np.zeros(0, np.uint64)])
     counts = np.concatenate([np.frombuffer(r["c"], np.float32).reshape(-1, len(langs)) for r in packed] or [np.zeros((0, 0), np.float32)])
     del packed
+    forget(counted)
     tables = []
     for n in range(MAX_GRAM + 1):
         own = np.flatnonzero(order == n)
         own = own[np.argsort(hashes[own])]
-        total = np.array([totals.get((lg, n), 0) for lg in langs]) + 0.5 * (len(own) + 1)
+        total = np.array([totals.get((lg, n), 0) for lg in langs]) + 0.5 * (sizes[n] + 1)
         tables.append((hashes[own], np.log((counts[own] + 0.5) / total).astype(np.float32)))
     return WordFirst(langs, tables)
 
 
-def coverage_limit(docs: DataFrame, model: WordFirst, text: str = "text", key: str = "doc_id", max_docs: int = 512, words: int = 20) -> float:
+def coverage_limit(docs: DataFrame, model: WordFirst, text: str = "text", words: int = 20) -> float:
     """The coverage under which a text is of none of the model's languages, from labelled rows that the model has not learned.
 
-    LOW times that of the hundredth part of the texts of at least `words` words that lies lowest; of at most max_docs rows (least key
-    hash first). 0, so that nothing is turned away, if there are fewer than 20.
+    LOW times that of the hundredth part of the texts of at least `words` words that lies lowest, exactly, of all rows. 0, so that
+    nothing is turned away, if there are fewer than 20.
     """
-    few = bounded_sample(docs.select(key, text).dropna(), key, max_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def cover(s: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.read(s.tolist(), coverage=True)[2])
+    def cover(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series(shared.value.read(s.tolist(), coverage=True)[2])
+        shared.value._start()
+        trim()
 
-    got = sorted(r[0] for r in few.filter(F.size(F.split(text, r"\s+")) >= words).select(cover(F.col(text))).collect())
-    return LOW * got[len(got) // 100] if len(got) >= 20 else 0.0
+    got = stored(docs.select(text).dropna().filter(F.size(F.split(text, r"\s+")) >= words).select(cover(F.col(text)).alias("x")), BATCH)
+    limit = LOW * order_statistics(got, ["x"], {"x": (0.01,)})["x"][0][1] if got.count() >= 20 else 0.0
+    forget(got)
+    return limit
 
 
 def identify(docs: DataFrame, model: WordFirst, text: str = "text", coverage: bool = False) -> DataFrame:
