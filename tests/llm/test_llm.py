@@ -219,6 +219,19 @@ def test_syncmers_by_hand(spark):
     assert m is not None and m["offset"] == -1
 
 
+def test_op3_cuts_a_text_once(spark):
+    """The words are made once for all that reads them; matching is the same however many anchors are common."""
+    d = fingerprints.add_anchors(spark.createDataFrame([("a b c",)], "text string"), "text", "anchors")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+    rng = np.random.default_rng(3)
+    rows = [[[(int(h), p) for p, h in enumerate(rng.integers(-n, n, size))] for size in (n, n + 3)] for n in (1, 2, 5, 12, 40, 90)]
+    kind = "array<struct<hash: bigint, pos: int>>"
+    got = fingerprints.match_positions(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rows)], f"k int, a {kind}, b {kind}"), "a", "b", "m")
+    for r in got.collect():
+        best = plain_match(*rows[r["k"]])
+        assert (r["m"] and (r["m"]["anchors"], r["m"]["offset"])) == ((-best[0], best[1]) if best else None)
+
+
 def brute_leaks(texts, items, overlap=0.8, part=0.5):
     out = set()
     for k, t in texts.items():

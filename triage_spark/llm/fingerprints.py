@@ -10,16 +10,25 @@ K = 3  # words of a k-mer
 S = 1  # words of its inner substring
 
 
+FEW = 16  # common hashes that are looked for one by one
 LONG_WORD = 16  # characters; a longer word (a script without spaces, say) is taken character by character
 
 
-def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the lower-cased words, in order, and of the characters of words over LONG_WORD; no words: an empty array."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def hashes_of(words: Column) -> Column:
+    """64-bit hashes of words, in order, and of the characters of words over LONG_WORD. `words` is read more than once: let it be a column that is made already."""
     letters = F.filter(F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w)))), lambda w: w != "")
     return F.transform(F.when(F.exists(words, lambda w: F.char_length(w) > LONG_WORD), letters).otherwise(words), lambda w: F.xxhash64(w))
 
 
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the lower-cased words, in order, and of the characters of words over LONG_WORD; no words: an empty array."""
+    return hashes_of(words_of(text))
+
+
 def add_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """Add `out`: the closed syncmers of a text as array<struct<hash, pos>>, in text order.
 
@@ -29,17 +38,19 @@ def add_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> D
     or null text: that of the empty sequence).
     """
     h, m = f"{out}_words__", f"{out}_inner__"
-    df = df.withColumn(h, word_hashes(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn(h, words_of(F.coalesce(F.col(text), F.lit(""))))  # a step of its own, so that the text is cut once
+    df = df.withColumn(h, hashes_of(F.col(h)))
     if s > 1:
         inner = F.expr(f"transform(sequence(0, greatest(size({h}) - {s}, 0)), i -> xxhash64(slice({h}, i + 1, {s})))")
         df = df.withColumn(m, inner)
     else:
         df = df.withColumn(m, F.col(h))
     w = k - s + 1
-    # the least of the inner places against both edges, place by place: no slice is built for k-mers that fall
-    least = f"least({', '.join(f'get({m}, i + {j})' for j in range(w))})"
-    edge = f"least(get({m}, i), get({m}, i + {w - 1}))"
-    kept = F.expr(f"filter(sequence(0, greatest(size({h}) - {k}, 0)), i -> size({h}) >= {k} AND {edge} = {least})")
+    # the edges against the least of the places between them, place by place: no slice is built for k-mers that fall
+    between = [f"get({m}, i + {j})" for j in range(1, w - 1)]
+    least = between[0] if len(between) == 1 else f"least({', '.join(between)})"
+    edge = f"least(get({m}, i), get({m}, i + {w - 1})) <= {least}" if between else "true"
+    kept = F.expr(f"if(size({h}) >= {k}, filter(sequence(0, greatest(size({h}) - {k}, 0)), i -> {edge}), cast(array() AS array<int>))")
     df = df.withColumn(f"{out}_at__", kept)
     kmer = ", ".join(f"get({h}, i + {j})" for j in range(k))
     anchors = F.expr(f"transform({out}_at__, i -> struct(xxhash64({kmer}) AS hash, i AS pos))")
@@ -54,7 +65,7 @@ def fingerprint_text(anchors: Column) -> Column:
     Nothing is left out, so two fingerprints are equal only for equal anchor sets, and the likeness can be had from them alone.
     """
     hashes = F.transform(F.sort_array(F.array_distinct(anchors["hash"])), lambda h: F.lpad(F.hex(h), 16, "0"))
-    return F.translate(F.base64(F.unhex(F.array_join(hashes, ""))), "\r\n", "")  # whether Spark breaks lines is a setting
+    return F.replace(F.base64(F.unhex(F.array_join(hashes, ""))), F.lit("\r\n"), F.lit(""))  # whether Spark breaks lines is a setting
 
 
 def add_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -66,23 +77,22 @@ def add_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
 def match_positions(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Add `out` (offset, anchors): the offset, b's place less a's in words, on which most anchors agree, and how many do.
 
-    Of an anchor that repeats in a text the first place counts. Both texts' anchors are sorted together by hash, so that
-    the places of a common one stand side by side; then the offsets are sorted and the longest run of equal ones is
-    taken: no step looks at all pairs. Rows without a common anchor get null; ties go to the least offset.
+    Of an anchor that repeats in a text the first place counts. Both texts' anchors are sorted together by hash, a's places from
+    the last to the first and then b's from the first to the last, so that the two first places of a common one stand side by side; then
+    the offsets are sorted and the longest run of equal ones is taken: no step looks at all pairs. Where at most FEW hashes are
+    common, only their anchors are sorted. Rows without a common anchor get null; ties go to the least offset.
     """
-    side = lambda c, n: F.transform(F.col(c), lambda x: F.struct(x["hash"].alias("hash"), F.lit(n).alias("side"), x["pos"].alias("pos")))
-    d = df.withColumn("all__", F.array_sort(F.concat(side(a, 0), side(b, 1))))
-    # the first place of each hash in each text
-    d = d.withColumn("once__", F.expr("filter(all__, (x, i) -> i = 0 OR get(all__, i - 1).hash <> x.hash OR get(all__, i - 1).side <> x.side)"))
-    pairs = "filter(transform(once__, (x, i) -> if(x.side = 1 AND i > 0 AND get(once__, i - 1).hash = x.hash, x.pos - get(once__, i - 1).pos, null)), o -> o IS NOT NULL)"
-    d = d.withColumn("offsets__", F.sort_array(F.expr(pairs)))
-    run = (
-        "aggregate(offsets__, named_struct('best', cast(null AS int), 'most', 0, 'now', cast(null AS int), 'n', 0), (r, o) -> if(o <=> r.now,"
-        " named_struct('best', if(r.n + 1 > r.most, o, r.best), 'most', greatest(r.most, r.n + 1), 'now', o, 'n', r.n + 1),"
-        " named_struct('best', if(r.most < 1, o, r.best), 'most', greatest(r.most, 1), 'now', o, 'n', 1)))"
-    )
-    d = d.withColumn("run__", F.expr(run))
-    return d.withColumn(out, F.when(F.size("offsets__") > 0, F.struct(F.col("run__.best").alias("offset"), F.col("run__.most").alias("anchors")))).drop("all__", "once__", "offsets__", "run__")
+    d = df.withColumn("common__", F.array_intersect(F.col(a)["hash"], F.col(b)["hash"]))
+    few = lambda c: F.when(F.size("common__") > FEW, F.col(c)).otherwise(F.filter(c, lambda x: F.array_contains("common__", x["hash"])))
+    side = lambda c, place: F.transform(few(c), lambda x: F.struct(x["hash"].alias("hash"), place(x["pos"]).alias("place")))
+    all_ = F.sort_array(F.concat(side(a, lambda p: -1 - p), side(b, lambda p: p)))
+    d = d.withColumn("all__", F.when(F.size("common__") > 0, all_))
+    meet = "filter(sequence(1, size(all__) - 1), i -> get(all__, i).place >= 0 AND get(all__, i - 1).place < 0 AND get(all__, i).hash = get(all__, i - 1).hash)"
+    d = d.withColumn("offsets__", F.sort_array(F.transform(F.expr(meet), lambda i: F.get("all__", i)["place"] + F.get("all__", i - 1)["place"] + 1)))
+    d = d.withColumn("starts__", F.expr("filter(sequence(0, size(offsets__) - 1), i -> i = 0 OR get(offsets__, i) <> get(offsets__, i - 1))"))
+    runs = "transform(starts__, (s, i) -> struct(coalesce(get(starts__, i + 1), size(offsets__)) - s AS anchors, -get(offsets__, s) AS back))"
+    d = d.withColumn("run__", F.array_max(F.expr(runs)))
+    return d.withColumn(out, F.when(F.size("common__") > 0, F.struct((-F.col("run__.back")).alias("offset"), F.col("run__.anchors")))).drop("common__", "all__", "offsets__", "starts__", "run__")
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", n_buckets: int | None = None) -> DataFrame:
