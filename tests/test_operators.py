@@ -448,6 +448,48 @@ def test_reply_state_is_bounded_and_restarts(spark, tmp_path):
     assert got[2] == (1, 0, 0) and got[1][1] == 2
 
 
+class _Store:
+    """A state variable of one stream that counts the calls."""
+
+    def __init__(self):
+        self.value, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls += 1
+            if name in ("get", "getValue"):
+                return self.value.get(a)
+            if name in ("exists", "containsKey"):
+                return (a or ()) in self.value
+            if name in ("update", "updateValue"):
+                self.value[a[:-1]] = a[-1]
+            return iter([])
+
+        return call
+
+
+def test_reply_state_reads_pages_not_replies():
+    """A few calls to the state store for a batch, though no two replies share a block; counters as in plain Python."""
+    state, stores = streams.ReplyState(10**9), []
+    handle = _Store()
+    handle.getValueState = handle.getMapState = lambda *_: stores.append(_Store()) or stores[-1]
+    state.init(handle)
+    rng, seen, want, previous = np.random.default_rng(4), set(), [0, 0, 0], None
+    for start in (0, 5000):
+        sequence = rng.integers(-100, 100, 200) * streams.BLOCK + rng.integers(0, 2, 200) * 7
+        rows = pd.DataFrame({"sequence": sequence, "arrived": pd.to_datetime(start + rng.permutation(200), unit="ms")})
+        before = handle.calls + sum(s.calls for s in stores)
+        got = next(iter(state.handleInputRows((1,), iter([rows[:90], rows[90:]]), None))).iloc[0].tolist()
+        assert handle.calls + sum(s.calls for s in stores) - before <= 10
+        for s in rows.sort_values("arrived").sequence:
+            if s in seen:
+                want[1] += 1
+            else:
+                want[0], want[2], previous = want[0] + 1, want[2] + (previous is not None and s < previous), s
+                seen.add(s)
+        assert got == [1, *want]
+
+
 def test_a_hot_stream_is_many_windows(spark):
     """90 % of the rows in one stream: the row before and exact quantiles as in plain Python, over several tasks."""
     rng = np.random.default_rng(6)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,57 +40,87 @@ def stream_distinct_replies(replies: DataFrame, delay: str = "10 seconds") -> Da
 
 
 BLOCK = 4096  # sequences of one bitmap
+PAGE = 256  # blocks that are read and written together
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 class ReplyState(StatefulProcessor):
-    """Counters of one stream, and bitmaps of the sequences seen, block by block, each with the time it was last touched."""
+    """Counters of one stream, and bitmaps of the sequences seen, block by block, each with the time it was last touched.
+
+    A call to the state store costs far more than its bytes, so PAGE blocks lie in one entry, compressed: a batch reads and
+    writes each page of a stream once, however its replies lie in the blocks. The counters know whether a timer is set.
+    """
 
     def __init__(self, horizon_ms: int):
         self.horizon = horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getValueState("counts", "previous bigint, received_unique bigint, duplicates bigint, out_of_order bigint")
-        self.seen = handle.getMapState("seen", "block bigint", "bits binary, last bigint")
+        self.counts = handle.getValueState("counts", "previous bigint, received_unique bigint, duplicates bigint, out_of_order bigint, timer bigint")
+        self.pages = handle.getMapState("pages", "page bigint", "blocks binary, last binary, bits binary")
+
+    def read(self, value: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of a page in order, when each was last touched, and a row of bits for each."""
+        if value is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BLOCK // 8), np.uint8)
+        blocks, last, bits = map(bytes, value)
+        return np.frombuffer(blocks, np.int64), np.frombuffer(last, np.int64), np.frombuffer(zlib.decompress(bits), np.uint8).reshape(-1, BLOCK // 8)
+
+    def write(self, page: int, blocks: np.ndarray, last: np.ndarray, bits: np.ndarray) -> None:
+        self.pages.updateValue((page,), (blocks.tobytes(), last.tobytes(), zlib.compress(bits.tobytes(), 1)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values(["arrived", "sequence"], kind="stable")
-        sequence, arrived = part.sequence.to_numpy(np.int64), part.arrived.to_numpy("datetime64[ms]").astype(np.int64)
-        fresh = ~pd.Series(sequence).duplicated().to_numpy()
+        parts = [(p.sequence.to_numpy(np.int64), p.arrived.to_numpy("datetime64[ms]").astype(np.int64), p.arrived.to_numpy("datetime64[ns]")) for p in rows]
+        sequence, arrived, exact = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((sequence, exact))
+        sequence, arrived = sequence[order], arrived[order]
+        fresh = np.zeros(len(sequence), dtype=bool)
+        fresh[np.unique(sequence, return_index=True)[1]] = True
         block, bit = np.divmod(sequence, BLOCK)
-        for b in np.unique(block).tolist():
-            own = np.flatnonzero(block == b)
-            old = self.seen.getValue((b,)) if self.seen.containsKey((b,)) else None
-            bits = np.unpackbits(np.frombuffer(bytes(old[0]), np.uint8)) if old else np.zeros(BLOCK, np.uint8)
-            fresh[own] &= bits[bit[own]] == 0
-            bits[bit[own]] = 1
-            self.seen.updateValue((b,), (np.packbits(bits).tobytes(), max(int(arrived[own].max()), old[1] if old else 0)))
-        previous, unique, repeated, back = self.counts.get() if self.counts.exists() else (None, 0, 0, 0)
+        page = block // PAGE
+        for p in np.unique(page).tolist():
+            own = np.flatnonzero(page == p)
+            known, was, old = self.read(self.pages.getValue((p,)))
+            blocks, at = np.unique(np.concatenate([known, block[own]]), return_inverse=True)
+            bits, last = np.zeros((len(blocks), BLOCK // 8), np.uint8), np.zeros(len(blocks), np.int64)
+            bits[at[: len(known)]], last[at[: len(known)]] = old, was
+            row, byte, mask = at[len(known) :], bit[own] // 8, (128 >> bit[own] % 8).astype(np.uint8)
+            fresh[own] &= bits[row, byte] & mask == 0
+            np.bitwise_or.at(bits, (row, byte), mask)
+            np.maximum.at(last, row, arrived[own])
+            self.write(p, blocks, last, bits)
+        previous, unique, repeated, back, timer = self.counts.get() or (None, 0, 0, 0, None)
         first = sequence[fresh]
         if len(first):
             before = first[:-1] if previous is None else np.concatenate([[previous], first[:-1]])
             back += int((first[len(first) - len(before) :] < before).sum())
             previous = int(first[-1])
         unique, repeated = unique + len(first), repeated + len(sequence) - len(first)
-        self.counts.update((previous, unique, repeated, back))
-        if not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(int(arrived.max()) + self.horizon)
+        if timer is None:
+            timer = int(arrived.max()) + self.horizon
+            self.handle.registerTimer(timer)
+        self.counts.update((previous, unique, repeated, back, timer))
         yield pd.DataFrame({"stream_id": [key[0]], "received_unique": [unique], "duplicates": [repeated], "out_of_order": [back]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Blocks untouched for the horizon go; a stream without any block goes as a whole."""
         cut, left = timerValues.getCurrentWatermarkInMs() - self.horizon, None
-        for (b,), (_, last) in list(self.seen.iterator()):
-            if last <= cut:
-                self.seen.removeKey((b,))
-            else:
-                left = last if left is None else min(left, last)
+        for (p,), value in list(self.pages.iterator()):
+            blocks, last, bits = self.read(value)
+            stay = last > cut
+            if not stay.any():
+                self.pages.removeKey((p,))
+                continue
+            if not stay.all():
+                self.write(p, blocks[stay], last[stay], bits[stay])
+            oldest = int(last[stay].min())
+            left = oldest if left is None else min(left, oldest)
         if left is None:
             self.counts.clear()
         else:
             self.handle.registerTimer(left + self.horizon)
+            self.counts.update((*self.counts.get()[:4], left + self.horizon))
         return iter([])
 
     def close(self) -> None:
@@ -101,7 +132,7 @@ def stream_reply_state(replies: DataFrame, horizon: str = "1 hour", delay: str =
 
     A reply counts as a duplicate while its block of BLOCK sequences has been touched within `horizon` of event time.
     Timers of event time drop older blocks, and a stream that has been silent for the horizon with its counters, so the
-    state follows what arrives in a horizon and not the age or the gaps of a stream. Within a batch rows are taken by arrival,
+    state follows what arrives in a horizon and not the age or the gaps of a stream. Checkpoints of the form before pages are not read. Within a batch rows are taken by arrival,
     then sequence. Needs the RocksDB state store (use_rocksdb()). stream_id, sequence: whole numbers; arrived: instants.
     """
     ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
