@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage_spark.llm import decontaminate, langid, linededup, neardup, packing
-from triage_spark.llm.common import forget, shared_folder, stored
+from triage_spark.llm.common import BATCH, forget, shared_folder, stored
 
 ORACLE_SQL = None  # language models, retrieval and tokenizers are beyond SQL; tests/llm holds a plain version
 
@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = (F.col("lang_pred") != "und") & (F.col("coverage") >= limit) & ((F.col("score") > guess) | F.lit(len(model.langs) == 1)) if model.langs else F.col("text").rlike(r"\p{L}")
     filled = lambda c: F.coalesce("row.lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred"))) if c == "lang" else F.col("row").getField(c)
     kept = said.filter(known).select(*[filled(c).alias(c) for c in docs.columns])
-    return stored(kept, langid.BATCH)  # small Arrow batches: a worker holds few texts at a time
+    return stored(kept, BATCH)  # small Arrow batches: a worker holds few texts at a time
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5("text").alias("content"))
     found = decontaminate.find_leaks(docs.select(F.md5("text").alias("content"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="content")
-    kept = own.join(found.select("content").distinct(), "content", "left_anti")
+    kept = own.join(stored(found.select("content").distinct(), BATCH), "content", "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

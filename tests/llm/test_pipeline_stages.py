@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from triage_spark.llm import langid, linededup
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,3 +36,13 @@ def test_stages_carry_columns_of_any_name(spark, stage):
     assert out.columns == docs.columns
     rows = out.collect()
     assert len(rows) == (1 if stage is corpus_pipeline.near_duplicates else 3) and all(tuple(r)[3:] == tuple(range(len(names))) for r in rows)
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """A filter on the predicted language runs no second worker; lines are cut once, from small batches."""
+    d = spark.createDataFrame([(k, "one two three " * 20 + "\n" + "four " * 40, "en") for k in range(4)], "doc_id long, text string, lang string")
+    said = langid.identify(d, langid.fit(d), coverage=True).filter("lang_pred = 'en' AND coverage > 0").select("doc_id")
+    assert said._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and said.count() == 4
+    sizes, kept = [], linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, n=None: sizes.append(n) or kept(df, n))
+    assert linededup.repeated_runs(d).count() == 3 and sizes[0] == 1024

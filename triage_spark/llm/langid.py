@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import forget, stored, trim
+from triage_spark.llm.common import BATCH, forget, stored, trim
 from triage_spark.operators.features import order_statistics
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -26,7 +26,6 @@ SURE = 30.0  # words from which on a text's score stops growing
 PIECE = 1 << 18  # characters of a text that one step takes
 STEP_WORDS = 1 << 15  # words that are looked up together
 ENTRIES = 1 << 19  # of a model, of each order
-BATCH = 1024  # texts in an Arrow batch
 CACHE, LONG = 150_000, 64  # words that a worker remembers; letters of the longest of them
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,14 +218,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}
+        held = 0  # words of all languages together
         for b in batches:
             for t, lg in zip(b[text], b[lang]):
                 own = seen.setdefault(lg, Counter())
                 for piece in pieces(t):
+                    held -= len(own)
                     own.update(words_of(piece))
-                    if len(own) > CACHE:
-                        yield from frames({lg: own})
-                        own.clear()
+                    held += len(own)
+                    if held > CACHE:
+                        yield from frames(seen)
+                        seen, own, held = {lg: (fresh := Counter())}, fresh, 0
         yield from frames(seen)
         trim()
 
@@ -300,6 +302,7 @@ def coverage_limit(docs: DataFrame, model: WordFirst, text: str = "text", words:
     got = stored(docs.select(text).dropna().filter(F.size(F.split(text, r"\s+")) >= words).select(cover(F.col(text)).alias("x")), BATCH)
     limit = LOW * order_statistics(got, ["x"], {"x": (0.01,)})["x"][0][1] if got.count() >= 20 else 0.0
     forget(got)
+    shared.unpersist()
     return limit
 
 
@@ -323,6 +326,7 @@ def identify(docs: DataFrame, model: WordFirst, text: str = "text", coverage: bo
         trim()
 
     new = ("lang_pred", "score", "coverage")[: 2 + coverage]
+    ask = ask.asNondeterministic()  # else a filter on what it says is pushed under it and every text is read twice, by two workers a task
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     said = [F.col(f"said.{c}").alias(n) for c, n in zip(("lang", "score", "coverage"), new)]
     return docs.select(row.alias("row"), ask(F.col(text)).alias("said")).select("row.*", *said)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import prefix_sums, stored
+from triage_spark.llm.common import BATCH, forget, prefix_sums, stored, trim
 
 MIN_WORDS = 30
 
@@ -62,6 +62,7 @@ def lines_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                     [pa.array(sid[part], pa.int64()), pa.array(doc[part], b.schema.field(1).type), pa.array(pos[part], pa.int32()), pa.array(line[part], pa.int64()), pa.array(line2[part], pa.int64()), pa.array(needs[part], pa.list_(pa.int32()))],
                     names=["sid", "doc", "pos", "line", "line2", "needs"],
                 )
+        trim()
 
     rows = docs.select(row_id(key, text).alias("sid"), F.col(key).alias("doc"), text)
     return rows.mapInArrow(cut, f"sid bigint, doc {docs.schema[key].dataType.simpleString()}, pos int, line bigint, line2 bigint, needs array<int>")
@@ -126,11 +127,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     if key in ("sid", "line_start", "line_end", "first_key", "first_line"):
         raise ValueError(f"a key named {key} clashes with a column that is returned")
     kind = docs.schema[key].dataType.simpleString()
-    lines = lines_of(docs, key, text, min_words)
+    lines = stored(lines_of(docs, key, text, min_words), BATCH)  # read twice; small Arrow batches: a worker holds few texts at a time
     line = ["line", "line2"]
     counts = lines.groupBy(*line).agg(F.count("*").alias("members")).filter("members > 1")
     # ranks and firsts are written out before their joins, so that Spark can split the joins of very common lines
     now = stored(lines.join(stored(ranks_of(counts, line)), line).drop(*line).dropDuplicates(["sid", "pos"]))
+    forget(lines)
     most = now.agg(F.max(F.array_max("needs"))).first()[0] or 0
     found, k, levels = [], 0, [now]
     while (1 << k) <= most:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triage_spark.llm.common import stored, trim
+from triage_spark.llm.common import BATCH, stored, trim
 from triage_spark.llm.graph import connected_components
 
 SHINGLE = 5
@@ -327,7 +327,7 @@ def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text
 def row_classes(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, content, n, head (unknown, key, row: of the first row of its class), row."""
     collections = collections_for(percent)
-    signed = stored(signatures(docs, key, text, collections).withColumn("row", F.monotonically_increasing_id()))
+    signed = stored(signatures(docs, key, text, collections).withColumn("row", F.monotonically_increasing_id()), BATCH)
     head = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row")).alias("head")
     classes = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(head, F.first("collections").alias("collections"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
