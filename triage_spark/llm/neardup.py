@@ -8,9 +8,13 @@ differences from m: of the added ones at least g = (|Ax| + |Ay| + ||Rx| - |Ry||
 g >= (d_x + |y| - |m| - k (|x| + |y|)) / 2, which is above 0 unless y is smaller than m; then
 h = (|Rx| + |Ry| + ||Ax| - |Ay|| - k (|x| + |y|)) / 2 > 0 removed ones are shared. So the pair shares an element among the first
 |A| - g + 1 added ones of both (or the first |R| - h + 1 removed ones), in any one order: the rarest among the
-members of m first. These elements are the next, smaller tables, whose pivots are the members with the fewest
+members of m first. Removed elements are needed for small sets alone: a far x meets there only sets of at most its reach,
+(|m| - d_x + k |x|) / (1 - k), which is less than |m|, as any larger partner shares an added element with it; two far ones meet
+there if each is within the other's reach. So a member without any other of a fitting size leaves such a table.
+These elements are the next, smaller tables, whose pivots are the members with the fewest
 elements of their own, which are near most others. A next table of at most FULL members (GROWTH times as many with each
-further pass) is compared in full, a larger one by a pivot again; so few passes are made, no link is lost, and a member
+further pass) is compared in full, first by parity sketches, which differ in no more bits than the sets do in elements,
+a larger one by a pivot again; so few passes are made, no link is lost, and a member
 is compared with a number of others that grows far slower than its group. Of tables of the same members one is kept; one
 whose members are all near its pivot is left alone.
 """
@@ -31,7 +35,9 @@ from triage_spark.llm.graph import connected_components
 SHINGLE = 5
 ROWS = 3  # minhashes of a collection; a table key is a pair of collections
 MISS = 1e-3  # at most this share of the single pairs right at the threshold meets in no table
-FULL, GROWTH = 64, 8  # members up to which a next table is compared in full, and how that grows from pass to pass
+FULL, GROWTH = 64, 2  # members up to which a next table is compared in full, and how that grows from pass to pass
+SKETCH = 8  # longs of a parity sketch, which bounds the difference of two sets from below
+ANY = 1 << 62  # the reach of a member that may meet sets of any size
 SLICE_BYTES = 1 << 20  # text that one vector step takes together
 
 SEED = 20240501
@@ -152,6 +158,12 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s * MULTIPLIER)).view(np.int64))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH longs: of each place a hash sends elements to, whether it gets an odd number. Sets that differ in d elements differ in d bits at most."""
+    place = mix(s + MULTIPLIER) % np.uint64(64 * SKETCH)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, key: str, text: str, collections: int) -> DataFrame:
     """One row per row: key, content (hash of the text), n (set size), h1, h2 (of the whole set), collections (one long each)."""
     functions = hash_functions(collections)
@@ -201,21 +213,28 @@ def near_enough(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def next_pairs(members: DataFrame, percent: int, full: int) -> DataFrame:
-    """The pairs to compare of the next tables: all of those of at most `full` members (with a null lo), the stars of larger ones.
+def near_sketches(percent: int) -> str:
+    """Sketches alone rule the likeness out where they differ in more bits than the sets may in elements."""
+    bits = " + ".join(f"bit_count(p{k}_x ^ p{k}_y)" for k in range(SKETCH))
+    return f"{100 + percent} * ({bits}) <= {100 - percent} * (n_x + n_y)"
+
+
+def next_pairs(members: DataFrame, sets: DataFrame, percent: int, full: int) -> DataFrame:
+    """The pairs to compare of the next tables: of those of at most `full` members all whose sketches allow a link (with a null lo), the stars of larger ones.
 
     Two members near the table's pivot are linked through it already.
     """
-    small = members.filter(f"members <= {full}")
-    x, y = (small.select("table_key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near")]) for side in "xy")
-    apart = f"node_x < node_y AND NOT (near_x AND near_y) AND {near_enough('n_x', 'n_y', percent)}"
+    bits = [f"p{k}" for k in range(SKETCH)]
+    small = stored(members.filter(f"members <= {full}").select("table_key", "node", "n", "near", "reach").join(sets.select("node", *bits), "node"))
+    x, y = (small.select("table_key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near", "reach", *bits)]) for side in "xy")
+    apart = f"node_x < node_y AND NOT (near_x AND near_y) AND n_x <= reach_y AND n_y <= reach_x AND {near_enough('n_x', 'n_y', percent)} AND {near_sketches(percent)}"
     every = x.join(y, "table_key").filter(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     null = F.lit(None).cast("bigint")
     return stars(members.filter(f"members > {full}")).unionByName(every.select("a", "b", null.alias("lo"), null.alias("n"), null.alias("weight")))
 
 
 def stored_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """node, s: the sorted shingle set, as bytes, of each wanted node (node, key, n, h1, h2); one text of each is read again."""
+    """node, s, p0, ...: the sorted shingle set, as bytes, and the sketch of each wanted node (node, key, n, h1, h2); one text of each is read again."""
     heads = wanted.select(F.col("key").alias("head__")).distinct()
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
@@ -223,16 +242,20 @@ def stored_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> Data
         for b in batches:
             sets = [s for s in sets_of(text_bytes(b.column(0))) if len(s)]
             h = np.array([set_hashes(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "h2", "s"])
+            p = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, p.T.copy())], names=["h1", "h2", "s", *bits])
         trim()
 
-    sets = read.join(heads, F.col("key").eqNullSafe(F.col("head__")), "left_semi").select("text").mapInArrow(build, "h1 bigint, h2 bigint, s binary")
-    return sets.join(wanted, ["h1", "h2"]).filter(F.octet_length("s") == 8 * F.col("n")).groupBy("node").agg(F.first("s").alias("s"))
+    bits = [f"p{k}" for k in range(SKETCH)]
 
+    sets = read.join(heads, F.col("key").eqNullSafe(F.col("head__")), "left_semi").select("text").mapInArrow(build, "h1 bigint, h2 bigint, s binary, " + ", ".join(f"{b} bigint" for b in bits))
+    return sets.join(wanted, ["h1", "h2"]).filter(F.octet_length("s") == 8 * F.col("n")).groupBy("node").agg(*[F.first(c).alias(c) for c in ("s", *bits)])
 
-def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) -> tuple[bool, np.ndarray, int, np.ndarray, int]:
+
+def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) -> tuple[bool, np.ndarray, int, np.ndarray, int, int]:
     """Whether x is near the pivot m; its added elements and how many of them, in one order, hold one that a further
-    link of x must share; the same of the removed elements (none where no link can rest on them alone).
+    link of x must share; the same of the removed elements (none where no link can rest on them alone); the largest set
+    that x meets by removed elements.
 
     least_size: the smallest set that x may be linked with. See the head of this module.
     """
@@ -242,22 +265,23 @@ def differences(m: np.ndarray, x: np.ndarray, least_size: int, percent: int) ->
     added, both = x[~common], int(common.sum())
     d = len(x) + len(m) - 2 * both
     over = more * d - less * (len(x) + len(m))
+    partner = max(least_size, -(-percent * len(x) // 100))
+    reach = ANY if over <= 0 else (2 * percent * len(m) - over) // (2 * percent)
     if over <= 0:
         g, h, smaller = max(1, percent * (len(x) - len(m)) // more + 1), 1, len(x) < len(m)
     else:
-        partner = max(least_size, -(-percent * len(x) // 100))
         g = max(1, -(-(more * (d - len(m)) - less * len(x) + 2 * percent * partner) // (2 * more)))
-        h, smaller = -(-over // (2 * more)), 2 * percent * (len(m) - least_size) >= over
+        h, smaller = -(-over // (2 * more)), partner <= reach
     removed = m[:0]
     if smaller:
         gone = np.ones(len(m), dtype=bool)
         gone[place[common]] = False
         removed = m[gone]
-    return over <= 0, added, max(0, len(added) - g + 1), removed, max(0, len(removed) - h + 1)
+    return over <= 0, added, max(0, len(added) - g + 1), removed, max(0, len(removed) - h + 1), reach
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, n, weight, near (100 * intersection >= percent * union of the full sets), added, keep, removed, keep_removed.
+    """a, b, n, weight, near (100 * intersection >= percent * union of the full sets), added, keep, removed, keep_removed, reach.
 
     A pivot of very many members is a hot key of the joins, which Spark's skew join splits: both sides are plain tables.
     """
@@ -267,35 +291,48 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, added, keep, removed, keep_removed = [], [], [], [], []
+            near, added, keep, removed, keep_removed, reach = [], [], [], [], [], []
             for lo, m, x in zip(b.column(4).to_pylist(), b.column(5), b.column(6)):
                 found = differences(np.frombuffer(m.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64), lo or 0, percent)
-                wanted = found if lo is not None and found[2] + found[4] else (found[0], found[1][:0], 0, found[3][:0], 0)
-                for to, v in zip((near, added, keep, removed, keep_removed), wanted):
+                wanted = found if lo is not None and found[2] + found[4] else (found[0], found[1][:0], 0, found[3][:0], 0, found[5])
+                for to, v in zip((near, added, keep, removed, keep_removed, reach), wanted):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.bool_()), lists(added), pa.array(keep, pa.int64()), lists(removed), pa.array(keep_removed, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.bool_()), lists(added), pa.array(keep, pa.int64()), lists(removed), pa.array(keep_removed, pa.int64()), pa.array(reach, pa.int64())], names=names)
         trim()
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    names = ["a", "b", "n", "weight", "near", "added", "keep", "removed", "keep_removed"]
-    schema = "a bigint, b bigint, n bigint, weight bigint, near boolean, added array<bigint>, keep bigint, removed array<bigint>, keep_removed bigint"
+    names = ["a", "b", "n", "weight", "near", "added", "keep", "removed", "keep_removed", "reach"]
+    schema = "a bigint, b bigint, n bigint, weight bigint, near boolean, added array<bigint>, keep bigint, removed array<bigint>, keep_removed bigint, reach bigint"
     return joined.select("a", "b", "n", "weight", "lo", "sa", "sb").mapInArrow(check, schema)
 
 
-def next_members(done: DataFrame) -> DataFrame:
-    """table_key, node, n, weight, near, own, members: the next tables, one for each pivot and element that is shared.
+def meeting(members: DataFrame, percent: int) -> DataFrame:
+    """The members of tables of removed elements that have another to be compared with there: of a fitting size, each within the
+    other's reach, not both near. Of a table its distinct set sizes are gathered, with the largest reach of each.
+    """
+    far = F.when(~F.col("near"), F.col("reach"))
+    sizes = members.groupBy("table_key", F.col("n").alias("size")).agg(F.max("reach").alias("reach"), F.max(far).alias("far"))
+    sizes = stored(sizes.groupBy("table_key").agg(F.collect_list(F.struct("size", "reach", "far")).alias("sizes")))
+    fits = f"exists(sizes, s -> s.size <= reach AND n <= if(near, s.far, s.reach) AND {near_enough('n', 's.size', percent)})"
+    return members.join(sizes, "table_key").filter(fits).drop("sizes")
+
+
+def next_members(done: DataFrame, percent: int) -> DataFrame:
+    """table_key, node, n, weight, near, reach, own, members: the next tables, one for each pivot and element that is shared.
 
     An element that no other member has (`own` counts the added ones) takes its place in the order, but makes no table.
     """
     own = ("a", F.col("b").alias("node"), "n", "weight", "near")
-    added = done.select(*own, F.lit(0).alias("kind"), F.explode("added").alias("element"), "keep", F.size("added").alias("all"))
-    removed = done.select(*own, F.lit(1).alias("kind"), F.explode("removed").alias("element"), F.col("keep_removed").alias("keep"), F.size("removed").alias("all"))
+    added = done.select(*own, F.lit(ANY).alias("reach"), F.lit(0).alias("kind"), F.explode("added").alias("element"), "keep", F.size("added").alias("all"))
+    removed = done.select(*own, "reach", F.lit(1).alias("kind"), F.explode("removed").alias("element"), F.col("keep_removed").alias("keep"), F.size("removed").alias("all"))
     each = added.unionByName(removed).withColumn("table_key", F.xxhash64("a", "kind", "element")).drop("element")
     shared = stored(each.groupBy("table_key").agg(F.count("*").alias("have")).filter("have > 1"))
     w = Window.partitionBy("a", "node", "kind")
     ranked = each.join(shared, "table_key").withColumn("common", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("have", "table_key")))
-    first = stored(ranked.filter("place <= keep - (all - common)").select("table_key", "node", "n", "weight", "near", F.when(F.col("kind") == 0, F.col("all") - F.col("common")).alias("own")))
-    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in (0, 1)]  # equal for tables of the same members
+    own = F.when(F.col("kind") == 0, F.col("all") - F.col("common")).alias("own")
+    first = stored(ranked.filter("place <= keep - (all - common)").select("table_key", "kind", "node", "n", "weight", "near", "reach", own))
+    first = stored(first.filter("kind = 0").unionByName(meeting(first.filter("kind = 1"), percent)).drop("kind"))
+    same = [F.bit_xor(F.xxhash64("node", "reach", F.lit(k))).alias(f"same{k}") for k in (0, 1)]  # equal for tables of the same members
     open_ = first.groupBy("table_key").agg(F.count("*").alias("members"), F.every("near").alias("all_near"), *same).filter("members > 1 AND NOT all_near")
     open_ = stored(open_.groupBy("members", "same0", "same1").agg(F.min("table_key").alias("table_key")).select("table_key", "members"))
     return first.join(open_, "table_key")
@@ -315,11 +352,11 @@ def linked(classes: DataFrame, collections: int, docs: DataFrame, key: str, text
     while not pairs.isEmpty():
         done = stored(verify(pairs, sets, percent))
         links = links.unionByName(done.filter("near").select("a", "b"))
-        members = stored(next_members(done))
+        members = stored(next_members(done, percent))
         if full == FULL:  # from here on the order of the pivots: it must stay, so that the search ends
             own = members.groupBy("node").agg((-F.min("own")).alias("weight"))
             members = stored(members.drop("weight").join(own, "node"))
-        pairs = stored(next_pairs(members, percent, full))
+        pairs = stored(next_pairs(members, sets, percent, full))
         full *= GROWTH
     return connected_components(links)
 
